@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomsieve.llm import bpe, packing, sharding, sketches
+from loomsieve.llm import bpe, langid, packing, sharding, sketches, toxicity
 
-_MODULES = (packing, sketches, bpe, sharding)
+_MODULES = (langid, packing, sketches, bpe, sharding, toxicity)
 
 
 def queries() -> dict[str, Callable]:

@@ -118,3 +118,43 @@ def blocks(texts: list[str], limit: int = 1 << 21):
         size += len(t) + 1
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def cut_long(texts: list[str], limit: int = 1 << 22, overlap: int = 0) -> tuple[list[str], np.ndarray]:
+    """Texts above ``limit`` characters in parts, cut at white space where there is some; and which text each part is of.
+
+    Each later part begins ``overlap`` characters before the cut (then moved to white space).
+    """
+    if all(len(t) <= limit for t in texts):
+        return texts, np.arange(len(texts))
+    parts, owner = [], []
+    for k, t in enumerate(texts):
+        at = 0
+        while True:
+            end = at + limit
+            if end < len(t):
+                space = t.rfind(" ", at + limit // 2, end)
+                end = space if space > 0 else end
+            parts.append(t[at:end])
+            owner.append(k)
+            if end >= len(t):
+                break
+            back = t.rfind(" ", at + limit // 2, max(end - overlap, at + 1)) if overlap else end
+            at = back if back > 0 else end
+    return parts, np.array(owner)
+
+
+class Once:
+    """A fixed-size model on the executors: the driver's broadcast, prepared once in each worker."""
+
+    _ready: dict = {}
+
+    def __init__(self, spark: SparkSession, model, prepare=lambda m: m):
+        self.name, self.prepare = uuid.uuid4().hex, prepare
+        self.sent = spark.sparkContext.broadcast(model)
+
+    def get(self):
+        if self.name not in Once._ready:
+            Once._ready.clear()
+            Once._ready[self.name] = self.prepare(self.sent.value)
+        return Once._ready[self.name]

@@ -9,6 +9,9 @@ gives an empty table; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import array
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,41 +22,59 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomsieve.llm.bpe import byte_symbols
 from loomsieve.llm.common import documents, materialise
 
-#: Chunks remembered by a worker before it starts afresh; bounds memory and never changes a result.
-CACHE_CHUNKS = 1_000_000
+#: Chunks remembered by a worker before the older half goes; bounds memory and never changes a result.
+CACHE_CHUNKS = 1_200_000
 
-_LOADED: dict[int, tuple] = {}
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_LOADED: dict[int, _Chunks] = {}
 
 
-def _loaded(content: str):
-    key = hash(content)
-    if key not in _LOADED:
+class _Chunks(dict):
+    """From a chunk of text without spaces and newlines to its ids, made by the library when first asked for."""
+
+    def __init__(self, content: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(content)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        self.whole = Tokenizer.from_str(content)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.model = self.whole.model
+        self.older: dict[str, bytes] = {}
+        self.symbol = {b: s for b, s in enumerate(byte_symbols())}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHE_CHUNKS // 2:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(chunk)
+        if found is None:
+            found = array.array("I", self._ids(chunk)).tobytes()
+        self[chunk] = found
+        return found
+
+    def _ids(self, chunk: str) -> list[int]:
+        """Plain words go to the library's model at once; whatever its normaliser or splitter could change, through all of it."""
+        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
+            return [t.id for word in _ASCII_WORDS.findall(chunk.lower()) for t in self.model.tokenize(word)]
+        if chunk.isalpha() and "\u03a3" not in chunk and unicodedata.is_normalized("NFC", chunk) and (low := chunk.lower()).isalpha():
+            return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.symbol))]
+        return self.whole.encode(chunk, add_special_tokens=False).ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def _loaded(content: str) -> _Chunks:
+    key = hash(content)
+    if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = (tokenizer, {})
+        _LOADED[key] = _Chunks(content)
     return _LOADED[key]
 
 
-def _ids(texts: list[str], tokenizer, known: dict[str, bytes], end: bytes) -> list[bytes]:
-    """Ids of each text. No token of this vocabulary crosses a space or newline, so chunks between them are looked up."""
-    chunks = [t.replace("\n", " ").split(" ") for t in texts]
-    missing = list(set().union(*map(set, chunks)).difference(known)) if chunks else []
-    if len(known) + len(missing) > CACHE_CHUNKS:
-        known.clear()
-        missing = list(set().union(*map(set, chunks)))
-    for begin in range(0, len(missing), 10_000):
-        part = missing[begin : begin + 10_000]
-        for chunk, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-    return [b"".join(map(known.__getitem__, c)) + end for c in chunks]
-
-
 def pieces_of(n: int, longest: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens, in order."""
     full = n // longest
@@ -83,13 +104,13 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = 2048, end_id: int = 1,
     names = ["id", "start", "length", "ids", "doc_tokens", "part", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _loaded(content.value)
+        chunks = _loaded(content.value)
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 some = batch.slice(begin, 500)
                 rows: list[list] = [[], [], [], [], [], []]
-                for k, ids in enumerate(_ids(some.column(1).to_pylist(), tokenizer, known, end)):
+                for k, ids in enumerate(chunks.encode(t) + end for t in some.column(1).to_pylist()):
                     for start, length in pieces_of(len(ids) // 4, longest):
                         for column, value in zip(rows, (k, start, length, ids[4 * start : 4 * (start + length)], len(ids) // 4, seen[length]), strict=True):
                             column.append(value)
@@ -102,7 +123,8 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = 2048, end_id: int = 1,
     pieces = materialise(source.mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, part long, nth long"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    firsts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # Written as well, so that its true size decides whether it is broadcast (a row for each input partition and length).
+    firsts = materialise(counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
     bit = F.round(F.log2("length")).cast("long")
     return pieces.join(firsts, ["length", "part"]).select(
         F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens",
