@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomsieve.llm import bpe, langid, packing, pii, sharding, sketches, toxicity
+from loomsieve.llm import bpe, langid, packing, pii, sharding, sketches, suffixes, toxicity
 
-_MODULES = (langid, packing, sketches, bpe, sharding, toxicity, pii)
+_MODULES = (langid, packing, suffixes, sketches, bpe, sharding, toxicity, pii)
 
 
 def queries() -> dict[str, Callable]:
