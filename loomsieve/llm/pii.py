@@ -191,7 +191,7 @@ def fit(texts: list[str]) -> dict:
     if not truth:
         return model
     rows, y = np.array(features), np.array(truth)
-    links = {"chain": np.array(chain).reshape(-1, 2), "skip": np.array(skip).reshape(-1, 2)}
+    links = {"chain": np.array(chain, dtype=np.int64).reshape(-1, 2), "skip": np.array(skip, dtype=np.int64).reshape(-1, 2)}
     want = np.eye(k)[y]
     square = {name: np.full_like(v, 1e-6) for name, v in model.items()}
     for epoch in range(EPOCHS):
@@ -238,7 +238,7 @@ def added_spans(model: dict, texts: list[str], bases: list[list[tuple[str, int,
     unary = model["unary"][np.array(features)].sum(1)
     taken = np.concatenate([_overlaps(at, bases[k]) for (k, _), at in zip(where, at_of, strict=True)])
     unary[taken > 0] += 20 * np.eye(unary.shape[1])[taken[taken > 0]]  # base matches are observed
-    belief = _propagate(unary, np.array(edges).reshape(-1, 2), both[np.array(kinds, dtype=int)])
+    belief = _propagate(unary, np.array(edges, dtype=np.int64).reshape(-1, 2), both[np.array(kinds, dtype=int)])
     best = belief.argmax(1)
     sure = (belief.max(1) >= SURE) & (best > 0) & (taken == 0)
     for (k, n), at in zip(where, at_of, strict=True):
