@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -158,3 +159,28 @@ class Once:
             Once._ready.clear()
             Once._ready[self.name] = self.prepare(self.sent.value)
         return Once._ready[self.name]
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice handles that are gone: their shuffle files are deleted only when its JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """Connected components of edges (a, b): one row (node, root) per node, root being the least node of its component.
+
+    Every round each node takes the least root among its neighbours' and then that root's own root, so the number of
+    rounds grows with the logarithm of the longest path. Each round is written to the shared folder.
+    """
+    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
+    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
+    for _ in range(rounds):
+        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        moved = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "near").alias("to"))
+        roots = labels.select(F.col("node").alias("to"), F.col("root").alias("above"))
+        after = materialise(moved.join(roots, "to", "left").select("node", F.least("to", F.coalesce("above", "to")).alias("root"), (F.least("to", F.coalesce("above", "to")) < F.col("root")).alias("changed")))
+        labels = after.select("node", "root")
+        if not after.filter("changed").limit(1).count():
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
