@@ -8,8 +8,10 @@ Document frequencies: documents are dealt to bounded batches; a batch sends each
 and packed by hash range; a range answers every batch with the shingles that occur in two documents or more. A document
 whose shared shingles weigh less than the threshold's part of it can't have a partner, which is exact, and goes no further.
 
-Candidates of a band meet their group's least member, not each other; members unlike it meet the next least, until none
-is left, so groups of any size cost as many comparisons as members and distinct kinds. Equal texts are one node.
+Candidates of a band meet one member of their group, not each other; members unlike it meet the next one, until none is
+left, so groups of any size cost as many comparisons as members and distinct kinds. In every other band that member is the
+most central one (the one whose shingles most documents hold, as an original among its copies), elsewhere a member of the
+band's own choice, so a text is compared with several. Equal texts are one node.
 
 Defined results: null texts count as empty; equal texts are always one class, also empty ones; a text of fewer than five
 words is one shingle, one without words resembles nothing else; repeated rows count as documents; an empty table gives an
@@ -170,7 +172,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _sign(ranges: int, total: int, threshold: float):
     """Of one batch: band values and shared weights of the distinct texts that could have a partner."""
-    schema = pa.schema([("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("total", pa.float64()), ("codes", pa.binary()), ("weights", pa.binary())])
+    schema = pa.schema([("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("total", pa.float64()), ("codes", pa.binary()), ("weights", pa.binary()), ("centre", pa.float64())])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
@@ -189,6 +191,7 @@ def _sign(ranges: int, total: int, threshold: float):
         weights = n * idf(np.where(shared, df[at], 1), total)
         whole = np.bincount(owner, weights=weights, minlength=len(keys))
         common = np.bincount(owner, weights=weights * shared, minlength=len(keys))
+        held = np.bincount(owner, weights=weights * np.where(shared, df[at], 1), minlength=len(keys))
         live = (common >= threshold * whole * (1 - 1e-9)) & (whole > 0)
         keep = live[owner]
         owner, codes, weights, shared = owner[keep], codes[keep], weights[keep], shared[keep]
@@ -201,7 +204,7 @@ def _sign(ranges: int, total: int, threshold: float):
         rows = [(np.argsort(s, kind="stable"), s, w) for s, w in ((small[a:b][shared[a:b]], weights[a:b][shared[a:b]].astype("<f4")) for a, b in zip(begins, ends))]
         mine = owner[begins]
         return pa.Table.from_arrays(
-            [pa.array([keys[i] for i in mine.tolist()], pa.binary()), pa.array(bands.tolist(), pa.list_(pa.int64())), pa.array(whole[mine]), pa.array([s[o].astype("<u4").tobytes() for o, s, _ in rows], pa.binary()), pa.array([w[o].tobytes() for o, _, w in rows], pa.binary())],
+            [pa.array([keys[i] for i in mine.tolist()], pa.binary()), pa.array(bands.tolist(), pa.list_(pa.int64())), pa.array(whole[mine]), pa.array([s[o].astype("<u4").tobytes() for o, s, _ in rows], pa.binary()), pa.array([w[o].tobytes() for o, _, w in rows], pa.binary()), pa.array(held[mine] / whole[mine])],
             schema=schema,
         )
 
@@ -232,17 +235,19 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     rows = rows.repartition(max(partitions(spark), 1), "batch")  # once: the answers meet the batches where they are
     sent = rows.mapInArrow(_send(batches), "batch long, span long, low binary, high binary, n binary")
     answers = sent.groupBy("span").applyInArrow(_answer, "batch long, codes binary, df binary")
-    signed = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_sign(batches, total, threshold), "key binary, bands array<long>, total double, codes binary, weights binary")
+    signed = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_sign(batches, total, threshold), "key binary, bands array<long>, total double, codes binary, weights binary, centre double")
     signed = materialise(signed)
     release(spark)
     nodes = materialise(signed.dropDuplicates(["key"]))
-    bands = nodes.select("key", F.posexplode("bands").alias("band", "value"))
+    bands = nodes.select("key", "centre", F.posexplode("bands").alias("band", "value"))
+    # Half of the bands compare with the member whose shingles most documents hold, the others each with another one.
+    rank = F.when(F.col("band") % 2 == 0, -F.col("centre")).otherwise(F.xxhash64("key", "band").cast("double"))
     left = nodes.select(F.col("key").alias("a"), F.col("codes").alias("ca"), F.col("weights").alias("wa"), F.col("total").alias("ta"))
     right = nodes.select(F.col("key").alias("b"), F.col("codes").alias("cb"), F.col("weights").alias("wb"), F.col("total").alias("tb"))
     similarity = F.arrow_udf(_similarity, "double")
     links = None
     while True:
-        groups = bands.groupBy("band", "value").agg(F.min("key").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        groups = bands.groupBy("band", "value").agg(F.min_by("key", F.struct(rank.alias("r"), F.col("key"))).alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
         members = materialise(bands.join(groups, ["band", "value"]).filter("key <> b").withColumnRenamed("key", "a"))
         if members.isEmpty():
             break
@@ -250,7 +255,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
         tested = materialise(tested.select("a", "b", (similarity("ca", "wa", "ta", "cb", "wb", "tb") >= threshold).alias("linked")))
         found = tested.filter("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
-        bands = members.join(tested.filter("not linked").select("a", "b"), ["a", "b"]).select(F.col("a").alias("key"), "band", "value")
+        bands = members.join(tested.filter("not linked").select("a", "b"), ["a", "b"]).select(F.col("a").alias("key"), "centre", "band", "value")
     ids = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key")).groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("ids"))
     if links is None:
         return ids.withColumn("class_id", F.col("least_id"))
