@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomsieve.llm import bpe, langid, neardup, packing, pii, sharding, sketches, suffixes, toxicity
+from loomsieve.llm import bpe, langid, neardup, packing, pii, sharding, sketches, suffixes, toxicity, vectors
 
-_MODULES = (neardup, langid, packing, suffixes, sketches, bpe, sharding, toxicity, pii)
+_MODULES = (neardup, langid, packing, suffixes, sketches, bpe, sharding, toxicity, vectors, pii)
 
 
 def queries() -> dict[str, Callable]:
