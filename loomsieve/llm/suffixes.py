@@ -331,14 +331,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """All columns of ``docs`` in a struct ``row``, with n_bytes, ``kept`` (remaining bytes), n_removed and n_spans."""
+    """All columns of ``docs`` but the text in a struct ``row``, with missing (the text was null), n_bytes, ``kept`` (remaining bytes), n_removed and n_spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rid = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text)))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.encode(text, "UTF-8").alias("data"), rid.alias("rid"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(text_col).isNull().alias("missing"), F.encode(text, "UTF-8").alias("data"), rid.alias("rid"))
     spans = repeated_spans(rows.select("rid", "data"), length, **limits)
-    joined = rows.join(spans, "rid", "left").select("row", F.octet_length("data").cast("long").alias("n_bytes"), "data", "spans")
+    joined = rows.join(spans, "rid", "left").select("row", "missing", F.octet_length("data").cast("long").alias("n_bytes"), "data", "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_remove, f"row {kind}, n_bytes long, kept binary, n_removed long, n_spans long")
+    return joined.mapInArrow(_remove, f"row {kind}, missing boolean, n_bytes long, kept binary, n_removed long, n_spans long")
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
