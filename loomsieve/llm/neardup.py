@@ -8,10 +8,10 @@ Document frequencies: documents are dealt to bounded batches; a batch sends each
 and packed by hash range; a range answers every batch with the shingles that occur in two documents or more. A document
 whose shared shingles weigh less than the threshold's part of it can't have a partner, which is exact, and goes no further.
 
-Candidates of a band meet one member of their group, not each other; members unlike it meet the next one, until none is
-left, so groups of any size cost as many comparisons as members and distinct kinds. In every other band that member is the
-most central one (the one whose shingles most documents hold, as an original among its copies), elsewhere a member of the
-band's own choice, so a text is compared with several. Equal texts are one node.
+Candidates of a band meet one member of their group, not each other: in every other band the most central one (whose
+shingles most documents hold, as an original among its copies), elsewhere one of the band's own choice. Where that leaves
+documents that share bands in several parts, all but the largest part's are compared with the others in bounded blocks
+that give links only. Equal texts are one node throughout.
 
 Defined results: null texts count as empty; equal texts are always one class, also empty ones; a text of fewer than five
 words is one shingle, one without words resembles nothing else; repeated rows count as documents; an empty table gives an
@@ -31,6 +31,9 @@ SHINGLE_WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
 #: UTF-8 bytes of a batch's texts and of a hash range's share, about.
 BATCH_BYTES = 6 << 20
 
+#: Documents of a block that ask, and that are asked.
+ASKING, ASKED = 128, 512
+
 _LOW = np.uint64((1 << 40) - 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -172,7 +175,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _sign(ranges: int, total: int, threshold: float):
     """Of one batch: band values and shared weights of the distinct texts that could have a partner."""
-    schema = pa.schema([("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("total", pa.float64()), ("codes", pa.binary()), ("weights", pa.binary()), ("centre", pa.float64())])
+    schema = pa.schema([("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("total", pa.float64()), ("codes", pa.binary()), ("counts", pa.binary()), ("idfs", pa.binary()), ("centre", pa.float64())])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
@@ -188,40 +191,113 @@ def _sign(ranges: int, total: int, threshold: float):
             return schema.empty_table()
         at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
         shared = known[at] == codes
-        weights = n * idf(np.where(shared, df[at], 1), total)
+        scale = idf(np.where(shared, df[at], 1), total).astype("<f4").astype(np.float64)
+        weights = n * scale
         whole = np.bincount(owner, weights=weights, minlength=len(keys))
         common = np.bincount(owner, weights=weights * shared, minlength=len(keys))
         held = np.bincount(owner, weights=weights * np.where(shared, df[at], 1), minlength=len(keys))
         live = (common >= threshold * whole * (1 - 1e-9)) & (whole > 0)
         keep = live[owner]
-        owner, codes, weights, shared = owner[keep], codes[keep], weights[keep], shared[keep]
+        owner, codes, weights, shared, n, scale = owner[keep], codes[keep], weights[keep], shared[keep], n[keep], scale[keep]
         if not len(codes):
             return schema.empty_table()
         begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         bands = signature(codes, weights, begins)
         ends = np.concatenate([begins[1:], [len(codes)]])
-        small = mix(codes).astype(np.uint32)
-        rows = [(np.argsort(s, kind="stable"), s, w) for s, w in ((small[a:b][shared[a:b]], weights[a:b][shared[a:b]].astype("<f4")) for a, b in zip(begins, ends))]
+        small = mix(codes).astype("<u4")
+        packed: list[list[bytes]] = [[], [], []]
+        for x, y in zip(begins, ends, strict=True):
+            own = np.flatnonzero(shared[x:y]) + x
+            own = own[np.argsort(small[own], kind="stable")]
+            for out, values in zip(packed, (small[own], n[own].astype("<u4"), scale[own].astype("<f4")), strict=True):
+                out.append(values.tobytes())
         mine = owner[begins]
         return pa.Table.from_arrays(
-            [pa.array([keys[i] for i in mine.tolist()], pa.binary()), pa.array(bands.tolist(), pa.list_(pa.int64())), pa.array(whole[mine]), pa.array([s[o].astype("<u4").tobytes() for o, s, _ in rows], pa.binary()), pa.array([w[o].tobytes() for o, _, w in rows], pa.binary()), pa.array(held[mine] / whole[mine])],
+            [pa.array([keys[i] for i in mine.tolist()], pa.binary()), pa.array(bands.tolist(), pa.list_(pa.int64())), pa.array(whole[mine]), *(pa.array(x, pa.binary()) for x in packed), pa.array(held[mine] / whole[mine])],
             schema=schema,
         )
 
     return run
 
 
-def _similarity(codes_a: pa.Array, weights_a: pa.Array, total_a: pa.Array, codes_b: pa.Array, weights_b: pa.Array, total_b: pa.Array) -> pa.Array:
+def _similarity(codes_a: pa.Array, counts_a: pa.Array, idfs_a: pa.Array, total_a: pa.Array, codes_b: pa.Array, counts_b: pa.Array, total_b: pa.Array) -> pa.Array:
     """Weighted Jaccard similarity; shingles that only one document of the corpus holds are in the totals alone."""
     out = []
-    for ca, wa, ta, cb, wb, tb in zip(*(x.to_pylist() for x in (codes_a, weights_a, total_a, codes_b, weights_b, total_b)), strict=True):
-        ca, cb = np.frombuffer(ca, "<u4"), np.frombuffer(cb, "<u4")
-        _, ia, ib = np.intersect1d(ca, cb, return_indices=True)
-        both = float(np.minimum(np.frombuffer(wa, "<f4")[ia], np.frombuffer(wb, "<f4")[ib]).astype(np.float64).sum())
+    for ca, na, wa, ta, cb, nb, tb in zip(*(x.to_pylist() for x in (codes_a, counts_a, idfs_a, total_a, codes_b, counts_b, total_b)), strict=True):
+        _, ia, ib = np.intersect1d(np.frombuffer(ca, "<u4"), np.frombuffer(cb, "<u4"), return_indices=True)
+        both = float((np.minimum(np.frombuffer(na, "<u4")[ia], np.frombuffer(nb, "<u4")[ib]) * np.frombuffer(wa, "<f4")[ia].astype(np.float64)).sum())
         out.append(both / max(ta + tb - both, 1e-12))
     return pa.array(out, pa.float64())
 
 
+def _elements(code: bytes, count: bytes, scale: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A document as a set: its k-th occurrence of a shingle is an element, so a sum over common elements is one of minima."""
+    codes, counts = np.frombuffer(code, "<u4").astype(np.uint64), np.frombuffer(count, "<u4").astype(np.int64)
+    level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(codes, counts) + (level.astype(np.uint64) << np.uint64(32))), np.repeat(np.frombuffer(scale, "<f4").astype(np.float64), counts)
+
+
+def _cross(threshold: float):
+    """Links between the asking and the other documents of one block, by products of slices of their incidence matrices."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        key, total = table.column("key").to_pylist(), table.column("total").to_numpy()
+        sets = [_elements(*x) for x in zip(*(table.column(c).to_pylist() for c in ("codes", "counts", "idfs")), strict=True)]
+        sides = [np.flatnonzero(asks), np.flatnonzero(~asks)]
+        if not len(sides[0]) or not len(sides[1]):
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        words = np.unique(np.concatenate([sets[i][0] for i in sides[0]]))
+        flat = []
+        for side in sides:
+            row = np.repeat(np.arange(len(side)), [len(sets[i][0]) for i in side])
+            e, w = np.concatenate([sets[i][0] for i in side]), np.concatenate([sets[i][1] for i in side])
+            at = np.minimum(np.searchsorted(words, e), max(len(words) - 1, 0))
+            known = words[at] == e if len(words) else np.zeros(len(e), bool)
+            order = np.argsort(at[known], kind="stable")
+            flat.append((at[known][order], row[known][order], np.sqrt(w[known][order])))
+        both = np.zeros((len(sides[0]), len(sides[1])))
+        for begin in range(0, len(words), 4096):
+            part = []
+            for (at, row, w), side in zip(flat, sides, strict=True):
+                x, y = np.searchsorted(at, (begin, begin + 4096))
+                m = np.zeros((len(side), 4096))
+                m[row[x:y], at[x:y] - begin] = w[x:y]
+                part.append(m)
+            both += part[0] @ part[1].T
+        similar = both / np.maximum(total[sides[0]][:, None] + total[sides[1]][None, :] - both, 1e-12)
+        i, j = np.nonzero(similar >= threshold - 1e-12)
+        found = [(key[sides[0][x]], key[sides[1][y]]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if key[sides[0][x]] != key[sides[1][y]]]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    return run
+
+
+def _remaining(nodes: DataFrame, met: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """Links that comparisons with representatives can't have found.
+
+    Documents that share bands, directly or through others, are a neighbourhood. Where its links so far leave it in
+    several parts, all but the largest part's documents are compared with the whole neighbourhood, in blocks.
+    """
+    areas = components(met)
+    joined_ = components(links)
+    parts = materialise(areas.withColumnRenamed("root", "area").join(joined_, "node", "left").select("node", "area", F.coalesce("root", "node").alias("part")))
+    sizes = parts.groupBy("area", "part").agg(F.count("*").alias("n"))
+    areas = sizes.groupBy("area").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).filter("size > most")
+    open_ = parts.join(areas, "area").withColumn("asks", F.col("part") != F.col("main")).withColumn("others", F.col("size") - F.col("most"))
+    open_ = materialise(open_.select(F.col("node").alias("key"), "area", "asks", "size", "others"))
+    if open_.isEmpty():
+        return links
+    rows, columns = F.ceil(F.col("others") / ASKING).cast("int"), F.ceil(F.col("size") / ASKED).cast("int")
+    loaded = open_.join(nodes.select("key", "total", "codes", "counts", "idfs"), "key")
+    payload = ["area", "key", "total", "codes", "counts", "idfs"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking = loaded.filter("asks").select(*payload, F.pmod(F.xxhash64("key"), rows).cast("int").alias("i"), every(columns).alias("j"), F.lit(True).alias("asks"))
+    asked = loaded.select(*payload, F.pmod(F.xxhash64("key"), columns).cast("int").alias("j"), every(rows).alias("i"), F.lit(False).alias("asks"))
+    more = asking.unionByName(asked).groupBy("area", "i", "j").applyInArrow(_cross(threshold), "a binary, b binary")
+    return materialise(links.unionByName(more))
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct text: key (binary identity), ids (rows that have it), least_id and class_id.
 
@@ -235,30 +311,21 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     rows = rows.repartition(max(partitions(spark), 1), "batch")  # once: the answers meet the batches where they are
     sent = rows.mapInArrow(_send(batches), "batch long, span long, low binary, high binary, n binary")
     answers = sent.groupBy("span").applyInArrow(_answer, "batch long, codes binary, df binary")
-    signed = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_sign(batches, total, threshold), "key binary, bands array<long>, total double, codes binary, weights binary, centre double")
+    signed = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_sign(batches, total, threshold), "key binary, bands array<long>, total double, codes binary, counts binary, idfs binary, centre double")
     signed = materialise(signed)
     release(spark)
     nodes = materialise(signed.dropDuplicates(["key"]))
     bands = nodes.select("key", "centre", F.posexplode("bands").alias("band", "value"))
     # Half of the bands compare with the member whose shingles most documents hold, the others each with another one.
     rank = F.when(F.col("band") % 2 == 0, -F.col("centre")).otherwise(F.xxhash64("key", "band").cast("double"))
-    left = nodes.select(F.col("key").alias("a"), F.col("codes").alias("ca"), F.col("weights").alias("wa"), F.col("total").alias("ta"))
-    right = nodes.select(F.col("key").alias("b"), F.col("codes").alias("cb"), F.col("weights").alias("wb"), F.col("total").alias("tb"))
-    similarity = F.arrow_udf(_similarity, "double")
-    links = None
-    while True:
-        groups = bands.groupBy("band", "value").agg(F.min_by("key", F.struct(rank.alias("r"), F.col("key"))).alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        members = materialise(bands.join(groups, ["band", "value"]).filter("key <> b").withColumnRenamed("key", "a"))
-        if members.isEmpty():
-            break
-        tested = members.select("a", "b").distinct().join(left, "a").join(right, "b")
-        tested = materialise(tested.select("a", "b", (similarity("ca", "wa", "ta", "cb", "wb", "tb") >= threshold).alias("linked")))
-        found = tested.filter("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        bands = members.join(tested.filter("not linked").select("a", "b"), ["a", "b"]).select(F.col("a").alias("key"), "centre", "band", "value")
+    groups = bands.groupBy("band", "value").agg(F.min_by("key", F.struct(rank.alias("r"), F.col("key"))).alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = materialise(bands.join(groups, ["band", "value"]).filter("key <> b").select(F.col("key").alias("a"), "b").distinct())
+    left = nodes.select(F.col("key").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("codes", "counts", "idfs", "total")))
+    right = nodes.select(F.col("key").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("codes", "counts", "total")))
+    similarity = F.arrow_udf(_similarity, "double")("codes_a", "counts_a", "idfs_a", "total_a", "codes_b", "counts_b", "total_b")
+    links = materialise(met.join(left, "a").join(right, "b").filter(similarity >= threshold).select("a", "b"))
+    links = _remaining(nodes, met, links, threshold)
     ids = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key")).groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("ids"))
-    if links is None:
-        return ids.withColumn("class_id", F.col("least_id"))
     ids = materialise(ids)
     roots = components(links)
     placed = ids.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
