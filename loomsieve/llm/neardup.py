@@ -20,12 +20,14 @@ empty table; other columns stay as they are. The class of a document is the leas
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import SPACE_BYTE, components, documents, joined, materialise, mix, partitions, release, spans_of, text_key, word_hashes
+from loomsieve.llm.common import SPACE_BYTE, blocks, components, documents, joined, materialise, mix, partitions, release, spans_of, text_key, word_hashes
 
 SHINGLE_WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
 #: UTF-8 bytes of a batch's texts and of a hash range's share, about.
@@ -34,6 +36,8 @@ BATCH_BYTES = 6 << 20
 #: Documents of a block that ask, and that are asked.
 ASKING, ASKED = 128, 512
 
+_SPACES = re.compile(r"[\t\n\v\f\r ]")
+_LAST_WORD = re.compile(r"[^\t\n\v\f\r ]+[\t\n\v\f\r ]*$")
 _LOW = np.uint64((1 << 40) - 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -71,10 +75,35 @@ def coded(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(ranges) << np.uint64(40)) | (hashes & _LOW)
 
 
-def counted(texts: list[str], ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: owner (ascending), code and count."""
-    hashes, owner = shingles(texts)
-    codes = coded(hashes, ranges)
+def _parts(text: str, limit: int, width: int) -> list[str]:
+    """A long text in parts, cut at white space; each later part begins ``width - 1`` words before the cut, so that every
+    shingle lies in exactly one part."""
+    text = text.rstrip()
+    out, at = [], 0
+    while len(text) - at > limit and (space := _SPACES.search(text, at + limit)):
+        end = space.start()
+        out.append(text[at:end])
+        back = end
+        for _ in range(width - 1):
+            word = _LAST_WORD.search(text, max(at, back - limit // 8), back)
+            back = word.start() if word else back
+        at = back
+    return [*out, text[at:]]
+
+
+def counted(texts: list[str], ranges: int, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text: owner (ascending), code and count. Memory beside the result is bounded."""
+    parts, owners = [], []
+    for k, t in enumerate(texts):
+        own = _parts(t, 1 << 20, width) if len(t) > 1 << 20 else [t]
+        parts += own
+        owners += [k] * len(own)
+    all_codes, all_owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for begin, end in blocks(parts, 1 << 19):
+        hashes, owner = shingles(parts[begin:end], width)
+        all_codes.append(coded(hashes, ranges))
+        all_owners.append(np.array(owners[begin:end], dtype=np.int64)[owner])
+    codes, owner = np.concatenate(all_codes), np.concatenate(all_owners)
     order = np.lexsort((codes, owner))
     codes, owner = codes[order], owner[order]
     new = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])])) if len(codes) else np.zeros(0, int)
