@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomsieve.plans import screening
+from loomsieve.plans import evaluation, events, records, screening, texts
 
-_FAMILIES = (screening,)
+_FAMILIES = (screening, records, evaluation, texts, events)
 
 
 def queries() -> dict[str, Callable]:
