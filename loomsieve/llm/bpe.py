@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import documents
+from loomsieve.llm.common import WORKER_CACHES, documents, worker_serves
 
 #: Pieces remembered by a worker before it starts afresh; bounds memory and never changes a result.
 CACHE_PIECES = 1_000_000
@@ -127,6 +127,8 @@ _LOADED: dict[str, ByteBpe] = {}
 
 
 def _loaded(content: str) -> ByteBpe:
+    worker_serves("bpe")
+    WORKER_CACHES["bpe"] = _LOADED.clear
     key = f"{len(content)}-{hash(content)}"
     if key not in _LOADED:
         _LOADED.clear()

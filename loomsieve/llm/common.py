@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,6 +146,16 @@ def cut_long(texts: list[str], limit: int = 1 << 22, overlap: int = 0) -> tuple[
     return parts, np.array(owner)
 
 
+#: What operators remember in a worker process, by operator: how to forget it.
+WORKER_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def worker_serves(operator: str) -> None:
+    """Called where an operator's task begins: a reused worker forgets what other operators remembered in it."""
+    for other in [o for o in WORKER_CACHES if o != operator]:
+        WORKER_CACHES.pop(other)()
+
+
 class Once:
     """A fixed-size model on the executors: the driver's broadcast, prepared once in each worker."""
 
@@ -155,9 +166,11 @@ class Once:
         self.sent = spark.sparkContext.broadcast(model)
 
     def get(self):
+        worker_serves(self.name)
         if self.name not in Once._ready:
             Once._ready.clear()
             Once._ready[self.name] = self.prepare(self.sent.value)
+            WORKER_CACHES[self.name] = Once._ready.clear
         return Once._ready[self.name]
 
 

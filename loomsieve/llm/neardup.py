@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import SPACE_BYTE, blocks, components, documents, joined, materialise, mix, partitions, release, spans_of, text_key, word_hashes
+from loomsieve.llm.common import SPACE_BYTE, blocks, components, documents, joined, materialise, mix, partitions, release, spans_of, text_key, word_hashes, worker_serves
 
 SHINGLE_WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
 #: UTF-8 bytes of a batch's texts and of a hash range's share, about.
@@ -162,6 +162,7 @@ def _send(ranges: int):
                 [pa.array(place[cut]), pa.array(span[cut]), *(pa.array([x[i] for x in blobs], pa.binary()) for i in range(3))], ["batch", "span", "low", "high", "n"]
             )
 
+        worker_serves("neardup")
         # A batch is sent whole where it fits a few buffers; parts of it would be added up all the same.
         ids, texts, size = [], [], 0
         for table in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomsieve.llm.bpe import byte_symbols
-from loomsieve.llm.common import documents, materialise
+from loomsieve.llm.common import WORKER_CACHES, documents, materialise, worker_serves
 
 #: Chunks remembered by a worker before the older half goes; bounds memory and never changes a result.
 CACHE_CHUNKS = 1_200_000
@@ -68,6 +68,8 @@ class _Chunks(dict):
 
 
 def _loaded(content: str) -> _Chunks:
+    worker_serves("packing")
+    WORKER_CACHES["packing"] = _LOADED.clear
     key = hash(content)
     if key not in _LOADED:
         _LOADED.clear()

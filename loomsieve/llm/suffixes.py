@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import documents, materialise, mix
+from loomsieve.llm.common import WORKER_CACHES, documents, materialise, mix, worker_serves
 
 LENGTH = 400
 #: Bytes of the strings whose hashes pick the anchors.
@@ -43,6 +43,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             values = np.full(size, base, dtype=np.uint64)
             values[0] = 1
             _POWERS[name] = np.multiply.accumulate(values)
+        WORKER_CACHES["suffixes"] = _POWERS.clear
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
@@ -105,6 +106,7 @@ def _find_segments(length: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_serves("suffixes")
         for batch in batches:
             rids, shifts, parts, size = [], [], [], 0
             for rid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -228,6 +230,7 @@ def _expand_bundle(length: int):
     loose_type = pa.list_(pa.struct([("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32())]))
 
     def run(table: pa.Table) -> pa.Table:
+        worker_serves("suffixes")
         pieces = table.column("bytes").to_pylist()
         crowded = table.column("crowded").to_pylist()
         repeated, head, begins = repeated_starts(pieces, length)
