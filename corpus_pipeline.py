@@ -38,21 +38,12 @@ def suffixes_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A text that is repeated altogether becomes empty; its row stays.
     """
-    out = suffixes.remove_repeats(docs)
-    text = F.when(F.col("missing"), F.lit(None)).when(F.col("n_removed") > 0, _readable(F.col("kept"))).otherwise(F.decode("kept", "UTF-8"))
+    out = suffixes.remove_repeats(docs, as_text=True)
+    text = F.when(~F.col("missing"), F.col("kept"))
     fields = [F.col(f"row.`{c}`").alias(c) if c != "text" else text.alias(c) for c in docs.columns]
     return _counted(out.select(*fields))
 
 
-def _readable(kept):
-    def run(batch):
-        import pyarrow as pa
-
-        return pa.array([b.decode("utf-8", "ignore") for b in batch.to_pylist()], pa.string())
-
-    return F.arrow_udf(run, "string")(kept)
-
-
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind, as in <email>."""
     return _counted(pii.redact(docs, pii.train(docs)))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +156,16 @@ def worker_serves(operator: str) -> None:
     """Called where an operator's task begins: a reused worker forgets what other operators remembered in it."""
     for other in [o for o in WORKER_CACHES if o != operator]:
         WORKER_CACHES.pop(other)()
+        trim()
+
+
+def trim() -> None:
+    """Give memory that a worker no longer uses back to the system: reused workers stay, and idle ones would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
 
 
 class Once:

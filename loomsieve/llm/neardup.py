@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import SPACE_BYTE, blocks, components, documents, joined, materialise, mix, partitions, release, spans_of, text_key, word_hashes, worker_serves
+from loomsieve.llm.common import SPACE_BYTE, blocks, components, documents, joined, materialise, mix, partitions, release, spans_of, text_key, trim, word_hashes, worker_serves
 
 SHINGLE_WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
 #: UTF-8 bytes of a batch's texts and of a hash range's share, about.
@@ -175,6 +175,8 @@ def _send(ranges: int):
                 size += len(t)
         if ids:
             yield flush(ids, texts)
+        del ids, texts
+        trim()
 
     return run
 
@@ -208,6 +210,7 @@ def _sign(ranges: int, total: int, threshold: float):
     schema = pa.schema([("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("total", pa.float64()), ("codes", pa.binary()), ("counts", pa.binary()), ("idfs", pa.binary()), ("centre", pa.float64())])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()  # of the batch before
         if not docs.num_rows or not answers.num_rows:
             return schema.empty_table()
         known = np.concatenate([np.frombuffer(x, dtype="<u8") for x in answers.column("codes").to_pylist()])

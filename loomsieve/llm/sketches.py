@@ -34,7 +34,7 @@ def _shingles(words: Column, width: int) -> Column:
 
 def _kept(hashes: Column, scale: int) -> Column:
     limit = -(1 << 63) + (1 << 64) // scale
-    low = F.filter(hashes, lambda h: h < F.lit(limit))
+    low = F.filter(hashes, lambda h: h <= F.lit(limit - 1))
     least = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes)
     return F.array_sort(F.array_distinct(F.when(F.size(low) > 0, low).otherwise(least)))
 

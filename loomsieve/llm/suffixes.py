@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import WORKER_CACHES, documents, materialise, mix, worker_serves
+from loomsieve.llm.common import WORKER_CACHES, documents, materialise, mix, trim, worker_serves
 
 LENGTH = 400
 #: Bytes of the strings whose hashes pick the anchors.
@@ -121,6 +121,7 @@ def _find_segments(length: int):
                     size += len(part)
             if parts:
                 yield emit(rids, shifts, parts)
+        trim()
 
     return run
 
@@ -231,6 +232,7 @@ def _expand_bundle(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         worker_serves("suffixes")
+        trim()  # of the bundle before
         pieces = table.column("bytes").to_pylist()
         crowded = table.column("crowded").to_pylist()
         repeated, head, begins = repeated_starts(pieces, length)
@@ -309,7 +311,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, bu
     return whole.unionByName(some).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, removed, runs = [], [], []
         for data, spans in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist(), strict=True):
@@ -324,24 +326,26 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     gone += b - at
                 at = max(at, b)
             out.append(data[at:])
-            kept.append(b"".join(out))
+            left = b"".join(out)
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
             removed.append(gone)
             runs.append(n)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
+            [*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
             [*batch.schema.names[:-2], "kept", "n_removed", "n_spans"],
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """All columns of ``docs`` but the text in a struct ``row``, with missing (the text was null), n_bytes, ``kept`` (remaining bytes), n_removed and n_spans."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, **limits) -> DataFrame:
+    """All columns of ``docs`` but the text in a struct ``row``, with missing (the text was null), n_bytes, ``kept`` (remaining bytes; with ``as_text`` their
+    text, in which a character that a removed span cuts in two goes as a whole), n_removed and n_spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rid = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text)))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(text_col).isNull().alias("missing"), F.encode(text, "UTF-8").alias("data"), rid.alias("rid"))
     spans = repeated_spans(rows.select("rid", "data"), length, **limits)
     joined = rows.join(spans, "rid", "left").select("row", "missing", F.octet_length("data").cast("long").alias("n_bytes"), "data", "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_remove, f"row {kind}, missing boolean, n_bytes long, kept binary, n_removed long, n_spans long")
+    return joined.mapInArrow(lambda batches: _remove(batches, as_text), f"row {kind}, missing boolean, n_bytes long, kept {'string' if as_text else 'binary'}, n_removed long, n_spans long")
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
