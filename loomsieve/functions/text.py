@@ -160,3 +160,21 @@ def surname(author: Column) -> Column:
     """Before a comma, else the last word."""
     a = squeeze(author)
     return F.when(a.contains(","), F.trim(F.substring_index(a, ",", 1))).otherwise(F.substring_index(a, " ", -1))
+
+
+def meta_tags(html: Column) -> Column:
+    """map<name, array<content>> of a page's meta tags, in order of appearance; names and contents squeezed."""
+    pattern = F.lit(r'(?is)<meta[^>]+(?:name|property)="([^"]+)"[^>]+content="([^"]*)"')
+    pairs = F.arrays_zip(F.regexp_extract_all(html, pattern, 1).alias("k"), F.regexp_extract_all(html, pattern, 2).alias("v"))
+    clean = F.transform(pairs, lambda p: F.struct(squeeze(p["k"]).alias("k"), stripped_tags(p["v"]).alias("v")))
+    names = F.array_distinct(F.filter(F.transform(clean, lambda p: p["k"]), lambda k: k != ""))
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.transform(F.filter(clean, lambda p: p["k"] == n), lambda p: p["v"]))))
+
+
+def page_abstract(html: Column, least: int = 30) -> Column:
+    """The first long enough description of a page: a meta tag's, else an element marked as the abstract."""
+    tags = meta_tags(html)
+    named = [F.get(F.try_element_at(tags, F.lit(n)), F.lit(0)) for n in ("citation_abstract", "og:description", "description", "dc.description", "dc.description.abstract")]
+    marked = [stripped_tags(F.regexp_extract(html, p, 1)) for p in (r'(?is)<(?:section|div)[^>]*id="abstract"[^>]*>(.*?)</(?:section|div)>', r'(?is)<(?:section|div)[^>]*class="[^"]*abstract[^"]*"[^>]*>(.*?)</(?:section|div)>')]
+    fit = [F.when((F.length(c) >= least) & ~F.lower(c).startswith("no abstract"), c) for c in (*named, *marked)]
+    return F.coalesce(*fit)

@@ -107,3 +107,34 @@ def wildcard_rules(df: DataFrame, rules: DataFrame, columns: list[str], order: s
     ids = df.withColumn("__row", F.struct(*df.columns))
     hit = ids.join(F.broadcast(r), match, "left")
     return hit.groupBy("__row").agg(F.min_by(value, order).alias(value)).select("__row.*", value)
+
+
+def best_ratio(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, high: float = 0.95) -> DataFrame:
+    """The most alike title by longest matching blocks: an equal normalized title that is unique first (1.0, exact).
+
+    Pairs that can't reach ``least`` aren't compared: they share no word of three letters, or their lengths differ too
+    much for the ratio 2 * matches / (sum of lengths). (left id, right id, score, confidence).
+    """
+    norm = lambda df, i, p: df.select(F.col(i).alias(f"{p}_id"), text.normalized_title(F.col(title)).alias(f"{p}_title"))
+    a, b = norm(left, left_id, "l"), norm(right, right_id, "r")
+    exact = a.join(unique_index(b, "r_title", "r_id"), F.col("l_title") == F.col("r_title")).select("l_id", "r_id", F.lit(1.0).alias("score"))
+    rest = a.join(exact.select("l_id"), "l_id", "left_anti")
+    words = lambda df, p: df.select(f"{p}_id", F.explode(text.tokens(F.col(f"{p}_title"), 3)).alias("w"))
+    pairs = words(rest, "l").join(words(b, "r"), "w").select("l_id", "r_id").distinct().join(a, "l_id").join(b, "r_id")
+    n, m = F.length("l_title"), F.length("r_title")
+    pairs = pairs.filter(2 * F.least(n, m) >= least * (n + m))
+    scored = pairs.select("l_id", "r_id", _ratio()("l_title", "r_title").alias("score")).filter(F.col("score") >= least)
+    best = scored.groupBy("l_id").agg(F.max_by(F.struct("r_id", "score"), F.struct("score", (-F.col("r_id")).alias("o"))).alias("m")).select("l_id", "m.*")
+    out = exact.unionByName(best)
+    return out.select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "score", F.when(F.col("score") == 1.0, "exact").when(F.col("score") >= high, "high").otherwise("medium").alias("confidence"))
+
+
+def _ratio():
+    def run(a, b):
+        import difflib
+
+        import pyarrow as pa
+
+        return pa.array([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+    return F.arrow_udf(run, "double")

@@ -59,3 +59,20 @@ def diversified(df: DataFrame, id_col: str, text_col: str, cues: dict[str, int],
 
     kind = df.schema[id_col].dataType.simpleString()
     return scored.groupBy("id").applyInPandas(pick, f"{id_col} {kind}, line_no int, score int, rank int")
+
+
+def latex_items(df: DataFrame, id_col: str, text_col: str, section: str) -> DataFrame:
+    """Items of the first enumeration after a section's heading: (id, item_no from 1, item). Texts without one give none."""
+    import re as _re
+
+    body = F.regexp_extract(text_col, r"(?s)\\section\{\s*" + _re.escape(section) + r"\s*\}.*?\\begin\{enumerate\}[^\n]*\n(.*?)\\end\{enumerate\}", 1)
+    parts = F.slice(F.split(body, r"(?m)^\s*\\item"), 2, 1_000_000_000)
+    return df.select(id_col, F.posexplode(parts).alias("item_no", "item")).select(id_col, (F.col("item_no") + 1).alias("item_no"), F.trim(F.regexp_replace("item", r"\s+", " ")).alias("item"))
+
+
+def item_title(item: Column) -> Column:
+    """struct(title, mode): what stands in quotes, else the second sentence."""
+    quoted = F.regexp_extract(item, "[“\"]([^”\"]+)[”\"]", 1)
+    second = F.trim(F.get(F.filter(F.split(item, r"\.\s+"), lambda p: F.trim(p) != ""), F.lit(1)))
+    second = F.regexp_replace(second, r"[ .]+$", "")
+    return F.when(quoted != "", F.struct(F.trim(quoted).alias("title"), F.lit("quoted").alias("mode"))).when(second.isNotNull(), F.struct(second.alias("title"), F.lit("unquoted").alias("mode"))).otherwise(F.struct(F.lit(None).cast("string").alias("title"), F.lit("none").alias("mode")))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomsieve.plans import evaluation, events, records, screening, texts
+from loomsieve.plans import evaluation, events, records, screening, sources, texts
 
-_FAMILIES = (screening, records, evaluation, texts, events)
+_FAMILIES = (screening, records, evaluation, texts, events, sources)
 
 
 def queries() -> dict[str, Callable]:
