@@ -10,6 +10,8 @@ rows with equal ids follow each other by text, null ids come first; an empty tab
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +71,8 @@ def as_string(sketch: Column) -> Column:
 
 
 def with_next(df: DataFrame, order_col: str, columns: list[str], tie: str) -> DataFrame:
-    """Add ``next_<c>``: column c of the following row in ascending order, the first row's after the last.
+    """Add ``next_<c>``: column c of the following row in ascending order, the first row's after the last. The order
+    column is numeric.
 
     Rows are cut into ranges of the order column at approximate quantiles; each range also gets the first row of the next
     one, so every range is a bounded window and no task orders the whole table.
@@ -94,7 +97,7 @@ def with_next(df: DataFrame, order_col: str, columns: list[str], tie: str) -> Da
 
 def _position(cuts: list[float], value: Column) -> Column:
     """How many of the sorted cuts are <= value (0 for null), by halving."""
-    table = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    table = F.from_json(F.lit(json.dumps(cuts)), "array<double>")  # folded to one literal when the query is planned
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, len(cuts)).bit_length()))))
     return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(table, low + step - 1) <= value, low + step).otherwise(low))
 
