@@ -15,6 +15,10 @@ from loomsieve.llm import neardup, packing, pii, suffixes, toxicity
 from loomsieve.llm.common import documents, materialise
 
 
+#: Repeated strings of so many bytes go: fifty words of prose are seldom shorter, in any of the four languages.
+PASSAGE_BYTES = 200
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars made to agree with the text, where there is such a column."""
     if "n_chars" not in docs.columns:
@@ -34,11 +38,11 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffixes_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 400 bytes or more that occur again; a character cut in two goes as a whole.
+    """Texts without the strings of PASSAGE_BYTES bytes or more that occur again, as passages of over fifty words do; a character cut in two goes as a whole.
 
     A text that is repeated altogether becomes empty; its row stays.
     """
-    out = suffixes.remove_repeats(docs, as_text=True)
+    out = suffixes.remove_repeats(docs, PASSAGE_BYTES, as_text=True)
     text = F.when(~F.col("missing"), F.col("kept"))
     fields = [F.col(f"row.`{c}`").alias(c) if c != "text" else text.alias(c) for c in docs.columns]
     return _counted(out.select(*fields))
