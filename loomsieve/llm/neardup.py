@@ -317,6 +317,7 @@ def _remaining(nodes: DataFrame, met: DataFrame, links: DataFrame, threshold: fl
     parts = materialise(areas.withColumnRenamed("root", "area").join(joined_, "node", "left").select("node", "area", F.coalesce("root", "node").alias("part")))
     sizes = parts.groupBy("area", "part").agg(F.count("*").alias("n"))
     areas = sizes.groupBy("area").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).filter("size > most")
+    areas = materialise(areas)  # so that the join below reads exchanges only, and adaptive execution can split an area
     open_ = parts.join(areas, "area").withColumn("asks", F.col("part") != F.col("main")).withColumn("others", F.col("size") - F.col("most"))
     open_ = materialise(open_.select(F.col("node").alias("key"), "area", "asks", "size", "others"))
     if open_.isEmpty():
@@ -362,7 +363,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     ids = materialise(ids)
     roots = components(links)
     placed = ids.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classes = placed.groupBy("root").agg(F.min("least_id").alias("class_id"))
+    placed = materialise(placed)
+    classes = materialise(placed.groupBy("root").agg(F.min("least_id").alias("class_id")))
     return placed.join(classes, "root").select("key", "ids", "least_id", "class_id")
 
 
