@@ -281,11 +281,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, bu
     """From (rid, data) rows, binary both: (rid, spans), spans being flat start, end pairs of bytes to remove."""
     found = materialise(rows.filter(F.octet_length("data") >= length).select("rid", "data").mapInArrow(
         _find_segments(length), "rid binary, anchor long, content long, n long, first int, size int, spans array<int>"))
-    again = found.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor")
+    # Aggregates are written before they are joined: a join of two exchanges can be split where an anchor is hot.
+    again = materialise(found.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor"))
     again = materialise(found.join(again, "anchor"))
     kinds = materialise(again.groupBy("anchor", "content").agg(F.sum("n").alias("weight"), F.min(F.struct("rid", "first", "size")).alias("one")))
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("one.size").alias("most")).filter("kinds > 1")
-    wanted = kinds.join(several, "anchor").select("anchor", "content", "one.*", "kinds")
+    wanted = kinds.join(materialise(several), "anchor").select("anchor", "content", "one.*", "kinds")
     wanted = materialise(wanted)
     volume, most = wanted.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("kinds"), F.lit(0))).first()
     bundles = max(1, -(-volume // bundle))
