@@ -246,14 +246,14 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
         recall = _audit(spark, nodes, pairs, dense, threshold)
         if recall >= RECALL:
             break
-    sizes = dense.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = materialise(dense.groupBy("root").agg(F.count("*").alias("size")))
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().join(dense.select(F.col("node").alias("a")), "a", "left_anti")
     sparse = both.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "node")
     links = _blocks(nodes, dense, sizes, threshold).unionByName(sparse)
     placed = nodes.select("node", "n", "least").join(links, "node", "left").join(roots, "node", "left")
     placed = placed.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"), "least")
     placed = materialise(placed)
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "n_links", "component_id")
+    named = placed.join(materialise(placed.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("node", "n_links", "component_id")
     out = rows.select("id", "node").join(named, "node", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
