@@ -35,19 +35,25 @@ def resolve(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def best_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, short: int = 7) -> DataFrame:
-    """The best partner by word sets for each left row: an equal normalized title first, else the largest similarity.
+    """The best partner by word sets for each left row that has one of at least ``least``: an equal normalized title
+    first, else the largest similarity. Titles under ``short`` words link only to an equal title (else a null id).
 
-    Only pairs that share a word are formed (an inverted index, not a product), and each side's words come from the
-    normalized title. Similarities below ``least`` link nothing, and titles under ``short`` words need an equal title.
+    Sets of n words that are so similar share one of each side's n - ceil(least * n) + 1 rarest words, so only rows that
+    share such a word are compared; a word that every title holds forms no pairs.
     """
     words = lambda df, i, p: df.select(F.col(i).alias(f"{p}_id"), text.normalized_title(F.col(title)).alias(f"{p}_title")).withColumn(f"{p}_words", text.tokens(F.col(f"{p}_title")))
     a, b = words(left, left_id, "l"), words(right, right_id, "r")
-    shared = a.select("l_id", F.size("l_words").alias("l_n"), F.explode("l_words").alias("w")).join(b.select("r_id", F.size("r_words").alias("r_n"), F.explode("r_words").alias("w")), "w")
-    pairs = shared.groupBy("l_id", "r_id").agg(F.count("*").alias("both"), F.first("l_n").alias("l_n"), F.first("r_n").alias("r_n"))
-    pairs = pairs.withColumn("similarity", F.col("both") / (F.col("l_n") + F.col("r_n") - F.col("both")))
-    pairs = pairs.join(a.select("l_id", "l_title"), "l_id").join(b.select("r_id", "r_title"), "r_id").withColumn("same", F.col("l_title") == F.col("r_title"))
-    best = pairs.groupBy("l_id").agg(F.max_by(F.struct("r_id", "similarity", "same", "l_n"), F.struct("same", "similarity", (-F.col("r_id")).alias("o"))).alias("m"))
-    gate = F.col("m.same") | ((F.col("m.l_n") >= short) & (F.col("m.similarity") >= least))
+    each = lambda df, p: df.select(f"{p}_id", F.size(f"{p}_words").alias("n"), F.explode(f"{p}_words").alias("w"))
+    held = each(a, "l").select("w").unionAll(each(b, "r").select("w")).groupBy("w").agg(F.count("*").alias("held"))
+
+    def rarest(df: DataFrame, p: str) -> DataFrame:
+        lists = each(df, p).join(held, "w").groupBy(f"{p}_id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "w"))).alias("x"))
+        return lists.select(f"{p}_id", F.explode(F.slice("x", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("y")).select(f"{p}_id", "y.w")
+
+    pairs = rarest(a, "l").join(rarest(b, "r"), "w").select("l_id", "r_id").distinct().join(a, "l_id").join(b, "r_id")
+    pairs = pairs.select("l_id", "r_id", F.size("l_words").alias("l_n"), text.jaccard(F.col("l_words"), F.col("r_words")).alias("similarity"), (F.col("l_title") == F.col("r_title")).alias("same"))
+    best = pairs.filter(F.col("same") | (F.col("similarity") >= least)).groupBy("l_id").agg(F.max_by(F.struct("r_id", "similarity", "same", "l_n"), F.struct("same", "similarity", (-F.col("r_id")).alias("o"))).alias("m"))
+    gate = F.col("m.same") | (F.col("m.l_n") >= short)
     return best.select(F.col("l_id").alias(left_id), F.when(gate, F.col("m.r_id")).alias(right_id), F.col("m.similarity").alias("similarity"), F.col("m.same").alias("same_title"))
 
 

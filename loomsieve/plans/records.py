@@ -56,19 +56,23 @@ def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("o_orderstatus", "o_orderpriority", "batch").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
-def jaccard_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best title by words for each part among the suppliers' and parts' names of another brand half."""
+def _matched(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
     left = p.filter("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "left_key")
     right = p.filter("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "right_key")
-    out = link.best_jaccard(left, right, "left_key", "right_key", "title", least=0.6, short=3)
+    out = link.best_jaccard(left, right, "left_key", "right_key", "title", least, short=3)
     return out.select("left_key", "right_key", F.round("similarity", 6).alias("similarity"), "same_title")
 
 
+def jaccard_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best title by words for each part of even number among the odd ones."""
+    return _matched(spark, sf_dir, 0.6)
+
+
 def weak_match_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many best matches a gate on similarity lets through, and how many without it."""
-    out = jaccard_best_match(spark, sf_dir)
-    return out.agg(F.count("*").alias("ungated"), F.count("right_key").alias("gated"), F.count_if("same_title").alias("same_title"))
+    """How many best matches a strict gate on similarity lets through, and how many a weak one."""
+    out = _matched(spark, sf_dir, 0.5)
+    return out.agg(F.count("right_key").alias("weak"), F.count_if(F.col("right_key").isNotNull() & (F.col("same_title") | (F.col("similarity") >= 0.75))).alias("strict"), F.count_if("same_title").alias("same_title"))
 
 
 def cascade_link(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +175,8 @@ w as (select k, t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <
 u as (select k, len(ws) as n, unnest(ws) as x from w),
 s as (select a.k as l, b.k as r, any_value(a.n) as ln, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as sim from u a join u b on a.x = b.x where a.k % 2 = 0 and b.k % 2 = 1 group by 1, 2),
 f as (select s.*, a.t = b.t as same from s join w a on a.k = l join w b on b.k = r),
-m as (select *, row_number() over (partition by l order by same desc, sim desc, r) as rn from f)
-select l as left_key, case when same or (ln >= 3 and sim >= 0.6) then r end as right_key, round(sim, 6) as similarity, same as same_title from m where rn = 1"""
+m as (select *, row_number() over (partition by l order by same desc, sim desc, r) as rn from f where same or sim >= LEAST)
+select l as left_key, case when same or ln >= 3 then r end as right_key, round(sim, 6) as similarity, same as same_title from m where rn = 1"""
 _TURNS = "select conv_id, role, turn, length(text)::bigint as n from conversations"
 _PKEY = "p_brand || '-' || (p_partkey % 700)"
 ORACLE = {
@@ -184,8 +188,8 @@ ORACLE = {
     "exact_copy_groups": r"select md5(trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g'))) as digest, count(*) as copies, min(doc_id) as first_id, max(doc_id) as last_id from documents group by 1 having count(*) > 1",
     "collision_free_names": "with p as (select p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as base from part), n as (select *, row_number() over (partition by base order by p_partkey) as rn from p) select p_partkey, case when rn = 1 then base else base || '__dup' || (rn - 1) end as name from n",
     "fixed_batches": "with n as (select *, (row_number() over (partition by o_orderstatus, o_orderpriority order by o_orderkey) - 1) // 100 as batch from orders) select o_orderstatus, o_orderpriority, batch::bigint as batch, count(*) as n, min(o_orderkey) as first_key, max(o_orderkey) as last_key from n group by 1, 2, 3",
-    "jaccard_best_match": _JACCARD,
-    "weak_match_gate": f"select count(*) as ungated, count(right_key) as gated, count(*) filter (same_title) as same_title from ({_JACCARD})",
+    "jaccard_best_match": _JACCARD.replace("LEAST", "0.6"),
+    "weak_match_gate": f"select count(right_key) as weak, count(*) filter (right_key is not null and (same_title or similarity >= 0.75)) as strict, count(*) filter (same_title) as same_title from ({_JACCARD.replace('LEAST', '0.5')})",
     "cascade_link": """with c as (select c_custkey, case when c_custkey % 3 = 0 then c_custkey end as num, c_nationkey, right(c_name, 3) as e from customer),
 n as (select s_nationkey, min(s_suppkey) as k from supplier group by 1 having count(distinct s_suppkey) = 1), x as (select right(s_name, 3) as e, min(s_suppkey) as k from supplier group by 1 having count(distinct s_suppkey) = 1)
 select c_custkey, coalesce(a.s_suppkey, n.k, x.k) as s_suppkey, case when a.s_suppkey is not null then 'number' when n.k is not null then 'nation' when x.k is not null then 'ending' end as method
