@@ -167,7 +167,7 @@ def _send(ranges: int):
         ids, texts, size = [], [], 0
         for table in batches:
             for b, t in zip(table.column("batch").to_pylist(), table.column("text").to_pylist(), strict=True):
-                if size > 4 * BATCH_BYTES:
+                if size > 2 * BATCH_BYTES:
                     yield flush(ids, texts)
                     ids, texts, size = [], [], 0
                 ids.append(b)
