@@ -347,6 +347,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     answers = sent.groupBy("span").applyInArrow(_answer, "batch long, codes binary, df binary")
     signed = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_sign(batches, total, threshold), "key binary, bands array<long>, total double, codes binary, counts binary, idfs binary, centre double")
     signed = materialise(signed)
+    del rows, sent, answers  # else their shuffle files stay
     release(spark)
     nodes = materialise(signed.dropDuplicates(["key"]))
     bands = nodes.select("key", "centre", F.posexplode("bands").alias("band", "value"))
