@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -187,9 +188,14 @@ class Once:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver notice handles that are gone: their shuffle files are deleted only when its JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver notice handles that are gone: their shuffle files are deleted only when its JVM collects garbage.
+
+    Twice, since the JVM's handles only become garbage after Python's are detached by the first round.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
