@@ -5,7 +5,8 @@ every node receives its neighbours, both ways, with their vectors; all pairs amo
 lists of both. Pairs at the threshold are kept: the best ones in the lists, and per piece one for each node that lists
 would push out, so that dense groups stay connected. Where a list is saturated (all its entries reach the threshold) it
 is enlarged to the node's whole component, which is compared block by block and only counted, not listed. A sample of
-nodes is compared with all vectors; while its recall is too low, more cells and rounds follow.
+nodes, drawn until it holds enough links, is compared with all vectors; while its recall is too low, more cells and
+rounds follow, and a search that never reaches it is an error.
 
 Defined results: null vectors, zero vectors and those with null or non-finite components link with nothing; vectors of
 different lengths aren't compared; rows with equal vectors link with each other; an empty table gives an empty table;
@@ -14,6 +15,8 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +27,9 @@ from loomsieve.llm.common import Once, components, documents, materialise, mix,
 THRESHOLD, LIST, TABLES, CELL, ROUNDS = 0.9, 16, 6, 48, 2
 #: Entries that a comparison offers to each of its nodes; vectors in a piece of a cell, and in a block.
 OFFER, PIECE, BLOCK = 6, 128, 1024
-#: Nodes of the audit (chosen by hash), the recall it asks for, and how often cells and rounds are added.
-AUDIT, RECALL, ATTEMPTS = 512, 0.98, 4
+#: Nodes of the audit's first draw (chosen by hash), the most of a later one, the links that it holds at least (unless
+#: all nodes are drawn), the recall it asks for, and how often cells and rounds are added before the search fails.
+AUDIT, DRAW, AUDITED, RECALL, ATTEMPTS = 512, 8192, 400, 0.98, 64
 #: Sums in single precision may be off by this; what could reach the threshold is decided in double precision.
 SLACK = 1e-5
 
@@ -153,35 +157,52 @@ def _exact(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return pairs.filter(measure("x", "y") >= threshold).select("a", "b")
 
 
-def _audit(spark: SparkSession, nodes: DataFrame, pairs: DataFrame, dense: DataFrame, threshold: float) -> float:
-    """Share of the links of sampled nodes that are found, or lie within a component that is compared in full."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(5))).limit(AUDIT).select("node", "raw").collect()
+def _audit(spark: SparkSession, nodes: DataFrame, count: int, pairs: DataFrame, dense: DataFrame, threshold: float) -> float:
+    """Share of the links of sampled nodes that are found; links within a component that is compared in full don't count.
+
+    Nodes are drawn in the order of a hash until they have AUDITED links, or all nodes are drawn.
+    """
+    placed = nodes.select("node", "raw", F.xxhash64("node", F.lit(5)).alias("o")).join(dense.select("node", "root"), "node", "left")
+    placed = materialise(placed)
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().withColumn("hit", F.lit(1))
+    found, links, drawn, last, most = 0, 0, 0, None, AUDIT
+    while drawn < count and links < AUDITED:
+        rest = placed if last is None else placed.filter((F.col("o") > last[0]) | ((F.col("o") == last[0]) & (F.col("node") > last[1])))
+        sample = rest.orderBy("o", "node").limit(most).collect()  # DRAW vectors at most
+        true = _links_of(spark, sample, placed, threshold)
+        more = true.join(both, ["a", "b"], "left").agg(F.count("hit"), F.count("*")).first()
+        found, links, drawn, last, most = found + more[0], links + more[1], drawn + len(sample), (sample[-1]["o"], sample[-1]["node"]), min(2 * most, DRAW)
+    return found / links if links else 1.0
+
+
+def _links_of(spark: SparkSession, sample: list, placed: DataFrame, threshold: float) -> DataFrame:
+    """All links (a, b) of the sampled nodes, by comparison with every vector, but for those within one root."""
     by_size: dict[int, tuple] = {}
-    for size in {len(r[1]) for r in sample}:
-        some = [r for r in sample if len(r[1]) == size]
-        unit = np.stack([np.frombuffer(r[1], "<f8") for r in some])
-        by_size[size] = (np.array([r[0] for r in some]), unit / np.linalg.norm(unit, axis=1, keepdims=True))
-    asked = Once(spark, by_size)  # AUDIT vectors at most
+    for size in {len(r["raw"]) for r in sample}:
+        some = [r for r in sample if len(r["raw"]) == size]
+        unit = np.stack([np.frombuffer(r["raw"], "<f8") for r in some])
+        roots = [r["root"] for r in some]
+        by_size[size] = (np.array([r["node"] for r in some]), unit / np.linalg.norm(unit, axis=1, keepdims=True), np.array([x is not None for x in roots]), np.array([x or 0 for x in roots], dtype=np.int64))
+    asked = Once(spark, by_size)
 
     def search(batches):
         for batch in batches:
-            a, b = [], []
-            names, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for size, (ids, unit) in asked.get().items():
-                own = [i for i, r in enumerate(raws) if len(r) == size]
-                if own:
-                    data = np.stack([np.frombuffer(raws[i], "<f8") for i in own])
-                    i, j = np.nonzero((unit @ (data / np.linalg.norm(data, axis=1, keepdims=True)).T) >= threshold)
-                    a += ids[i].tolist()
-                    b += [names[own[k]] for k in j.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    true = nodes.select("node", "raw").mapInArrow(search, "a long, b long").filter("a <> b")
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().withColumn("hit", F.lit(1))
-    root_a, root_b = (dense.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    seen = true.join(both, ["a", "b"], "left").join(root_a, "a", "left").join(root_b, "b", "left")
-    found, all_ = seen.agg(F.count_if(F.col("hit").isNotNull() | (F.col("root_a") == F.col("root_b"))), F.count("*")).first()
-    return found / all_ if all_ else 1.0
+            names, raws, roots = (batch.column(k).to_pylist() for k in range(3))
+            for size, (ids, unit, rooted, root) in asked.get().items():
+                every = [i for i, r in enumerate(raws) if len(r) == size]
+                for some in (every[i : i + BLOCK] for i in range(0, len(every), BLOCK)):
+                    data = np.stack([np.frombuffer(raws[i], "<f8") for i in some])
+                    data = (data / np.linalg.norm(data, axis=1, keepdims=True)).T
+                    node = np.array([names[i] for i in some])
+                    own, at = np.array([roots[i] is not None for i in some]), np.array([roots[i] or 0 for i in some], dtype=np.int64)
+                    for k in range(0, len(ids), BLOCK):
+                        part = slice(k, k + BLOCK)
+                        hits = (unit[part] @ data >= threshold) & (ids[part, None] != node)
+                        hits &= ~(rooted[part, None] & own & (root[part, None] == at))
+                        i, j = np.nonzero(hits)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[part][i], pa.int64()), pa.array(node[j], pa.int64())], ["a", "b"])
+
+    return placed.select("node", "raw", "root").mapInArrow(search, "a long, b long")
 
 
 def _blocks(nodes: DataFrame, dense: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
@@ -243,9 +264,12 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
         full = lists.filter(F.col("sim") >= threshold - SLACK).groupBy("a").agg(F.count("*").alias("k")).filter(F.col("k") >= LIST)
         crowded = roots.join(full.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
         dense = materialise(roots.join(crowded, "root", "left_semi"))
-        recall = _audit(spark, nodes, pairs, dense, threshold)
+        recall = _audit(spark, nodes, count, pairs, dense, threshold)
+        logging.getLogger(__name__).info("recall %.4f after %d attempts", recall, attempt + 1)
         if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"links reach a recall of {recall:.4f} instead of {RECALL} after {ATTEMPTS} attempts")
     sizes = materialise(dense.groupBy("root").agg(F.count("*").alias("size")))
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().join(dense.select(F.col("node").alias("a")), "a", "left_anti")
     sparse = both.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "node")

@@ -206,3 +206,28 @@ def test_vector_links_against_all_pairs(spark):
     got = Counter(tuple(r) for r in vectors.link_vectors(df).collect())
     assert got == brute_links(rows, 0.9)
     assert vectors.link_vectors(df.limit(0)).count() == 0
+
+
+def test_vector_search_goes_on_until_its_recall_is_reached(spark, monkeypatch):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    recalls = iter([0.5] * 5 + [1.0])
+    monkeypatch.setattr(vectors, "_audit", lambda *a: next(recalls))
+    assert {tuple(r) for r in vectors.link_vectors(df).collect()} == {(0, 1, 0), (1, 1, 0), (2, 0, 2)} and not list(recalls)
+    monkeypatch.setattr(vectors, "_audit", lambda *a: 0.5)
+    monkeypatch.setattr(vectors, "ATTEMPTS", 1)
+    with pytest.raises(RuntimeError, match="recall of 0.5"):
+        vectors.link_vectors(df)
+
+
+def test_audit_draws_until_it_has_links(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(700, 32))
+    order = spark.range(700).orderBy(F.xxhash64("id", F.lit(5))).collect()
+    a, b = order[600][0], order[650][0]  # the only link, behind the first draw
+    data[b] = data[a] + 0.01
+    unlinked = spark.createDataFrame([], "a long, b long")
+    nodes = spark.createDataFrame([(i, bytearray(v.astype("<f8").tobytes())) for i, v in enumerate(data)], "node long, raw binary")
+    none = spark.createDataFrame([], "node long, root long")
+    assert vectors._audit(spark, nodes, 700, unlinked, none, 0.9) == 0
+    assert vectors._audit(spark, nodes, 700, spark.createDataFrame([(min(a, b), max(a, b))], "a long, b long"), none, 0.9) == 1
+    assert vectors._audit(spark, nodes, 700, unlinked, spark.createDataFrame([(a, a), (b, a)], "node long, root long"), 0.9) == 1
