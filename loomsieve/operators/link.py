@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,32 +117,54 @@ def wildcard_rules(df: DataFrame, rules: DataFrame, columns: list[str], order: s
     return hit.groupBy("__row").agg(F.min_by(value, order).alias(value)).select("__row.*", value)
 
 
-def best_ratio(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, high: float = 0.95) -> DataFrame:
+def best_ratio(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, high: float = 0.95, by_word: bool = True) -> DataFrame:
     """The most alike title by longest matching blocks: an equal normalized title that is unique first (1.0, exact).
 
-    Pairs that can't reach ``least`` aren't compared: they share no word of three letters, or their lengths differ too
-    much for the ratio 2 * matches / (sum of lengths). (left id, right id, score, confidence).
+    Pairs whose lengths or letters differ too much for the ratio 2 * matches / (sum of lengths) to reach ``least`` aren't
+    compared. ``by_word`` also leaves out pairs that share no word of three letters, though their ratio may reach it
+    ("autoencoders survey", "autoencoder surveys"); without it every pair that can reach ``least`` is compared. Titles
+    without a letter or digit link only to an equal one that is unique. (left id, right id, score, confidence).
     """
     norm = lambda df, i, p: df.select(F.col(i).alias(f"{p}_id"), text.normalized_title(F.col(title)).alias(f"{p}_title"))
     a, b = norm(left, left_id, "l"), norm(right, right_id, "r")
     exact = a.join(unique_index(b, "r_title", "r_id"), F.col("l_title") == F.col("r_title")).select("l_id", "r_id", F.lit(1.0).alias("score"))
     rest = a.join(exact.select("l_id"), "l_id", "left_anti")
-    words = lambda df, p: df.select(f"{p}_id", F.explode(text.tokens(F.col(f"{p}_title"), 3)).alias("w"))
-    pairs = words(rest, "l").join(words(b, "r"), "w").select("l_id", "r_id").distinct().join(a, "l_id").join(b, "r_id")
+    if by_word:
+        words = lambda df, p: df.select(f"{p}_id", F.explode(text.tokens(F.col(f"{p}_title"), 3)).alias("w"))
+        pairs = words(rest, "l").join(words(b, "r"), "w").select("l_id", "r_id").distinct().join(a, "l_id").join(b, "r_id")
+    else:
+        # Lengths of a pair differ by the factor (2 - least) / least at most: by one step of its logarithm.
+        step = math.log((2 - least) / least) + 1e-9
+        own = lambda df, p: df.filter(F.length(f"{p}_title") > 0).withColumn(f"{p}_step", F.floor(F.log(F.length(f"{p}_title")) / step))
+        near = own(b, "r").withColumn("l_step", F.explode(F.array(*(F.col("r_step") + k for k in (-1, 0, 1)))))
+        pairs = own(rest, "l").join(near, "l_step")
     n, m = F.length("l_title"), F.length("r_title")
-    pairs = pairs.filter(2 * F.least(n, m) >= least * (n + m))
-    scored = pairs.select("l_id", "r_id", _ratio()("l_title", "r_title").alias("score")).filter(F.col("score") >= least)
+    pairs = pairs.filter(2 * F.least(n, m) >= least * (n + m) - 1e-9)
+    scored = pairs.select("l_id", "r_id", _ratio(least)("l_title", "r_title").alias("score")).filter(F.col("score") >= least)
     best = scored.groupBy("l_id").agg(F.max_by(F.struct("r_id", "score"), F.struct("score", (-F.col("r_id")).alias("o"))).alias("m")).select("l_id", "m.*")
     out = exact.unionByName(best)
     return out.select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "score", F.when(F.col("score") == 1.0, "exact").when(F.col("score") >= high, "high").otherwise("medium").alias("confidence"))
 
 
-def _ratio():
+def _ratio(least: float):
+    """Ratio of two normalized titles; 0 where the letters that both hold are too few for ``least``."""
+
     def run(a, b):
         import difflib
 
+        import numpy as np
         import pyarrow as pa
 
-        return pa.array([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+        x, y = a.to_pylist(), b.to_pylist()
+        places: dict[str, int] = {}
+        at, to = (np.array([places.setdefault(t, len(places)) for t in some], dtype=np.int64) for some in (x, y))
+        letters = np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128) for t in places]).reshape(-1, 128)
+        out = np.zeros(len(x))
+        for k in range(0, len(x), 4096):
+            i, j = letters[at[k : k + 4096]], letters[to[k : k + 4096]]
+            able = 2 * np.minimum(i, j).sum(1) >= least * (i.sum(1) + j.sum(1)) - 1e-9
+            for c in (np.flatnonzero(able) + k).tolist():
+                out[c] = difflib.SequenceMatcher(None, x[c], y[c]).ratio()
+        return pa.array(out, pa.float64())
 
     return F.arrow_udf(run, "double")

@@ -50,6 +50,21 @@ def test_best_ratio_equals_the_plain_search(spark):
     assert got == want
 
 
+def test_best_ratio_equals_the_unfiltered_search(spark):
+    titles = ["neurosymbolics", "reinforcementlearning", "autoencoders survey", "ab cd ef", "a survey of things", "", "speech"]
+    a = list(enumerate(["neurosymbolic", "reinforcement learning", "autoencoder surveys", "abcd ef", "the survey of thing", "!", "speeches", "speech", "listen"]))
+    b = list(enumerate(titles))
+    for least in (0.85, 0.9, 1.0):
+        out = link.best_ratio(spark.createDataFrame(a, "l int, t string"), spark.createDataFrame(b, "r int, t string"), "l", "r", "t", least, by_word=False)
+        got = {r["l"]: (r["r"], round(r["score"], 6)) for r in out.collect()}
+        want = {}
+        for i, t in a:
+            score, j = max((difflib.SequenceMatcher(None, t.replace("!", ""), u).ratio(), -j) for j, u in b)
+            if score >= least:
+                want[i] = (-j, round(score, 6))
+        assert got == want
+
+
 def test_policies(spark, tmp_path):
     (tmp_path / "p1.json").write_text('{"time_policy": {"enabled": true, "start_date": "2018-02-01", "end_date": null}}')
     row = documents.policies(spark, str(tmp_path)).first()
