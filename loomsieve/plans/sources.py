@@ -62,9 +62,9 @@ def feed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_ratio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of benchmark items, spoiled a little, matched to all of them by longest matching blocks."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("title"))
-    spoiled = b.select(F.col("item_id").alias("left_id"), F.when(F.col("item_id") % 3 == 0, F.col("title")).when(F.col("item_id") % 3 == 1, F.concat(F.substring("title", 1, 40), F.lit("x"), F.substring("title", 41, 80))).otherwise(F.reverse("title")).alias("title"))
+    """Whole texts of benchmark items, spoiled a little, matched to all of them by longest matching blocks."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
+    spoiled = b.select(F.col("item_id").alias("left_id"), F.when(F.col("item_id") % 3 == 0, F.col("title")).when(F.col("item_id") % 3 == 1, F.concat(F.substring("title", 1, 40), F.lit("x"), F.expr("substring(title, 41)"))).otherwise(F.reverse("title")).alias("title"))
     out = link.best_ratio(spoiled, b, "left_id", "item_id", "title", by_word=False)
     return out.select("left_id", "item_id", F.round("score", 6).alias("score"), "confidence")
 

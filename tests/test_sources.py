@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomsieve.functions import notes, text
 from loomsieve.operators import link
+from loomsieve.plans import sources
 from loomsieve.sources import documents
 
 
@@ -65,6 +66,13 @@ def test_best_ratio_equals_the_unfiltered_search(spark):
         assert got == want
 
 
+def test_fuzzy_ratio_match_reads_whole_texts(spark, tmp_path):
+    head, tails = "the same words stand at the head of every one of these texts and go on for eighty", ["apples", "nothing like it at all in the rest of this text, which is a long one", "", "cherries"]
+    spark.createDataFrame([(3 * i, f"{head} {t}") for i, t in enumerate(tails)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = sources.fuzzy_ratio_match(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, out)) == [(3 * i, 3 * i, 1.0, "exact") for i in range(4)]
+
+
 def test_policies(spark, tmp_path):
     (tmp_path / "p1.json").write_text('{"time_policy": {"enabled": true, "start_date": "2018-02-01", "end_date": null}}')
     row = documents.policies(spark, str(tmp_path)).first()
