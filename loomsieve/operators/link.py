@@ -59,6 +59,24 @@ def best_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return best.select(F.col("l_id").alias(left_id), F.when(gate, F.col("m.r_id")).alias(right_id), F.col("m.similarity").alias("similarity"), F.col("m.same").alias("same_title"))
 
 
+def best_jaccard_of_all(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, short: int = 7) -> DataFrame:
+    """As ``best_jaccard``, for every left row: a best similarity under ``least`` is returned too, with a null partner,
+    and 0 where no word is shared. Every pair that shares a word counts, so this costs more than the rarest words do.
+    """
+    words = lambda df, i, p: df.select(F.col(i).alias(f"{p}_id"), text.normalized_title(F.col(title)).alias(f"{p}_title")).withColumn(f"{p}_words", text.tokens(F.col(f"{p}_title"))).withColumn(f"{p}_n", F.size(f"{p}_words"))
+    a, b = words(left, left_id, "l"), words(right, right_id, "r")
+    each = lambda df, p: df.select(f"{p}_id", f"{p}_n", F.explode(f"{p}_words").alias("w"))
+    both = F.count("*")
+    pairs = each(a, "l").join(each(b, "r"), "w").groupBy("l_id", "r_id", "l_n", "r_n").agg((both / (F.col("l_n") + F.col("r_n") - both)).alias("similarity"))
+    best = pairs.groupBy("l_id").agg(F.max_by(F.struct("r_id", "similarity"), F.struct("similarity", (-F.col("r_id")).alias("o"))).alias("m")).select("l_id", "m.*")
+    titles = lambda df, p: df.filter(F.col(f"{p}_n") > 0).select(f"{p}_id", F.col(f"{p}_title").alias("t"))
+    equal = titles(a, "l").join(titles(b, "r").groupBy("t").agg(F.min("r_id").alias("equal_id")), "t").drop("t")
+    out = a.select("l_id", "l_n").join(best, "l_id", "left").join(equal, "l_id", "left")
+    same = F.col("equal_id").isNotNull()
+    partner = F.when(same, F.col("equal_id")).when((F.col("l_n") >= short) & (F.col("similarity") >= least), F.col("r_id"))
+    return out.select(F.col("l_id").alias(left_id), partner.alias(right_id), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), same.alias("same_title"))
+
+
 def waterfall(df: DataFrame, sources: list[tuple[str, Column]], out: str) -> DataFrame:
     """The first source with a value, its name, and the trace of all that were looked at up to it."""
     value = F.coalesce(*(c for _, c in sources))

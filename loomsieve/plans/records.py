@@ -75,6 +75,19 @@ def weak_match_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("right_key").alias("weak"), F.count_if(F.col("right_key").isNotNull() & (F.col("same_title") | (F.col("similarity") >= 0.75))).alias("strict"), F.count_if("same_title").alias("same_title"))
 
 
+def jaccard_best_match_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best benchmark item by words for each document, with its similarity; under the threshold without the item."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("left_key"), F.col("text").alias("title"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("right_key"), F.col("text").alias("title"))
+    return link.best_jaccard_of_all(d, b, "left_key", "right_key", "title").withColumn("similarity", F.round("similarity", 6))
+
+
+def weak_match_gate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many best matches of documents there are without a gate (any similarity above 0), and with it."""
+    out = jaccard_best_match_texts(spark, sf_dir)
+    return out.agg(F.count_if(F.col("similarity") > 0).alias("ungated"), F.count("right_key").alias("gated"), F.count_if("same_title").alias("same_title"))
+
+
 def cascade_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers linked to suppliers by number, else by a unique nation, else by a unique name ending."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("num"), F.col("c_nationkey").alias("nation"), F.right("c_name", F.lit(3)).alias("ending"))
@@ -167,7 +180,7 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dedupe_first, dedupe_last, dedupe_first_pos_last_val, duplicate_disagreement, label_conflict_check, exact_copy_groups, collision_free_names, fixed_batches, jaccard_best_match,
-    weak_match_gate, cascade_link, normalized_key_resolve, combine_with_base, upsert_ordered, anti_join_report, missing_backfill, source_waterfall, batch_result_join,
+    weak_match_gate, jaccard_best_match_texts, weak_match_gate_texts, cascade_link, normalized_key_resolve, combine_with_base, upsert_ordered, anti_join_report, missing_backfill, source_waterfall, batch_result_join,
     routing_state_machine, before_after_diff, changed_rows, set_operations)}
 
 _JACCARD = """with p as (select p_partkey as k, trim(regexp_replace(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) as t from part),
@@ -177,6 +190,15 @@ s as (select a.k as l, b.k as r, any_value(a.n) as ln, count(*) / (any_value(a.n
 f as (select s.*, a.t = b.t as same from s join w a on a.k = l join w b on b.k = r),
 m as (select *, row_number() over (partition by l order by same desc, sim desc, r) as rn from f where same or sim >= LEAST)
 select l as left_key, case when same or ln >= 3 then r end as right_key, round(sim, 6) as similarity, same as same_title from m where rn = 1"""
+_JACCARD_TEXTS = """with d as (select 'd' as s, doc_id as k, text from documents union all select 'b', item_id, text from benchmark),
+t as (select s, k, trim(regexp_replace(lower(replace(replace(coalesce(text, ''), '&', ' and '), '@', ' at ')), '[^a-z0-9]+', ' ', 'g')) as t from d),
+w as (select s, k, t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) as ws from t),
+u as (select s, k, len(ws) as n, unnest(ws) as x from w),
+m as (select a.k as l, b.k as r, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as sim from u a join u b on a.x = b.x where a.s = 'd' and b.s = 'b' group by 1, 2),
+e as (select a.k as l, min(b.k) as r from w a join w b on a.t = b.t where a.s = 'd' and b.s = 'b' and a.t <> '' group by 1),
+f as (select *, row_number() over (partition by l order by sim desc, r) as rn from m)
+select w.k as left_key, case when e.r is not null then e.r when len(w.ws) >= 7 and f.sim >= 0.9 then f.r end as right_key, round(coalesce(f.sim, 0), 6) as similarity, e.r is not null as same_title
+from w left join (select * from f where rn = 1) f on f.l = w.k left join e on e.l = w.k where w.s = 'd'"""
 _TURNS = "select conv_id, role, turn, length(text)::bigint as n from conversations"
 _PKEY = "p_brand || '-' || (p_partkey % 700)"
 ORACLE = {
@@ -190,6 +212,8 @@ ORACLE = {
     "fixed_batches": "with n as (select *, (row_number() over (partition by o_orderstatus, o_orderpriority order by o_orderkey) - 1) // 100 as batch from orders) select o_orderstatus, o_orderpriority, batch::bigint as batch, count(*) as n, min(o_orderkey) as first_key, max(o_orderkey) as last_key from n group by 1, 2, 3",
     "jaccard_best_match": _JACCARD.replace("LEAST", "0.6"),
     "weak_match_gate": f"select count(right_key) as weak, count(*) filter (right_key is not null and (same_title or similarity >= 0.75)) as strict, count(*) filter (same_title) as same_title from ({_JACCARD.replace('LEAST', '0.5')})",
+    "jaccard_best_match_texts": _JACCARD_TEXTS,
+    "weak_match_gate_texts": f"select count(*) filter (similarity > 0) as ungated, count(right_key) as gated, count(*) filter (same_title) as same_title from ({_JACCARD_TEXTS})",
     "cascade_link": """with c as (select c_custkey, case when c_custkey % 3 = 0 then c_custkey end as num, c_nationkey, right(c_name, 3) as e from customer),
 n as (select s_nationkey, min(s_suppkey) as k from supplier group by 1 having count(distinct s_suppkey) = 1), x as (select right(s_name, 3) as e, min(s_suppkey) as k from supplier group by 1 having count(distinct s_suppkey) = 1)
 select c_custkey, coalesce(a.s_suppkey, n.k, x.k) as s_suppkey, case when a.s_suppkey is not null then 'number' when n.k is not null then 'nation' when x.k is not null then 'ending' end as method

@@ -130,3 +130,11 @@ def test_json_and_lists(spark, tmp_path):
     assert df.columns == ["x", "y"]
     files.write_report(df.withColumn("d", F.lit(0.5)).withColumn("ok", F.lit(True)), str(tmp_path / "out"), ["y", "d", "ok"])
     assert [tuple(r) for r in files.csv(spark, str(tmp_path / "out")).collect()] == [("a;b", "0.50", "true")]
+
+
+def test_best_match_under_the_threshold_keeps_its_similarity(spark):
+    words = "one two three four five six seven eight nine ten".split()
+    left = [(1, " ".join(words)), (2, " ".join(words[:5])), (3, "nothing shared"), (4, " ".join(words[::-1])), (5, None), (6, "six seven eight"), (7, "!"), (8, "Short, title")]
+    right = [(20, "short title"), (11, " ".join(words)), (12, " ".join(words)), (13, "six seven eight nine"), (14, "")]
+    out = link.best_jaccard_of_all(spark.createDataFrame(left, "l int, t string"), spark.createDataFrame(right, "r int, t string"), "l", "r", "t")
+    assert sorted(map(tuple, out.collect())) == [(1, 11, 1.0, True), (2, None, 0.5, False), (3, None, 0.0, False), (4, 11, 1.0, False), (5, None, 0.0, False), (6, None, 0.75, False), (7, None, 0.0, False), (8, 20, 1.0, True)]
