@@ -3,7 +3,7 @@ import difflib
 import pytest
 from pyspark.sql import functions as F
 
-from loomsieve.functions import notes, text
+from loomsieve.functions import alignment, notes, text
 from loomsieve.operators import link
 from loomsieve.plans import sources
 from loomsieve.sources import documents
@@ -80,3 +80,15 @@ def test_policies(spark, tmp_path):
     (tmp_path / "p2.json").write_text("{}")
     with pytest.raises(Exception, match="no time_policy in p2"):
         documents.policies(spark, str(tmp_path)).collect()
+
+
+def test_alignment_of_pages_with_metadata(spark):
+    long = "some words of the first page that go on for quite a while, sixty letters at least"
+    rows = [("Deep Nets: a Study", "abs", "", "deep nets a study " + long, "match", "full_title_found_in_first_page"),
+            ("Deep Networks here: a Study", "abs", "", "Deep networks here " + long, "match", "main_title_found_in_first_page"),
+            ("Deep Nets", None, "On Deep Nets", "", "match", "title_header_consistent"), ("Deep Nets", "abs", "On Deep Nets", "short", "uncertain", "first_page_text_too_short_for_topic_check"),
+            ("Deep Networks here: a Study", "", "Deep networks here and there", "", "match", "main_title_header_consistent"), (None, None, None, None, "mismatch", "title_not_consistent_with_metadata"), ("Other", "a", "Title", long, "mismatch", "title_not_consistent_with_metadata")]
+    df = spark.createDataFrame(rows, "t string, a string, h string, p string, v string, r string")
+    assert all((x["m"]["verdict"], x["m"]["reason"]) == (x["v"], x["r"]) for x in df.select("v", "r", alignment.judge_match()("t", "a", "h", "p").alias("m")).collect())
+    pairs = spark.createDataFrame([("A  b", "a B"), ("a b", "a c"), (None, "a"), ("a", "")], "a string, b string")
+    assert [r[0] for r in pairs.select(alignment.abstract_similarity()("a", "b")).collect()] == pytest.approx([1.0, 0.5 * 2 / 3 + 0.25, 0.0, 0.0])
