@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomsieve-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,11 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomsieve-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Materialises as above, and deletes what an operator no longer needs once its own result is written."""
+
+    def __init__(self) -> None:
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the tables of these frames; without any, all."""
+        for key in [id(f) for f in frames] or list(self._paths):
+            out, path = self._paths.pop(key)
+            _remove(out.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -2,12 +2,13 @@
 
 Two equal strings of ``length`` bytes have their least 64-byte hash (anchor) at the same place. So the strings of a text
 are cut into segments that share an anchor, and only segments whose anchor occurs again anywhere can hold a repeat: this
-leaves out text, never a match. Equal segments are counted as one with a weight. The distinct ones that share an anchor
-meet in bounded bundles. Each bundle's transform is built, and common prefixes are derived by increasing value: from the
-intervals of the prefixes of length l, backward extension by every preceding byte gives those of length l + 1 and the
-boundaries between them, breadth first, up to the minimum length. Rows without a boundary between them by then share at
-least that many bytes. Anchors with very many distinct segments are dealt to several bundles, and what those leave
-unmatched is compared by window hash across bundles, so no group has to fit one task and no match is lost.
+leaves out text, never a match. Equal segments (128 bits of their bytes agree) are one with a weight. The kinds that share
+an anchor meet in bounded bundles. Each bundle's transform is built, and common prefixes are derived by increasing value:
+from the intervals of the prefixes of length l, backward extension by every preceding byte gives those of length l + 1 and
+the boundaries between them, breadth first, up to the minimum length. Rows without a boundary between them by then share
+at least that many bytes; where their weights add up to two or more, the string is repeated. Anchors with very many kinds
+are dealt to several bundles, and what those leave unmatched is compared by window hash across bundles, so no group has
+to fit one task and no match is lost.
 
 Defined results: null texts count as empty; texts shorter than the length lose nothing; repeated rows count as copies of
 each other; an empty table gives an empty table; other columns stay as they are, whatever their names. Long texts are
@@ -16,21 +17,27 @@ cut into overlapping blocks for the anchors, which changes nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import WORKER_CACHES, documents, materialise, mix, trim, worker_serves
+from loomsieve.llm.common import WORKER_CACHES, Scratch, documents, materialise, mix, trim, worker_serves
 
 LENGTH = 400
+#: Bytes of repeated strings that are counted, beside those removed: a passage of some fifty words.
+PASSAGE = 200
 #: Bytes of the strings whose hashes pick the anchors.
 GRAM = 64
 #: Bytes of the texts that are hashed together; of a bundle; distinct segments of an anchor in one bundle.
 BLOCK, BUNDLE, CROWD = 1 << 21, 3 << 19, 20_000
 
+#: What tells segments of one content: their anchor's hash and 128 bits of their own.
+KIND = ("anchor", "content", "check")
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -60,7 +67,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments_of(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """Segments of byte strings of at least ``length`` bytes each: owner, anchor hash, content hash, start, end in the owner."""
+    """Segments of byte strings of at least ``length`` bytes each: owner, anchor hash, identity (content, check), start, end in the owner."""
     gram = min(GRAM, length)
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
@@ -79,19 +86,21 @@ def segments_of(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
     s, e, own = starts[first], starts[last] + length, owner[first]
-    content = mix((sums[e] - sums[s]) * down[s] + mix((e - s).astype(np.uint64) * np.uint64(1 << 20) + (at[first] - s).astype(np.uint64)))
-    return {"owner": own, "anchor": hashes[at[first]].view(np.int64), "content": content.view(np.int64), "start": s - begins[own], "end": e - begins[own]}
+    view = memoryview(data)
+    digests = b"".join(hashlib.md5(view[i:j]).digest() for i, j in zip(s.tolist(), e.tolist(), strict=True))
+    content = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+    return {"owner": own, "anchor": hashes[at[first]].view(np.int64), "content": content[:, 0], "check": content[:, 1], "start": s - begins[own], "end": e - begins[own]}
 
 
 def _find_segments(length: int):
-    schema = pa.schema([("rid", pa.binary()), ("anchor", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("spans", pa.list_(pa.int32()))])
+    schema = pa.schema([("rid", pa.binary()), ("anchor", pa.int64()), ("content", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("spans", pa.list_(pa.int32()))])
 
     def emit(rids: list[bytes], shifts: list[int], parts: list[bytes]) -> pa.RecordBatch:
         found = segments_of(parts, length)
-        order = np.lexsort((found["start"], found["content"], found["anchor"], found["owner"]))
+        order = np.lexsort((found["start"], found["check"], found["content"], found["anchor"], found["owner"]))
         f = {k: v[order] for k, v in found.items()}
         start, end = f["start"] + np.array(shifts)[f["owner"]], f["end"] + np.array(shifts)[f["owner"]]
-        new = np.concatenate([[True], (f["owner"][1:] != f["owner"][:-1]) | (f["content"][1:] != f["content"][:-1]) | (f["anchor"][1:] != f["anchor"][:-1])])
+        new = np.concatenate([[True], np.any([f[k][1:] != f[k][:-1] for k in ("owner", *KIND)], axis=0)])
         groups = np.flatnonzero(new)
         # A text's equal segments are one row; where they touch, one span.
         opens = new | np.concatenate([[True], start[1:] > end[:-1]])
@@ -101,7 +110,10 @@ def _find_segments(length: int):
         offsets = 2 * np.concatenate([np.searchsorted(spans, groups), [len(spans)]])
         own = f["owner"][groups]
         return pa.RecordBatch.from_arrays(
-            [pa.array([rids[i] for i in own.tolist()], pa.binary()), pa.array(f["anchor"][groups]), pa.array(f["content"][groups]), pa.array(np.diff(np.concatenate([groups, [len(new)]]))), pa.array(start[groups].astype(np.int32)), pa.array((end - start)[groups].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))],
+            [
+                pa.array([rids[i] for i in own.tolist()], pa.binary()), *(pa.array(f[k][groups]) for k in KIND), pa.array(np.diff(np.concatenate([groups, [len(new)]]))),
+                pa.array(start[groups].astype(np.int32)), pa.array((end - start)[groups].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
+            ],
             schema=schema,
         )
 
@@ -133,31 +145,39 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes ordered by their first ``depth`` symbols at least, by prefix doubling; every 0 is smaller than later ones."""
     n, q = len(symbols), 7
     stops = np.flatnonzero(symbols == 0)
-    reach = np.repeat(stops, np.diff(np.concatenate([[-1], stops]))) - np.arange(n)
-    key = np.zeros(n, dtype=np.uint64)
-    padded = np.concatenate([symbols, np.zeros(q, symbols.dtype)])
-    for j in range(q):
-        key = (key << np.uint64(9)) | np.where(reach >= j, padded[j : j + n], 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    one = np.concatenate([symbols, np.zeros(q, symbols.dtype)]).astype(np.uint64)
+    two = (one[:-1] << np.uint64(9)) | one[1:]
+    four = (two[:-2] << np.uint64(18)) | two[2:]
+    key = (four[:n] << np.uint64(27)) | (four[3 : n + 3] & np.uint64((1 << 27) - 1))
+    # Nothing counts behind the first separator; suffixes that reach one keep the order of their places.
+    ends = np.zeros(n, bool)
+    for back in range(q):
+        at = stops - back
+        at = at[at >= 0]
+        at = at[~ends[at]]
+        ends[at] = True
+        rest = np.uint64(9 * (q - 1 - back))
+        key[at] = (key[at] >> rest) << rest
+    order = np.argsort(key, kind="stable").astype(np.int32)
     inner = key[order]
-    opens = np.concatenate([[True], (inner[1:] != inner[:-1]) | (reach[order][1:] < q)])
-    rank = np.empty(n, dtype=np.int64)
-    while True:
-        heads = np.flatnonzero(opens)
-        sizes = np.diff(np.concatenate([heads, [n]]))
-        rank[order] = np.repeat(heads, sizes)
-        if q >= depth:
-            return order
-        slots = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    opens = np.concatenate([[True], inner[1:] != inner[:-1]]) | ends[order]
+    del one, two, four, key, inner
+    rank = np.empty(n, dtype=np.uint32)
+    while q < depth:
+        heads = np.flatnonzero(opens).astype(np.uint32)
+        rank[order] = np.repeat(heads, np.diff(heads, append=np.uint32(n)))
+        alone = opens & np.concatenate([opens[1:], [True]])
+        slots = np.flatnonzero(~alone)
         if not len(slots):
-            return order
+            break
         some = order[slots]
-        both = (rank[some].astype(np.uint64) << np.uint64(32)) | rank[some + q].astype(np.uint64)
+        both = (rank[some].astype(np.uint64) << np.uint64(32)) | rank[some + q]
         again = np.argsort(both, kind="stable")
         order[slots] = some[again]
         both = both[again]
         opens[slots] = np.concatenate([[True], both[1:] != both[:-1]])
         q *= 2
+    return order
 
 
 def shared_rows(transform: np.ndarray, stops: int, length: int) -> np.ndarray:
@@ -205,20 +225,24 @@ def shared_rows(transform: np.ndarray, stops: int, length: int) -> np.ndarray:
     return ~known[:n]
 
 
-def repeated_starts(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_starts(segments: list[bytes], weights: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over the segments, each followed by a separator: which positions start a repeated string, which of them are the
-    first of their kind, and where each segment begins."""
+    first of their kind, and where each segment begins. A segment counts as often as its weight says."""
     sizes = np.array([len(s) + 1 for s in segments], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8)
     symbols = data.astype(np.uint16) + np.uint16(1)
     symbols[begins + sizes - 1] = 0
     order = sorted_suffixes(symbols, length)
-    shares = shared_rows(symbols[order - 1], len(segments), length)
-    after = np.concatenate([shares[1:], [False]])
+    heads = np.flatnonzero(~shared_rows(symbols[order - 1], len(segments), length))
+    # How often a suffix's string occurs; one too short for a string is no occurrence of any.
+    counts = np.zeros(len(symbols), dtype=np.int64)
+    for begin, size, weight in zip(begins.tolist(), sizes.tolist(), weights, strict=True):
+        counts[begin : begin + size - length] = weight
+    several = np.add.reduceat(counts[order], heads) > 1
     repeated, head = np.zeros(len(symbols), bool), np.zeros(len(symbols), bool)
-    repeated[order[shares | after]] = True
-    head[order[after & ~shares]] = True
+    repeated[order] = np.repeat(several, np.diff(heads, append=len(symbols)))
+    head[order[heads[several]]] = True
     return repeated, head, begins
 
 
@@ -235,12 +259,13 @@ def _expand_bundle(length: int):
         trim()  # of the bundle before
         pieces = table.column("bytes").to_pylist()
         crowded = table.column("crowded").to_pylist()
-        repeated, head, begins = repeated_starts(pieces, length)
-        spans, loose = [], []
+        repeated, head, begins = repeated_starts(pieces, table.column("weight").to_pylist(), length)
+        spans, loose, whole = [], [], []
         for piece, begin, crowd in zip(pieces, begins.tolist(), crowded, strict=True):
             own = repeated[begin : begin + len(piece)]
             a, b = _runs(own)
             spans.append(np.stack([a, b - 1 + length], axis=1).ravel().tolist() if len(a) else [])
+            whole.append(spans[-1] == [0, len(piece)])
             if not crowd:
                 loose.append(None)
                 continue
@@ -253,7 +278,7 @@ def _expand_bundle(length: int):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scramble * up[: len(piece)])])
                 hashes.append(mix((sums[at + length] - sums[at]) * down[at]).view(np.int64).tolist())
             loose.append([{"h": h, "g": g, "at": i} for h, g, i in zip(*hashes, at.tolist(), strict=True)])
-        return pa.table({"anchor": table.column("anchor"), "content": table.column("content"), "spans": pa.array(spans, pa.list_(pa.int32())), "loose": pa.array(loose, loose_type)})
+        return pa.table({**{k: table.column(k) for k in KIND}, "spans": pa.array(spans, pa.list_(pa.int32())), "whole": whole, "loose": pa.array(loose, loose_type)})
 
     return run
 
@@ -264,13 +289,13 @@ def _expand_bundle(length: int):
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted segments of each text."""
     for batch in batches:
-        anchors, contents, pieces = [], [], []
+        kinds, pieces = [], []
         for data, wanted in zip(batch.column("data").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             for w in wanted:
-                anchors.append(w["anchor"])
-                contents.append(w["content"])
+                kinds.append([w[k] for k in KIND])
                 pieces.append(data[w["first"] : w["first"] + w["size"]])
-        yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(pieces, pa.binary())], ["anchor", "content", "bytes"])
+        columns = [pa.array([k[i] for k in kinds], pa.int64()) for i in range(len(KIND))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(pieces, pa.binary())], [*KIND, "bytes"])
 
 
 def _absolute(first, spans):
@@ -278,38 +303,45 @@ def _absolute(first, spans):
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, bundle: int = BUNDLE) -> DataFrame:
-    """From (rid, data) rows, binary both: (rid, spans), spans being flat start, end pairs of bytes to remove."""
-    found = materialise(rows.filter(F.octet_length("data") >= length).select("rid", "data").mapInArrow(
-        _find_segments(length), "rid binary, anchor long, content long, n long, first int, size int, spans array<int>"))
+    """From (rid, data) rows, binary both: (rid, spans), spans being flat start, end pairs of bytes to remove.
+
+    The result is written; what it took is deleted.
+    """
+    kind, scratch = ", ".join(f"{k} long" for k in KIND), Scratch()
+    found = scratch(rows.filter(F.octet_length("data") >= length).select("rid", "data").mapInArrow(
+        _find_segments(length), f"rid binary, {kind}, n long, first int, size int, spans array<int>"))
     # Aggregates are written before they are joined: a join of two exchanges can be split where an anchor is hot.
-    again = materialise(found.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor"))
-    again = materialise(found.join(again, "anchor"))
-    kinds = materialise(again.groupBy("anchor", "content").agg(F.sum("n").alias("weight"), F.min(F.struct("rid", "first", "size")).alias("one")))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("one.size").alias("most")).filter("kinds > 1")
-    wanted = kinds.join(materialise(several), "anchor").select("anchor", "content", "one.*", "kinds")
-    wanted = materialise(wanted)
+    anchors = scratch(found.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor"))
+    again = scratch(found.join(anchors, "anchor"))
+    scratch.drop(found)
+    kinds = scratch(again.groupBy(*KIND).agg(F.sum("n").alias("weight"), F.min(F.struct("rid", "first", "size")).alias("one")))
+    several = scratch(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")))
+    wanted = scratch(kinds.join(several, "anchor").select(*KIND, "one.*", "weight", "kinds"))
     volume, most = wanted.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("kinds"), F.lit(0))).first()
     bundles = max(1, -(-volume // bundle))
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "content", "first", "size")).alias("wanted"))
-    pieces = rows.join(lists, "rid").select("data", "wanted").mapInArrow(_cut_segments, "anchor long, content long, bytes binary")
+    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct(*KIND, "first", "size")).alias("wanted"))
+    pieces = rows.join(lists, "rid").select("data", "wanted").mapInArrow(_cut_segments, f"{kind}, bytes binary")
     # The same row may come from repeated rows; its bytes are the same.
-    pieces = pieces.join(wanted.select("anchor", "content", "kinds"), ["anchor", "content"]).groupBy("anchor", "content", "kinds").agg(F.first("bytes").alias("bytes"))
+    pieces = pieces.join(wanted.select(*KIND, "weight", "kinds"), [*KIND]).groupBy(*KIND, "weight", "kinds").agg(F.first("bytes").alias("bytes"))
     salt = F.pmod(F.col("content"), F.ceil(F.col("kinds") / F.lit(crowd)))
-    pieces = pieces.select("anchor", "content", "bytes", (F.col("kinds") > crowd).alias("crowded"), F.pmod(F.xxhash64("anchor", salt), F.lit(bundles)).alias("bundle"))
+    pieces = pieces.select(*KIND, "weight", "bytes", (F.col("kinds") > crowd).alias("crowded"), F.pmod(F.xxhash64("anchor", salt), F.lit(bundles)).alias("bundle"))
     loose = "array<struct<h:long,g:long,at:int>>"
-    expanded = materialise(pieces.groupBy("bundle").applyInArrow(_expand_bundle(length), f"anchor long, content long, spans array<int>, loose {loose}"))
-    partial = expanded.select("anchor", "content", "spans")
+    expanded = scratch(pieces.groupBy("bundle").applyInArrow(_expand_bundle(length), f"{kind}, spans array<int>, whole boolean, loose {loose}"))
+    partial = expanded.select(*KIND, "spans", "whole")
     if most > crowd:
-        windows = expanded.filter("loose is not null").select("anchor", "content", F.explode("loose").alias("w")).select("anchor", "content", "w.*")
+        windows = expanded.filter("loose is not null").select(*KIND, F.explode("loose").alias("w")).select(*KIND, "w.*")
         twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
-        hits = windows.join(twice, ["h", "g"]).select("anchor", "content", F.array(F.col("at"), F.col("at") + length).alias("spans"))
+        hits = windows.join(twice, ["h", "g"]).select(*KIND, F.array(F.col("at"), F.col("at") + length).alias("spans"), F.lit(False).alias("whole"))
         # A kind that repeats inside one bundle sent one window only; its others are already in ``spans``.
         partial = partial.unionByName(hits)
     partial = partial.filter(F.size("spans") > 0).withColumnRenamed("spans", "relative")
-    whole = again.join(kinds.filter("weight > 1").select("anchor", "content"), ["anchor", "content"]).select("rid", "spans")
-    some = kinds.filter("weight = 1").select("anchor", "content", "one").join(partial, ["anchor", "content"]).select(
+    # A segment that the expansion found repeated from end to end goes wherever it lies; of others there is one only.
+    whole = again.join(scratch(partial.filter("whole").select(*KIND)), [*KIND]).select("rid", "spans")
+    some = kinds.filter("weight = 1").select(*KIND, "one").join(partial.filter("not whole"), [*KIND]).select(
         F.col("one.rid").alias("rid"), _absolute(F.col("one.first"), F.col("relative")).alias("spans"))
-    return whole.unionByName(some).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = materialise(whole.unionByName(some).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    scratch.drop()
+    return out
 
 
 def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -337,21 +369,43 @@ def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Rec
         )
 
 
+def _rid(doc_id: Column, data: Column) -> Column:
+    return F.unhex(F.md5(F.concat(F.encode(F.coalesce(doc_id.cast("string"), F.lit("-")), "UTF-8"), F.lit(b"\0"), data)))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, **limits) -> DataFrame:
     """All columns of ``docs`` but the text in a struct ``row``, with missing (the text was null), n_bytes, ``kept`` (remaining bytes; with ``as_text`` their
     text, in which a character that a removed span cuts in two goes as a whole), n_removed and n_spans."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rid = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text)))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(text_col).isNull().alias("missing"), F.encode(text, "UTF-8").alias("data"), rid.alias("rid"))
+    data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(text_col).isNull().alias("missing"), data.alias("data"), _rid(F.col(id_col), data).alias("rid"))
     spans = repeated_spans(rows.select("rid", "data"), length, **limits)
     joined = rows.join(spans, "rid", "left").select("row", "missing", F.octet_length("data").cast("long").alias("n_bytes"), "data", "spans")
     kind = joined.schema["row"].dataType.simpleString()
     return joined.mapInArrow(lambda batches: _remove(batches, as_text), f"row {kind}, missing boolean, n_bytes long, kept {'string' if as_text else 'binary'}, n_removed long, n_spans long")
 
 
+def covered(spans: pa.Array) -> pa.Array:
+    """How many bytes lists of flat start, end pairs cover."""
+    out = []
+    for flat in spans.to_pylist():
+        at, n = 0, 0
+        for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)) if flat else ():
+            n += max(0, b - max(a, at))
+            at = max(at, b)
+        out.append(n)
+    return pa.array(out, pa.int64())
+
+
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The digest columns; also n_short, how many of the remaining bytes lie in strings of PASSAGE bytes that occur again
+    among all remaining bytes, and n_repeated, n_removed and n_short together."""
+    kept = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = materialise(kept.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept", F.sha2("kept", 256).alias("kept_sha256")))
+    rid = _rid(F.col("doc_id"), F.col("kept")).alias("rid")
+    short = repeated_spans(kept.select(rid, F.col("kept").alias("data")), PASSAGE)
+    out = kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", rid).join(short, "rid", "left")
+    n_short = F.arrow_udf(covered, "long")("spans")
+    return out.withColumn("n_short", n_short).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_short", (F.col("n_removed") + F.col("n_short")).alias("n_repeated"))
 
 
 QUERIES = {"op4_suffixes": op4_suffixes}

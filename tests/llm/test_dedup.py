@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,12 +121,27 @@ def test_interval_expansion_on_random_texts():
         length = int(rng.integers(2, 30))
         base = [bytes(rng.integers(97, 97 + int(rng.integers(2, 4)), int(rng.integers(1, 90))).astype(np.uint8)) for _ in range(4)]
         segments = [base[rng.integers(4)] + base[rng.integers(4)] for _ in range(int(rng.integers(1, 8)))]
-        counts = Counter(s[k : k + length] for s in segments for k in range(len(s) - length + 1))
-        repeated, head, begins = suffixes.repeated_starts(segments, length)
+        weights = [int(rng.choice([1, 1, 1, 2])) for _ in segments]
+        counts = Counter(s[k : k + length] for s, w in zip(segments, weights) for _ in range(w) for k in range(len(s) - length + 1))
+        repeated, head, begins = suffixes.repeated_starts(segments, weights, length)
+        assert head.sum() == sum(n > 1 for n in counts.values())
         for s, b in zip(segments, begins):
             assert [bool(x) for x in repeated[b : b + len(s) + 1]] == [counts[s[k : k + length]] > 1 if k + length <= len(s) else False for k in range(len(s) + 1)]
 
 
+def test_all_repeats_come_out_of_the_expansion(docs, monkeypatch):
+    def finds_nothing(length):
+        def run(table):
+            n = table.num_rows
+            kinds = {k: table.column(k) for k in suffixes.KIND}
+            return pa.table({**kinds, "spans": pa.array([[]] * n, pa.list_(pa.int32())), "whole": pa.array([False] * n), "loose": pa.nulls(n, pa.list_(pa.struct([("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32())])))})
+
+        return run
+
+    monkeypatch.setattr(suffixes, "_expand_bundle", finds_nothing)
+    assert suffixes.remove_repeats(docs, 90).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_blocks_of_long_texts(monkeypatch, spark):
     monkeypatch.setattr(suffixes, "BLOCK", 1000)
     rng = np.random.default_rng(2)
