@@ -1,9 +1,15 @@
 """Personal data: exact base patterns, extended by a skip-chain conditional random field.
 
 Nodes are the tokens that hold a digit or an at sign; every other token can only be "none", so messages through it are
-constant and it need not be a node. Neighbouring nodes share a transition potential, and repeated or similar tokens of a
-document, however distant, share a skip potential; loopy belief propagation makes their labels agree. A token that the
-field is sure about and no base match touches is an added span. The field learns from the base matches.
+constant and it need not be a node. Neighbouring nodes share a transition potential. Repeated tokens of a document, and
+similar ones (half of a long number, or an address's local part), share skip potentials however distant they are, with the
+occurrence before and with the first, so evidence passes in two steps; loopy belief propagation runs until a document's
+messages settle. A token that the field is sure about and no base match touches is an added span.
+
+The base matches are certain, so the field is fitted on what they leave out: training texts get spoiled repeats of their
+own matches (a local number, a mistyped or regrouped card, a cut address), labelled as the match is, and spoiled matches
+of other texts, which repeat nothing and are labelled as none. So it learns that such a token is personal data where the
+document says so elsewhere, and not by its looks.
 
 Defined results: null and empty texts have no spans; equal texts get equal spans; offsets are code points, ends are
 exclusive; an empty table gives an empty table; without training texts only base matches are found. Results are column
@@ -27,8 +33,12 @@ from loomsieve.llm.common import Once, documents
 KINDS = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 #: Hashed feature rows; most texts the field is fitted on; a token is added from this posterior on.
-ROWS, MAX_TEXTS, SURE = 1 << 13, 3000, 0.95
-EPOCHS, RATE, ROUNDS, DAMPING = 30, 0.3, 12, 0.3
+ROWS, MAX_TEXTS, SURE = 1 << 13, 3000, 0.9
+EPOCHS, RATE, DAMPING = 300, 0.5, 0.3
+#: Messages of a document settle when none moves by more; loops that don't settle end after so many rounds.
+SETTLED, ROUNDS = 1e-4, 100
+#: Potentials of the edges: neighbours, repeated tokens, similar tokens.
+EDGES = ("chain", "same", "similar")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -39,6 +49,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ENTITY = re.compile("[0-9@]")
 _SPACE = re.compile(r"\s")
 _DIGIT = re.compile("[0-9]")
+_LETTER = re.compile(r"[^\W\d_]")
+_LONG_RUN = re.compile(r"(.)\1\1+", re.DOTALL)
 
 
 def luhn(digits: str) -> bool:
@@ -93,68 +105,98 @@ def tokens(text: str) -> list[tuple[int, int]]:
 
 
 def _shape(token: str) -> str:
-    out = []
-    for c in token[:64]:
-        s = "9" if "0" <= c <= "9" else "a" if c.isalpha() else c
-        if not (len(out) > 1 and out[-1] == out[-2] == s):
-            out.append(s)
-    return "".join(out)
+    """Digits as 9 and letters as a, runs of three or more cut to two."""
+    return _LONG_RUN.sub(r"\1\1", _LETTER.sub("a", _DIGIT.sub("9", token)))
 
 
 def _row(*parts) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % ROWS
 
 
-def graph(text: str, at: list[tuple[int, int]]) -> tuple[list[list[int]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """Feature rows of each node, chain edges and skip edges."""
-    features, chain, skip = [], [], []
+def _keys(token: str) -> list[tuple[str, str, str]]:
+    """What links a token to others of its document: (potential, name, value)."""
+    core = "".join(c for c in token if c.isalnum() or c == "@").lower()
+    digits = "".join(_DIGIT.findall(token))
+    keys = [("same", "core", core)]
+    if len(digits) >= 7:
+        keys.append(("same", "tail", digits[-7:]))
+    if len(digits) >= 12:  # one wrong digit leaves one of the halves
+        keys += [("similar", "head", digits[: len(digits) // 2]), ("similar", "half", digits[len(digits) // 2 :])]
+    elif "." in token or "-" in token:
+        keys.append(("similar", "digits", digits))
+    if "@" in token and len(local := token.split("@")[0].lstrip("([{<\"',;:").lower()) >= 4:
+        keys.append(("similar", "local", local))
+    return keys
+
+
+def graph(text: str, at: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> tuple[list[list[int]], dict[str, list[tuple[int, int]]]]:
+    """Feature rows of each node, and the edges of each potential. ``spans`` are the base matches, sorted: the first token
+    of one also has the whole match's links."""
+    features: list[list[int]] = []
+    edges: dict[str, list[tuple[int, int]]] = {name: [] for name in EDGES}
+    first: dict[tuple, int] = {}
     last: dict[tuple, int] = {}
     shapes = [_shape(text[s:e]) for s, e in at]
+    k = 0
     for i, (s, e) in enumerate(at):
         token = text[s:e]
-        core = "".join(c for c in token if c.isalnum() or c == "@").lower()
-        digits = sum("0" <= c <= "9" for c in token)
+        core = sum(c.isalnum() or c == "@" for c in token)
+        digits = len(_DIGIT.findall(token))
         near = bool(i) and not text[at[i - 1][1] : s].strip()
         after = i + 1 < len(at) and not text[e : at[i + 1][0]].strip()
         features.append([
             _row("bias"), _row("shape", shapes[i]), _row("digits", min(digits, 20)), _row("head", token[0], token[-1]),
-            _row("counts", token.count("@"), min(token.count("."), 4), min(token.count("-"), 4)), _row("all", digits == len(core)),
-            _row("check", 12 <= digits <= 19 and luhn("".join(c for c in token if "0" <= c <= "9"))),
+            _row("counts", token.count("@"), min(token.count("."), 4), min(token.count("-"), 4)), _row("all", digits == core),
+            _row("check", 12 <= digits <= 19 and luhn("".join(_DIGIT.findall(token)))),
             _row("before", shapes[i - 1] if near else ""), _row("after", shapes[i + 1] if after else ""),
         ])
         if near:
-            chain.append((i - 1, i))
-        # Occurrences of a key are linked in a row, each to the one before: a third of a text may share one key.
-        links = {last[k] for k in (("same", core), ("tail", core[-7:]) if digits >= 7 else ("same", core)) if k in last}
-        skip.extend((j, i) for j in links if not near or j != i - 1)
-        last["same", core] = i
-        if digits >= 7:
-            last["tail", core[-7:]] = i
-    return features, chain, skip
-
-
-def _propagate(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray) -> np.ndarray:
-    """Beliefs by damped loopy belief propagation; potentials (edges, from, to) are exponentials."""
+            edges["chain"].append((i - 1, i))
+        keys = _keys(token)
+        while k < len(spans) and spans[k][1] < e:
+            keys += _keys(text[spans[k][1] : spans[k][2]])
+            k += 1
+        # The occurrence before and the first: a third of a text may share one key, and still has two edges a token.
+        linked: set[int] = set()
+        for kind in ("same", "similar"):
+            for key in keys:
+                if key[0] == kind:
+                    linked |= {j for j in (last.get(key), first.get(key)) if j is not None and j not in (i, i - 1 if near else i)}
+            done = {j for name in ("same", "similar") for j, x in edges[name][-8:] if x == i}
+            edges[kind] += [(j, i) for j in sorted(linked - done)]
+        for key in keys:
+            first.setdefault(key, i)
+            last[key] = i
+    return features, edges
+
+
+def _propagate(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """Beliefs by damped loopy belief propagation; potentials (edges, from, to) are exponentials. A text's messages stop
+    when they have settled, so its beliefs don't depend on the texts beside it."""
     n, k = unary.shape
-    node = np.exp(unary - unary.max(1, keepdims=True))
-    if not len(edges):
-        return node / node.sum(1, keepdims=True)
+    node = np.log(np.exp(unary - unary.max(1, keepdims=True)) + 1e-12)
+    half = len(edges)
     source = np.concatenate([edges[:, 0], edges[:, 1]])
     target = np.concatenate([edges[:, 1], edges[:, 0]])
     both = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
-    half = len(edges)
     back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
     message = np.full((2 * half, k), 1 / k)
+    live = np.arange(2 * half)
     for _ in range(ROUNDS):
-        logs = np.log(message)
-        total = np.log(node + 1e-12)
-        np.add.at(total, target, logs)
-        send = total[source] - logs[back]
+        if not len(live):
+            break
+        total = node.copy()
+        np.add.at(total, target[live], np.log(message[live]))
+        send = total[source[live]] - np.log(message[back[live]])
         send = np.exp(send - send.max(1, keepdims=True))
-        new = np.einsum("ek,ekj->ej", send, both)
+        new = np.einsum("ek,ekj->ej", send, both[live])
         new /= new.sum(1, keepdims=True)
-        message = np.maximum(DAMPING * message + (1 - DAMPING) * new, 1e-12)
-    total = np.log(node + 1e-12)
+        new = np.maximum(DAMPING * message[live] + (1 - DAMPING) * new, 1e-12)
+        moved = np.zeros(text_of[-1] + 1)
+        np.maximum.at(moved, text_of[target[live]], np.abs(new - message[live]).max(1))
+        message[live] = new
+        live = live[moved[text_of[target[live]]] > SETTLED]
+    total = node
     np.add.at(total, target, np.log(message))
     out = np.exp(total - total.max(1, keepdims=True))
     return out / out.sum(1, keepdims=True)
@@ -175,42 +217,93 @@ def _overlaps(at: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> l
     return out
 
 
+def spoiled(kind: str, match: str, rng: np.random.Generator) -> str:
+    """A match as a later mention may have it, so that no base pattern takes it for its kind."""
+    digits = "".join(_DIGIT.findall(match))
+    if kind == "phone":
+        return (f"{digits[-7:-4]}-{digits[-4:]}", digits[-10:], f"{digits[-7:-4]}.{digits[-4:]}")[rng.integers(3)]
+    if kind == "card":
+        if rng.integers(2):
+            at = int(rng.integers(len(digits)))
+            return digits[:at] + str((int(digits[at]) + int(rng.integers(1, 10))) % 10) + digits[at + 1 :]
+        return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == "email":
+        local, domain = match.split("@", 1)
+        return f"{local}@{domain.split('.')[0]}"
+    return match.replace(".", "-")
+
+
+def _other(match: str, rng: np.random.Generator) -> str:
+    """A match of the same look with its own letters and digits."""
+    return "".join(str(rng.integers(10)) if c in "0123456789" else chr(97 + rng.integers(26)) if c.isalpha() else c for c in match)
+
+
+def spoil(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with spoiled repeats of its own matches and of made-up ones put between its words: (text, (start, end,
+    label) of each, label 0 for made-up ones)."""
+    known = base_spans(text)
+    if not known:
+        return text, []
+    extra = []
+    for kind, s, e in known[:: max(1, len(known) // 8)]:
+        if rng.integers(2):
+            extra.append((spoiled(kind, text[s:e], rng), 1 + _RANK[kind]))
+        if rng.integers(2):
+            extra.append((spoiled(kind, _other(text[s:e], rng), rng), 0))
+    gaps = [m.start() for m in _SPACE.finditer(text) if not any(s < m.start() < e for _, s, e in known)] or [len(text)]
+    places = sorted((gaps[int(rng.integers(len(gaps)))], i) for i in range(len(extra)))
+    out, marks, at, size = [], [], 0, 0
+    for place, i in places:
+        token, label = extra[i]
+        out += [text[at:place], " and " + token + " and"]
+        size += place - at + 5
+        marks.append((size, size + len(token), label))
+        size += len(token) + 4
+        at = place
+    return "".join([*out, text[at:]]), marks
+
+
+def _truth(at: list[tuple[int, int]], spans: list[tuple[str, int, int]], marks: list[tuple[int, int, int]]) -> list[int]:
+    wanted = {(s, e): label for s, e, label in marks}
+    return [wanted.get(span, label) for span, label in zip(at, _overlaps(at, spans), strict=True)]
+
+
 def fit(texts: list[str]) -> dict:
-    """Pseudo-likelihood: each node given the labels of its neighbours, with labels from the base matches, by AdaGrad."""
+    """Pseudo-likelihood: each node given the labels of its neighbours, by AdaGrad; each text as it is and spoiled."""
     k = len(KINDS) + 1
-    model = {"unary": np.zeros((ROWS, k)), "chain": np.zeros((k, k)), "skip": np.zeros((k, k))}
-    features, truth, chain, skip = [], [], [], []
+    model = {"unary": np.zeros((ROWS, k)), **{name: np.zeros((k, k)) for name in EDGES}}
+    features, truth = [], []
+    found: dict[str, list[tuple[int, int]]] = {name: [] for name in EDGES}
+    rng = np.random.default_rng(11)
     for text in texts:
-        at = tokens(text)
-        f, c, s = graph(text, at)
-        n = len(truth)
-        truth += _overlaps(at, base_spans(text))
-        features += f
-        chain += [(a + n, b + n) for a, b in c]
-        skip += [(a + n, b + n) for a, b in s]
+        for some, marks in ((text, []), spoil(text, rng)):
+            at, spans = tokens(some), base_spans(some)
+            f, edges = graph(some, at, spans)
+            n = len(truth)
+            truth += _truth(at, spans, marks)
+            features += f
+            for name in EDGES:
+                found[name] += [(a + n, b + n) for a, b in edges[name]]
     if not truth:
         return model
     rows, y = np.array(features), np.array(truth)
-    links = {"chain": np.array(chain, dtype=np.int64).reshape(-1, 2), "skip": np.array(skip, dtype=np.int64).reshape(-1, 2)}
+    links = {name: np.array(e, dtype=np.int64).reshape(-1, 2) for name, e in found.items()}
     want = np.eye(k)[y]
     square = {name: np.full_like(v, 1e-6) for name, v in model.items()}
-    for epoch in range(EPOCHS):
+    for _ in range(EPOCHS):
         score = model["unary"][rows].sum(1)
         for name, e in links.items():
             np.add.at(score, e[:, 1], model[name][y[e[:, 0]]])
             np.add.at(score, e[:, 0], model[name].T[y[e[:, 1]]])
         p = np.exp(score - score.max(1, keepdims=True))
         miss = (p / p.sum(1, keepdims=True) - want) / len(y)
-        grads = {"unary": np.zeros_like(model["unary"])}
-        for column in rows.T:
-            np.add.at(grads["unary"], column, miss)
+        pulls = np.repeat(miss, rows.shape[1], axis=0)
+        grads = {"unary": np.stack([np.bincount(rows.ravel(), weights=pulls[:, j], minlength=ROWS) for j in range(k)], axis=1)}
         for name, e in links.items():
             g = np.zeros((k, k))
             np.add.at(g, y[e[:, 0]], miss[e[:, 1]])
             np.add.at(g.T, y[e[:, 1]], miss[e[:, 0]])
-            if name == "skip":
-                g = (g + g.T) / 2  # the order of two distant tokens says nothing
-            grads[name] = g
+            grads[name] = g if name == "chain" else (g + g.T) / 2  # the order of two distant tokens says nothing
         for name, g in grads.items():
             g = g + 1e-6 * model[name]
             square[name] += g**2
@@ -220,28 +313,30 @@ def fit(texts: list[str]) -> dict:
 
 def added_spans(model: dict, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """Tokens that the field is sure to be personal data and no base match touches."""
-    where, at_of, features, edges, kinds = [], [], [], [], []
+    where, features, edges, kinds, taken, text_of = [], [], [], [], [], []
     for k, text in enumerate(texts):
-        at = tokens(text)
+        # Without a base match nothing is observed, and looks alone make no token personal data.
+        at = tokens(text) if bases[k] else []
         if at:
-            f, c, s = graph(text, at)
+            f, links = graph(text, at, bases[k])
             n = len(features)
             features += f
-            edges += [(a + n, b + n) for a, b in (*c, *s)]
-            kinds += [0] * len(c) + [1] * len(s)
-            where.append((k, n))
-            at_of.append(at)
+            for i, name in enumerate(EDGES):
+                edges += [(a + n, b + n) for a, b in links[name]]
+                kinds += [i] * len(links[name])
+            taken += _overlaps(at, bases[k])
+            text_of += [len(where)] * len(at)
+            where.append((k, n, at))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not features:
         return out
-    both = np.exp(np.stack([model["chain"], model["skip"]]))
-    unary = model["unary"][np.array(features)].sum(1)
-    taken = np.concatenate([_overlaps(at, bases[k]) for (k, _), at in zip(where, at_of, strict=True)])
-    unary[taken > 0] += 20 * np.eye(unary.shape[1])[taken[taken > 0]]  # base matches are observed
-    belief = _propagate(unary, np.array(edges, dtype=np.int64).reshape(-1, 2), both[np.array(kinds, dtype=int)])
+    both = np.exp(np.stack([model[name] for name in EDGES]))
+    unary, seen = model["unary"][np.array(features)].sum(1), np.array(taken)
+    unary[seen > 0] += 20 * np.eye(unary.shape[1])[seen[seen > 0]]  # base matches are observed
+    belief = _propagate(unary, np.array(edges, dtype=np.int64).reshape(-1, 2), both[np.array(kinds, dtype=int)], np.array(text_of))
     best = belief.argmax(1)
-    sure = (belief.max(1) >= SURE) & (best > 0) & (taken == 0)
-    for (k, n), at in zip(where, at_of, strict=True):
+    sure = (belief.max(1) >= SURE) & (best > 0) & (seen == 0)
+    for k, n, at in where:
         for i in np.flatnonzero(sure[n : n + len(at)]):
             s, e = at[i]
             token = texts[k][s:e]
@@ -306,12 +401,14 @@ def redact(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest columns; also n_spans, how many spans a text has with the added ones."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     run = finder(spark, train(docs))
     out = docs.select("doc_id", run(F.col("text")).alias("found")).select("doc_id", F.col("found.base").alias("base"), F.col("found.spans").alias("spans"))
     as_text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *map(count, KINDS), F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return out.select("doc_id", *map(count, KINDS), F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), n_spans)
 
 
 QUERIES = {"op10_pii": op10_pii}
