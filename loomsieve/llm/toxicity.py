@@ -1,12 +1,18 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
 A word's vector is the sum of two hashed embeddings, of the word and of its first bytes. Filters of widths 1, 2 and 3
-slide over the words, each is max-pooled over the whole text, and a logistic layer scores the pooled values. Thresholds
-are calibrated by language on labelled rows that the weights did not see.
+slide over the words, each is max-pooled over the whole text, and a logistic layer scores the pooled values. The first
+component of a word's embedding begins as how much more often toxic texts hold the word than chance would have it (in
+standard deviations, so that few texts say little), and the first filter reads it: small samples need no more.
+
+Thresholds are calibrated by language: labelled rows are scored by classifiers that did not see them (cross-fitting), and
+each language's scores are moved so that its own best threshold lies at CUT. The language is guessed from the text's word
+beginnings, since a score has no other input than the text.
 
 Defined results: null and empty texts and texts without words get the score of an empty text; equal texts get equal
 scores; an empty table gives an empty table; without labelled rows of both classes every score is 0. Scores are a column
-expression, so other columns stay as they are. Very long texts are pooled over overlapping parts, which changes nothing.
+expression, so other columns stay as they are. Texts above 4 million characters are pooled over parts cut at white space
+that overlap by more than a filter's width, which changes nothing; only one word without end longer than that is cut.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsieve.llm.common import WORD_BYTE, Once, blocks, cut_long, documents, held_out, joined, spans_of, word_hashes
@@ -27,9 +33,12 @@ PAD = WORD_ROWS + HEAD_ROWS
 #: Most labelled rows of class 1 and of class 0 that the classifier is fitted on (chosen by hash of the id).
 MAX_TOXIC, MAX_CLEAN = 2500, 5000
 #: Passes over the sample, at least; small samples get more, up to as many updates as STEPS.
-EPOCHS, STEPS, BATCH, RATE = 5, 1000, 32, 0.08
-#: The score that the calibrated threshold is moved to.
+EPOCHS, STEPS, BATCH, RATE = 3, 300, 32, 0.08
+#: The score that calibrated thresholds are moved to.
 CUT = 0.7
+#: Parts of the sample that are scored by a classifier of the others; a language has its own threshold from so many
+#: labelled texts and toxic ones on.
+FOLDS, LANG_TEXTS, LANG_TOXIC = 3, 50, 10
 
 
 def word_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,38 +87,75 @@ def _pooled(model: dict, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_texts(model: dict, texts: list[str]) -> np.ndarray:
-    scores = np.zeros(len(texts))
-    if model.get("void"):
-        return scores
+def _languages(model: dict, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each text's word beginnings in each language that has its own threshold (and in all others)."""
+    words = model["speech"][rows[:, 1] - WORD_ROWS]
+    return np.add.reduceat(words, begins[:-1], axis=0) if len(begins) > 1 else np.zeros((0, model["speech"].shape[1]))
+
+
+def _logits(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The uncalibrated score of each text, as a logit, and the language it is taken for."""
     parts, owner = cut_long(texts, overlap=4096)
     pooled = np.full((len(texts), len(WIDTHS) * FILTERS), -np.inf, dtype=np.float32)
+    spoken = np.zeros((len(texts), model["speech"].shape[1]))
     for begin, end in blocks(parts, 1 << 20):
-        np.maximum.at(pooled, owner[begin:end], _pooled(model, *word_rows(parts[begin:end])))
+        rows, begins = word_rows(parts[begin:end])
+        np.maximum.at(pooled, owner[begin:end], _pooled(model, rows, begins))
+        np.add.at(spoken, owner[begin:end], _languages(model, rows, begins))
     hidden = np.maximum(pooled + model["bias"], 0)
-    return 1 / (1 + np.exp(-np.clip((hidden @ model["out"]).astype(np.float64) + model["shift"], -30, 30)))
+    return (hidden @ model["out"]).astype(np.float64) + model["shift"], spoken.argmax(1)
 
 
-def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int = 7) -> dict:
-    """Fit on the texts; a quarter of them only calibrates the thresholds. The result's size doesn't depend on the texts."""
-    y = np.asarray(labels, dtype=np.float32)
-    if not len(y) or y.min() == y.max():
-        return {"void": True, "thresholds": {}}
+def score_texts(model: dict, texts: list[str]) -> np.ndarray:
+    if model.get("void") or not len(texts):
+        return np.zeros(len(texts))
+    logits, lang = _logits(model, texts)
+    return 1 / (1 + np.exp(-np.clip(logits + model["moves"][lang], -30, 30)))
+
+
+def _speech(rows: list[np.ndarray], langs: list[str | None], own: list[str]) -> np.ndarray:
+    """Log-frequencies of word beginnings: a column for each of ``own``, then one for all other languages together."""
+    counts = np.full((HEAD_ROWS + 1, len(own) + 1), 0.5)
+    for r, lang in zip(rows, langs, strict=True):
+        column = own.index(lang) if lang in own else len(own)
+        counts[:HEAD_ROWS, column] += np.bincount(r[:-1, 1] - WORD_ROWS, minlength=HEAD_ROWS)
+    out = np.log(counts / counts.sum(0))
+    if all(lang in own for lang in langs):
+        out[:, -1] = out[:, :-1].min(1) - 1  # there are no others
+    out[HEAD_ROWS] = 0  # the pad after a text
+    return out.astype(np.float32)
+
+
+def _surprise(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """For every word row: by how many standard deviations more toxic texts hold it than chance would have it."""
+    held, toxic = np.zeros(WORD_ROWS), np.zeros(WORD_ROWS)
+    for r, label in zip(rows, y, strict=True):
+        words = np.unique(r[:-1, 0])
+        held[words] += 1
+        toxic[words] += label
+    p = float(y.mean())
+    return (toxic - held * p) / np.sqrt(held * p * (1 - p) + 1)
+
+
+def _learn(rows: list[np.ndarray], y: np.ndarray, seed: int) -> dict:
+    """The classifier's weights from texts as embedding rows, by AdaGrad."""
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (PAD + 1, DIM)).astype(np.float32)
+    emb[:, 0] = 0
+    emb[:WORD_ROWS, 0] = np.clip(_surprise(rows, y), -4, 8) / 4
     emb[PAD] = 0
-    model = {"emb": emb, "bias": np.zeros(len(WIDTHS) * FILTERS, np.float32), "out": rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "shift": 0.0}
+    model = {"emb": emb, "bias": np.zeros(len(WIDTHS) * FILTERS, np.float32), "out": rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32), "shift": 0.0}
     model |= {f"w{w}": rng.normal(0, 1 / np.sqrt(w * DIM), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
-    order = rng.permutation(len(texts))
-    calibration, train = order[: len(order) // 4], order[len(order) // 4 :]
-    rows = [word_rows([t])[0] for t in texts]
+    model["w1"][0, :, 0] = np.eye(DIM)[0] * 2
+    model["out"][0], model["bias"][0], model["shift"] = 2.0, -1.0, -2.0
     square = {k: np.full_like(v, 1e-3) for k, v in model.items() if k != "shift"}
     shift_square = 1e-3
     wide = max(WIDTHS)
     tail = np.full((wide - 1, 2), PAD, dtype=np.int32)
-    epochs = max(EPOCHS, min(40, STEPS * BATCH // max(len(train), 1)))
+    epochs = max(EPOCHS, min(40, STEPS * BATCH // max(len(rows), 1)))
     for epoch in range(epochs):
         rate = RATE / (1 + 3 * epoch / epochs)
+        train = rng.permutation(len(rows))
         for b in range(0, len(train), BATCH):
             some = train[b : b + BATCH]
             ids = np.concatenate([x for i in some for x in (rows[i], tail)])
@@ -139,9 +185,10 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int
                     for column in (0, 1):
                         touched.append(ids[(where[k] + j).ravel(), column])
                         pulls.append(pull)
-            unique, inverse = np.unique(np.concatenate(touched), return_inverse=True)
-            summed = np.zeros((len(unique), DIM), np.float32)
-            np.add.at(summed, inverse, np.concatenate(pulls))
+            at = np.concatenate(touched)
+            order = np.argsort(at)
+            firsts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            unique, summed = at[order[firsts]], np.add.reduceat(np.concatenate(pulls)[order], firsts, axis=0)
             summed[unique == PAD] = 0
             square["emb"][unique] += summed**2
             model["emb"][unique] -= rate * summed / np.sqrt(square["emb"][unique])
@@ -150,39 +197,56 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int
                 model[name] -= (rate * grad / np.sqrt(square[name])).astype(np.float32)
             shift_square += float(g.sum()) ** 2
             model["shift"] -= rate * float(g.sum()) / np.sqrt(shift_square)
-    ready = _tables(model)
-    scores = score_texts(ready, [texts[i] for i in calibration])
-    best = _threshold(scores, y[calibration])
-    logit = lambda s: float(np.log(s / (1 - s)))
-    moved = logit(CUT) - logit(best)
-    model["shift"] += moved
-    scores = 1 / (1 + np.exp(-(np.log(scores / (1 - scores)) + moved)))
-    by_lang: dict[str, float] = {}
-    for lang in sorted({str(langs[i]) for i in calibration if langs[i] is not None}):
-        own = np.array([langs[i] == lang for i in calibration])
-        if own.sum() >= 50 and 5 <= y[calibration][own].sum() < own.sum():
-            by_lang[lang] = _threshold(scores[own], y[calibration][own])
-    model["thresholds"] = by_lang
     return model
 
 
-def _threshold(scores: np.ndarray, y: np.ndarray) -> float:
+def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int = 7) -> dict:
+    """Fit on the texts. The result's size doesn't depend on the texts, but for a column for each language."""
+    y = np.asarray(labels, dtype=np.float32)
+    if not len(y) or y.min() == y.max():
+        return {"void": True}
+    langs = [None if g is None else str(g) for g in langs]
+    rows = [word_rows([t])[0] for t in texts]
+    own = sorted({g for g in langs if g is not None and (mine := np.array([x == g for x in langs])).sum() >= LANG_TEXTS and y[mine].sum() >= LANG_TOXIC and (1 - y[mine]).sum() >= LANG_TOXIC})
+    speech = _speech(rows, langs, own)
+    # Each class is dealt evenly to the folds.
+    fold = np.empty(len(y), dtype=int)
+    rng = np.random.default_rng(seed)
+    for label in (0, 1):
+        at = np.flatnonzero(y == label)
+        fold[rng.permutation(at)] = np.arange(len(at)) % FOLDS
+    logits, guess = np.zeros(len(y)), np.zeros(len(y), dtype=int)
+    for k in range(FOLDS):
+        seen, unseen = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(unseen) and y[seen].min() < y[seen].max():
+            part = _tables(_learn([rows[i] for i in seen], y[seen], seed) | {"speech": speech})
+            logits[unseen], guess[unseen] = _logits(part, [texts[i] for i in unseen])
+    cut = np.log(CUT / (1 - CUT))
+    common = cut - _threshold(logits, y)
+    moves = np.full(len(own) + 1, common)
+    for k in range(len(own)):
+        mine = guess == k
+        if mine.sum() >= LANG_TEXTS and min(y[mine].sum(), (1 - y[mine]).sum()) >= LANG_TOXIC:
+            moves[k] = cut - _threshold(logits[mine], y[mine])
+    return _learn(rows, y, seed) | {"speech": speech, "moves": moves, "languages": own}
+
+
+def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
     """In the middle of the widest gap among cuts of nearly the best F1, so that neither class sits at the edge."""
-    grid = np.sort(np.concatenate([[1e-6], scores, [1 - 1e-6]]))
-    logits = np.log(np.clip(grid, 1e-9, 1 - 1e-9) / (1 - np.clip(grid, 1e-9, 1 - 1e-9)))
-    middles = 1 / (1 + np.exp(-(logits[1:] + logits[:-1]) / 2))
-    pos = np.sort(scores[y == 1])
-    neg = np.sort(scores[y == 0])
+    grid = np.sort(np.concatenate([[-8.0], np.clip(logits, -8, 8), [8.0]]))
+    middles = (grid[1:] + grid[:-1]) / 2
+    pos = np.sort(logits[y == 1])
+    neg = np.sort(logits[y == 0])
     tp = len(pos) - np.searchsorted(pos, middles)
     fp = len(neg) - np.searchsorted(neg, middles)
     f1 = 2 * tp / np.maximum(tp + fp + len(pos), 1)
     near = f1 >= f1.max() - 0.002
-    gap = np.where(near, np.diff(logits), -1)
-    return float(np.clip(middles[gap.argmax()], 0.02, 0.98))
+    return float(middles[np.where(near, np.diff(grid), -1).argmax()])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> list[tuple[str, int, str | None]]:
-    """The bounded sample that the classifier learns from: (text, label, language) of rows outside the held-out fold."""
+    """The bounded sample that the classifier learns from: (text, label, language) of rows outside the held-out fold. Where
+    ids repeat, at most twice as many rows as ids, in the order of the ids' hash."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, max_toxic), (0, max_clean))]
@@ -209,16 +273,10 @@ def scorer(spark: SparkSession, model: dict):
     return score
 
 
-def threshold(model: dict, lang: Column) -> Column:
-    """The calibrated threshold of a row's language; the common one for others."""
-    pairs = [F.lit(x) for item in sorted(model["thresholds"].items()) for x in item]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(lang, F.lit(""))) if pairs else F.lit(None), F.lit(CUT))
-
-
-def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose score is below the threshold of their language, with the columns they had."""
+def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below CUT, where the threshold of every language lies, with the columns they had."""
     score = scorer(docs.sparkSession, model)
-    return docs.filter(score(F.col(text_col)) < threshold(model, F.col(lang_col)))
+    return docs.filter(score(F.col(text_col)) < CUT)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
