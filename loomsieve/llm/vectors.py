@@ -36,10 +36,6 @@ SLACK = 1e-5
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float32()), ("tie", pa.bool_())])
 
 
-def _unit(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f4").reshape(len(column), -1)
-
-
 def _best(a: np.ndarray, b: np.ndarray, sim: np.ndarray, most: int) -> np.ndarray:
     """Places of the ``most`` best distinct entries of each a."""
     order = np.lexsort((b, -sim, a))
@@ -233,21 +229,27 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     v = F.col(vector_col).cast("array<double>")
     sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.when(sound, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
-    rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    # 128 bits tell vectors apart; a node's number is given where the nodes are written.
+    same = [F.when(F.col("v").isNotNull(), F.xxhash64(*seed, "v")).alias(name) for name, seed in (("h", []), ("g", [F.lit("g")]))]
+    rows = rows.select("id", "v", *same)
 
     def pack(batch: pa.Array) -> pa.Array:
-        return pa.array([np.array(x, dtype="<f8").tobytes() for x in batch.to_pylist()], pa.binary())
+        """Scaled by a power of two, which changes no cosine, so that squares neither overflow nor vanish."""
+        out = []
+        for x in batch.to_pylist():
+            y = np.array(x, dtype="<f8")
+            out.append(np.ldexp(y, -np.frexp(np.abs(y).max())[1]).astype("<f8").tobytes())
+        return pa.array(out, pa.binary())
 
     def unit(batch: pa.Array) -> pa.Array:
         out = []
         for x in batch.to_pylist():
             y = np.frombuffer(x, "<f8")
-            y = y / np.abs(y).max()
             out.append((y / np.sqrt(y @ y)).astype("<f4").tobytes())
         return pa.array(out, pa.binary())
 
-    nodes = rows.filter("v is not null").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least"))
-    nodes = materialise(nodes.withColumn("raw", F.arrow_udf(pack, "binary")("v")).withColumn("unit", F.arrow_udf(unit, "binary")("raw")).drop("v"))
+    nodes = rows.filter("v is not null").groupBy("h", "g").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("raw", F.arrow_udf(pack, "binary")("v")).withColumn("unit", F.arrow_udf(unit, "binary")("raw")).drop("v"))
     count = nodes.count()
     lists, ties, recall = None, None, 0.0
     for attempt in range(ATTEMPTS):
@@ -274,11 +276,11 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().join(dense.select(F.col("node").alias("a")), "a", "left_anti")
     sparse = both.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "node")
     links = _blocks(nodes, dense, sizes, threshold).unionByName(sparse)
-    placed = nodes.select("node", "n", "least").join(links, "node", "left").join(roots, "node", "left")
-    placed = placed.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"), "least")
+    placed = nodes.select("node", "h", "g", "n", "least").join(links, "node", "left").join(roots, "node", "left")
+    placed = placed.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"), "least")
     placed = materialise(placed)
-    named = placed.join(materialise(placed.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("node", "n_links", "component_id")
-    out = rows.select("id", "node").join(named, "node", "left")
+    named = placed.join(materialise(placed.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("h", "g", "n_links", "component_id")
+    out = rows.select("id", "h", "g").join(named, ["h", "g"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 
