@@ -11,6 +11,7 @@ rows with equal ids follow each other by text, null ids come first; an empty tab
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,25 +71,27 @@ def as_string(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.hex(h))), ",")
 
 
-def with_next(df: DataFrame, order_col: str, columns: list[str], tie: str) -> DataFrame:
+def with_next(df: DataFrame, order_col: str, columns: list[str], tie: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Add ``next_<c>``: column c of the following row in ascending order, the first row's after the last. The order
     column is numeric.
 
     Rows are cut into ranges of the order column at approximate quantiles; each range also gets the first row of the next
-    one, so every range is a bounded window and no task orders the whole table.
+    one, so every range is a bounded window and no task orders the whole table. ``prepare`` adds columns (some of
+    ``columns`` may be among them) once the ranges' first rows are known, so that they aren't computed to find those.
     """
     spark = df.sparkSession
     wanted = 8 * partitions(spark)
     key = F.col(order_col).cast("double")
     cuts = sorted(set(df.select(key.alias("k")).approxQuantile("k", [i / wanted for i in range(1, wanted)], 1 / (4 * wanted))))
-    df = df.withColumn("__range", _position(cuts, key))
+    raw = df.withColumn("__range", _position(cuts, key))
     rank = F.struct(F.col(order_col).alias("o"), F.col(tie).alias("t"))
-    heads = df.groupBy("__range").agg(F.min_by(F.struct(*columns), rank).alias("__head")).select("__range", "__head")
+    heads = raw.groupBy("__range").agg(F.min_by(F.struct(*(f"`{c}`" for c in df.columns)), rank).alias("__head"))
+    heads, df = prepare(heads.select("__range", "__head.*")), prepare(raw)
     ranges = [r[0] for r in heads.select("__range").orderBy("__range").collect()]  # as many as ranges
     if not ranges:
         return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns)).drop("__range")
     follows = spark.createDataFrame([(r, ranges[i - 1]) for i, r in enumerate(ranges)], "__range int, __to int")
-    heads = heads.join(F.broadcast(follows), "__range").select(F.col("__to").alias("__range"), *(F.col(f"__head.{c}").alias(c) for c in columns), F.lit(1).alias("__sentinel"))
+    heads = heads.join(F.broadcast(follows), "__range").select(F.col("__to").alias("__range"), *columns, F.lit(1).alias("__sentinel"))
     both = df.withColumn("__sentinel", F.lit(0)).unionByName(heads, allowMissingColumns=True)
     window = Window.partitionBy("__range").orderBy("__sentinel", order_col, tie)
     out = both.select("*", F.lead(F.struct(*columns)).over(window).alias("__next"))
@@ -104,8 +107,7 @@ def _position(cuts: list[float], value: Column) -> Column:
 
 def op5_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_sketch(docs, "text", "sketch")
-    docs = with_next(docs, "doc_id", ["text", "sketch"], tie="text").withColumn("n_chars", F.char_length("text").cast("long"))
+    docs = with_next(docs, "doc_id", ["text", "sketch"], tie="text", prepare=lambda d: with_sketch(d, "text", "sketch")).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
     docs = docs.select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited"))
