@@ -15,12 +15,12 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def unwrapped(text: Column, depth: int = 4) -> Column:
-    """Without outer braces and double quotes, to the given depth."""
-    out = F.trim(text)
-    for _ in range(depth):
-        out = F.trim(F.regexp_replace(out, r'(?s)^\{(.*)\}$|^"(.*)"$', "$1$2"))
-    return out
+def unwrapped(text: Column) -> Column:
+    """Without outer braces and double quotes, however many there are around one another."""
+    once = lambda t, _: F.trim(F.regexp_replace(t, r'(?s)^\{(.*)\}$|^"(.*)"$', "$1$2"))
+    # Each layer has an opening sign, so there are no more layers than such signs at the start.
+    signs = F.length(F.regexp_extract(text, r'^[\s{"]+', 0))
+    return F.when(text.rlike(r'^\s*[{"]'), F.aggregate(F.sequence(F.lit(1), signs), F.trim(text), once)).otherwise(F.trim(text))
 
 
 #: TeX escapes and signs with a fixed spelling in normalized titles, replaced in this order.
@@ -162,19 +162,47 @@ def surname(author: Column) -> Column:
     return F.when(a.contains(","), F.trim(F.substring_index(a, ",", 1))).otherwise(F.substring_index(a, " ", -1))
 
 
+def _attribute(tag: Column, names: str) -> Column:
+    """The value of a tag's attribute, in quotes of either kind; null where it has none."""
+    pattern = rf"(?is)\b(?:{names})\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    return F.when(tag.rlike(pattern), F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2)))
+
+
 def meta_tags(html: Column) -> Column:
-    """map<name, array<content>> of a page's meta tags, in order of appearance; names and contents squeezed."""
-    pattern = F.lit(r'(?is)<meta[^>]+(?:name|property)="([^"]+)"[^>]+content="([^"]*)"')
-    pairs = F.arrays_zip(F.regexp_extract_all(html, pattern, 1).alias("k"), F.regexp_extract_all(html, pattern, 2).alias("v"))
-    clean = F.transform(pairs, lambda p: F.struct(squeeze(p["k"]).alias("k"), stripped_tags(p["v"]).alias("v")))
-    names = F.array_distinct(F.filter(F.transform(clean, lambda p: p["k"]), lambda k: k != ""))
+    """map<name, array<content>> of a page's meta tags, in order of appearance; names and contents squeezed. Attributes
+    may stand in any order and in quotes of either kind."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0)
+    pairs = F.transform(tags, lambda t: F.struct(squeeze(_attribute(t, "name|property")).alias("k"), stripped_tags(_attribute(t, "content")).alias("v")))
+    clean = F.filter(pairs, lambda p: (F.coalesce(p["k"], F.lit("")) != "") & p["v"].isNotNull())
+    names = F.array_distinct(F.transform(clean, lambda p: p["k"]))
     return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.transform(F.filter(clean, lambda p: p["k"] == n), lambda p: p["v"]))))
 
 
+def _named(tags: Column, names: tuple[str, ...]) -> list[Column]:
+    """The first content of each of the names, whatever their case."""
+    lower = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.map_keys(tags), F.lower)), lambda k: F.struct(k, F.filter(F.map_entries(tags), lambda e: F.lower(e["key"]) == k)[0]["value"][0])))
+    return [F.try_element_at(lower, F.lit(n)) for n in names]
+
+
+#: Where pages say their abstract and their title (fixed names and marks), best first.
+ABSTRACT_NAMES = ("citation_abstract", "og:description", "description", "dc.description", "dc.description.abstract")
+ABSTRACT_MARKS = (
+    r'(?is)<div[^>]*id="Abst"[^>]*>(.*?)</div>\s*</div>',
+    r'(?is)<(?:section|div)[^>]*id="abstract"[^>]*>(.*?)</(?:section|div)>',
+    r'(?is)<(?:section|div)[^>]*class="[^"]*abstract[^"]*"[^>]*>(.*?)</(?:section|div)>',
+)
+TITLE_NAMES = ("citation_title", "og:title")
+
+
 def page_abstract(html: Column, least: int = 30) -> Column:
-    """The first long enough description of a page: a meta tag's, else an element marked as the abstract."""
-    tags = meta_tags(html)
-    named = [F.get(F.try_element_at(tags, F.lit(n)), F.lit(0)) for n in ("citation_abstract", "og:description", "description", "dc.description", "dc.description.abstract")]
-    marked = [stripped_tags(F.regexp_extract(html, p, 1)) for p in (r'(?is)<(?:section|div)[^>]*id="abstract"[^>]*>(.*?)</(?:section|div)>', r'(?is)<(?:section|div)[^>]*class="[^"]*abstract[^"]*"[^>]*>(.*?)</(?:section|div)>')]
-    fit = [F.when((F.length(c) >= least) & ~F.lower(c).startswith("no abstract"), c) for c in (*named, *marked)]
-    return F.coalesce(*fit)
+    """The first long enough description of a page: a meta tag's, else an element marked as the abstract. Where none is
+    long enough, the last one that isn't empty."""
+    found = [*_named(meta_tags(html), ABSTRACT_NAMES), *(stripped_tags(F.regexp_extract(html, p, 1)) for p in ABSTRACT_MARKS)]
+    fit = [F.when((F.length(c) >= least) & ~F.lower(c).startswith("no abstract"), c) for c in found]
+    return F.coalesce(*fit, *(F.nullif(c, F.lit("")) for c in reversed(found)))
+
+
+def page_title(html: Column) -> Column:
+    """A page's title: a meta tag's, else the title element's; null where all are empty."""
+    found = [*_named(meta_tags(html), TITLE_NAMES), stripped_tags(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1))]
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in found))

@@ -29,20 +29,19 @@ class Policy:
         return {"start": day(self.start), "end": day(self.end), "start_inclusive": F.lit(self.start_inclusive), "end_inclusive": F.lit(self.end_inclusive)}
 
 
-def window_status(raw: Column, policy: dict[str, Column], enabled: Column | bool = True) -> Column:
-    """Plain mode: the first day of the published date against the window."""
-    day = dates.date_interval(raw).getField("start")
+def window_status(raw: Column, interval: Column, policy: dict[str, Column], enabled: Column | bool = True) -> Column:
+    """Plain mode: the first day of the published date, whose ``interval`` is a column, against the window."""
     return (
         F.when(~F.lit(enabled) if isinstance(enabled, bool) else ~enabled, "disabled")
         .when(dates.blank_to_null(raw).isNull(), "missing_published_date")
-        .otherwise(dates.overlap_status(dates.day_interval(day), policy, "unparseable_published_date"))
+        .otherwise(dates.overlap_status(dates.day_interval(interval.getField("start")), policy, "unparseable_published_date"))
     )
 
 
 def review_status(journal_ref: Column, doi: Column, comment: Column) -> Column:
     """struct(status, basis): reviewed by reference, DOI or a signal word in the comment, else a preprint."""
     full = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    signal = F.coalesce(comment, F.lit("")).rlike(r"(?i)\b(" + "|".join(REVIEW_SIGNALS) + r")(?![A-Za-z])")
+    signal = F.coalesce(comment, F.lit("")).rlike(r"(?i)\b(" + "|".join(REVIEW_SIGNALS) + r")\b")
     basis = F.when(full(journal_ref), "journal_ref").when(full(doi), "doi").when(signal, "comment_signal").otherwise("default_preprint")
     return F.struct(F.when(basis == "default_preprint", "preprint").otherwise("peer_reviewed").alias("status"), basis.alias("basis"))
 
@@ -59,14 +58,15 @@ def decide(records: DataFrame, policy: Policy) -> DataFrame:
     result = lambda status, basis, role, iv: F.struct(
         status.alias("status"), status.isin("passed", "disabled").alias("pass"), F.lit(basis).alias("basis"), F.lit(role).alias("role"),
         iv.getField("start").alias("start"), iv.getField("end").alias("end"))
-    plain_iv = dates.day_interval(dates.date_interval(raw).getField("start"))
+    records = dates.with_interval(records, raw, "__published")
     if not policy.enabled or not policy.split_preprints:
-        return records.withColumn("cutoff", result(window_status(raw, bounds, policy.enabled), "published_date", "plain", plain_iv))
+        plain_iv = dates.day_interval(F.col("__published.start"))
+        staged = records.withColumn("__status", window_status(raw, F.col("__published"), bounds, policy.enabled))
+        return staged.withColumn("cutoff", result(F.col("__status"), "published_date", "plain", plain_iv)).drop("__published", "__status")
     meta = lambda name: F.col("source_metadata").getField(name)
     years = F.array_max(F.flatten(F.array(*(dates.years_in(c) for c in (meta("journal_ref"), meta("comment"), F.col("key"))))))
-    staged = records.withColumn("__published", dates.date_interval(raw)).withColumn(
-        "__submitted", F.coalesce(dates.date_interval(meta("published")), dates.month_of_id(F.col("source_id")))
-    ).withColumn("__stated", F.coalesce(dates.year_interval(years), dates.date_interval(raw))).withColumn("__review", review_status(meta("journal_ref"), meta("doi"), meta("comment")))
+    staged = records.withColumn("__submitted", F.coalesce(dates.date_interval(meta("published")), dates.month_of_id(F.col("source_id"))))
+    staged = staged.withColumn("__years", years).withColumn("__stated", F.coalesce(dates.year_interval(F.col("__years")), F.col("__published"))).withColumn("__review", review_status(meta("journal_ref"), meta("doi"), meta("comment")))
     status = lambda iv, missing: dates.overlap_status(F.col(iv), bounds, missing)
     by_submission = result(status("__submitted", "missing_submitted_date"), "submitted_date", "preprint", F.col("__submitted"))
     by_statement = result(status("__stated", "missing_published_date"), "published_date", "peer_reviewed", F.col("__stated"))
@@ -75,7 +75,7 @@ def decide(records: DataFrame, policy: Policy) -> DataFrame:
     other = result(status("__published", "missing_published_date"), "published_date", "published_default", F.col("__published"))
     arxiv = F.lower(F.trim(F.coalesce("source", F.lit("")))) == "arxiv"
     cutoff = F.when(arxiv & (F.col("__review.status") == "preprint"), by_submission).when(arxiv, reviewed).otherwise(other)
-    return staged.withColumn("cutoff", cutoff).drop("__published", "__submitted", "__stated", "__review")
+    return staged.withColumn("cutoff", cutoff).drop("__published", "__submitted", "__years", "__stated", "__review")
 
 
 def split(decided: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -25,6 +25,18 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def first_with_counts(df: DataFrame, key: str, pos: str, allow: DataFrame | None = None, most: int | None = None, strict: bool = False) -> DataFrame:
+    """The first row of each key with how many it has (n_rows); only keys on an allow list, and the first ``most`` by position,
+    where those are given. ``strict`` makes a blank key an error; else such rows are dropped."""
+    trimmed = F.nullif(F.trim(F.col(key).cast("string")), F.lit(""))
+    known = df.withColumn(key, F.coalesce(trimmed, F.raise_error(F.lit("a row has no usable key")).cast("string")) if strict else trimmed)
+    if allow is not None:
+        known = known.join(allow.select(key).distinct(), key, "left_semi")
+    counts = known.dropna(subset=[key]).groupBy(key).agg(F.count("*").alias("n_rows"))
+    out = by_key(known, [key], pos).join(counts, key)
+    return out if most is None else out.orderBy(pos, key).limit(most)
+
+
 def disagreement(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per key: rows, distinct values (null is one), and whether they disagree."""
     seen = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), (F.count_distinct(value) + F.max(F.col(value).isNull().cast("int"))).alias("n_values"))

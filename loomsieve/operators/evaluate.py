@@ -49,6 +49,15 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def value_counts(df: DataFrame, value: str, key: str) -> DataFrame:
+    """Distinct values with their count, their place by falling count and then by value, and their distinct keys, sorted.
+
+    There are few values, so one small table is numbered.
+    """
+    counts = df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(key)), ",").alias("keys"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("value"))))
+
+
 def reasons_line(counts: DataFrame, by: list[str], reason: str, n: str, k: int = 3) -> DataFrame:
     """The k most frequent reasons of each group as ``reason:n | reason:n``."""
     top = top_per_group(counts, by, [F.desc(n), F.asc(reason)], k)

@@ -116,6 +116,11 @@ def fill_blanks(left: DataFrame, right: DataFrame, key: str, columns: list[str])
     return out.select(*(F.when(full(c), F.col(f"__r_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in left.columns))
 
 
+def in_order(requests: DataFrame, results: DataFrame, key: str, pos: str) -> DataFrame:
+    """Results with the position of their request, which orders them; requests without a result give no row."""
+    return requests.select(key, pos).join(results, key)
+
+
 def both_sided_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """How many distinct keys are on both sides, only left, only right."""
     a, b = left.select(key).dropna().distinct().withColumn("l", F.lit(1)), right.select(key).dropna().distinct().withColumn("r", F.lit(1))
@@ -123,16 +128,21 @@ def both_sided_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def wildcard_rules(df: DataFrame, rules: DataFrame, columns: list[str], order: str, value: str) -> DataFrame:
-    """The first rule all of whose non-null columns equal the row's. ``rules`` is a small literal table; its size is checked."""
-    if rules.count() > 10_000:
+    """The first rule all of whose non-null columns equal the row's. ``rules`` is a small table, which is checked: it
+    becomes one literal, so rows are neither joined nor shuffled, and equal rows stay."""
+    kept = rules.select(F.col(order), F.col(value), *columns)
+    found = kept.orderBy(order).select(F.to_json(F.struct("*"))).limit(10_001).collect()
+    if len(found) > 10_000:
         raise ValueError("rules are meant to be a small table")
-    r = rules.select(F.col(order), F.col(value), *(F.col(c).alias(f"__{c}") for c in columns))
-    match = F.lit(True)
-    for c in columns:
-        match = match & (F.col(f"__{c}").isNull() | (F.col(f"__{c}") == F.col(c)))
-    ids = df.withColumn("__row", F.struct(*df.columns))
-    hit = ids.join(F.broadcast(r), match, "left")
-    return hit.groupBy("__row").agg(F.min_by(value, order).alias(value)).select("__row.*", value)
+    table = F.from_json(F.lit("[" + ",".join(r[0] for r in found) + "]"), f"array<{kept.schema.simpleString()}>")
+
+    def fits(rule: Column) -> Column:
+        out = F.lit(True)
+        for c in columns:
+            out = out & (rule[c].isNull() | (rule[c] == F.col(c)))
+        return out
+
+    return df.withColumn(value, F.get(F.filter(table, fits), F.lit(0)).getField(value))
 
 
 def best_ratio(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, high: float = 0.95, by_word: bool = True) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomsieve.plans import evaluation, events, records, screening, sources, texts
+from loomsieve.plans import connectors, evaluation, events, pool, records, repairs, replays, screening, sources, texts
 
-_FAMILIES = (screening, records, evaluation, texts, events, sources)
+_FAMILIES = (screening, records, evaluation, texts, events, sources, pool, repairs, replays, connectors)
 
 
 def queries() -> dict[str, Callable]:

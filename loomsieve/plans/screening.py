@@ -56,8 +56,8 @@ def cutoff_inclusive_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = table(spark, sf_dir, "orders").agg(F.to_date(F.min("o_orderdate")).alias("start"), F.to_date(F.max("o_orderdate")).alias("end"))
     records = _published(spark, sf_dir).join(F.broadcast(bound))  # one row
     policies = F.explode(F.array(*(F.struct(F.lit(n).alias("policy"), F.lit(i).alias("start_inclusive"), F.lit(j).alias("end_inclusive")) for n, i, j in VARIANTS)))
-    rows = records.select("published_date", "start", "end", policies.alias("p"))
-    status = cutoff.window_status(F.col("published_date"), {"start": F.col("start"), "end": F.col("end"), "start_inclusive": F.col("p.start_inclusive"), "end_inclusive": F.col("p.end_inclusive")})
+    rows = dates.with_interval(records, F.col("published_date"), "iv").select("published_date", "iv", "start", "end", policies.alias("p"))
+    status = cutoff.window_status(F.col("published_date"), F.col("iv"), {"start": F.col("start"), "end": F.col("end"), "start_inclusive": F.col("p.start_inclusive"), "end_inclusive": F.col("p.end_inclusive")})
     return rows.groupBy(F.col("p.policy").alias("policy"), status.alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -70,7 +70,8 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def date_parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _mixed_date(F.col("o_orderkey"), F.col("o_orderdate"))
-    rows = table(spark, sf_dir, "orders").select("o_orderstatus", dates.parse_status(raw).alias("status"), dates.date_interval(raw).getField("start").alias("day"))
+    rows = dates.with_interval(table(spark, sf_dir, "orders").withColumn("raw", raw), F.col("raw"), "iv")
+    rows = rows.select("o_orderstatus", dates.parse_status(F.col("raw"), F.col("iv")).alias("status"), F.col("iv.start").alias("day"))
     return rows.groupBy("o_orderstatus", "status").agg(F.count("*").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 

@@ -48,8 +48,7 @@ def bibtex_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     fields = F.create_map(F.lit("title"), F.col("p_name"), F.lit("publisher"), F.col("p_brand"), F.lit("year"), F.col("p_size").cast("string"), F.lit("note"), F.lit(" "))
     entry = bibtex.entry_text(F.lit("misc"), F.concat(F.lit("k"), F.col("p_partkey").cast("string")), fields)
-    rows = F.udf(lambda t: [{"key": k, "fields": f} for _, k, f in bibtex.parse(t)], "array<struct<key:string,fields:map<string,string>>>")
-    return p.select(F.explode(rows(entry)).alias("e")).select("e.key", F.array_join(F.transform(F.array_sort(F.map_entries("e.fields")), lambda x: F.concat_ws("=", x["key"], x["value"])), ";").alias("fields"))
+    return p.select(F.explode(bibtex.entries()(entry)).alias("e")).select("e.key", F.array_join(F.transform(F.array_sort(F.map_entries("e.fields")), lambda x: F.concat_ws("=", x["key"], x["value"])), ";").alias("fields"))
 
 
 def feed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -96,11 +97,21 @@ def parse(text: str) -> list[tuple[str, str, dict[str, str]]]:
     return out
 
 
+def entries():
+    """From a text column to array<struct<entry_type, key, fields>>, as ``parse`` has them."""
+    pair = pa.struct([("entry_type", pa.string()), ("key", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [[{"entry_type": a, "key": b, "fields": list(c.items())} for a, b, c in parse(t or "")] for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pair))
+
+    return F.arrow_udf(run, "array<struct<entry_type:string,key:string,fields:map<string,string>>>")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Entries of all files under a path or glob that Spark can read; one file is one row until it is parsed."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    rows = F.udf(lambda t: [{"entry_type": a, "key": b, "fields": c} for a, b, c in parse(t or "")], "array<struct<entry_type:string,key:string,fields:map<string,string>>>")
-    return files.select(F.explode(rows("value")).alias("e"), "path").select("e.*", "path")
+    return files.select(F.explode(entries()("value")).alias("e"), "path").select("e.*", "path")
 
 
 class _File(InputPartition):
@@ -109,7 +120,8 @@ class _File(InputPartition):
 
 
 class BibTexSource(DataSource):
-    """``spark.read.format("bibtex").load(path)`` for a file or a folder of ``.bib`` files that all executors can open."""
+    """``spark.read.format("bibtex").load(path)`` for a file, a folder or a glob of ``.bib`` files in any store that Arrow
+    opens by its address (a plain path is local); ``read`` takes whatever Spark reads."""
 
     @classmethod
     def name(cls) -> str:
@@ -127,18 +139,34 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[_File]:
-        import glob
-        import os
+        import fnmatch
 
-        found = sorted(glob.glob(os.path.join(self.path, "*.bib"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_File(p) for p in found]
+        from pyarrow import fs
+
+        store, path = _store(self.path)
+        folder, _, pattern = path.rpartition("/")
+        found = store.get_file_info(path) if "*" not in path else None
+        if found is not None and found.type == fs.FileType.File:
+            return [_File(self.path)]
+        folder, pattern = (path, "*.bib") if found is not None else (folder, pattern)
+        inside = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        names = sorted(f.base_name for f in inside if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, pattern))
+        base = self.path.rpartition("/")[0] if found is None else self.path.rstrip("/")
+        return [_File(f"{base}/{n}") for n in names]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8-sig") as f:
-            for kind, key, fields in parse(f.read()):
+        store, path = _store(partition.path)
+        with store.open_input_stream(path) as f:
+            for kind, key, fields in parse(f.read().decode("utf-8-sig")):
                 yield kind, key, fields, partition.path
 
 
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BibTexSource)
 

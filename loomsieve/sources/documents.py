@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 POLICY = "time_policy struct<enabled:boolean,date_field:string,start_date:string,start_inclusive:boolean,end_date:string,end_inclusive:boolean,timezone:string>"
 
 
-def policies(spark: SparkSession, path: str) -> DataFrame:
-    """One row per policy document: file stem as paper_id, bounds as dates. A bound that isn't a date is an error."""
-    docs = spark.read.text(path, wholetext=True).select("value", F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("paper_id"))
+def policies(spark: SparkSession, path: str, name: str = r"([^/]+)\.json$") -> DataFrame:
+    """One row per policy document: its path's part that ``name`` takes (the file's stem) as paper_id, bounds as dates. A
+    bound that isn't a date is an error."""
+    docs = spark.read.text(path, wholetext=True).select("value", F.regexp_extract("_metadata.file_path", name, 1).alias("paper_id"))
     p = F.from_json("value", POLICY, {"mode": "FAILFAST"})["time_policy"]
     rows = docs.select("paper_id", p.alias("p"))
     bound = lambda c: F.nullif(F.nullif(F.trim(c), F.lit("")), F.lit("null")).cast("date")

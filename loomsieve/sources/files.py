@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,22 +19,41 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, mode:
 
 
 def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(source_path, line_no from 1, row) of non-blank lines. A file is one row until its lines are numbered."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    return files.filter(F.trim("line") != "").select("source_path", (F.col("pos") + 1).alias("line_no"), F.from_json("line", schema, {"mode": "FAILFAST"}).alias("row"))
-
-
-def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of JSON documents: a list, or the first of records, items and data of an object."""
-    whole = spark.read.text(path, wholetext=True)
-    as_list = F.from_json("value", f"array<struct<{_inner(schema)}>>")
-    boxed = F.from_json("value", f"struct<records:array<struct<{_inner(schema)}>>,items:array<struct<{_inner(schema)}>>,data:array<struct<{_inner(schema)}>>>")
-    rows = F.when(F.trim("value").startswith("["), as_list).otherwise(F.coalesce(boxed["records"], boxed["items"], boxed["data"]))
-    return whole.select(F.explode(rows).alias("r")).filter("r is not null").select("r.*")
-
-
-def _inner(schema: str) -> str:
-    return ",".join(f"{f.split()[0]}:{f.split()[1]}" for f in schema.split(","))
+    """(source_path, line_no from 1, row) of non-blank lines.
+
+    Lines are counted within each split of a file as tasks read it, and numbered by the splits before, so a large file is
+    not one task.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("split"))
+    numbered = lines.mapInArrow(_within_splits, "value string, source_path string, split long, nth long")
+    sizes = numbered.groupBy("source_path", "split").agg(F.max("nth").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("source_path", "split", before.alias("before"))
+    rows = numbered.filter(F.trim("value") != "").join(starts, ["source_path", "split"])
+    return rows.select("source_path", (F.col("before") + F.col("nth")).cast("int").alias("line_no"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"))
+
+
+def _within_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of each line within its split, from 1; a task reads the lines of a split in order."""
+    seen: dict[tuple[str, int], int] = {}
+    for batch in batches:
+        nth = []
+        for place in zip(batch.column("source_path").to_pylist(), batch.column("split").to_pylist(), strict=True):
+            seen[place] = seen.get(place, 0) + 1
+            nth.append(seen[place])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth, pa.int64())], [*batch.schema.names, "nth"])
+
+
+def json_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Records of JSON documents: a list, or the first of records, items and data of an object. A malformed document is an
+    error. A document is one row until it is parsed."""
+    kind = T.ArrayType(schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema))
+    boxed = T.StructType([T.StructField(name, kind) for name in ("records", "items", "data")])
+    value, strict = F.col("value"), {"mode": "FAILFAST"}
+    whole = spark.read.text(path, wholetext=True).filter(F.trim("value") != "")
+    box = F.from_json(F.when(~F.ltrim(value).startswith("["), value), boxed, strict)
+    rows = whole.select(F.from_json(F.when(F.ltrim(value).startswith("["), value), kind, strict).alias("list"), box.alias("box"))
+    return rows.select(F.explode(F.coalesce("list", "box.records", "box.items", "box.data")).alias("r")).filter("r is not null").select("r.*")
 
 
 def keyed(df: DataFrame, key: str, pos: str, keep: str = "last") -> DataFrame:

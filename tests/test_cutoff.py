@@ -78,3 +78,18 @@ def test_split_counts_add_up(spark):
     kept, gone, counts = cutoff.split(cutoff.decide(spark.createDataFrame(rows, SCHEMA), PLAIN))
     assert (kept.count(), gone.count()) == (1, 3)
     assert {r["status"]: r["n"] for r in counts.collect()} == {"passed": 1, "before_start": 1, "after_end": 1, "missing_published_date": 1}
+
+
+def test_signals_are_whole_words(spark):
+    rows = ["Accepted at X", "accepted2 times", "journal_club notes", "In Proc. of Y", "to be published", "IEEE Trans", "transformers"]
+    df = spark.createDataFrame([(c,) for c in rows], "c string")
+    got = [r[0]["status"] for r in df.select(cutoff.review_status(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("c"))).collect()]
+    assert [g == "peer_reviewed" for g in got] == [True, False, False, True, True, True, False]
+
+
+def test_a_record_is_parsed_once(spark):
+    """The window's plan holds the parse of a date once, however often its parts are used."""
+    df = spark.createDataFrame([("k", "arxiv", "1901.00001", "2019", None)], SCHEMA)
+    for policy in (PLAIN, SPLIT):
+        plan = cutoff.decide(df, policy)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("transform(array(") <= 2

@@ -3,8 +3,9 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomsieve.functions import text, verdicts
+from loomsieve.functions import records, text, verdicts
 from loomsieve.operators import dedupe, evaluate, incremental, link, route
 from loomsieve.sources import bibtex, files
 
@@ -138,3 +139,72 @@ def test_best_match_under_the_threshold_keeps_its_similarity(spark):
     right = [(20, "short title"), (11, " ".join(words)), (12, " ".join(words)), (13, "six seven eight nine"), (14, "")]
     out = link.best_jaccard_of_all(spark.createDataFrame(left, "l int, t string"), spark.createDataFrame(right, "r int, t string"), "l", "r", "t")
     assert sorted(map(tuple, out.collect())) == [(1, 11, 1.0, True), (2, None, 0.5, False), (3, None, 0.0, False), (4, 11, 1.0, False), (5, None, 0.0, False), (6, None, 0.75, False), (7, None, 0.0, False), (8, 20, 1.0, True)]
+
+
+def test_wildcard_rules_keep_equal_rows(spark):
+    df = spark.createDataFrame([(1, 2), (1, 2), (3, None)], "a int, b int")
+    rules = spark.createDataFrame([(2, None, None, "any"), (1, 1, 2, "both")], "pos int, a int, b int, v string")
+    assert sorted(r["v"] for r in link.wildcard_rules(df, rules, ["a", "b"], "pos", "v").collect()) == ["any", "both", "both"]
+
+
+def test_meta_tags_in_any_order_and_quotes(spark):
+    html = """<meta content='one "quoted"' name='a'><META property = "og:title" content="The title"><meta name=x><title>Other</title>"""
+    row = spark.createDataFrame([(html,)], "h string").select(text.meta_tags(F.col("h")), text.page_title(F.col("h")), text.page_abstract(F.col("h"))).first()
+    assert tuple(row) == ({"a": ['one "quoted"'], "og:title": ["The title"]}, "The title", None)
+
+
+def test_page_abstract_prefers_long_ones_and_falls_back_to_the_last(spark):
+    pages = ["<meta name='description' content='too short'><div id=\"Abst\"><p>Long enough to be the abstract of it</p></div></div>", "<meta name='description' content='too short'><div class=\"x abstract\">short</div>"]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in pages], "h string").select(text.page_abstract(F.col("h"))).collect()]
+    assert got == ["Long enough to be the abstract of it", "short"]
+
+
+def test_every_layer_is_unwrapped(spark):
+    rows = ['{{"{{{{a}}}}"}}', ' { "b" } ', "{c} and {d}", '"', "", "{{{{{{{e}"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(text.unwrapped(F.col("t"))).collect()]
+
+    def plain(t):
+        while True:
+            s = t.strip()
+            s = s[1:-1].strip() if len(s) > 1 and (s[0] + s[-1]) in ("{}", '""') else s
+            if s == t:
+                return t
+            t = s
+
+    assert got == [plain(t) for t in rows]
+
+
+def test_identifiers_and_names(spark):
+    df = spark.createDataFrame([("https://doi.org/10.1000/AbC.", "see arXiv: 1906.12345v3", "Roe, R. and Doe, J."), ("(doi:10.5/x)", "cs.LG/0701001", "Jane van Doe; X"), (None, "none here 1906.12345", "")], "d string, a string, n string")
+    got = [tuple(r) for r in df.select(records.doi_of(F.col("d")), records.arxiv_of(F.col("a")), records.first_surname(F.col("n"))).collect()]
+    assert got == [("10.1000/abc", "1906.12345", "roe"), (None, "cs.LG/0701001", "doe"), (None, None, None)]
+
+
+def test_json_records_take_nested_schemas_and_fail_on_malformed_documents(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"n": 1, "items": [{"key": "a", "price": 1.25, "in": {"x": [1, 2]}}, null]}')
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("price", T.DecimalType(5, 2)), T.StructField("in", T.StructType([T.StructField("x", T.ArrayType(T.IntegerType()))]))])
+    assert [(r["key"], float(r["price"]), r["in"]["x"]) for r in files.json_records(spark, str(tmp_path / "good.json"), schema).collect()] == [("a", 1.25, [1, 2])]
+    (tmp_path / "bad.json").write_text('[{"key": "a"}, {"key": ')
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        files.json_records(spark, str(tmp_path / "bad.json"), "key string").collect()
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join('{"i": %d}\n' % i if i % 5 else "\n" for i in range(1, 4001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = files.numbered_json_lines(spark, str(tmp_path / "a.jsonl"), "i int").select("line_no", "row.i").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(map(tuple, rows)) == [(i, i) for i in range(1, 4001) if i % 5]
+
+
+def test_first_with_counts(spark):
+    df = spark.createDataFrame([(" a", 3), ("a", 1), ("", 0), (None, 2), ("b", 5), ("c", 4)], "key string, pos int")
+    allow = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "key string")
+    assert [tuple(r) for r in dedupe.first_with_counts(df, "key", "pos", allow, 2).collect()] == [("a", 1, 2), ("c", 4, 1)]
+    with pytest.raises(Exception, match="no usable key"):
+        dedupe.first_with_counts(df, "key", "pos", strict=True).collect()
