@@ -188,6 +188,17 @@ def test_sharding(docs, corpus):
     assert sharding.assign_shards(docs.limit(0)).count() == 0
 
 
+def test_sharding_by_several_levels(docs, corpus):
+    """Few groups in a task and few parts combined together: every row still has one shard, and sizes are near equal."""
+    rows = sharding.assign_shards(docs, bucket=4, fan=3).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(c[0] for c in corpus)
+    by_text = defaultdict(set)
+    for r in rows:
+        by_text[r["size"], r["text_crc32"]].add(r["shard"])
+    sums = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
+    assert all(len(v) == 1 for v in by_text.values()) and max(sums) - min(sums) < 0.05 * sum(sums)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=60), st.integers(2, 5))
 def test_differencing_places_each_group_once(sizes, k):
