@@ -48,14 +48,33 @@ def unique_index(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("__most")).filter(F.col(value) == F.col("__most")).drop("__most")
 
 
+def numbered(df: DataFrame, by: list[str], pos: str, out: str, ranges: int = 64) -> DataFrame:
+    """The number of each row in its group, from 1, in the order of the numeric ``pos``.
+
+    Groups are cut into ranges at approximate quantiles of ``pos``, rows are numbered within a range and moved on by the
+    counts of the ranges before, so a group of any size is spread over tasks.
+    """
+    place = F.col(pos).cast("double")
+    cuts = sorted(set(df.select(place.alias("p")).approxQuantile("p", [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= place)) if cuts else F.lit(0)
+    rows = df.withColumn("__range", F.coalesce(at, F.lit(0)))
+    sizes = rows.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    # Null groups and ranges meet as well.
+    starts = sizes.select(F.struct(*by, "__range").alias("__group"), F.coalesce(before, F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(pos))
+    both = rows.withColumns({"__nth": nth, "__group": F.struct(*by, "__range")}).alias("r").join(starts.alias("s"), F.col("r.__group").eqNullSafe(F.col("s.__group")))
+    return both.select(*(F.col(f"r.{c}") for c in df.columns), (F.col("__before") + F.col("__nth")).alias(out))
+
+
 def collision_free(df: DataFrame, base: str, pos: str, out: str, suffix: str = "__dup") -> DataFrame:
     """Names made unique: the first keeps the base, later ones get a number."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(pos))
-    return df.withColumn(out, F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit(suffix), (n - 1).cast("string"))))
+    name = F.when(F.col("__k") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit(suffix), (F.col("__k") - 1).cast("string")))
+    return numbered(df, [base], pos, "__k").withColumn(out, name).drop("__k")
 
 
 def batches(df: DataFrame, pos: str, size: int, by: list[str], out: str = "batch") -> DataFrame:
     """Consecutive batches of ``size`` rows within each group."""
     if size <= 0:
         raise ValueError("size must be positive")
-    return df.withColumn(out, F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(pos)) - 1) / size).cast("long"))
+    return numbered(df, by, pos, "__k").withColumn(out, F.floor((F.col("__k") - 1) / size).cast("long")).drop("__k")

@@ -19,22 +19,37 @@ def pending(wanted: DataFrame, outcomes: DataFrame, key: str, pos: str, success:
 
 
 def attempts(df: DataFrame, key: str, pos: str, success: Column, most: int) -> DataFrame:
-    """Per key: attempts made until the first success or the limit, and whether it is done, gave_up or open."""
-    k = F.row_number().over(Window.partitionBy(key).orderBy(pos))
-    rows = df.select(key, success.alias("ok"), k.alias("k"))
-    out = rows.groupBy(key).agg(F.min(F.when(F.col("ok"), F.col("k"))).alias("first_ok"), F.count("*").alias("c"))
+    """Per key: attempts made until the first success or the limit, and whether it is done, gave_up or open.
+
+    Aggregates only: the first success, then the rows up to it, so a busy key shrinks before each shuffle.
+    """
+    rows = df.select(key, F.col(pos).alias("__pos"), F.coalesce(success, F.lit(False)).alias("__ok"))
+    first = rows.groupBy(key).agg(F.min(F.when(F.col("__ok"), F.col("__pos"))).alias("__first"), F.count("*").alias("c"))
+    upto = rows.join(first.select(key, "__first").filter("__first is not null"), key).groupBy(key).agg(F.count_if(F.col("__pos") <= F.col("__first")).alias("first_ok"))
+    out = first.join(upto, key, "left")
     outcome = F.when(F.col("first_ok") <= most, "done").when(F.col("c") >= most, "gave_up").otherwise("open")
     return out.select(key, F.least(F.coalesce("first_ok", "c"), F.lit(most), "c").cast("long").alias("n_attempts"), outcome.alias("outcome"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str]) -> DataFrame:
-    """Left rows with the values of the last right row of the key at or before their time.
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], bucket: str = "day") -> DataFrame:
+    """Left rows with the values of the last right row of the key at or before their time (the greatest values, where
+    several have that time).
 
-    Both sides go through one sorted window instead of a range join, so a row is read once whatever the spans are.
+    Both sides go through sorted windows of one key and one time bucket instead of a range join; what a bucket begins with
+    is the last state of the buckets before, one row each. So a key's history is spread over tasks.
     """
     state = F.struct(*values)
-    both = left.withColumn("__r", F.lit(1)).withColumn("__state", F.lit(None).cast(right.select(state.alias("s")).schema["s"].dataType))
-    events = right.select(F.col(key), F.col(ts), F.lit(0).alias("__r"), state.alias("__state"))
-    w = Window.partitionBy(key).orderBy(ts, "__r", "__state").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.unionByName(events, allowMissingColumns=True).withColumn("__last", F.last("__state", ignorenulls=True).over(w))
-    return out.filter("__r = 1").select(*left.columns, *(F.col(f"__last.{v}").alias(v) for v in values))
+    kind = right.select(state.alias("s")).schema["s"].dataType
+    cut = F.date_trunc(bucket, F.col(ts))
+    asked = left.withColumns({"__r": F.lit(1), "__state": F.lit(None).cast(kind), "__bucket": cut})
+    events = right.select(F.col(key), F.col(ts), F.lit(0).alias("__r"), state.alias("__state"), cut.alias("__bucket"))
+    # The state after each bucket, then the one before it.
+    ends = events.groupBy(key, "__bucket").agg(F.max(F.struct(ts, "__state")).alias("__end"))
+    needed = ends.unionByName(asked.select(key, "__bucket").distinct().withColumn("__end", F.lit(None).cast(ends.schema["__end"].dataType)))
+    per = needed.groupBy(key, "__bucket").agg(F.max("__end").alias("__end"))
+    earlier = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select(F.col(key).alias("__k"), F.col("__bucket").alias("__b"), F.last("__end.__state", ignorenulls=True).over(earlier).alias("__carried"))
+    within = Window.partitionBy(key, "__bucket").orderBy(ts, "__r", "__state").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(events, allowMissingColumns=True).withColumn("__last", F.last("__state", ignorenulls=True).over(within))
+    out = both.filter("__r = 1").join(carried, F.col(key).eqNullSafe(F.col("__k")) & F.col("__bucket").eqNullSafe(F.col("__b")), "left")
+    return out.select(*left.columns, *(F.coalesce(F.col("__last"), F.col("__carried")).getField(v).alias(v) for v in values))

@@ -40,23 +40,40 @@ def best_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     """The best partner by word sets for each left row that has one of at least ``least``: an equal normalized title
     first, else the largest similarity. Titles under ``short`` words link only to an equal title (else a null id).
 
-    Sets of n words that are so similar share one of each side's n - ceil(least * n) + 1 rarest words, so only rows that
-    share such a word are compared; a word that every title holds forms no pairs.
+    Equal titles are compared once. Sets so similar share at least least * n words of either, so of a set's words in order
+    of rarity they share two among the first n - ceil(least * n) + 2 (one among one less, where one word is enough): only
+    titles that share such a pair, and whose lengths are near enough, are compared. A word that every title holds forms no
+    pairs.
     """
-    words = lambda df, i, p: df.select(F.col(i).alias(f"{p}_id"), text.normalized_title(F.col(title)).alias(f"{p}_title")).withColumn(f"{p}_words", text.tokens(F.col(f"{p}_title")))
-    a, b = words(left, left_id, "l"), words(right, right_id, "r")
-    each = lambda df, p: df.select(f"{p}_id", F.size(f"{p}_words").alias("n"), F.explode(f"{p}_words").alias("w"))
-    held = each(a, "l").select("w").unionAll(each(b, "r").select("w")).groupBy("w").agg(F.count("*").alias("held"))
-
-    def rarest(df: DataFrame, p: str) -> DataFrame:
-        lists = each(df, p).join(held, "w").groupBy(f"{p}_id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "w"))).alias("x"))
-        return lists.select(f"{p}_id", F.explode(F.slice("x", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("y")).select(f"{p}_id", "y.w")
-
-    pairs = rarest(a, "l").join(rarest(b, "r"), "w").select("l_id", "r_id").distinct().join(a, "l_id").join(b, "r_id")
-    pairs = pairs.select("l_id", "r_id", F.size("l_words").alias("l_n"), text.jaccard(F.col("l_words"), F.col("r_words")).alias("similarity"), (F.col("l_title") == F.col("r_title")).alias("same"))
-    best = pairs.filter(F.col("same") | (F.col("similarity") >= least)).groupBy("l_id").agg(F.max_by(F.struct("r_id", "similarity", "same", "l_n"), F.struct("same", "similarity", (-F.col("r_id")).alias("o"))).alias("m"))
+    own = lambda df, i, p: df.select(F.col(i).alias(f"{p}_id"), text.normalized_title(F.col(title)).alias(f"{p}_title"))
+    a, b = own(left, left_id, "l"), own(right, right_id, "r")
+    sides = {"l": a.select("l_title").distinct(), "r": b.groupBy("r_title").agg(F.min("r_id").alias("r_id"))}
+    sides = {p: df.withColumn(f"{p}_words", text.tokens(F.col(f"{p}_title"))).withColumn(f"{p}_n", F.size(f"{p}_words")).filter(F.col(f"{p}_n") > 0) for p, df in sides.items()}
+    each = lambda p: sides[p].select(f"{p}_title", f"{p}_n", F.explode(f"{p}_words").alias("w"))
+    held = each("l").select("w").unionAll(each("r").select("w")).groupBy("w").agg(F.count("*").alias("held"))
+
+    def keys(p: str, other_small: str, own_small: str) -> DataFrame:
+        """What titles meet by: pairs of rare words, or single ones where one of two is short."""
+        n = F.col(f"{p}_n")
+        shared = F.ceil(n * least - 1e-9).cast("int")
+        lists = each(p).join(held, "w").groupBy(f"{p}_title", f"{p}_n").agg(F.array_sort(F.collect_list(F.struct("held", "w"))).alias("x"))
+        lists = lists.select(f"{p}_title", f"{p}_n", F.transform("x", lambda s: s["w"]).alias("x"), shared.alias("o"))
+        one, two = F.slice("x", F.lit(1), n - F.col("o") + 1), F.slice("x", F.lit(1), n - F.col("o") + 2)
+        pairs = F.flatten(F.transform(two, lambda w, i: F.transform(F.slice(two, i + 2, F.size(two)), lambda v: F.concat(F.lit("2 "), w, F.lit(" "), v))))
+        single = lambda tag: F.transform(one, lambda w: F.concat(F.lit(tag), w))
+        none = F.array().cast("array<string>")
+        small = F.col("o") < 2
+        found = F.concat(F.when(small, none).otherwise(pairs), single(other_small), F.when(small, single(own_small)).otherwise(none))
+        return lists.select(f"{p}_title", f"{p}_n", F.explode(found).alias("key"))
+
+    near = (F.col("l_n") >= least * F.col("r_n") - 1e-9) & (F.col("r_n") >= least * F.col("l_n") - 1e-9)
+    met = keys("l", "a ", "b ").join(keys("r", "b ", "a "), "key").filter(near).select("l_title", "r_title").distinct()
+    pairs = met.join(sides["l"], "l_title").join(sides["r"], "r_title")
+    pairs = pairs.select("l_title", "l_n", "r_id", text.jaccard(F.col("l_words"), F.col("r_words")).alias("similarity"), (F.col("l_title") == F.col("r_title")).alias("same"))
+    best = pairs.filter(F.col("similarity") >= least).groupBy("l_title").agg(F.max_by(F.struct("r_id", "similarity", "same", "l_n"), F.struct("same", "similarity", (-F.col("r_id")).alias("o"))).alias("m"))
     gate = F.col("m.same") | (F.col("m.l_n") >= short)
-    return best.select(F.col("l_id").alias(left_id), F.when(gate, F.col("m.r_id")).alias(right_id), F.col("m.similarity").alias("similarity"), F.col("m.same").alias("same_title"))
+    out = a.join(best, "l_title")
+    return out.select(F.col("l_id").alias(left_id), F.when(gate, F.col("m.r_id")).alias(right_id), F.col("m.similarity").alias("similarity"), F.col("m.same").alias("same_title"))
 
 
 def best_jaccard_of_all(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, short: int = 7) -> DataFrame:

@@ -27,39 +27,66 @@ def first_seen(events: DataFrame, keys: list[str], ts: str, late: str) -> DataFr
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_sink(spark: SparkSession, folder: str, key: str, pos: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keeps the latest row of each key as numbered Parquet versions; a repeated batch is a no-op.
+def upsert_sink(spark: SparkSession, folder: str, key: str, pos: str, buckets: int = 64, keep: int = 3) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: keeps the latest row of each key. A repeated batch is a no-op.
 
-    The newest whole version is the table; an interrupted write leaves the one before.
+    Keys are dealt to buckets, and a batch writes only the buckets that it touches, as a version of its own; the newest
+    whole version of each bucket is the table. An interrupted write leaves what was before. Of each bucket the last ``keep``
+    versions stay, for readers that began before; older ones are deleted.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         mine = f"{folder}/v={batch_id}"
         if _whole(spark, mine):
             return
-        before = [v for v in versions(spark, folder) if v < batch_id]
-        rows = batch if not before else batch.unionByName(spark.read.parquet(f"{folder}/v={max(before)}"))
-        incremental.latest(rows, key, pos).write.mode("overwrite").parquet(mine)
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        rows = batch.withColumn("bucket", bucket)
+        touched = {r[0] for r in rows.select("bucket").distinct().collect()}  # as many as buckets at most
+        before = _by_bucket(spark, folder, batch_id)
+        old = [paths[-1] for b, paths in before.items() if b in touched]
+        if old:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("bucket", bucket))
+        incremental.latest(rows, key, pos).write.mode("overwrite").partitionBy("bucket").parquet(mine)
+        for b in touched:
+            for path in before.get(b, [])[: -keep]:
+                _path(spark, path)[1].delete(_path(spark, path)[0], True)
 
     return write
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _whole(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _path(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def _names(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    p, fs = _path(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
 
 
 def versions(spark: SparkSession, folder: str) -> list[int]:
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n[2:]) for n in names if n.startswith("v=") and _whole(spark, f"{folder}/{n}"))
+    return [v for v in _names(spark, folder, "v=") if _whole(spark, f"{folder}/v={v}")]
+
+
+def _by_bucket(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, list[str]]:
+    """The folders of each bucket, oldest first."""
+    out: dict[int, list[str]] = {}
+    for v in versions(spark, folder):
+        if before is None or v < before:
+            for b in _names(spark, f"{folder}/v={v}", "bucket="):
+                out.setdefault(b, []).append(f"{folder}/v={v}/bucket={b}")
+    return out
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v={versions(spark, folder)[-1]}")
+    """The table as the newest version of every bucket."""
+    return spark.read.parquet(*(paths[-1] for paths in _by_bucket(spark, folder).values()))
 
 
 def quarantined(stream: DataFrame, rules: dict[str, Column], good: str, bad: str, checkpoint: str) -> DataStreamWriter:

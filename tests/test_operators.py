@@ -208,3 +208,47 @@ def test_first_with_counts(spark):
     assert [tuple(r) for r in dedupe.first_with_counts(df, "key", "pos", allow, 2).collect()] == [("a", 1, 2), ("c", 4, 1)]
     with pytest.raises(Exception, match="no usable key"):
         dedupe.first_with_counts(df, "key", "pos", strict=True).collect()
+
+
+@pytest.mark.parametrize("least", [0.34, 0.5, 0.6, 0.9])
+def test_best_jaccard_against_all_pairs(spark, least):
+    import random
+
+    rng = random.Random(int(least * 100))
+    title = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 7)))
+    a, b = [(i, title()) for i in range(120)], [(i, title()) for i in range(120)]
+    got = {r["l"]: (r["r"], round(r["similarity"], 9), r["same_title"]) for r in link.best_jaccard(spark.createDataFrame(a, "l int, t string"), spark.createDataFrame(b, "r int, t string"), "l", "r", "t", least, 3).collect()}
+    want = {}
+    for i, t in a:
+        x = set(t.split())
+        found = [(t == u, len(x & set(u.split())) / len(x | set(u.split())), -j) for j, u in b if x & set(u.split())]
+        found = [f for f in found if f[1] >= least - 1e-12]
+        if found:
+            same, similarity, j = max(found)
+            want[i] = (-j if same or len(x) >= 3 else None, round(similarity, 9), same)
+    assert got == want
+
+
+def test_numbers_within_groups_over_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), p, "x") for p in rng.sample(range(10_000), 700)]
+    got = dedupe.numbered(spark.createDataFrame(rows, "g string, pos int, v string"), ["g"], "pos", "k", 8).collect()
+    order = {}
+    for g, p, _ in sorted(rows, key=lambda r: r[1]):
+        order[g, p] = sum(1 for q, _ in order if q == g) + 1
+    assert {(r["g"], r["pos"]): r["k"] for r in got} == order
+    assert dedupe.numbered(spark.createDataFrame([], "g string, pos int, v string"), ["g"], "pos", "k").count() == 0
+
+
+def test_as_of_over_buckets(spark):
+    import random
+
+    rng = random.Random(3)
+    at = lambda: datetime.datetime(2024, 1, rng.randrange(1, 9), rng.randrange(24), rng.randrange(3))
+    left = [(i, rng.choice("ab"), at()) for i in range(200)]
+    right = [(rng.choice("ab"), at(), i) for i in range(40)]
+    out = incremental.as_of(spark.createDataFrame(left, "id int, key string, ts timestamp"), spark.createDataFrame(right, "key string, ts timestamp, v int"), "key", "ts", ["v"])
+    want = {i: max(((t, v) for k, t, v in right if k == key and t <= ts), default=(None, None))[1] for i, key, ts in left}
+    assert {r["id"]: r["v"] for r in out.collect()} == want

@@ -26,3 +26,17 @@ def test_windows_upserts_and_dead_letters(spark, tmp_path):
     assert {r["key"]: r["v"] for r in events.current(spark, folder).collect()} == {"a": 5, "b": 30, "c": 6}
     events.quarantined(stream, {"small": F.col("v") < 10}, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "bad")).select("key").first()[0] == "b" and spark.read.parquet(str(tmp_path / "good")).count() == 6
+
+
+def test_upserts_write_touched_buckets_and_expire_old_versions(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    sink = events.upsert_sink(spark, folder, "key", "pos", buckets=4, keep=2)
+    want = {}
+    for batch in range(6):
+        rows = [(f"k{i}", batch, batch * 10 + i) for i in range(batch, batch + 2)]
+        want |= {k: v for k, _, v in rows}
+        for _ in range(2):  # a repeated batch changes nothing
+            sink(spark.createDataFrame(rows, "key string, pos int, v int"), batch)
+        table = events.current(spark, folder)
+        assert table.columns == ["key", "pos", "v"] and {r["key"]: r["v"] for r in table.collect()} == want
+    assert events.versions(spark, folder) == list(range(6)) and all(len(p) <= 3 for p in events._by_bucket(spark, folder).values())
