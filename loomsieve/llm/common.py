@@ -228,14 +228,19 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     Every round each node takes the least root among its neighbours' and then that root's own root, so the number of
     rounds grows with the logarithm of the longest path. Each round is written to the shared folder.
     """
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
+    scratch = Scratch()
+    both = scratch(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
+    labels = scratch(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
     for _ in range(rounds):
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         moved = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "near").alias("to"))
         roots = labels.select(F.col("node").alias("to"), F.col("root").alias("above"))
-        after = materialise(moved.join(roots, "to", "left").select("node", F.least("to", F.coalesce("above", "to")).alias("root"), (F.least("to", F.coalesce("above", "to")) < F.col("root")).alias("changed")))
-        labels = after.select("node", "root")
+        best = F.least("to", F.coalesce("above", "to"))
+        after = scratch(moved.join(roots, "to", "left").select("node", best.alias("root"), (best < F.col("root")).alias("changed")))
+        scratch.drop(labels)
+        labels = after
         if not after.filter("changed").limit(1).count():
-            return labels
+            out = materialise(labels.select("node", "root"))
+            scratch.drop()
+            return out
     raise RuntimeError(f"components did not settle in {rounds} rounds")

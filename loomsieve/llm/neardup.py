@@ -10,8 +10,8 @@ whose shared shingles weigh less than the threshold's part of it can't have a pa
 
 Candidates of a band meet one member of their group, not each other: in every other band the most central one (whose
 shingles most documents hold, as an original among its copies), elsewhere one of the band's own choice. Where that leaves
-documents that share bands in several parts, all but the largest part's are compared with the others in bounded blocks
-that give links only. Equal texts are one node throughout.
+the documents of a band's value in several parts, all but the largest part's are compared with all of them in bounded
+blocks that give links only. Equal texts are one node throughout.
 
 Defined results: null texts count as empty; equal texts are always one class, also empty ones; a text of fewer than five
 words is one shingle, one without words resembles nothing else; repeated rows count as documents; an empty table gives an
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import SPACE_BYTE, blocks, components, documents, joined, materialise, mix, partitions, release, spans_of, text_key, trim, word_hashes, worker_serves
+from loomsieve.llm.common import SPACE_BYTE, Scratch, blocks, components, documents, joined, materialise, mix, partitions, release, spans_of, text_key, trim, word_hashes, worker_serves
 
 SHINGLE_WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
 #: UTF-8 bytes of a batch's texts and of a hash range's share, about.
@@ -306,30 +306,36 @@ def _cross(threshold: float):
     return run
 
 
-def _remaining(nodes: DataFrame, met: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+def _remaining(nodes: DataFrame, shared: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     """Links that comparisons with representatives can't have found.
 
-    Documents that share bands, directly or through others, are a neighbourhood. Where its links so far leave it in
-    several parts, all but the largest part's documents are compared with the whole neighbourhood, in blocks.
+    ``shared`` has the documents of each band value that several have. Where the links so far leave those of one value in
+    several parts, all but the largest part's are compared with all of them, in blocks. Values that the same documents
+    share count once.
     """
-    areas = components(met)
-    joined_ = components(links)
-    parts = materialise(areas.withColumnRenamed("root", "area").join(joined_, "node", "left").select("node", "area", F.coalesce("root", "node").alias("part")))
-    sizes = parts.groupBy("area", "part").agg(F.count("*").alias("n"))
-    areas = sizes.groupBy("area").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).filter("size > most")
-    areas = materialise(areas)  # so that the join below reads exchanges only, and adaptive execution can split an area
-    open_ = parts.join(areas, "area").withColumn("asks", F.col("part") != F.col("main")).withColumn("others", F.col("size") - F.col("most"))
-    open_ = materialise(open_.select(F.col("node").alias("key"), "area", "asks", "size", "others"))
+    scratch = Scratch()
+    roots = components(links)
+    members = scratch(shared.select(F.col("key").alias("node"), "band", "value").join(roots, "node", "left").select("node", "band", "value", F.coalesce("root", "node").alias("part")))
+    sizes = members.groupBy("band", "value", "part").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    values = sizes.groupBy("band", "value").agg(
+        F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("size > most")
+    once = values.groupBy("x", "y", "size").agg(F.min(F.struct("band", "value", "main", "most")).alias("v")).select("v.*", "size")
+    once = scratch(once)  # so that the join below reads exchanges only, and adaptive execution can split a value's documents
+    open_ = members.join(once, ["band", "value"]).withColumn("asks", F.col("part") != F.col("main")).withColumn("others", F.col("size") - F.col("most"))
+    open_ = scratch(open_.select(F.col("node").alias("key"), "band", "value", "asks", "size", "others"))
     if open_.isEmpty():
+        scratch.drop()
         return links
     rows, columns = F.ceil(F.col("others") / ASKING).cast("int"), F.ceil(F.col("size") / ASKED).cast("int")
     loaded = open_.join(nodes.select("key", "total", "codes", "counts", "idfs"), "key")
-    payload = ["area", "key", "total", "codes", "counts", "idfs"]
+    payload = ["band", "value", "key", "total", "codes", "counts", "idfs"]
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asking = loaded.filter("asks").select(*payload, F.pmod(F.xxhash64("key"), rows).cast("int").alias("i"), every(columns).alias("j"), F.lit(True).alias("asks"))
     asked = loaded.select(*payload, F.pmod(F.xxhash64("key"), columns).cast("int").alias("j"), every(rows).alias("i"), F.lit(False).alias("asks"))
-    more = asking.unionByName(asked).groupBy("area", "i", "j").applyInArrow(_cross(threshold), "a binary, b binary")
-    return materialise(links.unionByName(more))
+    more = asking.unionByName(asked).groupBy("band", "value", "i", "j").applyInArrow(_cross(threshold), "a binary, b binary")
+    out = materialise(links.unionByName(more))
+    scratch.drop()
+    return out
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,20 +352,24 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     sent = rows.mapInArrow(_send(batches), "batch long, span long, low binary, high binary, n binary")
     answers = sent.groupBy("span").applyInArrow(_answer, "batch long, codes binary, df binary")
     signed = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_sign(batches, total, threshold), "key binary, bands array<long>, total double, codes binary, counts binary, idfs binary, centre double")
-    signed = materialise(signed)
+    scratch = Scratch()
+    signed = scratch(signed)
     del rows, sent, answers  # else their shuffle files stay
     release(spark)
-    nodes = materialise(signed.dropDuplicates(["key"]))
+    nodes = scratch(signed.dropDuplicates(["key"]))
+    scratch.drop(signed)
     bands = nodes.select("key", "centre", F.posexplode("bands").alias("band", "value"))
     # Half of the bands compare with the member whose shingles most documents hold, the others each with another one.
     rank = F.when(F.col("band") % 2 == 0, -F.col("centre")).otherwise(F.xxhash64("key", "band").cast("double"))
     groups = bands.groupBy("band", "value").agg(F.min_by("key", F.struct(rank.alias("r"), F.col("key"))).alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = materialise(bands.join(groups, ["band", "value"]).filter("key <> b").select(F.col("key").alias("a"), "b").distinct())
+    shared = scratch(bands.join(groups, ["band", "value"]))
+    met = shared.filter("key <> b").select(F.col("key").alias("a"), "b").distinct()
     left = nodes.select(F.col("key").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("codes", "counts", "idfs", "total")))
     right = nodes.select(F.col("key").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("codes", "counts", "total")))
     similarity = F.arrow_udf(_similarity, "double")("codes_a", "counts_a", "idfs_a", "total_a", "codes_b", "counts_b", "total_b")
     links = materialise(met.join(left, "a").join(right, "b").filter(similarity >= threshold).select("a", "b"))
-    links = _remaining(nodes, met, links, threshold)
+    links = _remaining(nodes, shared, links, threshold)
+    scratch.drop()
     ids = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key")).groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("ids"))
     ids = materialise(ids)
     roots = components(links)
