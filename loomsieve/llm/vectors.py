@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import Once, components, documents, materialise, mix, partitions
+from loomsieve.llm.common import Once, Scratch, components, documents, materialise, mix, partitions
 
 THRESHOLD, LIST, TABLES, CELL, ROUNDS = 0.9, 16, 6, 48, 2
 #: Entries that a comparison offers to each of its nodes; vectors in a piece of a cell, and in a block.
@@ -88,7 +88,7 @@ def _grouped(table: pa.Table, by: list[str]) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def _cells(spark: SparkSession, nodes: DataFrame, count: int, threshold: float, seed: int, tables: int) -> DataFrame:
+def _cells(scratch: Scratch, nodes: DataFrame, count: int, threshold: float, seed: int, tables: int) -> DataFrame:
     """Compared pairs of nodes on the same side of random hyperplanes; crowded cells are dealt to pieces at random."""
     bits = max(0, int(np.ceil(np.log2(max(count, 1) / CELL))))
 
@@ -105,7 +105,7 @@ def _cells(spark: SparkSession, nodes: DataFrame, count: int, threshold: float,
             out[at] = (bit * (1 << np.arange(bit.shape[2]))).sum(2) if bits else 0
         return pa.array(out.tolist(), pa.list_(pa.int64()))
 
-    placed = materialise(nodes.select("node", F.posexplode(sides("unit")).alias("t", "cell")))
+    placed = scratch(nodes.select("node", F.posexplode(sides("unit")).alias("t", "cell")))
     crowds = placed.groupBy("t", "cell").agg(F.count("*").alias("n"))
     # The piece of a node in a crowded cell; the rows of a hot cell are dealt on by the node, not the cell.
     dealt = placed.join(crowds, ["t", "cell"]).select(
@@ -153,19 +153,19 @@ def _exact(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return pairs.filter(measure("x", "y") >= threshold).select("a", "b")
 
 
-def _audit(spark: SparkSession, nodes: DataFrame, count: int, pairs: DataFrame, dense: DataFrame, threshold: float) -> float:
+def _audit(scratch: Scratch, nodes: DataFrame, count: int, pairs: DataFrame, dense: DataFrame, threshold: float) -> float:
     """Share of the links of sampled nodes that are found; links within a component that is compared in full don't count.
 
     Nodes are drawn in the order of a hash until they have AUDITED links, or all nodes are drawn.
     """
     placed = nodes.select("node", "raw", F.xxhash64("node", F.lit(5)).alias("o")).join(dense.select("node", "root"), "node", "left")
-    placed = materialise(placed)
+    placed = scratch(placed)
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().withColumn("hit", F.lit(1))
     found, links, drawn, last, most = 0, 0, 0, None, AUDIT
     while drawn < count and links < AUDITED:
         rest = placed if last is None else placed.filter((F.col("o") > last[0]) | ((F.col("o") == last[0]) & (F.col("node") > last[1])))
         sample = rest.orderBy("o", "node").limit(most).collect()  # DRAW vectors at most
-        true = _links_of(spark, sample, placed, threshold)
+        true = _links_of(nodes.sparkSession, sample, placed, threshold)
         more = true.join(both, ["a", "b"], "left").agg(F.count("hit"), F.count("*")).first()
         found, links, drawn, last, most = found + more[0], links + more[1], drawn + len(sample), (sample[-1]["o"], sample[-1]["node"]), min(2 * most, DRAW)
     return found / links if links else 1.0
@@ -225,7 +225,6 @@ def _blocks(nodes: DataFrame, dense: DataFrame, sizes: DataFrame, threshold: flo
 
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per row: the id column, n_links (other rows within the threshold) and component_id (least id reachable)."""
-    spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.when(sound, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
@@ -249,37 +248,40 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
         return pa.array(out, pa.binary())
 
     nodes = rows.filter("v is not null").groupBy("h", "g").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("raw", F.arrow_udf(pack, "binary")("v")).withColumn("unit", F.arrow_udf(unit, "binary")("raw")).drop("v"))
+    scratch = Scratch()
+    nodes = scratch(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("raw", F.arrow_udf(pack, "binary")("v")).withColumn("unit", F.arrow_udf(unit, "binary")("raw")).drop("v"))
     count = nodes.count()
     lists, ties, recall = None, None, 0.0
     for attempt in range(ATTEMPTS):
-        fresh = materialise(_cells(spark, nodes, count, threshold, attempt, TABLES))
+        fresh = scratch(_cells(scratch, nodes, count, threshold, attempt, TABLES))
         for k in range(ROUNDS + 1):
             offered = fresh.filter("not tie").select("a", "b", "sim")
-            lists = materialise(_lists(offered if lists is None else offered.unionByName(lists), count))
+            lists = scratch(_lists(offered if lists is None else offered.unionByName(lists), count))
             kept = fresh.filter("tie").select("a", "b", "sim")
             ties = kept if ties is None else ties.unionByName(kept)
             if k < ROUNDS:
-                fresh = materialise(_round(nodes, lists, count, threshold, 100 * attempt + k))
-        pairs = materialise(_exact(lists.unionByName(ties), nodes, threshold))
+                fresh = scratch(_round(nodes, lists, count, threshold, 100 * attempt + k))
+        pairs = scratch(_exact(lists.unionByName(ties), nodes, threshold))
         roots = components(pairs)
         full = lists.filter(F.col("sim") >= threshold - SLACK).groupBy("a").agg(F.count("*").alias("k")).filter(F.col("k") >= LIST)
         crowded = roots.join(full.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
-        dense = materialise(roots.join(crowded, "root", "left_semi"))
-        recall = _audit(spark, nodes, count, pairs, dense, threshold)
+        dense = scratch(roots.join(crowded, "root", "left_semi"))
+        recall = _audit(scratch, nodes, count, pairs, dense, threshold)
         logging.getLogger(__name__).info("recall %.4f after %d attempts", recall, attempt + 1)
         if recall >= RECALL:
             break
     else:
         raise RuntimeError(f"links reach a recall of {recall:.4f} instead of {RECALL} after {ATTEMPTS} attempts")
-    sizes = materialise(dense.groupBy("root").agg(F.count("*").alias("size")))
+    sizes = scratch(dense.groupBy("root").agg(F.count("*").alias("size")))
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().join(dense.select(F.col("node").alias("a")), "a", "left_anti")
     sparse = both.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "node")
     links = _blocks(nodes, dense, sizes, threshold).unionByName(sparse)
     placed = nodes.select("node", "h", "g", "n", "least").join(links, "node", "left").join(roots, "node", "left")
     placed = placed.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"), "least")
-    placed = materialise(placed)
-    named = placed.join(materialise(placed.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("h", "g", "n_links", "component_id")
+    placed = scratch(placed)
+    named = placed.join(scratch(placed.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("h", "g", "n_links", "component_id")
+    named = materialise(named)
+    scratch.drop()
     out = rows.select("id", "h", "g").join(named, ["h", "g"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
