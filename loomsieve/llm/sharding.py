@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import documents, materialise, partitions, text_key
+from loomsieve.llm.common import Scratch, documents, materialise, partitions, text_key
 
 #: Groups that one task differences, about, and partial partitions that are combined together.
 BUCKET, FAN = 50_000, 5_000
@@ -81,7 +81,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     rows = docs.select(
         F.col(id_col).alias("id"), text_key(text).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
     )
-    groups = materialise(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
+    scratch = Scratch()
+    groups = scratch(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
     count = groups.count()
     buckets = max(partitions(spark), -(-count // bucket))
 
@@ -91,13 +92,13 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
         return pd.DataFrame({"bucket": frame["bucket"], "key": frame["key"], "bytes": frame["bytes"], "local": [p[0] for p in place]})
 
     dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    placed = materialise(dealt.groupBy("bucket").applyInPandas(local, "bucket int, key binary, bytes long, local int"))
+    placed = scratch(dealt.groupBy("bucket").applyInPandas(local, "bucket int, key binary, bytes long, local int"))
     sums = placed.groupBy("bucket", "local").agg(F.sum("bytes").alias("total"))
     levels = []
     while buckets > fan:
         buckets = -(-buckets // fan)
         up = sums.withColumn("up", F.pmod(F.xxhash64("bucket", F.lit(len(levels))), F.lit(buckets)).cast("int"))
-        step = materialise(up.groupBy("up").applyInPandas(_combined(shards), "bucket int, local int, total long, up int, to int"))
+        step = scratch(up.groupBy("up").applyInPandas(_combined(shards), "bucket int, local int, total long, up int, to int"))
         levels.append(step.select("bucket", "local", "up", "to"))
         sums = step.groupBy(F.col("up").alias("bucket"), F.col("to").alias("local")).agg(F.sum("total").alias("total"))
     last: dict[int, list[int]] = {}
@@ -114,6 +115,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     homes = placed.join(moves, ["bucket", "local"]).select("key", "shard")
     chunk = F.pmod(F.xxhash64("id", "key"), F.lit(4 * max(partitions(spark), -(-count // bucket)))).cast("int")
     dealt = materialise(rows.join(homes, "key").withColumn("chunk", chunk))
+    scratch.drop()
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     firsts = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
