@@ -24,7 +24,7 @@ def vectors():
     rng = np.random.default_rng(8)
     base = rng.normal(size=(12, 6))
     rows = [(k, (base[k % 12] + rng.normal(size=6) * rng.choice([0.05, 0.3])).tolist()) for k in range(90)]
-    rows += [(200, None), (201, [0.0] * 6), (202, [1.0, None, 0, 0, 0, 0]), (203, [float("nan")] * 6), (204, [float("inf")] + [0.0] * 5), (205, [1.0, 2.0])]
+    rows += [(200, None), (201, [0.0] * 6), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [float("nan")] * 6), (204, [float("inf")] + [0.0] * 5), (205, [1.0, -2.0])]
     # Of one direction, though their squares overflow, vanish or are ordinary.
     rows += [(206, [1e200, 1e200]), (207, [1.0, 1.0]), (208, [1e-200, 1e-200]), (5, rows[5][1]), (None, rows[6][1])]
     return rows
