@@ -92,6 +92,20 @@ def emitted_key(source_file: Column, key: Column) -> Column:
     return F.concat(safe(stem), F.lit("__"), safe(key))
 
 
+def entry_title(query_title: Column, local_title: Column) -> Column:
+    """An entry's query title, else that of its raw record; empty where both are."""
+    return F.coalesce(F.nullif(query_title, F.lit("")), F.nullif(local_title, F.lit("")), F.lit(""))
+
+
+#: Fields of a raw record in which identifiers may stand (fixed names).
+CANDIDATE_FIELDS = ("journal", "note", "howpublished", "url", "doi")
+
+
+def candidate_strings(local: Column) -> Column:
+    """What a raw record (a struct with those fields) has in them, in that order."""
+    return F.array_compact(F.array(*(local.getField(n) for n in CANDIDATE_FIELDS)))
+
+
 def raw_title(blob: Column) -> Column:
     """The title that a raw entry states: a marked article title, a ``title = `` line, or such a pair anywhere."""
     b = F.replace(F.replace(blob, F.lit("\\{"), F.lit("{")), F.lit("\\}"), F.lit("}"))

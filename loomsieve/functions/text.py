@@ -156,6 +156,13 @@ def without_fences(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(text), r"(?s)^```[a-zA-Z]*\s*\n|\n?```$", ""))
 
 
+def substituted(text: Column, changes: dict[str, str]) -> Column:
+    """All of the spellings replaced, in the order given; what a change puts in is seen by those after it."""
+    for old, new in changes.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def surname(author: Column) -> Column:
     """Before a comma, else the last word."""
     a = squeeze(author)

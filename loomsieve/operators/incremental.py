@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomsieve.operators.dedupe import numbered
+
 
 def latest(df: DataFrame, key: str, pos: str) -> DataFrame:
     """The last row of each key, ties by all columns; an aggregate, so that a busy key shrinks before the shuffle."""
@@ -31,6 +33,13 @@ def attempts(df: DataFrame, key: str, pos: str, success: Column, most: int) -> D
     return out.select(key, F.least(F.coalesce("first_ok", "c"), F.lit(most), "c").cast("long").alias("n_attempts"), outcome.alias("outcome"))
 
 
+def spaced(requests: DataFrame, source: str, pos: str, seconds: dict[str, float], out: str = "start_at") -> DataFrame:
+    """When each request may start, in seconds, so that those of one source keep its interval: the place among them times the
+    interval (none for sources that aren't named)."""
+    interval = F.coalesce(*(F.when(F.col(source) == name, F.lit(float(s))) for name, s in seconds.items()), F.lit(0.0))
+    return numbered(requests, [source], pos, "__k").withColumn(out, (F.col("__k") - 1) * interval).drop("__k")
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], bucket: str = "day") -> DataFrame:
     """Left rows with the values of the last right row of the key at or before their time (the greatest values, where
     several have that time).

@@ -54,6 +54,12 @@ def score_spread(rows: DataFrame, score: str, by: list[str]) -> DataFrame:
     return evaluate.histogram(rows, s, {"low": s <= 2, "mid": s == 3, "high": s >= 4}, by)
 
 
+def matrix(papers: DataFrame, key: str, variants: list[str], runs: int) -> DataFrame:
+    """Every paper with every variant and run, as lists that each paper's row holds."""
+    each = F.explode(F.array(*map(F.lit, variants))).alias("variant")
+    return papers.select(key, each).select(key, "variant", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+
+
 def probed(keys: DataFrame, variants: dict[str, DataFrame], score: str, key: str = "key") -> DataFrame:
     """Named keys with their score in every variant; a key that a variant lacks has a null."""
     out = keys

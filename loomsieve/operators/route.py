@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,22 @@ def check(df: DataFrame, rules: dict[str, Column], out: str = "violations") -> D
     return df.withColumn(out, F.array_compact(F.array(*(F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()))))
 
 
+def hooked(df: DataFrame, column: str, hook: Callable[[dict], None], out: str = "error") -> DataFrame:
+    """What a user's check says of a nested column: the message of the ValueError it raises for a record, null where it
+    raises none. The check sees one record at a time, in Arrow batches; a null record isn't checked."""
+
+    def run(values: pa.Array) -> pa.Array:
+        found = []
+        for record in values.to_pylist():
+            try:
+                found.append(None if record is None else hook(record))
+            except ValueError as error:
+                found.append(str(error))
+        return pa.array(found, pa.string())
+
+    return df.withColumn(out, F.arrow_udf(run, "string")(column))
+
+
 def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and the others with what they break."""
     checked = check(df, rules)

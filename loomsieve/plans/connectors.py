@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomsieve.functions import text
-from loomsieve.operators import link
+from loomsieve.operators import link, replay, route
 from loomsieve.sources import bibtex, documents, files
 from loomsieve.streaming import events
 from loomsieve.tables import scratch, table
@@ -131,10 +131,56 @@ def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.round(text.printable_share(F.regexp_replace("t", r"[\r\n]", "")), 6).alias("printable"), F.md5(clean).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (json_lines_round_trip, json_lines_lenient, numbered_lines, json_documents, folders_as_papers, csv_report_round_trip, key_list_scan, policy_documents, bibtex_files, cached_lookups, versioned_upserts, text_quality)}
+def binary_listing(spark: SparkSession, path_of: str) -> DataFrame:
+    """Files of every nation as they lie in a folder, without those that begin with a dot and an underscore; and which of
+    them have no converted file yet."""
+    path = scratch(spark)
+    n = table(spark, path_of, "nation").select("n_nationkey", F.rpad(F.lit("x"), 5, "y").alias("value"))
+    n.repartition(4, "n_nationkey").write.partitionBy("n_nationkey").text(f"{path}/in")
+    n.filter("n_nationkey % 3 = 0").repartition(2, "n_nationkey").write.partitionBy("n_nationkey").text(f"{path}/out")
+    folder = lambda df: df.withColumn("stem", F.regexp_extract("path", "n_nationkey=([0-9]+)", 1))
+    sources, done = folder(files.binary_listing(spark, f"{path}/in", ".txt")), folder(files.binary_listing(spark, f"{path}/out", ".txt"))
+    return files.to_convert(sources, done, 6).select(F.col("stem").cast("int").alias("n_nationkey"), "length")
+
+
+def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's table as lines of Markdown."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("|x")).alias("name"), F.when(F.col("n_nationkey") % 4 > 0, F.col("n_nationkey") / 8).alias("share"))
+    return files.markdown_lines(n, ["n_nationkey", "name", "share"], "n_nationkey")
+
+
+def bulk_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings replaced over all texts, and how many texts that changes."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("t"))
+    new = text.substituted(F.col("t"), {"ring": "bracket", "ECONOMY": "ring", "red ": ""})
+    return p.select("p_partkey", new.alias("text"), (new != F.col("t")).alias("changed"))
+
+
+def validator_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user's own check says of nested records."""
+
+    def small(record: dict) -> None:
+        if record["size"] > 30:
+            raise ValueError(f"size {record['size']} is above 30")
+
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 > 0, F.struct(F.col("p_size").alias("size"))).alias("record"))
+    return route.hooked(p, "record", small).select("p_partkey", "error")
+
+
+def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.matrix(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", ["operational", "faithful"], 3)
+
+
+QUERIES = {f.__name__: f for f in (binary_listing, markdown_report, bulk_substitution, validator_hook, run_matrix, json_lines_round_trip, json_lines_lenient, numbered_lines, json_documents, folders_as_papers, csv_report_round_trip, key_list_scan, policy_documents, bibtex_files, cached_lookups, versioned_upserts, text_quality)}
 
 _REC = """select s_suppkey::varchar as key, s_name || ' "q" ä, ' as title, case when s_suppkey % 3 > 0 then (2000 + s_suppkey % 20)::int end as year from supplier"""
 ORACLE = {
+    "binary_listing": "select n_nationkey, 6::bigint as length from nation where n_nationkey % 3 <> 0",
+    "markdown_report": """select -2::bigint as pos, '| n_nationkey | name | share |' as line union all select -1, '| --- | --- | --- |' union all
+select n_nationkey, '| ' || n_nationkey || ' | ' || n_name || '\\|x | ' || coalesce(case when n_nationkey % 4 > 0 then format('{:.4f}', n_nationkey / 8) end, '') || ' |' from nation""",
+    "bulk_substitution": """select p_partkey, replace(replace(replace(t, 'ring', 'bracket'), 'ECONOMY', 'ring'), 'red ', '') as text, replace(replace(replace(t, 'ring', 'bracket'), 'ECONOMY', 'ring'), 'red ', '') <> t as changed from (select p_partkey, p_name || ' ' || p_type as t from part)""",
+    "validator_hook": "select p_partkey, case when p_partkey % 9 > 0 and p_size > 30 then 'size ' || p_size || ' is above 30' end as error from part",
+    "run_matrix": "select n_nationkey, v as variant, r::int as run from nation, (values ('operational'), ('faithful')) a(v), range(1, 4) b(r)",
     "json_lines_round_trip": _REC,
     "json_lines_lenient": "select o_orderkey::varchar as key from orders where o_orderkey % 5 <> 0",
     "numbered_lines": "select n_nationkey, i::int as line_no, i::int as i from nation, range(1, 46) t(i) where i <= 20 + n_nationkey and i % 4 <> 0",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.functions import records
-from loomsieve.operators import candidates
+from loomsieve.functions import alignment, records
+from loomsieve.operators import candidates, incremental
 from loomsieve.tables import table
 
 
@@ -149,7 +149,33 @@ def export_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.export_report(exports, wanted, "k", "pos").groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("k").alias("n_keys"))
 
 
-QUERIES = {f.__name__: f for f in (candidate_verification, verification_rules, record_identifiers, source_cascade, first_accepted_try, pool_fan_out, routing_flags, pool_log_summary, pool_failure_reasons, metadata_alignment, alignment_pass_rates, metadata_containment, export_alignment)}
+def page_title_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether first pages belong to records, by their titles alone."""
+    k = F.col("p_partkey")
+    main = F.concat(F.lit("The making of "), "p_name")
+    title = F.concat(main, F.lit(": a study of "), "p_type")
+    page = F.when(k % 5 == 0, F.concat(F.lit("Preprint. "), F.upper(title), F.lit(". Abstract, of a length that is enough to read"))).when(k % 5 == 1, F.concat(main, F.lit(" and other words until the page is long enough to read"))).otherwise("short")
+    head = F.when(k % 5 == 2, F.lower(title)).when(k % 5 == 3, F.concat(F.lit("On: "), main)).otherwise("")
+    rows = table(spark, sf_dir, "part").select("p_partkey", title.alias("t"), F.when(k % 3 == 0, "An abstract").alias("a"), head.alias("h"), page.alias("p"))
+    j = alignment.judge_match()("t", "a", "h", "p")
+    return rows.select("p_partkey", j.alias("j")).select("p_partkey", "j.verdict", "j.reason")
+
+
+def entry_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of entries, and the fields that may hold identifiers."""
+    k = F.col("s_suppkey")
+    local = F.struct(F.when(k % 2 == 0, F.col("s_name")).alias("title"), *(F.when(k % (i + 2) == 0, F.lit(n)).alias(n) for i, n in enumerate(records.CANDIDATE_FIELDS)))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(k % 3 == 0, "Query").when(k % 3 == 1, "").alias("q"), local.alias("local"))
+    return rows.select("s_suppkey", records.entry_title(F.col("q"), F.col("local.title")).alias("title"), F.array_join(records.candidate_strings(F.col("local")), ",").alias("strings"))
+
+
+def request_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start times of requests that keep each source's interval."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return incremental.spaced(e, "event_type", "event_id", {"view": 1.0, "click": 0.5, "signup": 3.0})
+
+
+QUERIES = {f.__name__: f for f in (page_title_verdicts, entry_titles, request_schedule, candidate_verification, verification_rules, record_identifiers, source_cascade, first_accepted_try, pool_fan_out, routing_flags, pool_log_summary, pool_failure_reasons, metadata_alignment, alignment_pass_rates, metadata_containment, export_alignment)}
 
 _POOL = """pool as (select p_partkey as k, p_name as norm, string_split(p_name, ' ') as words, 1990 + p_size % 30 as y, p_brand as brand,
  case when p_partkey % 3 = 0 then '10.1000/p' || p_partkey end as doi, case when p_partkey % 3 = 1 then '1906.' || lpad((p_partkey % 100000)::varchar, 5, '0') end as arxiv,
@@ -164,6 +190,12 @@ a as (select conv_id, turn, case when k % 11 = 0 then 'orphan_page' when k % 3 =
  when k % 23 = 0 then 'fail_unreadable' when length(page) < 120 then 'uncertain_extraction' when k % 4 = 0 then 'fail_title_mismatch' when k % 5 > 0 and k % 7 = 0 then 'fail_abstract_mismatch' else 'pass_strict' end as status
  from p where not (k % 11 = 0 and k % 3 = 0))"""
 ORACLE = {
+    "page_title_verdicts": """with v as (select p_partkey, p_partkey % 5 as c, p_partkey % 3 = 0 as a from part)
+select p_partkey, case when c = 4 then 'mismatch' when a and c > 1 then 'uncertain' else 'match' end as verdict, case when c = 4 then 'title_not_consistent_with_metadata' when a and c > 1 then 'first_page_text_too_short_for_topic_check'
+ when c = 0 then 'full_title_found_in_first_page' when c = 1 then 'main_title_found_in_first_page' when c = 2 then 'title_header_consistent' else 'main_title_header_consistent' end as reason from v""",
+    "entry_titles": """select s_suppkey, case when s_suppkey % 3 = 0 then 'Query' when s_suppkey % 2 = 0 then s_name else '' end as title,
+ concat_ws(',', case when s_suppkey % 2 = 0 then 'journal' end, case when s_suppkey % 3 = 0 then 'note' end, case when s_suppkey % 4 = 0 then 'howpublished' end, case when s_suppkey % 5 = 0 then 'url' end, case when s_suppkey % 6 = 0 then 'doi' end) as strings from supplier""",
+    "request_schedule": """select event_id, event_type, ((row_number() over (partition by event_type order by event_id) - 1) * case event_type when 'view' then 1.0 when 'click' then 0.5 when 'signup' then 3.0 else 0.0 end)::double as start_at from events""",
     "candidate_verification": f"""with {_POOL}, v as (select *, norm = rnorm or overlap >= 0.66 as title_ok from chk)
 select k as record_index, 'pool.' || (k % 3) || '__' || regexp_replace(brand, '[^A-Za-z0-9._-]+', '_') || '_' || k as emitted_key, y::varchar as pool_year, 'doe' as pool_author, doi as pool_doi, arxiv as pool_arxiv, title_ok, round(overlap, 6) as overlap, year_ok, author_ok, ids_ok,
  title_ok and author_ok and (year_ok or ids_ok or not has_ids) as ok,

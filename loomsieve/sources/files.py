@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,35 @@ def key_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(value.alias("key")).filter((F.col("key") != "") & ~F.col("key").startswith("#")).distinct()
 
 
+def binary_listing(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """(path, name, stem, length) of all files under a path; hidden ones, and those that begin with a dot and an underscore,
+    don't count. Contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    found = found.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "length")
+    return found.filter(~F.col("name").startswith("._") & F.col("name").endswith(suffix))
+
+
+def to_convert(sources: DataFrame, done: DataFrame, least: int = 1) -> DataFrame:
+    """Listed files whose stem has no finished file of at least so many bytes yet."""
+    return sources.join(done.filter(F.col("length") >= least).select("stem").distinct(), "stem", "left_anti")
+
+
+def markdown_lines(df: DataFrame, columns: list[str], pos: str) -> DataFrame:
+    """A Markdown table as (pos, line): heading and rule at -2 and -1, then the rows in the order of ``pos``. Bars in values
+    are escaped, null values are empty; doubles have four digits."""
+
+    def cell(c: str) -> Column:
+        kind = df.schema[c].dataType
+        shown = F.format_string("%.4f", F.col(c)) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(c).cast("string")
+        return F.coalesce(F.replace(F.when(F.col(c).isNotNull(), shown), F.lit("|"), F.lit("\\|")), F.lit(""))
+
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rows = df.select(F.col(pos).cast("long").alias("pos"), line([cell(c) for c in columns]).alias("line"))
+    head = df.sparkSession.createDataFrame([(-2, "| " + " | ".join(columns) + " |"), (-1, "| " + " | ".join("---" for _ in columns) + " |")], "pos long, line string")
+    return head.unionByName(rows)
+
+
 def by_folder(spark: SparkSession, pattern: str, schema: str, folder: str = r"/([^/]+)/metadata/[^/]+$") -> DataFrame:
     """JSON lines of many folders, with the folder's name as ``paper_id``."""
     rows = json_lines(spark, pattern, schema)
