@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,30 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(rows: DataFrame, by: str, most: dict | int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[Row]:
+    """Rows for the driver to learn from: of each value of ``by`` at most ``most``, in the order of the hashes of id and text,
+    whose texts take ``max_bytes`` at most together. A text that would take more is passed over.
+
+    Sizes come first, and then the texts that are wanted. Rows of one id and text count once; null texts don't count.
+    """
+    spark = rows.sparkSession
+    keyed = rows.filter(F.col(text_col).isNotNull() & F.col(by).isNotNull()).withColumns({"__h": F.xxhash64(id_col), "__t": F.xxhash64(text_col)})
+    ends = Window.partitionBy(by).orderBy("__h", "__t")
+    limit = most if isinstance(most, int) else max(most.values())
+    slim = keyed.select(by, "__h", "__t", F.octet_length(text_col).alias("size")).distinct().withColumn("rank", F.row_number().over(ends)).filter(F.col("rank") <= limit)
+    taken: dict = {}
+    kept = set()
+    for value, h, t, size, _ in slim.orderBy(by, "rank").collect():  # ``most`` small rows a value
+        n, used = taken.get(value, (0, 0))
+        if n < (most if isinstance(most, int) else most.get(value, 0)) and used + size <= max_bytes:
+            kept.add((value, h, t))
+            taken[value] = (n + 1, used + size)
+    if not kept:
+        return []
+    wanted = spark.createDataFrame(sorted(kept), f"{by} {rows.schema[by].dataType.simpleString()}, __h long, __t long")
+    return keyed.join(F.broadcast(wanted), [by, "__h", "__t"]).dropDuplicates([by, "__h", "__t"]).orderBy("__h", "__t", by).drop("__h", "__t").collect()
+
+
 def text_key(text: Column) -> Column:
     """128-bit identity of a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

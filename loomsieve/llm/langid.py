@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import WORD_BYTE, Once, blocks, cut_long, documents, held_out, joined, mix, spans_of, word_hashes
+from loomsieve.llm.common import WORD_BYTE, Once, blocks, bounded_sample, cut_long, documents, held_out, joined, mix, spans_of, word_hashes
 
 ROWS = 1 << 17
 LETTER_BYTE = WORD_BYTE.copy()
@@ -28,6 +28,8 @@ LETTER_BYTE[48:58] = False
 AFFIXES = ((False, 1), (False, 2), (False, 3), (True, 1), (True, 2), (True, 3), (True, 4))
 #: Most texts of each language that the model is fitted on (chosen by hash of the id).
 MAX_TEXTS = 250
+#: UTF-8 bytes of those texts, at most.
+MAX_BYTES = 8 << 20
 EPOCHS, SPLICE, SEQUENCE, BATCH, RATE = 10, 40, 200, 128, 0.3
 CHUNK = 64
 UNKNOWN = "und"
@@ -228,16 +230,12 @@ def _pairs(log_emit: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[
     return post.transpose(1, 0, 2).copy(), pairs
 
 
-def train(docs: DataFrame, max_texts: int = MAX_TEXTS) -> dict:
-    """Fit on at most ``max_texts`` texts of each language, from rows with a language outside the held-out fold."""
-    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    order = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("i"))
-    # The smallest hashes of each language; the rank limit is applied in every task before rows are shuffled.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    tops = known.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= max_texts)
-    chosen = F.broadcast(tops.select("lang", "doc_id"))  # max_texts rows a language
-    rows = known.join(chosen, ["lang", "doc_id"]).orderBy(order, "text").select("text", "lang").collect()
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+def train(docs: DataFrame, max_texts: int = MAX_TEXTS, max_bytes: int = MAX_BYTES) -> dict:
+    """Fit on at most ``max_texts`` texts of each language, of ``max_bytes`` together, from rows with a language outside the
+    held-out fold."""
+    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    rows = bounded_sample(known, "lang", max_texts, max_bytes)
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def identify(spark: SparkSession, model: dict):

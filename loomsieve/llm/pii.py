@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import Once, documents
+from loomsieve.llm.common import Once, bounded_sample, documents
 
 KINDS = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 #: Hashed feature rows; most texts the field is fitted on; a token is added from this posterior on.
 ROWS, MAX_TEXTS, SURE = 1 << 13, 3000, 0.9
 EPOCHS, RATE, DAMPING = 300, 0.5, 0.3
+#: UTF-8 bytes of those texts, at most.
+MAX_BYTES = 32 << 20
 #: Messages of a document settle when none moves by more; loops that don't settle end after so many rounds.
 SETTLED, ROUNDS = 1e-4, 100
 #: Potentials of the edges: neighbours, repeated tokens, similar tokens.
@@ -353,12 +355,11 @@ def find(model: dict, texts: list[str]) -> tuple[list[list[tuple[str, int, int]]
     return bases, [sorted(b + a, key=lambda s: (s[1], _RANK[s[0]], s[2])) if a else b for b, a in zip(bases, added, strict=True)]
 
 
-def train(docs: DataFrame, max_texts: int = MAX_TEXTS, text_col: str = "text") -> dict:
-    """Fit on at most ``max_texts`` texts that hold a digit or an at sign, chosen by hash of the text."""
-    known = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    slim = known.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(max_texts)
-    rows = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(slim), "h").dropDuplicates(["h"]).orderBy("h").select("text").collect()
-    return fit([r[0] for r in rows])
+def train(docs: DataFrame, max_texts: int = MAX_TEXTS, max_bytes: int = MAX_BYTES, text_col: str = "text") -> dict:
+    """Fit on at most ``max_texts`` texts that hold a digit or an at sign, of ``max_bytes`` together, chosen by hash of the
+    text."""
+    known = docs.select(F.col(text_col).alias("text"), F.lit(0).alias("one"), F.lit(0).alias("doc_id")).filter(F.col("text").rlike("[0-9@]"))
+    return fit([r["text"] for r in bounded_sample(known, "one", max_texts, max_bytes)])
 
 
 def finder(spark: SparkSession, model: dict):

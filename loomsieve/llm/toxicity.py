@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.llm.common import WORD_BYTE, Once, blocks, cut_long, documents, held_out, joined, spans_of, word_hashes
+from loomsieve.llm.common import WORD_BYTE, Once, blocks, bounded_sample, cut_long, documents, held_out, joined, spans_of, word_hashes
 
 WORD_ROWS, HEAD_ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 1 << 13, 16, 16, (1, 2, 3)
 #: Bytes of a word that its second embedding is of.
@@ -32,6 +32,8 @@ HEAD_BYTES = 4
 PAD = WORD_ROWS + HEAD_ROWS
 #: Most labelled rows of class 1 and of class 0 that the classifier is fitted on (chosen by hash of the id).
 MAX_TOXIC, MAX_CLEAN = 2500, 5000
+#: UTF-8 bytes of each class's texts in the sample, at most.
+MAX_BYTES = 24 << 20
 #: Passes over the sample, at least; small samples get more, up to as many updates as STEPS.
 EPOCHS, STEPS, BATCH, RATE = 3, 300, 32, 0.08
 #: The score that calibrated thresholds are moved to.
@@ -244,16 +246,12 @@ def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return float(middles[np.where(near, np.diff(grid), -1).argmax()])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> list[tuple[str, int, str | None]]:
-    """The bounded sample that the classifier learns from: (text, label, language) of rows outside the held-out fold. Where
-    ids repeat, at most twice as many rows as ids, in the order of the ids' hash."""
+def labelled(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> list[tuple[str, int, str | None]]:
+    """The bounded sample that the classifier learns from: (text, label, language) of rows outside the held-out fold. An id
+    that is labelled both ways counts as toxic."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    chosen = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, max_toxic), (0, max_clean))]
-    picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # max_toxic + max_clean rows at most
-    found = docs.select("doc_id", "text", "lang").join(picked, "doc_id").filter(F.col("text").isNotNull())
-    rows = found.orderBy(order, "doc_id", "text").limit(2 * (max_toxic + max_clean)).select("text", "toxic", "lang").collect()
-    return [(r[0], int(r[1]), r[2]) for r in rows]
+    rows = docs.select("doc_id", "text", "lang").join(known, "doc_id")
+    return [(r["text"], int(r["toxic"]), r["lang"]) for r in bounded_sample(rows, "toxic", {1: max_toxic, 0: max_clean}, max_bytes)]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:

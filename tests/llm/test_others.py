@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomsieve.llm import langid, pii, sharding, toxicity, vectors
+from loomsieve.llm.common import bounded_sample
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -281,3 +282,14 @@ def test_audit_draws_until_it_has_links(spark, monkeypatch):
     assert vectors._audit(spark, nodes, 700, unlinked, none, 0.9) == 0
     assert vectors._audit(spark, nodes, 700, spark.createDataFrame([(min(a, b), max(a, b))], "a long, b long"), none, 0.9) == 1
     assert vectors._audit(spark, nodes, 700, unlinked, spark.createDataFrame([(a, a), (b, a)], "node long, root long"), 0.9) == 1
+
+
+def test_samples_are_bounded_by_rows_and_bytes(spark):
+    rows = [(i, "x" * (i % 7), "a" if i % 3 else "b") for i in range(200)] + [(1, "x", "a")] * 50 + [(None, "null id", "a"), (900, None, "a"), (901, "t", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = bounded_sample(df, "lang", 40, 100)
+    assert max(Counter(r["lang"] for r in got).values()) <= 40 and len({(r["doc_id"], r["text"]) for r in got}) == len(got)
+    for lang in "ab":
+        assert 90 < sum(len(r["text"]) for r in got if r["lang"] == lang) <= 100
+    assert len(bounded_sample(df, "lang", {"a": 3, "b": 0}, 1000)) == 3 and bounded_sample(df.limit(0), "lang", 5, 100) == []
+    assert [tuple(r) for r in bounded_sample(df.repartition(7), "lang", 40, 100)] == [tuple(r) for r in got]
