@@ -163,17 +163,21 @@ def rescued(records_: DataFrame, adjusted: DataFrame, old: cutoff.Policy, new: c
     return out.select(key, fault.alias("fault"))
 
 
-def sibling_name(name: Column) -> Column:
-    """The name of the first-stage results that belong to a second-stage file, by the convention of names; null for others."""
-    swapped = F.replace(F.replace(name, F.lit("latte_fulltext_review_results"), F.lit("latte_review_results")), F.lit("latte_fulltext_review_from_run01"), F.lit("latte_review_results"))
+def sibling_name(name: Column, swaps: dict[str, str]) -> Column:
+    """The name of the first-stage results that belong to a second-stage file, by parts of names that are swapped; null for
+    names without such a part."""
+    swapped = name
+    for second, first in swaps.items():
+        swapped = F.replace(swapped, F.lit(second), F.lit(first))
     return F.when(swapped != name, swapped)
 
 
-def with_sibling(files: DataFrame, folder: str, name: str) -> DataFrame:
-    """Each second-stage file with its folder's first-stage file: the one its name points to, else the only one there is."""
-    first = files.filter(F.col(name).startswith("latte_review_results")).select(folder, F.col(name).alias("__n"))
+def with_sibling(files: DataFrame, folder: str, name: str, swaps: dict[str, str]) -> DataFrame:
+    """Each second-stage file with its folder's first-stage file: the one its name points to, else the only one there is
+    (first-stage names begin with one of the parts that are swapped in)."""
+    first = files.filter(F.greatest(*(F.col(name).startswith(p) for p in (*swaps.values(), *swaps.values())))).select(folder, F.col(name).alias("__n"))
     only = first.groupBy(folder).agg(F.min("__n").alias("__only"), F.count("*").alias("__c"))
-    second = files.withColumn("__want", sibling_name(F.col(name))).filter(F.col("__want").isNotNull())
+    second = files.withColumn("__want", sibling_name(F.col(name), swaps)).filter(F.col("__want").isNotNull())
     named = second.join(first.select(folder, F.col("__n").alias("__want"), F.lit(True).alias("__hit")).distinct(), [folder, "__want"], "left").join(only, folder, "left")
     found = F.when(F.col("__hit"), F.col("__want")).when(F.col("__c") == 1, F.col("__only"))
     return named.select(folder, name, found.alias("sibling"))

@@ -134,10 +134,10 @@ def sibling_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second-stage files of each nation with their first-stage files."""
     n = F.col("n_nationkey")
     names = F.array(
-        F.concat(F.lit("latte_fulltext_review_results.v"), (n % 3).cast("string"), F.lit(".json")), F.lit("latte_fulltext_review_from_run01.json"),
-        F.when(n % 2 == 0, F.concat(F.lit("latte_review_results.v"), (n % 3).cast("string"), F.lit(".json"))), F.when(n % 5 == 0, F.lit("latte_review_results.other.json")), F.lit("notes.txt"))
+        F.concat(F.lit("second_stage_results.v"), (n % 3).cast("string"), F.lit(".json")), F.lit("second_stage_first_run.json"),
+        F.when(n % 2 == 0, F.concat(F.lit("first_stage_results.v"), (n % 3).cast("string"), F.lit(".json"))), F.when(n % 5 == 0, F.lit("first_stage_results.other.json")), F.lit("notes.txt"))
     files = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array_compact(names)).alias("name"))
-    return replay.with_sibling(files, "n_nationkey", "name")
+    return replay.with_sibling(files, "n_nationkey", "name", {"second_stage_results": "first_stage_results", "second_stage_first_run": "first_stage_results"})
 
 
 def recomputed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,8 +242,8 @@ select key, pos, 0 as part, 'adjusted' as origin, st as cutoff_status,
 union all select key, pos, 1, 'synthesized', st, '{cutoff.EXCLUDED}', 'cutoff_filtered', 'cutoff_time_window:' || st, null from x where key is not null and pos % 10 = 7 and st <> 'passed'
 union all select key, pos, 2, 'untouched', null, case when cut then '{cutoff.EXCLUDED}' else 'maybe (junior:3,3)' end, case when cut then 'cutoff_filtered' else 'reviewed' end, null, case when saved then 'include (saved)' end from x where key is null""",
     "policy_rescue": f"""with {_R} select key, case pos % 6 when 1 then 'missing_adjusted_row' when 2 then 'still_cutoff' when 3 then 'missing_final_verdict' end as fault from r where key is not null and {_ST(OLD, OLD)} <> 'passed' and {_ST(NEW, NEW)} = 'passed'""",
-    "sibling_results": """with n as (select n_nationkey as k, n_nationkey % 2 = 0 as v, n_nationkey % 5 = 0 as o from nation), lone as (select k, case when v and not o then 'latte_review_results.v' || (k % 3) || '.json' when o and not v then 'latte_review_results.other.json' end as one from n)
-select k as n_nationkey, 'latte_fulltext_review_results.v' || (k % 3) || '.json' as name, case when k % 2 = 0 then 'latte_review_results.v' || (k % 3) || '.json' else one end as sibling from lone union all select k, 'latte_fulltext_review_from_run01.json', one from lone""",
+    "sibling_results": """with n as (select n_nationkey as k, n_nationkey % 2 = 0 as v, n_nationkey % 5 = 0 as o from nation), lone as (select k, case when v and not o then 'first_stage_results.v' || (k % 3) || '.json' when o and not v then 'first_stage_results.other.json' end as one from n)
+select k as n_nationkey, 'second_stage_results.v' || (k % 3) || '.json' as name, case when k % 2 = 0 then 'first_stage_results.v' || (k % 3) || '.json' else one end as sibling from lone union all select k, 'second_stage_first_run.json', one from lone""",
     "recomputed_reports": f"""with {_R}, j as (select *, {_P} as p, pos % 3 as run from r join g using (key)), c as (select paper, run, {_CELLS} from j group by 1, 2)
 select *, {_RATIO.format('tp', 'tp + fp')} as precision, {_RATIO.format('tp', 'tp + fn')} as recall, {_RATIO.format('2 * tp', '2 * tp + fp + fn')} as f1, {_RATIO.format('(tp + tn)', '(tp + fp + tn + fn)')} as accuracy from c""",
     "run_summaries": f"""with {_R}, q as (select * from r where key is not null), z as (select paper, key, v, {_P} as p, case when not ({_P}) then v when pos % 4 = 1 then 'exclude' else 'include' end as v2, pos from q),
