@@ -40,6 +40,32 @@ def spaced(requests: DataFrame, source: str, pos: str, seconds: dict[str, float]
     return numbered(requests, [source], pos, "__k").withColumn(out, (F.col("__k") - 1) * interval).drop("__k")
 
 
+def running(df: DataFrame, key: str, ts: str, tie: str, value: str, label: str, bucket: str = "day") -> DataFrame:
+    """Every row with the running sum of ``value`` in its key's order (time, then ``tie``), the labels before and after it, and
+    the key's first tie: running, before, after, first.
+
+    Rows are ordered within a key's time buckets; what comes from other buckets is carried over from one row per bucket, so a
+    key's history is spread over tasks.
+    """
+    order = F.struct(ts, tie)
+    rows = df.withColumn("__bucket", F.date_trunc(bucket, F.col(ts)))
+    per = rows.groupBy(key, "__bucket").agg(F.sum(value).alias("s"), F.min_by(label, order).alias("head"), F.max_by(label, order).alias("tail"), F.min(order).alias("least"))
+    along = Window.partitionBy(key).orderBy("__bucket")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = per.select(
+        F.struct(key, "__bucket").alias("__at"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("__sum"), F.lag("tail").over(along).alias("__tail"), F.lead("head").over(along).alias("__head"),
+        F.first("least").over(whole).getField(tie).alias("first"))
+    w = Window.partitionBy(key, "__bucket").orderBy(ts, tie)
+    inside = rows.withColumns({
+        "__own": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__nth": F.row_number().over(w), "__left": F.count("*").over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "__before": F.lag(label).over(w), "__after": F.lead(label).over(w), "__key": F.struct(key, "__bucket")})
+    out = inside.join(carried, F.col("__key").eqNullSafe(F.col("__at")))
+    return out.select(
+        *df.columns, (F.col("__sum") + F.coalesce("__own", F.lit(0))).alias("running"), F.when(F.col("__nth") > 1, F.col("__before")).otherwise(F.col("__tail")).alias("before"),
+        F.when(F.col("__left") > 0, F.col("__after")).otherwise(F.col("__head")).alias("after"), "first")
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], bucket: str = "day") -> DataFrame:
     """Left rows with the values of the last right row of the key at or before their time (the greatest values, where
     several have that time).

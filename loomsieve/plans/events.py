@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsieve.operators import incremental
@@ -54,9 +54,8 @@ def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running"), F.lag("event_type").over(w).alias("before"), F.lead("event_type").over(w).alias("after"), F.first("event_id").over(w).alias("first_id"))
+    out = incremental.running(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "value", "event_type")
+    return out.select("event_id", F.round("running", 4).alias("running"), "before", "after", F.col("first").alias("first_id"))
 
 
 QUERIES = {f.__name__: f for f in (events_tumbling, events_sliding, events_session, resume_pending, dead_letters, retry_rounds, asof_orders, running_totals)}

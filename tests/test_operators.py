@@ -252,3 +252,17 @@ def test_as_of_over_buckets(spark):
     out = incremental.as_of(spark.createDataFrame(left, "id int, key string, ts timestamp"), spark.createDataFrame(right, "key string, ts timestamp, v int"), "key", "ts", ["v"])
     want = {i: max(((t, v) for k, t, v in right if k == key and t <= ts), default=(None, None))[1] for i, key, ts in left}
     assert {r["id"]: r["v"] for r in out.collect()} == want
+
+
+def test_running_values_over_buckets(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab") if i % 9 else None, datetime.datetime(2024, 1, rng.randrange(1, 6), rng.randrange(24)), rng.randrange(9), rng.choice("xyz")) for i in range(150)]
+    got = incremental.running(spark.createDataFrame(rows, "id int, key string, ts timestamp, v int, label string"), "key", "ts", "id", "v", "label").collect()
+    want = {}
+    for key in ("a", "b", None):
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
+        for k, r in enumerate(own):
+            want[r[0]] = (sum(x[3] for x in own[: k + 1]), own[k - 1][4] if k else None, own[k + 1][4] if k + 1 < len(own) else None, own[0][0])
+    assert {r["id"]: (r["running"], r["before"], r["after"], r["first"]) for r in got} == want
