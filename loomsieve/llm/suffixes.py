@@ -141,6 +141,15 @@ def _find_segments(length: int):
 # --- the transform of a bundle ---------------------------------------------------------------------------------
 
 
+def _radix_order(key: np.ndarray) -> np.ndarray:
+    """The order of 64-bit keys, ties by place: numpy sorts 16-bit numbers by radix, so four passes over them are cheap."""
+    parts = key.view(np.uint16).reshape(-1, 4)
+    order = np.argsort(parts[:, 0], kind="stable").astype(np.int32)
+    for k in (1, 2, 3):
+        order = order[np.argsort(parts[order, k], kind="stable")]
+    return order
+
+
 def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes ordered by their first ``depth`` symbols at least, by prefix doubling; every 0 is smaller than later ones."""
     n, q = len(symbols), 7
@@ -158,7 +167,7 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
         ends[at] = True
         rest = np.uint64(9 * (q - 1 - back))
         key[at] = (key[at] >> rest) << rest
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = _radix_order(key)
     inner = key[order]
     opens = np.concatenate([[True], inner[1:] != inner[:-1]]) | ends[order]
     del one, two, four, key, inner
@@ -225,9 +234,10 @@ def shared_rows(transform: np.ndarray, stops: int, length: int) -> np.ndarray:
     return ~known[:n]
 
 
-def repeated_starts(segments: list[bytes], weights: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_starts(segments: list[bytes], weights: list[list[tuple[int, int, int]]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over the segments, each followed by a separator: which positions start a repeated string, which of them are the
-    first of their kind, and where each segment begins. A segment counts as often as its weight says."""
+    first of their kind, and where each segment begins. Strings that start in a segment's range (from, to, weight) count as
+    often as its weight says."""
     sizes = np.array([len(s) + 1 for s in segments], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8)
@@ -237,8 +247,9 @@ def repeated_starts(segments: list[bytes], weights: list[int], length: int) -> t
     heads = np.flatnonzero(~shared_rows(symbols[order - 1], len(segments), length))
     # How often a suffix's string occurs; one too short for a string is no occurrence of any.
     counts = np.zeros(len(symbols), dtype=np.int64)
-    for begin, size, weight in zip(begins.tolist(), sizes.tolist(), weights, strict=True):
-        counts[begin : begin + size - length] = weight
+    for begin, ranges in zip(begins.tolist(), weights, strict=True):
+        for first, last, weight in ranges:
+            counts[begin + first : begin + last] = weight
     several = np.add.reduceat(counts[order], heads) > 1
     repeated, head = np.zeros(len(symbols), bool), np.zeros(len(symbols), bool)
     repeated[order] = np.repeat(several, np.diff(heads, append=len(symbols)))
@@ -256,29 +267,35 @@ def _expand_bundle(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         worker_serves("suffixes")
-        trim()  # of the bundle before
-        pieces = table.column("bytes").to_pylist()
-        crowded = table.column("crowded").to_pylist()
-        repeated, head, begins = repeated_starts(pieces, table.column("weight").to_pylist(), length)
-        spans, loose, whole = [], [], []
-        for piece, begin, crowd in zip(pieces, begins.tolist(), crowded, strict=True):
-            own = repeated[begin : begin + len(piece)]
-            a, b = _runs(own)
-            spans.append(np.stack([a, b - 1 + length], axis=1).ravel().tolist() if len(a) else [])
-            whole.append(spans[-1] == [0, len(piece)])
-            if not crowd:
-                loose.append(None)
-                continue
-            # One of each kind, and all that found no partner here, for the comparison across bundles.
-            at = np.flatnonzero((~own | head[begin : begin + len(piece)])[: len(piece) - length + 1])
-            up, down = _powers(len(piece) + 1)
-            values = np.frombuffer(piece, dtype=np.uint8).astype(np.uint64)
-            hashes = []
-            for scramble in (values + np.uint64(1), mix(values + np.uint64(77))):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scramble * up[: len(piece)])])
-                hashes.append(mix((sums[at + length] - sums[at]) * down[at]).view(np.int64).tolist())
-            loose.append([{"h": h, "g": g, "at": i} for h, g, i in zip(*hashes, at.tolist(), strict=True)])
-        return pa.table({**{k: table.column(k) for k in KIND}, "spans": pa.array(spans, pa.list_(pa.int32())), "whole": whole, "loose": pa.array(loose, loose_type)})
+        # The same row may come from repeated rows; its bytes are the same.
+        places = zip(table.column("rid").to_pylist(), table.column("start").to_pylist(), strict=True)
+        rows = list({place: k for k, place in enumerate(places)}.values())
+        pieces, members = table.column("bytes").take(rows).to_pylist(), table.column("members").take(rows).to_pylist()
+        starts = [[(m["off"], m["off"] + m["size"] - length + 1, m["weight"]) for m in own] for own in members]
+        repeated, head, begins = repeated_starts(pieces, starts, length)
+        kinds, spans, loose, whole = [], [], [], []
+        for piece, begin, own in zip(pieces, begins.tolist(), members, strict=True):
+            for m in own:
+                first, n = begin + m["off"], m["size"] - length + 1
+                flags = repeated[first : first + n]
+                a, b = _runs(flags)
+                kinds.append([m[k] for k in KIND])
+                spans.append(np.stack([a, b - 1 + length], axis=1).ravel().tolist() if len(a) else [])
+                whole.append(spans[-1] == [0, m["size"]])
+                if not m["crowded"]:
+                    loose.append(None)
+                    continue
+                # One of each kind, and all that found no partner here, for the comparison across bundles.
+                at = np.flatnonzero(~flags | head[first : first + n])
+                up, down = _powers(len(piece) + 1)
+                values = np.frombuffer(piece, dtype=np.uint8).astype(np.uint64)
+                hashes = []
+                for scramble in (values + np.uint64(1), mix(values + np.uint64(77))):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scramble * up[: len(piece)])])
+                    hashes.append(mix((sums[at + length] - sums[at]) * down[at]).view(np.int64).tolist())
+                loose.append([{"h": h, "g": g, "at": i} for h, g, i in zip(*hashes, at.tolist(), strict=True)])
+        named = {k: pa.array([x[i] for x in kinds], pa.int64()) for i, k in enumerate(KIND)}
+        return pa.table({**named, "spans": pa.array(spans, pa.list_(pa.int32())), "whole": pa.array(whole, pa.bool_()), "loose": pa.array(loose, loose_type)})
 
     return run
 
@@ -286,16 +303,32 @@ def _expand_bundle(length: int):
 # --- the operator ----------------------------------------------------------------------------------------------
 
 
-def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted segments of each text."""
-    for batch in batches:
-        kinds, pieces = [], []
-        for data, wanted in zip(batch.column("data").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            for w in wanted:
-                kinds.append([w[k] for k in KIND])
-                pieces.append(data[w["first"] : w["first"] + w["size"]])
-        columns = [pa.array([k[i] for k in kinds], pa.int64()) for i in range(len(KIND))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(pieces, pa.binary())], [*KIND, "bytes"])
+MEMBERS = f"array<struct<{', '.join(f'{k}:long' for k in KIND)}, weight:long, crowded:boolean, alone:boolean, off:int, size:int>>"
+
+
+def _cut_segments(limit: int):
+    """Bytes of the wanted segments of each text. Segments that are alone with their anchor need no others beside them, so
+    those that overlap are one piece, of about ``limit`` bytes at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids, starts, pieces, members = [], [], [], []
+            for rid, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("rid", "data", "wanted")), strict=True):
+                runs: list[list] = []  # start, end, members
+                for w in sorted(wanted, key=lambda w: w["first"]):
+                    if not (runs and w["alone"] and runs[-1][2][-1]["alone"] and w["first"] < runs[-1][1] < runs[-1][0] + limit):
+                        runs.append([w["first"], 0, []])
+                    runs[-1][1] = max(runs[-1][1], w["first"] + w["size"])
+                    runs[-1][2].append({k: w[k] for k in (*KIND, "weight", "crowded", "alone", "size")} | {"off": w["first"] - runs[-1][0]})
+                for start, end, own in runs:
+                    rids.append(rid)
+                    starts.append(start)
+                    pieces.append(data[start:end])
+                    members.append(own)
+            kind = pa.list_(pa.struct([*((k, pa.int64()) for k in (*KIND, "weight")), ("crowded", pa.bool_()), ("alone", pa.bool_()), ("off", pa.int32()), ("size", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.binary()), pa.array(starts, pa.int32()), pa.array(members, kind), pa.array(pieces, pa.binary())], ["rid", "start", "members", "bytes"])
+
+    return run
 
 
 def _absolute(first, spans):
@@ -317,14 +350,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, bu
     kinds = scratch(again.groupBy(*KIND).agg(F.sum("n").alias("weight"), F.min(F.struct("rid", "first", "size")).alias("one")))
     several = scratch(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")))
     wanted = scratch(kinds.join(several, "anchor").select(*KIND, "one.*", "weight", "kinds"))
-    volume, most = wanted.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("kinds"), F.lit(0))).first()
+    alone = F.col("kinds") == 1
+    volume, most = wanted.agg(F.coalesce(F.sum(F.when(alone, F.col("size") / 2).otherwise(F.col("size"))).cast("long"), F.lit(0)), F.coalesce(F.max("kinds"), F.lit(0))).first()
     bundles = max(1, -(-volume // bundle))
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct(*KIND, "first", "size")).alias("wanted"))
-    pieces = rows.join(lists, "rid").select("data", "wanted").mapInArrow(_cut_segments, f"{kind}, bytes binary")
-    # The same row may come from repeated rows; its bytes are the same.
-    pieces = pieces.join(wanted.select(*KIND, "weight", "kinds"), [*KIND]).groupBy(*KIND, "weight", "kinds").agg(F.first("bytes").alias("bytes"))
-    salt = F.pmod(F.col("content"), F.ceil(F.col("kinds") / F.lit(crowd)))
-    pieces = pieces.select(*KIND, "weight", "bytes", (F.col("kinds") > crowd).alias("crowded"), F.pmod(F.xxhash64("anchor", salt), F.lit(bundles)).alias("bundle"))
+    item = F.struct(*KIND, "weight", (F.col("kinds") > crowd).alias("crowded"), alone.alias("alone"), "first", "size")
+    lists = wanted.groupBy("rid").agg(F.collect_list(item).alias("wanted"))
+    pieces = rows.join(lists, "rid").select("rid", "data", "wanted").mapInArrow(_cut_segments(bundle // 4), f"rid binary, start int, members {MEMBERS}, bytes binary")
+    m = F.col("members")[0]
+    salt = F.when(m["crowded"], F.pmod(m["content"], F.lit(max(1, -(-most // crowd))))).otherwise(F.lit(0))
+    place = F.when(m["alone"], F.xxhash64("rid", "start")).otherwise(F.xxhash64(m["anchor"], salt))
+    pieces = pieces.withColumn("bundle", F.pmod(place, F.lit(bundles)))
     loose = "array<struct<h:long,g:long,at:int>>"
     expanded = scratch(pieces.groupBy("bundle").applyInArrow(_expand_bundle(length), f"{kind}, spans array<int>, whole boolean, loose {loose}"))
     partial = expanded.select(*KIND, "spans", "whole")
