@@ -250,7 +250,9 @@ def labelled(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
     """The bounded sample that the classifier learns from: (text, label, language) of rows outside the held-out fold. An id
     that is labelled both ways counts as toxic."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text", "lang").join(known, "doc_id")
+    order = F.xxhash64("doc_id")
+    chosen = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, max_toxic), (0, max_clean))]
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # max_toxic + max_clean rows at most
     return [(r["text"], int(r["toxic"]), r["lang"]) for r in bounded_sample(rows, "toxic", {1: max_toxic, 0: max_clean}, max_bytes)]
 
 
