@@ -42,9 +42,14 @@ def judged(title: str | None, abstract: str | None, page_title: str | None, page
     return "match", note
 
 
+def compatible(t: str | None) -> str:
+    """Compatibility forms, lower case, single spaces; signs stay."""
+    return " ".join(unicodedata.normalize("NFKC", t or "").lower().split())
+
+
 def likeness(a: str | None, b: str | None) -> float:
     """Half the ratio of matching blocks, half the share of a's words that b has; 0 where either is empty."""
-    a, b = (" ".join(unicodedata.normalize("NFKC", t or "").lower().split()) for t in (a, b))
+    a, b = compatible(a), compatible(b)
     if not a or not b:
         return 0.0
     words = set(a.split())
@@ -68,3 +73,29 @@ def abstract_similarity():
         return pa.array([likeness(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
     return F.arrow_udf(run, "double")
+
+
+def compatible_text():
+    """A function of a text: ``compatible`` of it; null stays."""
+
+    def run(a: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else compatible(t) for t in a.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")
+
+
+def compared(prefix: int):
+    """A function of the metadata's title and abstract and the page's: whether the titles are equal, whether the page's
+    abstract holds the first ``prefix`` letters of the other, and how alike the abstracts are. Null titles give null."""
+
+    def one(title: str | None, abstract: str | None, page_title: str | None, page_abstract: str | None):
+        if title is None:
+            return None
+        own, other = compatible(abstract), compatible(page_abstract)
+        return {"title": compatible(title) == compatible(page_title), "prefix": bool(own) and own[:prefix] in other, "similarity": likeness(abstract, page_abstract)}
+
+    def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        rows = [one(*r) for r in zip(*(x.to_pylist() for x in (a, b, c, d)), strict=True)]
+        return pa.array(rows, pa.struct([("title", pa.bool_()), ("prefix", pa.bool_()), ("similarity", pa.float64())]))
+
+    return F.arrow_udf(run, "struct<title:boolean,prefix:boolean,similarity:double>")

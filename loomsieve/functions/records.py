@@ -52,11 +52,13 @@ _ARXIV = r"(?:\d{4}\.\d{4,5}|[a-z\-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?"
 
 
 def arxiv_of(*values: Column) -> Column:
-    """The arXiv identifier of the first value that has one: in an address, after the word, or standing alone; no version."""
+    """The arXiv identifier of the first value that has one: in an address, after the word, standing alone, or anywhere in a text
+    that names arXiv; no version."""
 
     def one(value: Column) -> Column:
         t = F.coalesce(text.squeeze(value), F.lit(""))
         found = [F.regexp_extract(t, p, 1) for p in (rf"(?i)arxiv\.org/(?:abs|pdf)/({_ARXIV})", rf"(?i)arxiv\s*:?\s*({_ARXIV})", rf"(?i)^({_ARXIV})$")]
+        found.append(F.when(F.lower(t).contains("arxiv"), F.regexp_extract(t, rf"(?i)({_ARXIV})", 1)))
         return F.coalesce(*(F.nullif(f, F.lit("")) for f in found))
 
     return without_version(F.coalesce(*map(one, values)))
@@ -73,22 +75,46 @@ def ids_of(values: list[Column], extract) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*map(extract, values)))))
 
 
+def published_year(value: Column, latest: Column) -> Column:
+    """The year of a published date, which is ``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD``; null for other texts, for a month or day
+    that no calendar has, and for years before 1800 or after ``latest``."""
+    t = F.coalesce(text.squeeze(value.cast("string")), F.lit(""))
+    part = lambda k: F.regexp_extract(t, r"^(\d{4})(?:-(\d{2}))?(?:-(\d{2}))?$", k)
+    within = lambda c, low, high: (c == "") | c.try_cast("int").between(low, high)
+    return F.when(part(1).try_cast("int").between(F.lit(1800), latest) & within(part(2), 1, 12) & within(part(3), 1, 31), part(1))
+
+
 def year_of(value: Column) -> Column:
     """The first 19xx or 20xx; null if there is none."""
     return F.nullif(F.regexp_extract(F.coalesce(value.cast("string"), F.lit("")), r"((?:19|20)\d{2})", 1), F.lit(""))
 
 
+#: The entities that a title, name or key is likely to hold (fixed values); the ampersand comes last.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def tex_cleaned(value: Column, brace: str = "") -> Column:
+    """Plain text of a TeX one: commands give their argument or a space, braces ``brace``, no quotes at the ends."""
+    out = F.coalesce(value.cast("string"), F.lit(""))
+    for entity, sign in _ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(sign))
+    out = F.replace(out, F.lit('\\"'), F.lit('"'))
+    out = F.regexp_replace(F.regexp_replace(out, r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", "$1"), r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?", " ")
+    out = F.replace(F.replace(F.regexp_replace(out, r"[{}]", brace), F.lit("\\_"), F.lit("_")), F.lit("\\"), F.lit(" "))
+    return F.trim(F.regexp_replace(text.squeeze(out), '^"+|"+$', ""))
+
+
 def first_surname(authors: Column) -> Column:
-    """The lower-case surname of the first of several authors (between semicolons or the word and)."""
-    first = F.trim(F.get(F.split(authors, r"(?i);|\band\b", 2), F.lit(0)))
+    """The lower-case surname of the first of several authors (between semicolons or the word and), without TeX."""
+    first = F.trim(F.get(F.split(tex_cleaned(authors), r"(?i);|\band\b", 2), F.lit(0)))
     last = F.when(first.contains(","), F.trim(F.substring_index(first, ",", 1))).otherwise(F.substring_index(text.squeeze(first), " ", -1))
     return F.nullif(F.lower(last), F.lit(""))
 
 
 def emitted_key(source_file: Column, key: Column) -> Column:
-    """A key that is unique over files: the file's stem and the key, each of letters, digits and ``. _ -`` only."""
+    """A key that is unique over files: the file's stem and the key without TeX, each of letters, digits and ``. _ -`` only."""
     stem = F.regexp_replace(F.regexp_extract(source_file, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
-    safe = lambda c: F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.regexp_replace(text.squeeze(c), "[^A-Za-z0-9._-]+", "_"), "_+", "_"), r"^[._]+|[._]+$", ""), F.lit("")), F.lit("unknown"))
+    safe = lambda c: F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.regexp_replace(tex_cleaned(c), "[^A-Za-z0-9._-]+", "_"), "_+", "_"), r"^[._]+|[._]+$", ""), F.lit("")), F.lit("unknown"))
     return F.concat(safe(stem), F.lit("__"), safe(key))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomsieve.functions import dates, records, text
+from loomsieve.functions import dynamic, records, text
 
 
 def _missing(present: Column, prefix: str = "__m_") -> Column:
@@ -60,8 +60,8 @@ def forced(metadata: DataFrame, denied: DataFrame, keys: list[str]) -> DataFrame
 
 
 def resolved_by_hand(metadata: DataFrame, context: DataFrame, keys: list[str], only: Column | None = None) -> DataFrame:
-    """Missing rows (or those that ``only`` names) filled from a context (title, source_id, year) and marked manual; others
-    stay as they are. Adds ``fixed``."""
+    """Missing rows (or those that ``only`` names) filled from a context (title, source_id, year) and marked manual; what they
+    have stays, as others do. Adds ``fixed``. Rows whose match is wrong are for ``forced_fix``."""
     c = context.select(*keys, *(F.col(n).alias(f"__c_{n}") for n in ("title", "source_id", "year")))
     rows = metadata.join(c, keys, "left")
     hit = F.coalesce(records.is_missing(F.lit(True), F.col("source"), F.col("match_status")) if only is None else only, F.lit(False))
@@ -83,24 +83,80 @@ def propagated(table: DataFrame, fixes: DataFrame, keys: list[str], values: dict
     return rows.withColumns({n: F.when(F.col("__hit"), v).otherwise(F.col(n)) for n, v in values.items()}).select(*table.columns)
 
 
-def dated(metadata: DataFrame, full: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
-    """Published dates filled in or mended: the source's year (of an arXiv identifier its month) first, the context's next, for
-    zenodo the other way round. A date of another year than its arXiv identifier's counts as wrong, as does one that isn't
-    a year, month or day. Adds ``date_action``: none, backfill or overwrite."""
-    rows = metadata.join(full.select(*keys, F.col("year").alias("__full_year")), keys, "left").join(context.select(*keys, F.col("year").alias("__context_year")), keys, "left")
-    source, arxiv = F.lower(F.trim(F.coalesce("source", F.lit("")))), F.regexp_extract(F.coalesce("source_id", F.lit("")), r"(\d{2})(0[1-9]|1[0-2])\.\d{4,5}", 0)
-    month = F.when((source == "arxiv") & (arxiv != ""), F.concat(F.lit("20"), F.substring(arxiv, 1, 2), F.lit("-"), F.substring(arxiv, 3, 2)))
-    own, told = records.year_of(F.col("__full_year")), records.filled(F.col("__context_year"))
-    candidate = F.when(source == "arxiv", F.coalesce(month, own, told)).when(source == "zenodo", F.coalesce(told, own)).otherwise(F.coalesce(own, told))
-    rows = rows.withColumns({"__date": records.filled(F.col("published_date")), "__candidate": candidate, "__month": month})
-    rows = dates.with_interval(rows, F.col("__date"), "__iv")
-    bad = F.col("__iv").isNull()
-    other = (source == "arxiv") & (F.year("__iv.start").cast("string") != F.substring(F.coalesce("__month", own, told), 1, 4))
-    wrong = F.coalesce(bad | other, F.lit(False)) & F.col("__candidate").isNotNull() & (F.col("__candidate") != F.col("__date"))
-    action = F.when(F.col("__date").isNull() & F.col("__candidate").isNotNull(), "backfill").when(F.col("__date").isNotNull() & wrong, "overwrite").otherwise("none")
-    rows = rows.withColumn("date_action", action)
-    date = F.when(F.col("date_action") == "none", F.col("published_date")).otherwise(F.col("__candidate"))
-    return rows.withColumn("published_date", date).select(*metadata.columns, "date_action")
+def dated(metadata: DataFrame, full: DataFrame, context: DataFrame, keys: list[str], latest: int | None = None) -> DataFrame:
+    """Published dates filled in or mended from the full record (``source_metadata``, a VARIANT: its first year), the month of an
+    arXiv identifier and a context's year.
+
+    A blank date takes, of an arXiv record its month, else the source's year, else the context's; of a zenodo record the
+    context's first. A date that isn't a year, month or day up to ``latest`` (two years from now) is overwritten the same way,
+    and so is one of another year: than an arXiv record's month, source or context, than a zenodo record's context, than
+    another record's source. Adds ``date_action`` (none, backfill or overwrite) and ``source_year``, the year that an arXiv
+    record's full metadata should say and doesn't.
+    """
+    top = F.year(F.current_date()) + 2 if latest is None else F.lit(latest)
+    rows = metadata.join(full.select(*keys, F.col("source_metadata").alias("__full")), keys, "left").join(context.select(*keys, F.col("year").alias("__context")), keys, "left")
+    source = F.lower(F.coalesce(records.filled(F.col("source")), F.lit("")))
+    digits = F.regexp_extract(F.coalesce(F.col("source_id"), F.lit("")), r"(\d{4})\.\d{4,5}", 1)
+    known = (source == "arxiv") & (digits != "") & F.substring(digits, 3, 2).try_cast("int").between(1, 12) & (F.substring(digits, 1, 2).try_cast("int") + 2000 <= top)
+    month = F.when(known, F.concat(F.lit("20"), F.substring(digits, 1, 2), F.lit("-"), F.substring(digits, 3, 2)))
+    rows = rows.withColumns({"__source": source, "__date": records.filled(F.col("published_date")), "__month": month, "__told": records.filled(F.col("__context")), "__own": dynamic.first_year(F.col("__full"))})
+    rows = rows.withColumns({"__own": F.coalesce("__own", F.substring("__month", 1, 4)), "__year": records.published_year(F.col("__date"), top)})
+    arxiv, zenodo = F.col("__source") == "arxiv", F.col("__source") == "zenodo"
+    candidate = F.when(arxiv, F.coalesce("__month", "__own", "__told")).when(zenodo, F.coalesce("__told", "__own")).otherwise(F.coalesce("__own", "__told"))
+    # Which year a sound date is held against, and what takes its place where it is another.
+    held = F.when(arxiv, F.coalesce(F.substring("__month", 1, 4), "__own", "__told")).when(zenodo, F.col("__told")).otherwise(F.col("__own"))
+    better = F.when(F.col("__year").isNull() | arxiv, candidate).otherwise(held)
+    wrong = F.col("__year").isNull() | F.coalesce(held != F.col("__year"), F.lit(False))
+    new = F.when(F.col("__date").isNull(), candidate).when(wrong & (better != F.col("__date")), better)
+    rows = rows.withColumn("__new", new)
+    action = F.when(F.col("__new").isNull(), "none").when(F.col("__date").isNull(), "backfill").otherwise("overwrite")
+    stated = F.coalesce(records.filled(dynamic.field(F.col("__full"), "$.year")), F.lit(""))
+    year = F.when(F.col("__month").isNotNull() & (stated != F.substring("__month", 1, 4)), F.substring("__month", 1, 4))
+    return rows.withColumns({"published_date": F.coalesce("__new", "published_date"), "date_action": action, "source_year": year}).select(*metadata.columns, "date_action", "source_year")
+
+
+def with_source_years(full: DataFrame, dates_: DataFrame, keys: list[str]) -> DataFrame:
+    """Full records whose ``source_metadata`` takes the year that ``dated`` says it should."""
+    years = dates_.filter("source_year is not null").select(*keys, F.col("source_year").alias("__year"))
+    rows = full.join(years, keys, "left")
+    mended = F.when(F.col("__year").isNotNull(), dynamic.with_fields(F.col("source_metadata"), {"year": F.col("__year")})).otherwise(F.col("source_metadata"))
+    return rows.withColumn("source_metadata", mended).select(*full.columns)
+
+
+#: What a fix of a wrong match leaves behind in a record's steps and sources (fixed values).
+FORCED_STEPS = ["manual_fix:suspicious_source_mismatch", "manual:resolved_no_abstract", "manual_mark:no_abstract_available"]
+NO_ABSTRACT = "no_abstract_available"
+
+
+def forced_fix(tables: dict[str, DataFrame], context: DataFrame, denied: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """The four tables of a collection (metadata, sources, trace, full), after records on a list of bad matches were set right.
+
+    What was fetched for such a record is another work's: its title becomes the context's (else its key), its abstract goes,
+    its year becomes the context's where that has one, and all tables say that it was resolved by hand. Other rows stay as
+    they are. Records that the metadata don't have aren't touched anywhere.
+    """
+    key = F.col(keys[-1]).cast("string")
+    bad = forced(tables["metadata"].select(*keys), denied, keys).distinct()
+    told = context.select(*keys, *(records.filled(F.col(n)).alias(f"__{n}") for n in ("title", "year", "source_id"))).dropDuplicates(keys)
+    known = F.coalesce("__title", key)
+    fix = bad.join(told, keys, "left").select(
+        *keys, F.lit(True).alias("__hit"), known.alias("__raw"), records.tex_cleaned(known, " ").alias("__t"), F.col("__year").alias("__y"),
+        F.coalesce("__source_id", F.concat(F.lit("local:"), key)).alias("__s"))
+    query = records.tex_cleaned(F.coalesce(records.filled(F.col("query_title")), F.col("__raw")), " ")
+    found = {"title": F.col("__t"), "source": F.lit("manual"), "source_id": F.col("__s"), "match_status": F.lit("exact_title")}
+    whole = {"title": F.col("__t"), "abstract": F.lit(None).cast("string")}
+    stated = F.when(F.col("__y").isNotNull(), dynamic.with_fields(F.col("source_metadata"), whole | {"year": F.col("__y")})).otherwise(dynamic.with_fields(F.col("source_metadata"), whole))
+    new = {
+        "metadata": found | {"query_title": query, "normalized_title": text.normalized_title(F.coalesce(F.nullif(F.col("__t"), F.lit("")), query)), "abstract": F.lit(None).cast("string"), "missing_reason": F.lit(NO_ABSTRACT), "published_date": F.coalesce("__y", "published_date")},
+        "sources": found | {"abstract_present": F.lit(False), "abstract_source": F.lit("missing"), "abstract_source_reason": F.lit(f"missing:{NO_ABSTRACT}")},
+        "trace": {"lookup_steps": records.with_steps(F.col("lookup_steps"), FORCED_STEPS)},
+        "full": found | {"source_metadata": stated},
+    }
+    out = {}
+    for name, table in tables.items():
+        rows = table.join(fix, keys, "left")
+        out[name] = rows.withColumns({c: F.when(F.col("__hit"), v).otherwise(F.col(c)) for c, v in new[name].items() if c in table.columns}).select(*table.columns)
+    return out
 
 
 def repair_counts(rows: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:

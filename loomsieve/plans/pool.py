@@ -66,6 +66,53 @@ def record_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.array_join(dois, ",").alias("dois"), F.array_join(arxivs, ",").alias("arxivs"))
 
 
+def _record_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What records are found by: DOIs (some stated twice, some by two records), arXiv identifiers and titles."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(k, F.concat(F.lit("r"), k.cast("string")).alias("key"), "p_name")
+    doi = F.concat(F.lit("10.1000/p"), k.cast("string"))
+    rows = [
+        p.filter(k % 2 == 0).select("key", F.lit("doi").alias("kind"), doi.alias("value")), p.filter(k % 4 == 0).select("key", F.lit("doi"), doi), p.filter(k % 18 == 0).select(F.concat("key", F.lit("b")), F.lit("doi"), doi),
+        p.filter(k % 4 != 0).select("key", F.lit("arxiv"), F.concat(F.lit("1906."), F.lpad((k % 100000).cast("string"), 5, "0"))), p.filter(k % 5 != 0).select("key", F.lit("title"), F.col("p_name"))]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").filter(k % 10 == 3).select(k.alias("record_index"), F.concat(F.lit("r"), (k - 1 + F.when(k % 20 == 3, 0).otherwise(10_000_000)).cast("string")).alias("key"))
+
+
+def record_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of each candidate, by alias, DOI, arXiv identifier or title; and with repeated statements counted."""
+    pool, index, aliases = _pool(spark, sf_dir), _record_index(spark, sf_dir), _aliases(spark, sf_dir)
+    both = [candidates.match_records(pool, index, aliases, c).select("record_index", F.col("key").alias(f"key{n}"), F.col("matched_by").alias(f"matched_by{n}")) for c, n in ((False, ""), (True, "_by_entry"))]
+    return both[0].join(both[1], "record_index")
+
+
+def alias_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that were named by hand pass with titles that overlap less."""
+    k = F.col("record_index")
+    title, _, author, _ = _record_columns()
+    ids = candidates.identifiers_agree(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    out = candidates.verify(_pool(spark, sf_dir), title, F.when(k % 5 > 1, F.col("pool_year")), author, ids, candidates.Rules(ids_over_year=True, least=0.9, aliased=0.6), k % 2 == 0)
+    return out.select("record_index", "check.ok", "check.override", F.round("check.overlap", 6).alias("overlap"))
+
+
+def doi_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups of each order's lines in turn: as they were coded, where later failures replace successes, and as intended."""
+    k = F.col("l_partkey")
+    status = F.when(k % 7 == 0, "crossref:match").when(k % 7 < 3, "crossref:doi_match").when(k % 7 < 5, "openalex:doi_landing_match").otherwise("doi:no_match")
+    value = F.when(k % 7 < 5, F.concat(F.lit("abstract "), k.cast("string")))
+    tries = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"), value.alias("value"), status.alias("status"))
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    coded = candidates.ordered_attempts(items, tries, "k", "at", "value").select("k", F.col("winner").alias("coded"), F.col("status").alias("coded_status"), F.col("n_tries").alias("coded_tries"), F.array_join("trace", " ").alias("coded_trace"))
+    meant = candidates.ordered_attempts(items, tries, "k", "at", "value", None).select("k", F.col("winner").alias("intended"), F.col("status").alias("intended_status"), F.col("n_tries").alias("intended_tries"))
+    return coded.join(meant, "k")
+
+
 def source_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abstracts by three sources in order; one has DOIs as hints for the others."""
     c = table(spark, sf_dir, "customer").select("c_custkey")
@@ -120,24 +167,26 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("conv_id") + F.col("turn")
     metadata = c.filter(k % 11 != 0).select("conv_id", "turn", F.when(k % 13 != 0, F.concat(F.lit("On turn "), F.col("turn").cast("string"))).alias("title"), F.when(k % 17 != 0, F.col("text")).alias("abstract"))
     other = F.when(k % 5 == 0, F.concat("text", F.lit(" 0123456789"))).when(k % 7 == 0, F.repeat(F.lit("other words "), 20)).when(k % 19 == 0, F.lit("short")).otherwise(F.col("text"))
-    pages = c.filter(k % 3 != 0).select("conv_id", "turn", F.when(k % 4 == 0, F.lit("Off turn")).otherwise(F.concat(F.lit("ON TURN: "), F.col("turn").cast("string"))).alias("page_title"), other.alias("page_abstract"), (k % 23 != 0).alias("readable"))
+    pages = c.filter(k % 3 != 0).select("conv_id", "turn", F.when(k % 4 == 0, F.lit("Off turn")).when(k % 4 == 1, F.concat(F.lit("On turn: "), F.col("turn").cast("string"))).otherwise(F.concat(F.lit(" ON\u00a0 turn "), F.col("turn").cast("string"))).alias("page_title"), other.alias("page_abstract"), (k % 23 != 0).alias("readable"), F.when(k % 29 == 0, F.lit("front")).alias("page_text"))
     return candidates.aligned(metadata, pages, ["conv_id", "turn"])
 
 
 def metadata_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _aligned(spark, sf_dir).select("conv_id", "turn", "status")
+    reason = F.regexp_replace("reason", "similarity=.*<", "similarity<")
+    return _aligned(spark, sf_dir).select("conv_id", "turn", "status", reason.alias("reason"))
 
 
 def alignment_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passes and failures by turn."""
-    return candidates.alignment_summary(_aligned(spark, sf_dir), "turn")
+    rows = _aligned(spark, sf_dir).withColumn("reason", F.regexp_replace("reason", "similarity=.*<", "similarity<"))
+    return candidates.alignment_summary(rows, "turn", ["conv_id", "turn"])
 
 
 def metadata_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items' titles and first letters in the texts of pages made from them."""
     k = F.col("p_partkey")
     m = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 11 != 0, F.col("p_name")).alias("title"), F.when(k % 13 != 0, F.concat(F.lit("Made by "), F.col("p_brand"), F.lit(", of type "), F.col("p_type"))).alias("abstract"))
-    page = F.concat_ws("\n", F.when(k % 3 != 0, F.upper("p_name")), F.lit("abstract:"), F.when(k % 5 != 0, F.concat(F.lit("made BY "), F.col("p_brand"), F.lit(" of\ntype "), F.col("p_type"))))
+    page = F.concat_ws("\n", F.when(k % 3 != 0, F.upper("p_name")), F.lit("abstract:"), F.when(k % 5 != 0, F.concat(F.lit("made BY "), F.col("p_brand"), F.lit(", of\ntype "), F.col("p_type"))))
     pages = table(spark, sf_dir, "part").filter(k % 7 != 0).select("p_partkey", F.when(k % 17 != 0, page).alias("page_text"))
     return candidates.contained(m, pages, ["p_partkey"]).select("p_partkey", "status")
 
@@ -175,7 +224,7 @@ def request_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.spaced(e, "event_type", "event_id", {"view": 1.0, "click": 0.5, "signup": 3.0})
 
 
-QUERIES = {f.__name__: f for f in (page_title_verdicts, entry_titles, request_schedule, candidate_verification, verification_rules, record_identifiers, source_cascade, first_accepted_try, pool_fan_out, routing_flags, pool_log_summary, pool_failure_reasons, metadata_alignment, alignment_pass_rates, metadata_containment, export_alignment)}
+QUERIES = {f.__name__: f for f in (page_title_verdicts, entry_titles, request_schedule, record_matches, alias_override, doi_attempts, candidate_verification, verification_rules, record_identifiers, source_cascade, first_accepted_try, pool_fan_out, routing_flags, pool_log_summary, pool_failure_reasons, metadata_alignment, alignment_pass_rates, metadata_containment, export_alignment)}
 
 _POOL = """pool as (select p_partkey as k, p_name as norm, string_split(p_name, ' ') as words, 1990 + p_size % 30 as y, p_brand as brand,
  case when p_partkey % 3 = 0 then '10.1000/p' || p_partkey end as doi, case when p_partkey % 3 = 1 then '1906.' || lpad((p_partkey % 100000)::varchar, 5, '0') end as arxiv,
@@ -187,8 +236,10 @@ chk as (select *, case when norm = rnorm then 0.0 else len(list_distinct(words))
 _ALIGNED = """c as (select conv_id, turn, conv_id + turn as k, text from conversations where text is not null),
 p as (select *, case when k % 5 = 0 then text || ' 0123456789' when k % 7 = 0 then repeat('other words ', 20) when k % 19 = 0 then 'short' else text end as page from c),
 a as (select conv_id, turn, case when k % 11 = 0 then 'orphan_page' when k % 3 = 0 then 'orphan_metadata' when k % 13 = 0 then 'fail_missing_title' when k % 17 = 0 or trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' then 'fail_missing_abstract'
- when k % 23 = 0 then 'fail_unreadable' when length(page) < 120 then 'uncertain_extraction' when k % 4 = 0 then 'fail_title_mismatch' when k % 5 > 0 and k % 7 = 0 then 'fail_abstract_mismatch' else 'pass_strict' end as status
+ when k % 23 = 0 then 'fail_unreadable' when length(trim(page, chr(32) || chr(9) || chr(10) || chr(13))) < 120 then 'uncertain_extraction' when k % 4 < 2 then 'fail_title_mismatch' when k % 5 > 0 and k % 7 = 0 then 'fail_abstract_mismatch' else 'pass_strict' end as status
  from p where not (k % 11 = 0 and k % 3 = 0))"""
+_REASON = """case status when 'orphan_page' then 'no_metadata_key_match' when 'orphan_metadata' then 'no_page_for_metadata_key' when 'fail_missing_title' then 'missing_metadata_title' when 'fail_missing_abstract' then 'missing_metadata_abstract' when 'fail_unreadable' then 'page_open_error'
+ when 'uncertain_extraction' then 'low_text_quality_or_short_extraction' when 'fail_title_mismatch' then 'title_norm_not_exact' when 'pass_strict' then 'strict_three_layer_pass' else 'abstract_prefix_exact=False;abstract_similarity<threshold=0.90' end"""
 ORACLE = {
     "page_title_verdicts": """with v as (select p_partkey, p_partkey % 5 as c, p_partkey % 3 = 0 as a from part)
 select p_partkey, case when c = 4 then 'mismatch' when a and c > 1 then 'uncertain' else 'match' end as verdict, case when c = 4 then 'title_not_consistent_with_metadata' when a and c > 1 then 'first_page_text_too_short_for_topic_check'
@@ -196,6 +247,24 @@ select p_partkey, case when c = 4 then 'mismatch' when a and c > 1 then 'uncerta
     "entry_titles": """select s_suppkey, case when s_suppkey % 3 = 0 then 'Query' when s_suppkey % 2 = 0 then s_name else '' end as title,
  concat_ws(',', case when s_suppkey % 2 = 0 then 'journal' end, case when s_suppkey % 3 = 0 then 'note' end, case when s_suppkey % 4 = 0 then 'howpublished' end, case when s_suppkey % 5 = 0 then 'url' end, case when s_suppkey % 6 = 0 then 'doi' end) as strings from supplier""",
     "request_schedule": """select event_id, event_type, ((row_number() over (partition by event_type order by event_id) - 1) * case event_type when 'view' then 1.0 when 'click' then 0.5 when 'signup' then 3.0 else 0.0 end)::double as start_at from events""",
+    "record_matches": """with i as (select p_partkey as k, 'r' || p_partkey as key, 'doi' as kind, '10.1000/p' || p_partkey as value from part where p_partkey % 2 = 0 union all select p_partkey, 'r' || p_partkey, 'doi', '10.1000/p' || p_partkey from part where p_partkey % 4 = 0
+ union all select p_partkey, 'r' || p_partkey || 'b', 'doi', '10.1000/p' || p_partkey from part where p_partkey % 18 = 0 union all select p_partkey, 'r' || p_partkey, 'arxiv', '1906.' || lpad((p_partkey % 100000)::varchar, 5, '0') from part where p_partkey % 4 <> 0
+ union all select p_partkey, 'r' || p_partkey, 'title', p_name from part where p_partkey % 5 <> 0),
+u as (select kind, value, min(key) as key, count(distinct key) = 1 as one, count(*) = 1 as once from i group by 1, 2),
+w as (select p_partkey as k, p_name as t, case when p_partkey % 3 = 0 then '10.1000/p' || p_partkey end as d, case when p_partkey % 3 = 1 then '1906.' || lpad((p_partkey % 100000)::varchar, 5, '0') end as a,
+ case when p_partkey % 20 = 3 and 'r' || (p_partkey - 1) in (select key from i) then 'r' || (p_partkey - 1) end as l from part),
+m as (select k, l, (select key from u where kind = 'doi' and value = d and one) as d1, (select key from u where kind = 'arxiv' and value = a and one) as a1, (select key from u where kind = 'title' and value = t and one) as t1,
+ (select key from u where kind = 'doi' and value = d and once) as d2, (select key from u where kind = 'arxiv' and value = a and once) as a2, (select key from u where kind = 'title' and value = t and once) as t2 from w)
+select k as record_index, coalesce(l, d1, a1, t1) as key, case when l is not null then 'manual_alias' when d1 is not null then 'doi' when a1 is not null then 'arxiv_id' when t1 is not null then 'normalized_title' end as matched_by,
+ coalesce(l, d2, a2, t2) as key_by_entry, case when l is not null then 'manual_alias' when d2 is not null then 'doi' when a2 is not null then 'arxiv_id' when t2 is not null then 'normalized_title' end as matched_by_by_entry from m""",
+    "alias_override": f"""with {_POOL}, v as (select *, case when k % 5 > 1 then y end as my, norm = rnorm or overlap >= 0.9 as tok, k % 3 < 2 as has from chk),
+o as (select *, tok and author_ok and (my is null or my = y or k % 3 = 2 or not has) as fine, (my is null or my = y) as yok from v)
+select k as record_index, fine or (k % 2 = 0 and author_ok and yok and (tok or overlap >= 0.6)) as ok, not fine and k % 2 = 0 and author_ok and yok and (tok or overlap >= 0.6) as override, round(overlap, 6) as overlap from o""",
+    "doi_attempts": """with t as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n, case when l_partkey % 7 < 5 then 'abstract ' || l_partkey end as v,
+ case when l_partkey % 7 = 0 then 'crossref:match' when l_partkey % 7 < 3 then 'crossref:doi_match' when l_partkey % 7 < 5 then 'openalex:doi_landing_match' else 'doi:no_match' end as s from lineitem),
+c as (select k, coalesce(min(n) filter (s like '%:match'), max(n)) as c, coalesce(min(n) filter (v is not null), max(n)) as i from t group by 1)
+select o_orderkey as k, a.v as coded, a.s as coded_status, coalesce(c.c, 0)::int as coded_tries, coalesce((select string_agg(s, ' ' order by n) from t where t.k = o_orderkey and t.n <= c.c), '') as coded_trace, b.v as intended, b.s as intended_status, coalesce(c.i, 0)::int as intended_tries
+from orders left join c on c.k = o_orderkey left join t a on a.k = c.k and a.n = c.c left join t b on b.k = c.k and b.n = c.i""",
     "candidate_verification": f"""with {_POOL}, v as (select *, norm = rnorm or overlap >= 0.66 as title_ok from chk)
 select k as record_index, 'pool.' || (k % 3) || '__' || regexp_replace(brand, '[^A-Za-z0-9._-]+', '_') || '_' || k as emitted_key, y::varchar as pool_year, 'doe' as pool_author, doi as pool_doi, arxiv as pool_arxiv, title_ok, round(overlap, 6) as overlap, year_ok, author_ok, ids_ok,
  title_ok and author_ok and (year_ok or ids_ok or not has_ids) as ok,
@@ -223,9 +292,11 @@ select s_suppkey, part, case part when 'metadata' then '{"title":"' || s_name ||
     "pool_failure_reasons": "select case when l_linenumber % 3 > 0 then 'reason ' || l_linenumber else 'unspecified_failure' end as reason, count(*) as n from lineitem where l_partkey % 4 = 2 or l_orderkey % 4 = 2 group by 1",
     "metadata_containment": """select p_partkey, case when p_partkey % 7 = 0 then 'missing_page' when p_partkey % 11 = 0 then 'missing_title' when p_partkey % 13 = 0 then 'missing_abstract' when p_partkey % 17 = 0 then 'unreadable'
  when p_partkey % 3 > 0 and p_partkey % 5 > 0 then 'pass' when p_partkey % 3 = 0 and p_partkey % 5 = 0 then 'both_mismatch' when p_partkey % 3 = 0 then 'title_mismatch' else 'abstract_mismatch' end as status from part""",
-    "metadata_alignment": f"with {_ALIGNED} select * from a",
-    "alignment_pass_rates": f"""with {_ALIGNED} select turn, count(*) as n_rows, count(*) filter (status = 'pass_strict') as n_pass, count(*) filter (status like 'fail%' or status like 'orphan%') as n_fail,
- count(*) filter (status like 'uncertain%') as n_uncertain, round(count(*) filter (status = 'pass_strict') / count(*), 6) as pass_rate from a group by 1""",
+    "metadata_alignment": f"with {_ALIGNED} select *, {_REASON} as reason from a",
+    "alignment_pass_rates": f"""with {_ALIGNED}, w as (select *, {_REASON} as reason from a), g as (select turn, reason, count(*) as n, min(conv_id) as first from w group by 1, 2),
+t as (select turn, string_agg(reason || ':' || n, ' | ' order by n desc, first) as reason_top3 from (select *, row_number() over (partition by turn order by n desc, first) as r from g) where r <= 3 group by 1)
+select turn, any_value(reason_top3) as reason_top3, count(*) filter (status <> 'pass_strict') as n_non_pass, count(*) as n_rows, count(*) filter (status = 'pass_strict') as n_pass, count(*) filter (status like 'fail%' or status like 'orphan%') as n_fail,
+ count(*) filter (status like 'uncertain%') as n_uncertain, round(count(*) filter (status = 'pass_strict') / count(*), 6) as pass_rate from a join t using (turn) group by 1""",
     "export_alignment": """with e as (select l_orderkey as k from lineitem where l_linenumber <= 2), w as (select o_orderkey as k from orders where o_orderkey % 2 = 0),
 a as (select case when k in (select k from w) then 'matched' else 'extra' end as status, k from e union all select 'missing', k from w where k not in (select k from e)) select status, count(*) as n, count(distinct k) as n_keys from a group by 1""",
 }

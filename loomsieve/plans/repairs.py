@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.functions import records
+from loomsieve.functions import dynamic, records
 from loomsieve.operators import dedupe, evaluate, link, repair
-from loomsieve.tables import table
+from loomsieve.sources.collection import Collection
+from loomsieve.tables import scratch, table
 
 K = "o_orderkey"
 
@@ -66,21 +67,108 @@ def manual_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(K, "fixed", "title", "source", "source_id", "match_status", "missing_reason", "published_date", "other_title", "steps", "abstract_present")
 
 
+def _denied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select(F.col("l_orderkey").alias(K))
+
+
+def _full_text(year: Column) -> Column:
+    """What sources say of a record, in shapes of their own; a sixth of the records have none."""
+    y, k = year.cast("string"), F.col(K)
+    say = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    return (
+        F.when(k % 6 == 0, say('{"year":', y, ',"title":"Fetched"}')).when(k % 6 == 1, say('{"year":"n.d.","published":{"date-parts":[[', y, ",2]]}}"))
+        .when(k % 6 == 2, say('{"published":{"date-parts":[["x"]]},"date":"in ', y, '!"}')).when(k % 6 == 3, say('{"year":null,"updated":["a","', y, '"]}')).when(k % 6 == 4, '{"title":"t"}'))
+
+
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = table(spark, sf_dir, "orders").select(K, _full_text(1980 + F.col(K) % 20).alias("text"))
+    return full.filter("text is not null").select(K, F.parse_json("text").alias("source_metadata"))
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four tables of a collection."""
+    o = table(spark, sf_dir, "orders")
+    return {
+        "metadata": _metadata(spark, sf_dir).withColumns({"query_title": F.concat(F.lit(r"{Query} \emph{title} "), F.col(K).cast("string")), "normalized_title": F.lit("old")}),
+        "sources": o.select(K, F.lit("old").alias("title"), F.lit("crossref").alias("source"), F.lit("x").alias("source_id"), F.lit("fuzzy_title").alias("match_status"), F.lit(True).alias("abstract_present"), F.lit("crossref").alias("abstract_source"), F.lit(None).cast("string").alias("abstract_source_reason")),
+        "trace": o.select(K, F.array(F.lit("asked"), F.lit("manual:resolved_no_abstract")).alias("lookup_steps")),
+        "full": _full(spark, sf_dir),
+    }
+
+
 def denied_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows on a list of bad keys, which are mended whatever their state."""
-    denied = table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select(F.col("l_orderkey").alias(K))
-    rows = repair.forced(_metadata(spark, sf_dir), denied, [K])
-    out = repair.resolved_by_hand(rows, _context(spark, sf_dir), [K], F.lit(True))
-    return out.select(K, "title", "source", "source_id", "published_date")
+    """Records on a list of wrong matches: their metadata set right, whatever was fetched."""
+    denied = _denied(spark, sf_dir)
+    fixed = repair.forced_fix(_collection(spark, sf_dir), _context(spark, sf_dir), denied, [K])
+    return repair.forced(fixed["metadata"], denied, [K]).select(K, "query_title", "title", "normalized_title", "abstract", "source", "source_id", "match_status", "missing_reason", "published_date")
+
+
+def forced_fix_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the same fix leaves in the other three tables, for all records."""
+    fixed = repair.forced_fix(_collection(spark, sf_dir), _context(spark, sf_dir), _denied(spark, sf_dir), [K])
+    sources = fixed["sources"].select(K, "title", "source", "source_id", "match_status", "abstract_present", "abstract_source", "abstract_source_reason")
+    meta = F.col("source_metadata")
+    full = fixed["full"].select(K, dynamic.field(meta, "$.title").alias("full_title"), (dynamic.kind_of(dynamic.field(meta, "$.abstract", "variant")) == "VOID").alias("abstract_gone"), dynamic.first_year(meta).alias("full_year"))
+    return sources.join(fixed["trace"].select(K, F.array_join("lookup_steps", ",").alias("steps")), K).join(full, K, "left")
+
+
+def collection_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection's four tables committed, fixed and committed again, and rolled back: what each version shows."""
+    tables = _collection(spark, sf_dir)
+    kept = Collection(spark, scratch(spark))
+    first = kept.commit(tables)
+    fixed = repair.forced_fix({n: kept.read(n, first) for n in tables}, _context(spark, sf_dir), _denied(spark, sf_dir), [K])
+    kept.commit(fixed, first, "wrong matches")
+    kept.rollback(first)
+    shown = None
+    for version in kept.versions():
+        m = kept.read("metadata", version).agg(F.lit(version).alias("version"), F.count_if(F.col("source") == "manual").alias("n_manual"), F.count("*").alias("n_metadata"))
+        s = kept.read("sources", version).agg(F.count_if(F.col("abstract_source") == "missing").alias("n_missing"))
+        t = kept.read("trace", version).agg(F.count_if(F.array_contains("lookup_steps", repair.FORCED_STEPS[0])).alias("n_traced"))
+        row = m.join(F.broadcast(s)).join(F.broadcast(t))  # one row each
+        shown = row if shown is None else shown.unionByName(row)
+    return shown
+
+
+def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published dates of all kinds; arXiv records have a month in their identifier."""
+    k = F.col(K)
+    date = F.element_at(F.array(F.lit("soon"), F.lit("March 17, 2024"), F.lit("20240317"), F.lit("0999"), F.lit("2013-13"), F.lit("2001-02-30"), F.lit(None).cast("string"), (2010 + k % 10).cast("string"), F.lit("  ")), (k % 9 + 1).cast("int"))
+    identifier = F.when(k % 5 == 1, F.concat(F.date_format(F.make_date((F.lit(2010) + k % 10).cast("int"), (k % 12 + 1).cast("int"), F.lit(1)), "yyMM"), F.lit(".12345v2")))
+    return _metadata(spark, sf_dir).withColumns({"source_id": identifier, "published_date": date})
 
 
 def published_date_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates filled in from sources and context, by kind of source."""
-    k = F.col(K)
-    m = _metadata(spark, sf_dir).withColumn("source_id", F.when(k % 5 == 1, F.concat(F.date_format(F.make_date(F.lit(2010) + k % 10, k % 12 + 1, F.lit(1)), "yyMM"), F.lit(".12345"))))
-    m = m.withColumn("published_date", F.when(k % 9 == 0, "soon").otherwise(F.col("published_date")))
-    full = table(spark, sf_dir, "orders").filter(k % 4 != 0).select(K, (1980 + k % 20).cast("string").alias("year"))
-    return repair.dated(m, full, _context(spark, sf_dir), [K]).select(K, "published_date", "date_action")
+    """Dates filled in and mended from sources and context, by kind of source."""
+    return repair.dated(_dates(spark, sf_dir), _full(spark, sf_dir), _context(spark, sf_dir), [K], 2030).select(K, "published_date", "date_action", "source_year")
+
+
+def full_year_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years that full metadata say after arXiv records got theirs."""
+    full = _full(spark, sf_dir)
+    dated = repair.dated(_dates(spark, sf_dir), full, _context(spark, sf_dir), [K], 2030)
+    out = repair.with_source_years(full, dated, [K])
+    return out.select(K, dynamic.field(F.col("source_metadata"), "$.year").alias("year"), dynamic.first_year(F.col("source_metadata")).alias("first_year"))
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as records whose shape isn't declared, with reference lists at several depths."""
+    k = F.col("s_suppkey").cast("string")
+    say = F.concat(
+        F.lit('{"id":'), k, F.lit(',"name":"'), F.col("s_name"), F.lit('","reference":[{"doi":"10.1/'), k, F.lit('"}],"deep":{"reference":"kept","items":[{"n":'), k, F.lit(',"reference":['), k, F.lit(']},"t",null,true]}'),
+        F.when(F.col("s_suppkey") % 3 == 0, F.lit(',"more":{"a":{"b":{"reference":[],"c":1.5}}}')).otherwise(""), F.lit("}"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.parse_json(say).alias("record"))
+
+
+def dynamic_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scalars of records without a schema, wherever they stand."""
+    return dynamic.leaves(_nested(spark, sf_dir), ["s_suppkey"], "record").select("s_suppkey", "path", "value")
+
+
+def dynamic_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without reference lists."""
+    rows = _nested(spark, sf_dir).withColumn("record", dynamic.pruned(F.col("record")))
+    return dynamic.leaves(rows, ["s_suppkey"], "record").select("s_suppkey", "path", "value")
 
 
 def repair_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +262,7 @@ def allow_list_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.first_with_counts(rows, "key", "pos", allow, 300)
 
 
-QUERIES = {f.__name__: f for f in (repair_targets, manifest_validation, resolved_parts, manual_resolution, denied_keys, published_date_repair, repair_counters, repair_pipeline, topic_patch, source_allow_list, completed_files, pending_report_counts, stale_subsets, nested_pruning, fixed_contract, sorted_reports, input_order_restored, allow_list_limit)}
+QUERIES = {f.__name__: f for f in (repair_targets, manifest_validation, resolved_parts, manual_resolution, denied_keys, forced_fix_parts, collection_versions, published_date_repair, full_year_repair, dynamic_leaves, dynamic_pruning, repair_counters, repair_pipeline, topic_patch, source_allow_list, completed_files, pending_report_counts, stale_subsets, nested_pruning, fixed_contract, sorted_reports, input_order_restored, allow_list_limit)}
 
 _M = """m as (select o_orderkey, o_orderkey as k, o_orderdate, case when o_orderkey % 3 = 0 then 'T' else 'Title ' || o_orderkey end as title, case when o_orderkey % 2 = 0 then 'An abstract' end as abstract,
  case o_orderkey % 5 when 0 then ' None ' when 1 then 'arxiv' when 2 then 'zenodo' else 'crossref' end as source, case when o_orderkey % 11 = 0 then 'Missing' else 'exact_title' end as match_status,
@@ -182,6 +270,23 @@ _M = """m as (select o_orderkey, o_orderkey as k, o_orderdate, case when o_order
 _F = f"""{_M}, x as (select m.*, k % 6 < 4 as ctx, 'Query title ' || k as picked from m),
 f as (select o_orderkey, k, bad as fixed, case when bad then picked else title end as title, abstract, case when bad then 'manual' else source end as source, case when bad then (case when ctx and k % 2 = 0 then '10.9/' || k else 'local:' || k end) end as source_id,
  case when bad then 'exact_title' else match_status end as match_status, case when bad and abstract is null then 'no_abstract_available' end as missing_reason, case when bad then coalesce(published_date, case when ctx then year(o_orderdate)::varchar end) else published_date end as published_date from x)"""
+_YEAR_FIELD = """case when json_type(j, '$.NAME') = 'OBJECT' then nullif(regexp_extract(coalesce(json_extract_string(j, '$.NAME."date-parts"[0][0]'), ''), '^((19|20)[0-9]{2})$', 1), '')
+ else nullif(regexp_extract(coalesce(json_extract_string(j, '$.NAME'), ''), '((19|20)[0-9]{2})', 1), '') end"""
+_FULL = f"""t0 as (select *, o_orderkey as k, (1980 + o_orderkey % 20)::varchar as y from orders),
+t1 as (select *, case k % 6 when 0 then '{{"year":' || y || ',"title":"Fetched"}}' when 1 then '{{"year":"n.d.","published":{{"date-parts":[[' || y || ',2]]}}}}' when 2 then '{{"published":{{"date-parts":[["x"]]}},"date":"in ' || y || '!"}}'
+ when 3 then '{{"year":null,"updated":["a","' || y || '"]}}' when 4 then '{{"title":"t"}}' end::json as j from t0),
+f as (select *, coalesce({", ".join(_YEAR_FIELD.replace("NAME", n) for n in ("year", "publicationYear", "published", "publicationDate", "date", "updated"))}) as own from t1)"""
+_DATED = """d as (select *, case k % 5 when 1 then 'arxiv' when 2 then 'zenodo' else '' end as src, case k % 9 when 0 then 'soon' when 1 then 'March 17, 2024' when 2 then '20240317' when 3 then '0999' when 4 then '2013-13' when 5 then '2001-02-30' when 7 then (2010 + k % 10)::varchar when 8 then '  ' end as pd0,
+ case when k % 5 = 1 then (2010 + k % 10) || '-' || lpad((k % 12 + 1)::varchar, 2, '0') end as mon, case when k % 6 < 4 then year(o_orderdate)::varchar end as told from f where k % 7 <> 0),
+e as (select * exclude (own), nullif(trim(pd0), '') as pd, coalesce(own, substr(mon, 1, 4)) as own from d),
+g as (select *, case when regexp_full_match(pd, '[0-9]{4}(-[0-9]{2})?(-[0-9]{2})?') and try_cast(substr(pd, 1, 4) as int) between 1800 and 2030 and coalesce(try_cast(nullif(substr(pd, 6, 2), '') as int) between 1 and 12, true)
+ and coalesce(try_cast(nullif(substr(pd, 9, 2), '') as int) between 1 and 31, true) then substr(pd, 1, 4) end as yr from e),
+h as (select *, case src when 'arxiv' then coalesce(mon, own, told) when 'zenodo' then coalesce(told, own) else coalesce(own, told) end as cand, case src when 'arxiv' then coalesce(substr(mon, 1, 4), own, told) when 'zenodo' then told else own end as held from g),
+i as (select *, case when yr is null or src = 'arxiv' then cand else held end as better from h),
+z as (select *, case when pd is null then cand when (yr is null or coalesce(held <> yr, false)) and better <> pd then better end as new from i)"""
+_LEAVES = """with r as (select s_suppkey, ('{"id":' || s_suppkey || ',"name":"' || s_name || '","reference":[{"doi":"10.1/' || s_suppkey || '"}],"deep":{"reference":"kept","items":[{"n":' || s_suppkey || ',"reference":[' || s_suppkey || ']},"t",null,true]}'
+ || (case when s_suppkey % 3 = 0 then ',"more":{"a":{"b":{"reference":[],"c":1.5}}}' else '' end) || '}')::json as j from supplier)
+select s_suppkey, t.fullkey as path, case when t.type <> 'NULL' then trim(t.atom::varchar, '"') end as value from r, json_tree(r.j) t where t.type not in ('OBJECT', 'ARRAY')"""
 ORACLE = {
     "repair_targets": """with t as (select o_orderkey, o_orderkey as k, case when o_orderkey % 7 = 0 then 'metadata_key_absent' else 'metadata_missing_status' end as reason from orders where o_orderkey % 7 = 0 or o_orderkey % 11 = 0 or o_orderkey % 5 = 0)
 select o_orderkey, reason, '{Query} \\emph title ' || k || ', 2019' as query_title_original, case k % 4 when 0 then regexp_replace('Raw Title ' || k, '[\\s,]*(19|20)\\d{2}\\s*$', '') when 1 then regexp_replace('Shown ' || k, '[\\s,]*(19|20)\\d{2}\\s*$', '') else 'Query title ' || k end as query_title, case when k % 4 < 2 then 'raw_local' else 'original' end as title_source from t""",
@@ -190,13 +295,22 @@ select o_orderkey, reason, '{Query} \\emph title ' || k || ', 2019' as query_tit
 select o_orderkey, case when b then 'unresolved' when w <> '' then 'incomplete' else 'resolved' end as state, case when not b and w <> '' then w end as reason from r""",
     "manual_resolution": f"""with {_F} select o_orderkey, fixed, title, source, source_id, match_status, missing_reason, published_date, case when fixed then title else 'old' end as other_title,
  case when fixed then 'asked,manual:resolved,manual_mark' else 'asked,manual:resolved' end as steps, fixed and abstract is not null as abstract_present from f""",
-    "denied_keys": f"""with {_M} select o_orderkey, 'Query title ' || k as title, 'manual' as source, case when k % 6 < 4 and k % 2 = 0 then '10.9/' || k else 'local:' || k end as source_id, coalesce(published_date, case when k % 6 < 4 then year(o_orderdate)::varchar end) as published_date
- from m where k in (select l_orderkey from lineitem where l_quantity = 50)""",
-    "published_date_repair": f"""with {_M}, d as (select *, case when k % 9 = 0 then 'soon' else published_date end as pd, case when k % 4 <> 0 then (1980 + k % 20)::varchar end as fy, case when k % 6 < 4 then year(o_orderdate)::varchar end as cy,
- case when k % 5 = 1 then (2010 + k % 10) || '-' || lpad((k % 12 + 1)::varchar, 2, '0') end as mon from m),
-e as (select *, case k % 5 when 1 then mon when 2 then coalesce(cy, fy) else coalesce(fy, cy) end as cand from d),
-g as (select *, case when pd is null and cand is not null then 'backfill' when pd is not null and cand is not null and cand <> pd and (pd = 'soon' or (k % 5 = 1 and pd <> substr(mon, 1, 4))) then 'overwrite' else 'none' end as act from e)
-select o_orderkey, case when act = 'none' then pd else cand end as published_date, act as date_action from g""",
+    "denied_keys": f"""with {_M}, t as (select m.*, k % 6 < 4 as ctx, coalesce(case when k % 6 < 4 then 'Context ' || k end, k::varchar) as picked from m where k in (select l_orderkey from lineitem where l_quantity = 50))
+select o_orderkey, 'Query title ' || k as query_title, picked as title, lower(picked) as normalized_title, null::varchar as abstract, 'manual' as source, case when ctx and k % 2 = 0 then '10.9/' || k else 'local:' || k end as source_id,
+ 'exact_title' as match_status, 'no_abstract_available' as missing_reason, coalesce(case when ctx then year(o_orderdate)::varchar end, published_date) as published_date from t""",
+    "forced_fix_parts": f"""with {_FULL}, t as (select f.*, o_orderkey % 7 <> 0 and o_orderkey in (select l_orderkey from lineitem where l_quantity = 50) as hit, k % 6 < 4 as ctx, coalesce(case when k % 6 < 4 then 'Context ' || k end, k::varchar) as picked from f)
+select o_orderkey, case when hit then picked else 'old' end as title, case when hit then 'manual' else 'crossref' end as source, case when not hit then 'x' when ctx and k % 2 = 0 then '10.9/' || k else 'local:' || k end as source_id, case when hit then 'exact_title' else 'fuzzy_title' end as match_status,
+ not hit as abstract_present, case when hit then 'missing' else 'crossref' end as abstract_source, case when hit then 'missing:no_abstract_available' end as abstract_source_reason,
+ case when hit then 'asked,manual:resolved_no_abstract,manual_fix:suspicious_source_mismatch,manual_mark:no_abstract_available' else 'asked,manual:resolved_no_abstract' end as steps,
+ case when j is not null and hit then picked else json_extract_string(j, '$.title') end as full_title, case when j is not null and hit then true end as abstract_gone, case when j is not null and hit and ctx then year(o_orderdate)::varchar else own end as full_year from t""",
+    "collection_versions": f"""with {_M}, b as (select k from m where k in (select l_orderkey from lineitem where l_quantity = 50)), n as (select count(*) as n_metadata, (select count(*) from b) as n from m)
+select v as version, case when v = 2 then n else 0 end as n_manual, n_metadata, case when v = 2 then n else 0 end as n_missing, case when v = 2 then n else 0 end as n_traced from n, (values (1), (2), (3)) x(v)""",
+    "published_date_repair": f"""with {_FULL}, {_DATED} select o_orderkey, coalesce(new, pd0) as published_date, case when new is null then 'none' when pd is null then 'backfill' else 'overwrite' end as date_action,
+ case when coalesce(trim(json_extract_string(j, '$.year')), '') <> substr(mon, 1, 4) then substr(mon, 1, 4) end as source_year from z""",
+    "full_year_repair": f"""with {_FULL}, {_DATED}, y as (select o_orderkey, j, own, case when k % 7 <> 0 and k % 5 = 1 then (2010 + k % 10)::varchar end as ay from f where j is not null)
+select o_orderkey, coalesce(ay, json_extract_string(j, '$.year')) as year, coalesce(ay, own) as first_year from y""",
+    "dynamic_leaves": _LEAVES,
+    "dynamic_pruning": f"""select * from ({_LEAVES}) where path not like '%.reference[%'""",
     "repair_counters": f"with {_F} select match_status, count(*) filter (fixed) as n_fixed, count(*) filter (fixed and abstract is null) as n_without_abstract, count(*) filter (published_date is not null) as n_dated from f group by 1",
     "repair_pipeline": f"""with {_M}, n as (select k, bad and k % 9 <> 0 and (k % 2 = 0 or k % 5 <> 0) as merged, source, match_status from m)
 select case when merged and k % 2 = 0 then 'pubmed' else source end as source, case when merged then 'exact_doi' else match_status end as match_status, count(*) as n from n group by 1, 2""",
