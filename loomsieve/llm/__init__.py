@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomsieve.llm import bpe, langid, lexical, neardup, packing, pii, sharding, sketches, suffixes, toxicity, variants, vectors
+from loomsieve.llm import bpe, langid, lexical, neardup, packing, pii, sharding, sketches, suffixes, toxicity, variants, vectors, warc
 
-_MODULES = (neardup, langid, packing, suffixes, sketches, bpe, sharding, toxicity, vectors, pii, variants, lexical)
+_MODULES = (neardup, langid, packing, suffixes, sketches, bpe, sharding, toxicity, vectors, pii, variants, warc, lexical)
 
 
 def queries() -> dict[str, Callable]:
