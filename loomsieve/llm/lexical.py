@@ -216,10 +216,26 @@ class Index:
     terms: int
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch: texts that hold a term, their terms, their bytes."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        sums = np.zeros(3, dtype=np.int64)
+        for begin, end in blocks(texts):
+            data, offsets = joined(texts[begin:end])
+            inside = WORD_BYTE[data]
+            opens = np.zeros(len(data), dtype=bool)
+            opens[1:] = inside[1:] & ~inside[:-1]
+            opens[:1] = inside[:1]
+            terms = np.add.reduceat(opens, offsets[:-1], dtype=np.int64)
+            sums += [(terms > 0).sum(), terms.sum(), np.diff(offsets)[terms > 0].sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], ["n", "terms", "bytes"])
+
+
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Index:
     """Index every row; the shards are written to the shared folder."""
-    n = F.regexp_count(F.col(text_col), F.lit(TERM))
-    total, length, volume = (x or 0 for x in docs.select(n.alias("n"), F.octet_length(text_col).alias("b")).filter("n > 0").agg(F.count("*"), F.sum("n"), F.sum("b")).first())
+    sizes = docs.select(F.col(text_col).alias("text")).filter("text is not null").mapInArrow(_sizes, "n long, terms long, bytes long")
+    total, length, volume = (x or 0 for x in sizes.agg(F.sum("n"), F.sum("terms"), F.sum("bytes")).first())
     count = max(1, -(-volume // shard_bytes))
     shard = F.pmod(F.xxhash64(id_col, text_col), F.lit(count)).alias("shard")
     rows = docs.filter(F.col(text_col).rlike(TERM)).select(shard, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
