@@ -32,8 +32,8 @@ from loomsieve.llm.common import WORD_BYTE, Scratch, blocks, documents, joined,
 
 #: A term, for JVM and RE2 expressions alike: ASCII letters and digits, and everything beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: UTF-8 bytes of a shard's texts, about; queries in a block; nodes that a search opens at a time; shards in a file.
-SHARD_BYTES, BLOCK, OPENED, SHARDS_A_FILE = 8 << 20, 256, 128, 4
+#: UTF-8 bytes of a shard's texts, about; queries in a block; nodes that a search opens at a time.
+SHARD_BYTES, BLOCK, OPENED = 8 << 20, 256, 128
 TOP = 10
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -239,8 +239,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     count = max(1, -(-volume // shard_bytes))
     shard = F.pmod(F.xxhash64(id_col, text_col), F.lit(count)).alias("shard")
     rows = docs.filter(F.col(text_col).rlike(TERM)).select(shard, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # A file holds few shards, so a reader's memory doesn't grow with the table.
-    rows = rows.repartition(max(1, -(-count // SHARDS_A_FILE)), "shard")
+    # A partition for each shard, about: a file holds few, so neither its writer's nor its reader's memory grows with the table.
+    rows = rows.repartition(count, "shard")
     return Index(materialise(rows.groupBy("shard").applyInArrow(_index_shard(total, max(length, 1)), _SHARD)), total, length)
 
 
