@@ -51,7 +51,7 @@ def _first_day(t: Column) -> Column:
 def date_interval(text: Column) -> Column:
     """struct(start, end) of a day, a ``YYYY-MM`` month or a ``YYYY`` year; null where none can be read.
 
-    Use ``with_interval`` where more than one expression needs it.
+    Use ``with_interval`` where more than one expression needs it, and for any text that isn't a plain column.
     """
     t = blank_to_null(text)
     # The start is bound once; what it stands for shows in the text's length.
@@ -61,8 +61,10 @@ def date_interval(text: Column) -> Column:
 
 
 def with_interval(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """Add the interval of a text as a column that later expressions refer to, so that a row is parsed once."""
-    return df.withColumn(out, date_interval(text))
+    """Add the interval of a text as a column that later expressions refer to, so that a row is parsed once; the text itself is
+    a column first, since each branch of the parse refers to it."""
+    named = f"__text_of_{out}"
+    return df.withColumn(named, text).withColumn(out, date_interval(F.col(named))).drop(named)
 
 
 def parse_status(text: Column, interval: Column | None = None) -> Column:

@@ -117,3 +117,20 @@ def intersect_clauses(clauses: DataFrame, by: list[str]) -> DataFrame:
     live = clauses.filter("project").withColumn("has_hard", F.max((F.col("hardness") == "hard").cast("int")).over(Window.partitionBy(*by)))
     bound = live.filter((F.col("hardness") == "hard") | (F.col("has_hard") == 0))
     return bound.groupBy(*by).agg(F.max("start").alias("start"), F.min("end").alias("end"), (F.max("has_hard") == 0).alias("fallback_applied"), F.count("*").alias("n_clauses"))
+
+
+def meetings(left: DataFrame, right: DataFrame, on: list[str], interval: str, window: str, days: int = 32) -> DataFrame:
+    """Pairs of rows that agree in ``on`` and whose closed day intervals meet: records and the policies of their paper, each pair
+    once. ``interval`` and ``window`` are structs (start, end); a window's null bound is open, a null interval meets nothing.
+
+    Both sides are laid out in buckets of ``days``, and a pair is taken in the first bucket that both have. Open bounds reach to
+    the ends of what the left side holds, which is one row. ``on`` may be empty.
+    """
+    day = lambda c: F.floor(F.unix_date(c) / days).cast("int")
+    reach = left.agg(F.min(f"{interval}.start").alias("__low"), F.max(f"{interval}.end").alias("__high"))
+    clipped = right.join(F.broadcast(reach)).withColumns({"__s": F.greatest(F.coalesce(f"{window}.start", "__low"), "__low"), "__e": F.least(F.coalesce(f"{window}.end", "__high"), "__high")}).filter("__s <= __e")
+    r = clipped.select(*right.columns, "__s", "__e", day(F.col("__s")).alias("__first_r"), F.explode(F.sequence(day(F.col("__s")), day(F.col("__e")))).alias("__bucket"))
+    known = left.filter(F.col(f"{interval}.start") <= F.col(f"{interval}.end"))
+    l = known.select("*", day(F.col(f"{interval}.start")).alias("__first_l"), F.explode(F.sequence(day(F.col(f"{interval}.start")), day(F.col(f"{interval}.end")))).alias("__bucket"))  # noqa: E741
+    met = l.join(r, [*on, "__bucket"]).filter((F.col("__bucket") == F.greatest("__first_l", "__first_r")) & (F.col(f"{interval}.start") <= F.col("__e")) & (F.col(f"{interval}.end") >= F.col("__s")))
+    return met.drop("__bucket", "__first_l", "__first_r", "__s", "__e")

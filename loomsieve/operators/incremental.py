@@ -40,6 +40,27 @@ def spaced(requests: DataFrame, source: str, pos: str, seconds: dict[str, float]
     return numbered(requests, [source], pos, "__k").withColumn(out, (F.col("__k") - 1) * interval).drop("__k")
 
 
+def earliest_starts(requests: DataFrame, source: str, pos: str, arrival: str, seconds: dict[str, float], out: str = "start_at", chunk: int = 100_000) -> DataFrame:
+    """When each request starts if it waits until its source's interval has passed since the start of the one before it (in the
+    order of the numeric ``pos``): a timestamp, not before its own ``arrival``. Sources without an interval never wait.
+
+    The k-th start is the latest of all earlier arrivals plus the steps since them, so it is a running maximum of arrival minus
+    k intervals. That maximum is taken within chunks of a source's requests and carried over from one row per chunk, so one
+    busy source is spread over tasks.
+    """
+    step = F.coalesce(*(F.when(F.col(source) == name, F.lit(round(s * 1_000_000))) for name, s in seconds.items()), F.lit(0))
+    rows = numbered(requests, [source], pos, "__k").withColumns({"__step": step, "__chunk": F.floor((F.col("__k") - 1) / chunk)})
+    rows = rows.withColumn("__free", F.unix_micros(F.col(arrival).cast("timestamp")) - F.col("__k") * F.col("__step"))
+    per = rows.groupBy(source, "__chunk").agg(F.max("__free").alias("m"))
+    before = F.max("m").over(Window.partitionBy(source).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
+    carried = per.select(F.struct(source, "__chunk").alias("__at"), before.alias("__before"))
+    inside = F.max("__free").over(Window.partitionBy(source, "__chunk").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"__inside": inside, "__key": F.struct(source, "__chunk")})
+    both = rows.join(carried, F.col("__key").eqNullSafe(F.col("__at")))
+    start = F.timestamp_micros(F.greatest("__inside", "__before") + F.col("__k") * F.col("__step"))
+    return both.select(*requests.columns, F.when(F.col("__step") > 0, start).otherwise(F.col(arrival).cast("timestamp")).alias(out))
+
+
 def running(df: DataFrame, key: str, ts: str, tie: str, value: str, label: str, bucket: str = "day") -> DataFrame:
     """Every row with the running sum of ``value`` in its key's order (time, then ``tie``), the labels before and after it, and
     the key's first tie: running, before, after, first.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomsieve.functions import text
 from loomsieve.operators.dedupe import unique_index
+from loomsieve.tables import scratch
 
 
 def cascade(left: DataFrame, right: DataFrame, steps: list[tuple[str, str, str]], target: str) -> DataFrame:
@@ -76,19 +77,59 @@ def best_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return out.select(F.col("l_id").alias(left_id), F.when(gate, F.col("m.r_id")).alias(right_id), F.col("m.similarity").alias("similarity"), F.col("m.same").alias("same_title"))
 
 
-def best_jaccard_of_all(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, short: int = 7) -> DataFrame:
+#: Thresholds of the rounds in which best matches of any similarity are looked for; the last finds whatever shares a word.
+FALLING = (0.5, 0.2, 0.08, 0.03, 0.0)
+
+
+def best_jaccard_of_all(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, short: int = 7, falling: tuple[float, ...] = FALLING) -> DataFrame:
     """As ``best_jaccard``, for every left row: a best similarity under ``least`` is returned too, with a null partner,
-    and 0 where no word is shared. Every pair that shares a word counts, so this costs more than the rarest words do.
+    and 0 where no word is shared.
+
+    Rounds of falling thresholds: sets of n and m words that are similar by s share at least o = s (n + m) / (1 + s) words, so
+    among their words in order of rarity they share one of the first n - o + 1 and of the first m - o + 1. Left titles are
+    laid out by the power of two below their n, so that a long text asks each right title for its few rarest words only.
+    Whatever is found at the threshold or above holds the best, and those titles leave; the others go on to the next one.
+    Pairs that share nothing but frequent words are met by titles only that have no better match.
     """
-    words = lambda df, i, p: df.select(F.col(i).alias(f"{p}_id"), text.normalized_title(F.col(title)).alias(f"{p}_title")).withColumn(f"{p}_words", text.tokens(F.col(f"{p}_title"))).withColumn(f"{p}_n", F.size(f"{p}_words"))
-    a, b = words(left, left_id, "l"), words(right, right_id, "r")
-    each = lambda df, p: df.select(f"{p}_id", f"{p}_n", F.explode(f"{p}_words").alias("w"))
-    both = F.count("*")
-    pairs = each(a, "l").join(each(b, "r"), "w").groupBy("l_id", "r_id", "l_n", "r_n").agg((both / (F.col("l_n") + F.col("r_n") - both)).alias("similarity"))
-    best = pairs.groupBy("l_id").agg(F.max_by(F.struct("r_id", "similarity"), F.struct("similarity", (-F.col("r_id")).alias("o"))).alias("m")).select("l_id", "m.*")
-    titles = lambda df, p: df.filter(F.col(f"{p}_n") > 0).select(f"{p}_id", F.col(f"{p}_title").alias("t"))
-    equal = titles(a, "l").join(titles(b, "r").groupBy("t").agg(F.min("r_id").alias("equal_id")), "t").drop("t")
-    out = a.select("l_id", "l_n").join(best, "l_id", "left").join(equal, "l_id", "left")
+    spark = left.sparkSession
+
+    def written(df: DataFrame) -> DataFrame:
+        path = scratch(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    own = lambda df, i, p: df.select(F.col(i).alias(f"{p}_id"), text.normalized_title(F.col(title)).alias(f"{p}_title"))
+    a, b = own(left, left_id, "l"), own(right, right_id, "r")
+    titles = {"l": a.select("l_title").distinct(), "r": b.groupBy("r_title").agg(F.min("r_id").alias("r_id"))}
+    titles = {p: df.withColumn("words", text.tokens(F.col(f"{p}_title"))).filter(F.size("words") > 0) for p, df in titles.items()}
+    each = {p: df.select("*", F.explode("words").alias("w")).drop("words") for p, df in titles.items()}
+    # Words by how many pairs they would form; those of one side only form none and stand first.
+    held = each["l"].groupBy("w").agg(F.count("*").alias("x")).join(each["r"].groupBy("w").agg(F.count("*").alias("y")), "w", "full_outer").select("w", (F.coalesce("x", F.lit(0)) * F.coalesce("y", F.lit(0))).alias("held"))
+    sides = {}
+    for p, df in each.items():
+        keys = [c for c in df.columns if c != "w"]
+        lists = df.join(held, "w").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "w"))), lambda s: s["w"]).alias("words"))
+        sides[p] = written(lists.withColumn("n", F.size("words")).withColumn("size", F.floor(F.log2(F.col("n") + 1e-9)).cast("int")))
+    rest, found = sides["l"], None
+    sizes = [r[0] for r in rest.select("size").distinct().collect()]  # some thirty at most
+    for s in falling:
+        o = F.greatest(F.ceil(s * F.col("n") - 1e-9), F.lit(1)).cast("int")
+        asked = rest.select("l_title", "size", F.explode(F.slice("words", F.lit(1), F.col("n") - o + 1)).alias("w"))
+        shares = F.greatest(F.ceil(s * (F.pow(F.lit(2.0), F.col("size")) + F.col("n")) / (1 + s) - 1e-9), F.lit(1)).cast("int")
+        offered = sides["r"].select("r_title", "n", "words", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("size")).withColumn("o", shares).filter("o <= n")
+        offered = offered.select("r_title", "size", F.explode(F.slice("words", F.lit(1), F.col("n") - F.col("o") + 1)).alias("w"))
+        met = asked.join(offered, ["size", "w"]).select("l_title", "r_title").distinct()
+        side = lambda p, *more: sides[p].select(f"{p}_title", F.col("words").alias(f"{p}_words"), *more)
+        pairs = met.join(side("l"), "l_title").join(side("r", "r_id"), "r_title").select("l_title", "r_id", text.jaccard(F.col("l_words"), F.col("r_words")).alias("similarity"))
+        best = pairs.groupBy("l_title").agg(F.max_by(F.struct("r_id", "similarity"), F.struct("similarity", (-F.col("r_id")).alias("o"))).alias("m")).select("l_title", "m.*")
+        done = written(best.filter(F.col("similarity") >= s))
+        found = done if found is None else found.unionByName(done)
+        rest = written(rest.join(done.select("l_title"), "l_title", "left_anti"))
+        if rest.isEmpty():
+            break
+    equal = sides["r"].select(F.col("r_title").alias("l_title"), F.col("r_id").alias("equal_id"))
+    counts = sides["l"].select("l_title", F.col("n").alias("l_n"))
+    out = a.join(counts, "l_title", "left").join(found, "l_title", "left").join(equal, "l_title", "left")
     same = F.col("equal_id").isNotNull()
     partner = F.when(same, F.col("equal_id")).when((F.col("l_n") >= short) & (F.col("similarity") >= least), F.col("r_id"))
     return out.select(F.col("l_id").alias(left_id), partner.alias(right_id), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), same.alias("same_title"))
@@ -165,8 +206,8 @@ def wildcard_rules(df: DataFrame, rules: DataFrame, columns: list[str], order: s
 def best_ratio(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, high: float = 0.95, by_word: bool = True) -> DataFrame:
     """The most alike title by longest matching blocks: an equal normalized title that is unique first (1.0, exact).
 
-    Pairs whose lengths or letters differ too much for the ratio 2 * matches / (sum of lengths) to reach ``least`` aren't
-    compared. ``by_word`` also leaves out pairs that share no word of three letters, though their ratio may reach it
+    Pairs whose lengths, pieces of three letters or letters differ too much for the ratio 2 * matches / (sum of lengths) to
+    reach ``least`` aren't compared. ``by_word`` also leaves out pairs that share no word of three letters, though their ratio may reach it
     ("autoencoders survey", "autoencoder surveys"); without it every pair that can reach ``least`` is compared. Titles
     without a letter or digit link only to an equal one that is unique. (left id, right id, score, confidence).
     """
@@ -178,11 +219,9 @@ def best_ratio(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
         words = lambda df, p: df.select(f"{p}_id", F.explode(text.tokens(F.col(f"{p}_title"), 3)).alias("w"))
         pairs = words(rest, "l").join(words(b, "r"), "w").select("l_id", "r_id").distinct().join(a, "l_id").join(b, "r_id")
     else:
-        # Lengths of a pair differ by the factor (2 - least) / least at most: by one step of its logarithm.
-        step = math.log((2 - least) / least) + 1e-9
-        own = lambda df, p: df.filter(F.length(f"{p}_title") > 0).withColumn(f"{p}_step", F.floor(F.log(F.length(f"{p}_title")) / step))
-        near = own(b, "r").withColumn("l_step", F.explode(F.array(*(F.col("r_step") + k for k in (-1, 0, 1)))))
-        pairs = own(rest, "l").join(near, "l_step")
+        titles = _near_titles(rest.select("l_title").distinct(), b.select("r_title").distinct(), least)
+        # Equal titles are compared once: of the right ones that of the least id counts.
+        pairs = titles.join(b.groupBy("r_title").agg(F.min("r_id").alias("r_id")), "r_title").join(rest, "l_title")
     n, m = F.length("l_title"), F.length("r_title")
     pairs = pairs.filter(2 * F.least(n, m) >= least * (n + m) - 1e-9)
     scored = pairs.select("l_id", "r_id", _ratio(least)("l_title", "r_title").alias("score")).filter(F.col("score") >= least)
@@ -191,6 +230,65 @@ def best_ratio(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     return out.select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "score", F.when(F.col("score") == 1.0, "exact").when(F.col("score") >= high, "high").otherwise("medium").alias("confidence"))
 
 
+#: Letters of the pieces by which titles meet.
+GRAM = 3
+
+
+def shared_grams(n: int | float, least: float) -> float:
+    """How many pieces of GRAM letters a title of n letters shares at least with any whose ratio to it reaches ``least``.
+
+    Matching blocks are a common subsequence, so of two titles of n and m letters all but (1 - least) (n + m) are matched, and
+    that many deletions and insertions lead from one to the other. A deletion spoils GRAM pieces of the first, an insertion
+    one less. The bound is linear in m, so it is least at an end of m's range.
+    """
+    ends = (math.ceil(least * n / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9))
+
+    def bound(m: int) -> float:
+        edits = (1 - least) * (n + m)
+        return n - GRAM + 1 - GRAM * (edits + n - m) / 2 - (GRAM - 1) * (edits - n + m) / 2
+
+    return min(map(bound, ends))
+
+
+def _near_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (l_title, r_title) of distinct titles that hold all whose ratio can reach ``least``.
+
+    Titles meet by the rarest of their pieces of GRAM letters: of g pieces, t shared at least, one of the first g - t + 1 is
+    among the other's first ones. Titles so short that no piece need be shared meet by their length instead, each with all
+    lengths that it can reach; they are few letters long.
+    """
+    slope = [shared_grams(x, least) for x in (10_000, 20_000)]
+    per = (slope[1] - slope[0]) / 10_000  # the bound is linear in n but for rounding of m's range, which 2 covers
+    need = lambda n: F.floor(n * per + (slope[0] - 10_000 * per) - 2 - 1e-6).cast("int")
+    sides = {}
+    for p, df in (("l", left), ("r", right)):
+        n = F.length(f"{p}_title")
+        sides[p] = df.filter(n > 0).select(f"{p}_title", n.alias("n")).withColumn("need", need(F.col("n")))
+
+    def tagged(p: str) -> DataFrame:
+        """Every piece of a title, repeated ones told apart by number."""
+        at = F.sequence(F.lit(1), F.col("n") - GRAM + 1)
+        pieces = sides[p].filter("need >= 1").select(f"{p}_title", "n", "need", F.explode(F.transform(at, lambda i: F.substring(F.col(f"{p}_title"), i, F.lit(GRAM)))).alias("g"))
+        counted = pieces.groupBy(f"{p}_title", "n", "need", "g").agg(F.count("*").cast("int").alias("c"))
+        return counted.select(f"{p}_title", "n", "need", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("c"), "g").select(f"{p}_title", "n", "need", F.concat("g", F.col("c").cast("string")).alias("g"))
+
+    both = {p: tagged(p) for p in sides}
+    held = both["l"].select("g").unionAll(both["r"].select("g")).groupBy("g").agg(F.count("*").alias("held"))
+
+    def rare(p: str) -> DataFrame:
+        lists = both[p].join(held, "g").groupBy(f"{p}_title", "n", "need").agg(F.array_sort(F.collect_list(F.struct("held", "g"))).alias("x"))
+        first = F.slice("x", F.lit(1), F.col("n") - GRAM + 2 - F.col("need"))
+        return lists.select(f"{p}_title", F.col("n").alias(f"{p}_n"), F.explode(F.transform(first, lambda s: s["g"])).alias("g"))
+
+    near = 2 * F.least("l_n", "r_n") >= least * (F.col("l_n") + F.col("r_n")) - 1e-9
+    met = rare("l").join(rare("r"), "g").filter(near).select("l_title", "r_title")
+    shortest = lambda p: sides[p].filter("need < 1")
+    reach = F.sequence(F.greatest(F.ceil(F.col("n") * least / (2 - least) - 1e-9), F.lit(1)).cast("int"), F.floor(F.col("n") * (2 - least) / least + 1e-9).cast("int"))
+    one = shortest("l").select("l_title", F.explode(reach).alias("n")).join(sides["r"].select("r_title", "n"), "n").select("l_title", "r_title")
+    two = shortest("r").select("r_title", F.explode(reach).alias("n")).join(sides["l"].filter("need >= 1").select("l_title", "n"), "n").select("l_title", "r_title")
+    return met.unionAll(one).unionAll(two).distinct()
+
+
 def _ratio(least: float):
     """Ratio of two normalized titles; 0 where the letters that both hold are too few for ``least``."""
 

@@ -224,7 +224,18 @@ def request_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.spaced(e, "event_type", "event_id", {"view": 1.0, "click": 0.5, "signup": 3.0})
 
 
-QUERIES = {f.__name__: f for f in (page_title_verdicts, entry_titles, request_schedule, record_matches, alias_override, doi_attempts, candidate_verification, verification_rules, record_identifiers, source_cascade, first_accepted_try, pool_fan_out, routing_flags, pool_log_summary, pool_failure_reasons, metadata_alignment, alignment_pass_rates, metadata_containment, export_alignment)}
+INTERVALS = {"view": 900.0, "click": 1500.5, "signup": 300.0}
+
+
+def request_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When requests that arrive at their own times may start, so that each source's interval is kept."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    pos = F.unix_micros("ts").cast("decimal(20,0)") * 1_000_000 + F.col("event_id")
+    out = incremental.earliest_starts(e.withColumn("pos", pos), "event_type", "pos", "ts", INTERVALS, chunk=500)
+    return out.select("event_id", "event_type", (F.unix_micros("start_at") - F.unix_micros("ts")).alias("wait_us"))
+
+
+QUERIES = {f.__name__: f for f in (page_title_verdicts, entry_titles, request_schedule, request_starts, record_matches, alias_override, doi_attempts, candidate_verification, verification_rules, record_identifiers, source_cascade, first_accepted_try, pool_fan_out, routing_flags, pool_log_summary, pool_failure_reasons, metadata_alignment, alignment_pass_rates, metadata_containment, export_alignment)}
 
 _POOL = """pool as (select p_partkey as k, p_name as norm, string_split(p_name, ' ') as words, 1990 + p_size % 30 as y, p_brand as brand,
  case when p_partkey % 3 = 0 then '10.1000/p' || p_partkey end as doi, case when p_partkey % 3 = 1 then '1906.' || lpad((p_partkey % 100000)::varchar, 5, '0') end as arxiv,
@@ -247,6 +258,8 @@ select p_partkey, case when c = 4 then 'mismatch' when a and c > 1 then 'uncerta
     "entry_titles": """select s_suppkey, case when s_suppkey % 3 = 0 then 'Query' when s_suppkey % 2 = 0 then s_name else '' end as title,
  concat_ws(',', case when s_suppkey % 2 = 0 then 'journal' end, case when s_suppkey % 3 = 0 then 'note' end, case when s_suppkey % 4 = 0 then 'howpublished' end, case when s_suppkey % 5 = 0 then 'url' end, case when s_suppkey % 6 = 0 then 'doi' end) as strings from supplier""",
     "request_schedule": """select event_id, event_type, ((row_number() over (partition by event_type order by event_id) - 1) * case event_type when 'view' then 1.0 when 'click' then 0.5 when 'signup' then 3.0 else 0.0 end)::double as start_at from events""",
+    "request_starts": """with k as (select event_id, event_type, epoch_us(ts) as t, row_number() over (partition by event_type order by ts, event_id) as k, case event_type when 'view' then 900000000 when 'click' then 1500500000 when 'signup' then 300000000 else 0 end as d from events)
+select event_id, event_type, case when d > 0 then max(t - k * d) over (partition by event_type order by k) + k * d - t else 0 end as wait_us from k""",
     "record_matches": """with i as (select p_partkey as k, 'r' || p_partkey as key, 'doi' as kind, '10.1000/p' || p_partkey as value from part where p_partkey % 2 = 0 union all select p_partkey, 'r' || p_partkey, 'doi', '10.1000/p' || p_partkey from part where p_partkey % 4 = 0
  union all select p_partkey, 'r' || p_partkey || 'b', 'doi', '10.1000/p' || p_partkey from part where p_partkey % 18 = 0 union all select p_partkey, 'r' || p_partkey, 'arxiv', '1906.' || lpad((p_partkey % 100000)::varchar, 5, '0') from part where p_partkey % 4 <> 0
  union all select p_partkey, 'r' || p_partkey, 'title', p_name from part where p_partkey % 5 <> 0),

@@ -63,11 +63,24 @@ def cutoff_inclusive_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval decisions on partial dates: only an interval wholly outside fails."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", dates.date_interval(_mixed_date(F.col("o_orderkey"), F.col("o_orderdate"))).alias("iv"))
+    rows = dates.with_interval(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), _mixed_date(F.col("o_orderkey"), F.col("o_orderdate")), "iv")
     status = dates.overlap_status(F.col("iv"), WINDOW.columns(), "missing_published_date")
     return rows.select("o_orderkey", F.col("iv.start").alias("first_day"), F.col("iv.end").alias("last_day"), status.alias("status"))
 
 
+def policy_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each supplier (orders with partial dates) against all of its policies (what it shipped in a quarter, some
+    without a start or an end): how many each policy lets in."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.to_date("l_shipdate").alias("day"))
+    quarter = F.date_trunc("quarter", "day").cast("date")
+    policies = lines.groupBy("l_suppkey", quarter.alias("quarter")).agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    month = F.month("quarter")
+    policies = policies.select("l_suppkey", "quarter", F.struct(F.when(month != 4, F.col("a")).alias("start"), F.when(month != 10, F.col("b")).alias("end")).alias("window"))
+    orders = dates.with_interval(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), _mixed_date(F.col("o_orderkey"), F.col("o_orderdate")), "iv").select("o_orderkey", "iv")
+    records = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").distinct().join(orders, "o_orderkey")
+    return cutoff.meetings(records, policies, ["l_suppkey"], "iv", "window").groupBy("l_suppkey", "quarter").agg(F.count("*").alias("n"))
+
+
 def date_parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _mixed_date(F.col("o_orderkey"), F.col("o_orderdate"))
     rows = dates.with_interval(table(spark, sf_dir, "orders").withColumn("raw", raw), F.col("raw"), "iv")
@@ -124,7 +137,7 @@ def exclude_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "final_verdict", "review_state", "discard_reason")
 
 
-QUERIES = {f.__name__: f for f in (cutoff_eval, cutoff_status_counts, cutoff_inclusive_variants, interval_overlap, date_parse_status, split_mode, policy_clause_intersection, year_extraction_max, wildcard_policy_lookup, exclude_restore)}
+QUERIES = {f.__name__: f for f in (cutoff_eval, cutoff_status_counts, cutoff_inclusive_variants, interval_overlap, policy_meetings, date_parse_status, split_mode, policy_clause_intersection, year_extraction_max, wildcard_policy_lookup, exclude_restore)}
 
 _RATIOS = """coalesce(round(tp / nullif(tp + fp, 0), 6), 0.0) as precision, coalesce(round(tp / nullif(tp + fn, 0), 6), 0.0) as recall,
  coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 6), 0.0) as f1, coalesce(round((tp + tn) / nullif(tp + fp + tn + fn, 0), 6), 0.0) as accuracy"""
@@ -140,6 +153,9 @@ p(policy, i, j) as (values {', '.join(f"('{n}', {str(i).lower()}, {str(j).lower(
 select policy, {_STATUS('d', 'd', 'lo', 'hi', 'i', 'j')} as status, count(*) as n from (select cast(o_orderdate as date) as d from orders), b, p group by 1, 2""",
     "interval_overlap": f"""with r as (select o_orderkey, {SPAN_SQL} from orders)
 select o_orderkey, s as first_day, e as last_day, case when s is null then 'missing_published_date' else {_STATUS('s', 'e', _A, _B)} end as status from r""",
+    "policy_meetings": f"""with l as (select l_orderkey, l_suppkey, cast(l_shipdate as date) as d from lineitem), p as (select l_suppkey, date_trunc('quarter', d)::date as quarter, min(d) as a, max(d) as b from l group by 1, 2),
+r as (select distinct l_suppkey, o_orderkey, s, e from l join (select o_orderkey, {SPAN_SQL} from orders) on o_orderkey = l_orderkey where s is not null)
+select p.l_suppkey, quarter, count(*) as n from p join r on r.l_suppkey = p.l_suppkey and (month(quarter) = 4 or r.e >= a) and (month(quarter) = 10 or r.s <= b) group by 1, 2""",
     "date_parse_status": f"""with r as (select o_orderstatus, trim({MIXED_SQL}) as t, {SPAN_SQL} from orders)
 select o_orderstatus, case when t in ('', 'null') then 'missing_empty' when s is null then 'unparseable' else 'parsed' end as status, count(*) as n, min(s) as first_day, max(s) as last_day from r group by 1, 2""",
     "split_mode": f"""with r as (select o_orderkey as k, o_orderkey % 3 = 0 as arxiv, cast(o_orderdate as date) as d, year(o_orderdate) as y from orders),

@@ -8,12 +8,14 @@ skipped, entries without a key are dropped, an unbalanced delimiter is an error.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "entry_type string, key string, fields map<string,string>, path string"
 
@@ -121,7 +123,12 @@ class _File(InputPartition):
 
 class BibTexSource(DataSource):
     """``spark.read.format("bibtex").load(path)`` for a file, a folder or a glob of ``.bib`` files in any store that Arrow
-    opens by its address (a plain path is local); ``read`` takes whatever Spark reads."""
+    opens by its address (a plain path is local); ``read`` takes whatever Spark reads.
+
+    ``df.write.format("bibtex").mode(...).save(folder)`` writes rows (entry_type, key, fields; a path is ignored), a file for
+    each task. Files appear when all tasks are done: until then they lie in a hidden folder beside their place, which goes
+    when the job fails. ``overwrite`` replaces the folder's ``.bib`` files then and not before.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -133,6 +140,76 @@ class BibTexSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        missing = {"entry_type", "key", "fields"} - set(schema.fieldNames())
+        if missing:
+            raise BibTexError(f"entries need the columns {sorted(missing)}")
+        return _Writer(self.options["path"].rstrip("/"), overwrite)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[str]
+    entries: int
+
+
+class _Writer(DataSourceWriter):
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+
+    def _places(self):
+        store, at = _store(self.path)
+        return store, at, f"{at}/_writing-{self.job}"
+
+    def write(self, rows: Iterator) -> _Written:
+        """A task's file. Another attempt at the task has a file of its own, and only the attempt that counts is named."""
+        from pyspark import TaskContext
+
+        store, _, beside = self._places()
+        context = TaskContext.get()
+        name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{self.job[:8]}.bib"
+        store.create_dir(beside, recursive=True)
+        n = 0
+        with store.open_output_stream(f"{beside}/{name}.tmp") as out:
+            for row in rows:
+                out.write((written(row["entry_type"], row["key"], dict(row["fields"] or {})) + "\n\n").encode())
+                n += 1
+        if not n:
+            store.delete_file(f"{beside}/{name}.tmp")
+        return _Written([name] if n else [], n)
+
+    def commit(self, messages: list) -> None:
+        store, at, beside = self._places()
+        store.create_dir(at, recursive=True)
+        old = _bib_files(store, at) if self.overwrite else []
+        for message in messages:
+            for name in message.names if message else ():
+                store.move(f"{beside}/{name}.tmp", f"{at}/{name}")
+        for name in old:
+            store.delete_file(f"{at}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        from pyarrow import fs
+
+        store, _, beside = self._places()
+        if store.get_file_info(beside).type == fs.FileType.Directory:
+            store.delete_dir(beside)
+
+
+def _bib_files(store, folder: str) -> list[str]:
+    from pyarrow import fs
+
+    inside = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(f.base_name for f in inside if f.type == fs.FileType.File and f.base_name.endswith(".bib"))
+
+
+def written(entry_type: str, key: str, fields: dict[str, str | None]) -> str:
+    """An entry's text, as ``entry_text`` has it."""
+    named = {"organization" if k == "publisher" else k: v for k, v in fields.items()}
+    escaped = {k: re.sub(r"([{}])", r"\\\1", v.replace("\\", "\\\\")) for k, v in sorted(named.items()) if v is not None and v.strip(" ")}
+    return f"@{entry_type}{{{key},\n" + ",\n".join(f"  {k} = {{{v}}}" for k, v in escaped.items()) + "\n}"
+
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
