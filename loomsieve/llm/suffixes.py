@@ -6,8 +6,8 @@ leaves out text, never a match. Equal segments (128 bits of their bytes agree) a
 an anchor meet in bounded bundles. Each bundle's transform is built, and common prefixes are derived by increasing value:
 from the intervals of the prefixes of length l, backward extension by every preceding byte gives those of length l + 1 and
 the boundaries between them, breadth first, up to the minimum length. Rows without a boundary between them by then share
-at least that many bytes; where their weights add up to two or more, the string is repeated. Anchors with very many kinds
-are dealt to several bundles, and what those leave unmatched is compared by window hash across bundles, so no group has
+at least that many bytes; where their weights add up to two or more, the string is repeated. Anchors with very many kinds, or
+kinds of very many bytes, are dealt to several bundles, and what those leave unmatched is compared by window hash across bundles, so no group has
 to fit one task and no match is lost.
 
 Defined results: null texts count as empty; texts shorter than the length lose nothing; repeated rows count as copies of
@@ -17,11 +17,11 @@ cut into overlapping blocks for the anchors, which changes nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +32,8 @@ LENGTH = 400
 PASSAGE = 200
 #: Bytes of the strings whose hashes pick the anchors.
 GRAM = 64
-#: Bytes of the texts that are hashed together; of a bundle; distinct segments of an anchor in one bundle.
-BLOCK, BUNDLE, CROWD = 1 << 21, 3 << 19, 20_000
+#: Bytes of the texts that are hashed together; of a bundle; distinct segments of an anchor in one bundle, and their bytes.
+BLOCK, BUNDLE, CROWD, CROWD_BYTES = 1 << 21, 3 << 19, 20_000, 4 << 20
 
 #: What tells segments of one content: their anchor's hash and 128 bits of their own.
 KIND = ("anchor", "content", "check")
@@ -87,7 +87,7 @@ def segments_of(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
     last = np.concatenate([first[1:], [len(at)]]) - 1
     s, e, own = starts[first], starts[last] + length, owner[first]
     view = memoryview(data)
-    digests = b"".join(hashlib.md5(view[i:j]).digest() for i, j in zip(s.tolist(), e.tolist(), strict=True))
+    digests = b"".join([xxhash.xxh3_128_digest(view[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)])
     content = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
     return {"owner": own, "anchor": hashes[at[first]].view(np.int64), "content": content[:, 0], "check": content[:, 1], "start": s - begins[own], "end": e - begins[own]}
 
@@ -102,17 +102,20 @@ def _find_segments(length: int):
         start, end = f["start"] + np.array(shifts)[f["owner"]], f["end"] + np.array(shifts)[f["owner"]]
         new = np.concatenate([[True], np.any([f[k][1:] != f[k][:-1] for k in ("owner", *KIND)], axis=0)])
         groups = np.flatnonzero(new)
-        # A text's equal segments are one row; where they touch, one span.
-        opens = new | np.concatenate([[True], start[1:] > end[:-1]])
+        counts = np.diff(groups, append=len(new))
+        # A text's equal segments are one row; where they touch, one span. A segment that is alone needs none.
+        several = np.repeat(counts > 1, counts)
+        opens = (new | np.concatenate([[True], start[1:] > end[:-1]])) & several
         spans = np.flatnonzero(opens)
-        closes = np.concatenate([spans[1:], [len(start)]]) - 1
+        closes = np.searchsorted(np.flatnonzero(new), spans, side="right")
+        closes = np.minimum(np.append(spans[1:], len(start)), np.append(groups, len(start))[closes]) - 1
         flat = np.stack([start[spans], end[closes]], axis=1).ravel().astype(np.int32)
-        offsets = 2 * np.concatenate([np.searchsorted(spans, groups), [len(spans)]])
+        offsets = 2 * np.searchsorted(spans, np.append(groups, len(start)))
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat), mask=pa.array(counts == 1))
         own = f["owner"][groups]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([rids[i] for i in own.tolist()], pa.binary()), *(pa.array(f[k][groups]) for k in KIND), pa.array(np.diff(np.concatenate([groups, [len(new)]]))),
-                pa.array(start[groups].astype(np.int32)), pa.array((end - start)[groups].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
+                pa.array([rids[i] for i in own.tolist()], pa.binary()), *(pa.array(f[k][groups]) for k in KIND), pa.array(counts), pa.array(start[groups].astype(np.int32)), pa.array((end - start)[groups].astype(np.int32)), lists,
             ],
             schema=schema,
         )
@@ -238,72 +241,96 @@ def repeated_starts(segments: list[bytes], weights: list[list[tuple[int, int, in
     """Over the segments, each followed by a separator: which positions start a repeated string, which of them are the
     first of their kind, and where each segment begins. Strings that start in a segment's range (from, to, weight) count as
     often as its weight says."""
+    flat = np.array([(k, *r) for k, own in enumerate(weights) for r in own], dtype=np.int64).reshape(-1, 4)
+    begins = _begins(segments)
+    repeated, head = _repeated(segments, begins[flat[:, 0]] + flat[:, 1], np.maximum(flat[:, 2] - flat[:, 1], 0), flat[:, 3], length)
+    return repeated, head, begins
+
+
+def _begins(segments: list[bytes]) -> np.ndarray:
     sizes = np.array([len(s) + 1 for s in segments], dtype=np.int64)
-    begins = np.cumsum(sizes) - sizes
+    return np.cumsum(sizes) - sizes
+
+
+def _repeated(segments: list[bytes], starts: np.ndarray, n: np.ndarray, weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """As above, with the ranges as numbers: where each starts over all segments, how many positions it has, its weight."""
     data = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8)
     symbols = data.astype(np.uint16) + np.uint16(1)
-    symbols[begins + sizes - 1] = 0
+    symbols[np.append(_begins(segments)[1:], len(data)) - 1] = 0
     order = sorted_suffixes(symbols, length)
     heads = np.flatnonzero(~shared_rows(symbols[order - 1], len(segments), length))
     # How often a suffix's string occurs; one too short for a string is no occurrence of any.
     counts = np.zeros(len(symbols), dtype=np.int64)
-    for begin, ranges in zip(begins.tolist(), weights, strict=True):
-        for first, last, weight in ranges:
-            counts[begin + first : begin + last] = weight
+    counts[_ranges(starts, n)] = np.repeat(weight, n)
     several = np.add.reduceat(counts[order], heads) > 1
     repeated, head = np.zeros(len(symbols), bool), np.zeros(len(symbols), bool)
     repeated[order] = np.repeat(several, np.diff(heads, append=len(symbols)))
     head[order[heads[several]]] = True
-    return repeated, head, begins
+    return repeated, head
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).view(np.int8)))
-    return edge[::2], edge[1::2]
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers from each start on, as many as n says, one range after another."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def _expand_bundle(length: int):
-    loose_type = pa.list_(pa.struct([("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32())]))
-
     def run(table: pa.Table) -> pa.Table:
         worker_serves("suffixes")
         # The same row may come from repeated rows; its bytes are the same.
         places = zip(table.column("rid").to_pylist(), table.column("start").to_pylist(), strict=True)
-        rows = list({place: k for k, place in enumerate(places)}.values())
-        pieces, members = table.column("bytes").take(rows).to_pylist(), table.column("members").take(rows).to_pylist()
-        starts = [[(m["off"], m["off"] + m["size"] - length + 1, m["weight"]) for m in own] for own in members]
-        repeated, head, begins = repeated_starts(pieces, starts, length)
-        kinds, spans, loose, whole = [], [], [], []
-        for piece, begin, own in zip(pieces, begins.tolist(), members, strict=True):
-            for m in own:
-                first, n = begin + m["off"], m["size"] - length + 1
-                flags = repeated[first : first + n]
-                a, b = _runs(flags)
-                kinds.append([m[k] for k in KIND])
-                spans.append(np.stack([a, b - 1 + length], axis=1).ravel().tolist() if len(a) else [])
-                whole.append(spans[-1] == [0, m["size"]])
-                if not m["crowded"]:
-                    loose.append(None)
-                    continue
-                # One of each kind, and all that found no partner here, for the comparison across bundles.
-                at = np.flatnonzero(~flags | head[first : first + n])
+        rows = pa.array(list({place: k for k, place in enumerate(places)}.values()), pa.int64())
+        pieces = table.column("bytes").take(rows).to_pylist()
+        lists = table.column("members").take(rows).combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        members = lists.flatten()
+        named = {k: members.field(k).to_numpy(zero_copy_only=False) for k in (*KIND, "weight", "parts", "off", "size")}
+        piece = np.repeat(np.arange(len(pieces)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        starts, n = _begins(pieces)[piece] + named["off"], named["size"].astype(np.int64) - length + 1
+        repeated, head = _repeated(pieces, starts, n, named["weight"], length)
+        # The members' positions one after another; a run of repeated ones ends with its member.
+        at, owner = _ranges(starts, n), np.repeat(np.arange(len(n)), n)
+        flags = repeated[at]
+        left = flags & np.concatenate([[True], ~flags[:-1] | (owner[1:] != owner[:-1])])
+        right = flags & np.concatenate([~flags[1:] | (owner[1:] != owner[:-1]), [True]])
+        a, b, of = at[left] - starts[owner[left]], at[right] - starts[owner[right]] + length, owner[left]
+        bounds = np.searchsorted(of, np.arange(len(n) + 1))
+        spans = pa.ListArray.from_arrays(pa.array((2 * bounds).astype(np.int32)), pa.array(np.stack([a, b], axis=1).ravel().astype(np.int32)))
+        whole = np.zeros(len(n), bool)
+        whole[of[(a == 0) & (b == named["size"][of])]] = True
+        # Of crowded kinds one of each string, and all that found no partner here, for the comparison across bundles.
+        loose = (named["parts"] > 1)[owner] & (~flags | head[at])
+        out = {k: pa.array(named[k], pa.int64()) for k in KIND} | {"spans": spans, "whole": pa.array(whole), "loose": _loose_windows(pieces, at[loose], owner[loose], starts, len(n), length)}
+        del repeated, head, at, owner, flags, left, right, pieces
+        trim()
+        return pa.table(out)
+
+    return run
+
+
+def _loose_windows(pieces: list[bytes], at: np.ndarray, owner: np.ndarray, starts: np.ndarray, members: int, length: int) -> pa.Array:
+    """Two hashes of the strings that start at ``at`` (over all pieces), and where in their member; a list for each member."""
+    hashes = np.zeros((2, len(at)), dtype=np.uint64)
+    if len(at):
+        begins = _begins(pieces)
+        first = np.searchsorted(at, begins)
+        for k, piece in enumerate(pieces):
+            own = slice(first[k], first[k + 1] if k + 1 < len(pieces) else len(at))
+            if own.start < own.stop:
+                where = at[own] - begins[k]
                 up, down = _powers(len(piece) + 1)
                 values = np.frombuffer(piece, dtype=np.uint8).astype(np.uint64)
-                hashes = []
-                for scramble in (values + np.uint64(1), mix(values + np.uint64(77))):
+                for j, scramble in enumerate((values + np.uint64(1), mix(values + np.uint64(77)))):
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scramble * up[: len(piece)])])
-                    hashes.append(mix((sums[at + length] - sums[at]) * down[at]).view(np.int64).tolist())
-                loose.append([{"h": h, "g": g, "at": i} for h, g, i in zip(*hashes, at.tolist(), strict=True)])
-        named = {k: pa.array([x[i] for x in kinds], pa.int64()) for i, k in enumerate(KIND)}
-        return pa.table({**named, "spans": pa.array(spans, pa.list_(pa.int32())), "whole": pa.array(whole, pa.bool_()), "loose": pa.array(loose, loose_type)})
-
-    return run
+                    hashes[j, own] = mix((sums[where + length] - sums[where]) * down[where])
+    windows = pa.StructArray.from_arrays([pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), pa.array((at - starts[owner]).astype(np.int32))], ["h", "g", "at"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(members + 1)).astype(np.int32)), windows)
 
 
 # --- the operator ----------------------------------------------------------------------------------------------
 
 
-MEMBERS = f"array<struct<{', '.join(f'{k}:long' for k in KIND)}, weight:long, crowded:boolean, alone:boolean, off:int, size:int>>"
+MEMBERS = f"array<struct<{', '.join(f'{k}:long' for k in KIND)}, weight:long, parts:int, alone:boolean, off:int, size:int>>"
 
 
 def _cut_segments(limit: int):
@@ -319,13 +346,13 @@ def _cut_segments(limit: int):
                     if not (runs and w["alone"] and runs[-1][2][-1]["alone"] and w["first"] < runs[-1][1] < runs[-1][0] + limit):
                         runs.append([w["first"], 0, []])
                     runs[-1][1] = max(runs[-1][1], w["first"] + w["size"])
-                    runs[-1][2].append({k: w[k] for k in (*KIND, "weight", "crowded", "alone", "size")} | {"off": w["first"] - runs[-1][0]})
+                    runs[-1][2].append({k: w[k] for k in (*KIND, "weight", "parts", "alone", "size")} | {"off": w["first"] - runs[-1][0]})
                 for start, end, own in runs:
                     rids.append(rid)
                     starts.append(start)
                     pieces.append(data[start:end])
                     members.append(own)
-            kind = pa.list_(pa.struct([*((k, pa.int64()) for k in (*KIND, "weight")), ("crowded", pa.bool_()), ("alone", pa.bool_()), ("off", pa.int32()), ("size", pa.int32())]))
+            kind = pa.list_(pa.struct([*((k, pa.int64()) for k in (*KIND, "weight")), ("parts", pa.int32()), ("alone", pa.bool_()), ("off", pa.int32()), ("size", pa.int32())]))
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.binary()), pa.array(starts, pa.int32()), pa.array(members, kind), pa.array(pieces, pa.binary())], ["rid", "start", "members", "bytes"])
 
     return run
@@ -335,7 +362,7 @@ def _absolute(first, spans):
     return F.transform(spans, lambda x: x + first)
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, bundle: int = BUNDLE) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, bundle: int = BUNDLE, crowd_bytes: int = CROWD_BYTES) -> DataFrame:
     """From (rid, data) rows, binary both: (rid, spans), spans being flat start, end pairs of bytes to remove.
 
     The result is written; what it took is deleted.
@@ -345,33 +372,36 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, bu
         _find_segments(length), f"rid binary, {kind}, n long, first int, size int, spans array<int>"))
     # Aggregates are written before they are joined: a join of two exchanges can be split where an anchor is hot.
     anchors = scratch(found.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor"))
-    again = scratch(found.join(anchors, "anchor"))
+    # Few anchors of many stay, so they are hashed and the wide rows needn't be sorted.
+    again = scratch(found.join(anchors.hint("shuffle_hash"), "anchor"))
     scratch.drop(found)
     kinds = scratch(again.groupBy(*KIND).agg(F.sum("n").alias("weight"), F.min(F.struct("rid", "first", "size")).alias("one")))
-    several = scratch(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")))
-    wanted = scratch(kinds.join(several, "anchor").select(*KIND, "one.*", "weight", "kinds"))
+    several = scratch(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("one.size").alias("bytes")))
+    parts = F.when((F.col("kinds") > crowd) | ((F.col("kinds") > 1) & (F.col("bytes") > crowd_bytes)), F.ceil(F.greatest(F.col("kinds") / crowd, F.col("bytes") / crowd_bytes))).otherwise(1).cast("int")
+    wanted = scratch(kinds.join(several, "anchor").select(*KIND, "one.*", "weight", "kinds", parts.alias("parts")))
     alone = F.col("kinds") == 1
-    volume, most = wanted.agg(F.coalesce(F.sum(F.when(alone, F.col("size") / 2).otherwise(F.col("size"))).cast("long"), F.lit(0)), F.coalesce(F.max("kinds"), F.lit(0))).first()
+    volume, most = wanted.agg(F.coalesce(F.sum(F.when(alone, F.col("size") / 2).otherwise(F.col("size"))).cast("long"), F.lit(0)), F.coalesce(F.max("parts"), F.lit(1))).first()
     bundles = max(1, -(-volume // bundle))
-    item = F.struct(*KIND, "weight", (F.col("kinds") > crowd).alias("crowded"), alone.alias("alone"), "first", "size")
+    item = F.struct(*KIND, "weight", "parts", alone.alias("alone"), "first", "size")
     lists = wanted.groupBy("rid").agg(F.collect_list(item).alias("wanted"))
     pieces = rows.join(lists, "rid").select("rid", "data", "wanted").mapInArrow(_cut_segments(bundle // 4), f"rid binary, start int, members {MEMBERS}, bytes binary")
     m = F.col("members")[0]
-    salt = F.when(m["crowded"], F.pmod(m["content"], F.lit(max(1, -(-most // crowd))))).otherwise(F.lit(0))
+    salt = F.pmod(m["content"], m["parts"])
     place = F.when(m["alone"], F.xxhash64("rid", "start")).otherwise(F.xxhash64(m["anchor"], salt))
     pieces = pieces.withColumn("bundle", F.pmod(place, F.lit(bundles)))
     loose = "array<struct<h:long,g:long,at:int>>"
     expanded = scratch(pieces.groupBy("bundle").applyInArrow(_expand_bundle(length), f"{kind}, spans array<int>, whole boolean, loose {loose}"))
     partial = expanded.select(*KIND, "spans", "whole")
-    if most > crowd:
-        windows = expanded.filter("loose is not null").select(*KIND, F.explode("loose").alias("w")).select(*KIND, "w.*")
+    if most > 1:
+        windows = expanded.filter(F.size("loose") > 0).select(*KIND, F.explode("loose").alias("w")).select(*KIND, "w.*")
         twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
         hits = windows.join(twice, ["h", "g"]).select(*KIND, F.array(F.col("at"), F.col("at") + length).alias("spans"), F.lit(False).alias("whole"))
         # A kind that repeats inside one bundle sent one window only; its others are already in ``spans``.
         partial = partial.unionByName(hits)
     partial = partial.filter(F.size("spans") > 0).withColumnRenamed("spans", "relative")
     # A segment that the expansion found repeated from end to end goes wherever it lies; of others there is one only.
-    whole = again.join(scratch(partial.filter("whole").select(*KIND)), [*KIND]).select("rid", "spans")
+    own = F.coalesce("spans", F.array(F.col("first"), F.col("first") + F.col("size")))
+    whole = again.join(scratch(partial.filter("whole").select(*KIND)).hint("shuffle_hash"), [*KIND]).select("rid", own.alias("spans"))
     some = kinds.filter("weight = 1").select(*KIND, "one").join(partial.filter("not whole"), [*KIND]).select(
         F.col("one.rid").alias("rid"), _absolute(F.col("one.first"), F.col("relative")).alias("spans"))
     out = materialise(whole.unionByName(some).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")))
