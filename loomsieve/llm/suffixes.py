@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loomsieve.llm.common import WORKER_CACHES, Scratch, documents, materialise, mix, trim, worker_serves
 
 LENGTH = 400
-#: Bytes of repeated strings that are counted, beside those removed: a passage of some fifty words.
+#: Bytes of shorter repeated strings that are counted where the same expansion meets them: a passage of some fifty words.
 PASSAGE = 200
 #: Bytes of the strings whose hashes pick the anchors.
 GRAM = 64
@@ -192,49 +192,53 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def shared_rows(transform: np.ndarray, stops: int, length: int) -> np.ndarray:
-    """For each row, whether it shares its first ``length`` symbols with the row before it.
+def shared_rows(transform: np.ndarray, stops: int, length: int, also: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, whether it shares its first ``length`` symbols with the row before it; and whether it does its first
+    ``also`` (which the expansion passes on its way).
 
     ``transform`` holds the symbol before each suffix in sorted order; the first ``stops`` rows are the separators.
     """
     n = len(transform)
-    by_symbol = np.argsort(transform, kind="stable")
-    step = np.empty(n, dtype=np.int64)  # the row of the suffix one symbol longer
-    step[by_symbol] = np.arange(n)
+    step = np.empty(n, dtype=np.int32)  # the row of the suffix one symbol longer
+    step[np.argsort(transform, kind="stable")] = np.arange(n, dtype=np.int32)
     totals = np.bincount(transform, minlength=257)
     ends = np.cumsum(totals)
     known = np.zeros(n + 1, dtype=bool)
     heads = ends - totals
     live = np.flatnonzero(totals[1:]) + 1
-    left = np.concatenate([np.arange(stops), heads[live]])
-    right = np.concatenate([np.arange(stops) + 1, ends[live]])
+    left = np.concatenate([np.arange(stops), heads[live]]).astype(np.int32)
+    right = np.concatenate([np.arange(stops) + 1, ends[live]]).astype(np.int32)
     known[right] = True
     known[0] = True
-    for _ in range(1, length):
+    low = np.int64((1 << 32) - 1)
+    passed = None
+    for value in range(1, length):
+        if value == also:
+            passed = known.copy()
         if not len(left):
             break
         size = right - left
         one = size == 1
         rows = left[one]
-        rows = rows[transform[rows] != 0]
-        new_left, new_right = [step[rows]], [step[rows] + 1]
-        if not one.all():
+        rows = step[rows[transform[rows] != 0]]
+        new_left, new_right = [rows], [rows + 1]
+        if len(rows) < len(left):
             l, s = left[~one], size[~one]
-            at = np.arange(s.sum()) + np.repeat(l - (np.cumsum(s) - s), s)
-            symbol = transform[at].astype(np.int64)
-            key = np.repeat(np.arange(len(l)) * 257, s) + symbol
-            order = np.argsort(key, kind="stable")
-            order = order[symbol[order] != 0]
-            if len(order):
-                k = key[order]
-                edge = np.flatnonzero(k[1:] != k[:-1])
-                new_left.append(step[at[order[np.concatenate([[0], edge + 1])]]])
-                new_right.append(step[at[order[np.concatenate([edge, [len(order) - 1]])]]] + 1)
+            at = np.repeat(l - (np.cumsum(s) - s), s) + np.arange(s.sum())
+            symbol = transform[at]
+            # Interval, symbol and row in one number: sorted values are the intervals that each symbol leads to.
+            key = (np.repeat(np.arange(len(l), dtype=np.int64) * 257, s) + symbol << 32) + at
+            key = np.sort(key[symbol != 0], kind="stable")
+            if len(key):
+                of, at = key >> 32, key & low
+                edge = np.flatnonzero(of[1:] != of[:-1])
+                new_left.append(step[at[np.append(0, edge + 1)]])
+                new_right.append(step[at[np.append(edge, len(key) - 1)]] + 1)
         left, right = np.concatenate(new_left), np.concatenate(new_right)
         fresh = ~known[right]
         left, right = left[fresh], right[fresh]
         known[right] = True
-    return ~known[:n]
+    return ~known[:n], ~(known if passed is None else passed)[:n]
 
 
 def repeated_starts(segments: list[bytes], weights: list[list[tuple[int, int, int]]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,7 +247,7 @@ def repeated_starts(segments: list[bytes], weights: list[list[tuple[int, int, in
     often as its weight says."""
     flat = np.array([(k, *r) for k, own in enumerate(weights) for r in own], dtype=np.int64).reshape(-1, 4)
     begins = _begins(segments)
-    repeated, head = _repeated(segments, begins[flat[:, 0]] + flat[:, 1], np.maximum(flat[:, 2] - flat[:, 1], 0), flat[:, 3], length)
+    repeated, head, _ = _repeated(segments, begins[flat[:, 0]] + flat[:, 1], np.maximum(flat[:, 2] - flat[:, 1], 0), flat[:, 3], length)
     return repeated, head, begins
 
 
@@ -252,21 +256,37 @@ def _begins(segments: list[bytes]) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def _repeated(segments: list[bytes], starts: np.ndarray, n: np.ndarray, weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """As above, with the ranges as numbers: where each starts over all segments, how many positions it has, its weight."""
+def _repeated(segments: list[bytes], starts: np.ndarray, n: np.ndarray, weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As above, with the ranges as numbers: where each starts over all segments, how many positions it has, its weight; last,
+    which positions start a string of PASSAGE bytes that another position starts too."""
     data = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8)
     symbols = data.astype(np.uint16) + np.uint16(1)
     symbols[np.append(_begins(segments)[1:], len(data)) - 1] = 0
     order = sorted_suffixes(symbols, length)
-    heads = np.flatnonzero(~shared_rows(symbols[order - 1], len(segments), length))
+    shared, passage = shared_rows(symbols[order - 1], len(segments), length, PASSAGE)
     # How often a suffix's string occurs; one too short for a string is no occurrence of any.
     counts = np.zeros(len(symbols), dtype=np.int64)
     counts[_ranges(starts, n)] = np.repeat(weight, n)
-    several = np.add.reduceat(counts[order], heads) > 1
-    repeated, head = np.zeros(len(symbols), bool), np.zeros(len(symbols), bool)
-    repeated[order] = np.repeat(several, np.diff(heads, append=len(symbols)))
-    head[order[heads[several]]] = True
-    return repeated, head
+    counts, out = counts[order], []
+    for same in (shared, passage):
+        heads = np.flatnonzero(~same)
+        several = np.add.reduceat(counts, heads) > 1
+        repeated = np.zeros(len(symbols), bool)
+        repeated[order] = np.repeat(several, np.diff(heads, append=len(symbols)))
+        out.append(repeated)
+        if same is shared:
+            head = np.zeros(len(symbols), bool)
+            head[order[heads[several]]] = True
+    return out[0], head, out[1]
+
+
+def _run_lists(flags: np.ndarray, owner: np.ndarray, at: np.ndarray, starts: np.ndarray, length: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Flat start, end pairs of the runs of flagged positions, a list for each member (relative to it); and the pairs."""
+    left = flags & np.concatenate([[True], ~flags[:-1] | (owner[1:] != owner[:-1])])
+    right = flags & np.concatenate([~flags[1:] | (owner[1:] != owner[:-1]), [True]])
+    a, b, of = at[left] - starts[owner[left]], at[right] - starts[owner[right]] + length, owner[left]
+    bounds = np.searchsorted(of, np.arange(len(starts) + 1))
+    return pa.ListArray.from_arrays(pa.array((2 * bounds).astype(np.int32)), pa.array(np.stack([a, b], axis=1).ravel().astype(np.int32))), a, b, of
 
 
 def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -287,21 +307,18 @@ def _expand_bundle(length: int):
         named = {k: members.field(k).to_numpy(zero_copy_only=False) for k in (*KIND, "weight", "parts", "off", "size")}
         piece = np.repeat(np.arange(len(pieces)), lists.value_lengths().to_numpy(zero_copy_only=False))
         starts, n = _begins(pieces)[piece] + named["off"], named["size"].astype(np.int64) - length + 1
-        repeated, head = _repeated(pieces, starts, n, named["weight"], length)
+        repeated, head, passage = _repeated(pieces, starts, n, named["weight"], length)
         # The members' positions one after another; a run of repeated ones ends with its member.
         at, owner = _ranges(starts, n), np.repeat(np.arange(len(n)), n)
-        flags = repeated[at]
-        left = flags & np.concatenate([[True], ~flags[:-1] | (owner[1:] != owner[:-1])])
-        right = flags & np.concatenate([~flags[1:] | (owner[1:] != owner[:-1]), [True]])
-        a, b, of = at[left] - starts[owner[left]], at[right] - starts[owner[right]] + length, owner[left]
-        bounds = np.searchsorted(of, np.arange(len(n) + 1))
-        spans = pa.ListArray.from_arrays(pa.array((2 * bounds).astype(np.int32)), pa.array(np.stack([a, b], axis=1).ravel().astype(np.int32)))
+        flags, more = repeated[at], passage[at]
+        spans, a, b, of = _run_lists(flags, owner, at, starts, length)
+        also, *_ = _run_lists(more & ~flags, owner, at, starts, min(PASSAGE, length))
         whole = np.zeros(len(n), bool)
         whole[of[(a == 0) & (b == named["size"][of])]] = True
         # Of crowded kinds one of each string, and all that found no partner here, for the comparison across bundles.
         loose = (named["parts"] > 1)[owner] & (~flags | head[at])
-        out = {k: pa.array(named[k], pa.int64()) for k in KIND} | {"spans": spans, "whole": pa.array(whole), "loose": _loose_windows(pieces, at[loose], owner[loose], starts, len(n), length)}
-        del repeated, head, at, owner, flags, left, right, pieces
+        out = {k: pa.array(named[k], pa.int64()) for k in KIND} | {"spans": spans, "also": also, "whole": pa.array(whole), "loose": _loose_windows(pieces, at[loose], owner[loose], starts, len(n), length)}
+        del repeated, head, passage, at, owner, flags, more, pieces
         trim()
         return pa.table(out)
 
@@ -363,7 +380,9 @@ def _absolute(first, spans):
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, bundle: int = BUNDLE, crowd_bytes: int = CROWD_BYTES) -> DataFrame:
-    """From (rid, data) rows, binary both: (rid, spans), spans being flat start, end pairs of bytes to remove.
+    """From (rid, data) rows, binary both: (rid, spans, also), flat start, end pairs both: of bytes to remove, and of strings of
+    PASSAGE bytes that the same expansion found elsewhere too. Those are the ones whose ``length`` bytes share an anchor, so
+    they tell of shorter passages without a pass of their own, and of most, not all.
 
     The result is written; what it took is deleted.
     """
@@ -390,29 +409,39 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, bu
     place = F.when(m["alone"], F.xxhash64("rid", "start")).otherwise(F.xxhash64(m["anchor"], salt))
     pieces = pieces.withColumn("bundle", F.pmod(place, F.lit(bundles)))
     loose = "array<struct<h:long,g:long,at:int>>"
-    expanded = scratch(pieces.groupBy("bundle").applyInArrow(_expand_bundle(length), f"{kind}, spans array<int>, whole boolean, loose {loose}"))
-    partial = expanded.select(*KIND, "spans", "whole")
+    expanded = scratch(pieces.groupBy("bundle").applyInArrow(_expand_bundle(length), f"{kind}, spans array<int>, also array<int>, whole boolean, loose {loose}"))
+    partial = expanded.select(*KIND, "spans", "also", "whole")
     if most > 1:
         windows = expanded.filter(F.size("loose") > 0).select(*KIND, F.explode("loose").alias("w")).select(*KIND, "w.*")
         twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
-        hits = windows.join(twice, ["h", "g"]).select(*KIND, F.array(F.col("at"), F.col("at") + length).alias("spans"), F.lit(False).alias("whole"))
+        hits = windows.join(twice, ["h", "g"]).select(*KIND, F.array(F.col("at"), F.col("at") + length).alias("spans"), F.array().cast("array<int>").alias("also"), F.lit(False).alias("whole"))
         # A kind that repeats inside one bundle sent one window only; its others are already in ``spans``.
         partial = partial.unionByName(hits)
-    partial = partial.filter(F.size("spans") > 0).withColumnRenamed("spans", "relative")
+    partial = partial.filter((F.size("spans") > 0) | (F.size("also") > 0))
     # A segment that the expansion found repeated from end to end goes wherever it lies; of others there is one only.
     own = F.coalesce("spans", F.array(F.col("first"), F.col("first") + F.col("size")))
-    whole = again.join(scratch(partial.filter("whole").select(*KIND)).hint("shuffle_hash"), [*KIND]).select("rid", own.alias("spans"))
+    whole = again.join(scratch(partial.filter("whole").select(*KIND)).hint("shuffle_hash"), [*KIND]).select("rid", own.alias("spans"), F.array().cast("array<int>").alias("also"))
     some = kinds.filter("weight = 1").select(*KIND, "one").join(partial.filter("not whole"), [*KIND]).select(
-        F.col("one.rid").alias("rid"), _absolute(F.col("one.first"), F.col("relative")).alias("spans"))
-    out = materialise(whole.unionByName(some).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+        F.col("one.rid").alias("rid"), *(_absolute(F.col("one.first"), F.col(c)).alias(c) for c in ("spans", "also")))
+    out = materialise(whole.unionByName(some).groupBy("rid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "also"))))
     scratch.drop()
     return out
 
 
+def covered(flat: list[int]) -> int:
+    """How many bytes flat start, end pairs cover."""
+    at, n = 0, 0
+    for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
+        n += max(0, b - max(a, at))
+        at = max(at, b)
+    return n
+
+
 def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept, removed, runs = [], [], []
-        for data, spans in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        kept, removed, runs, found = [], [], [], []
+        for data, spans, also in zip(*(batch.column(c).to_pylist() for c in ("data", "spans", "also")), strict=True):
+            found.append(covered([*(spans or ()), *(also or ())]))
             pairs = sorted(zip(spans[::2], spans[1::2], strict=True)) if spans else []
             out, at, n, gone = [], 0, 0, 0
             for a, b in pairs:
@@ -429,8 +458,8 @@ def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Rec
             removed.append(gone)
             runs.append(n)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-            [*batch.schema.names[:-2], "kept", "n_removed", "n_spans"],
+            [*(batch.column(i) for i in range(batch.num_columns - 3)), pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (removed, runs, found))],
+            [*batch.schema.names[:-3], "kept", "n_removed", "n_spans", "n_repeated"],
         )
 
 
@@ -440,37 +469,21 @@ def _rid(doc_id: Column, data: Column) -> Column:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, **limits) -> DataFrame:
     """All columns of ``docs`` but the text in a struct ``row``, with missing (the text was null), n_bytes, ``kept`` (remaining bytes; with ``as_text`` their
-    text, in which a character that a removed span cuts in two goes as a whole), n_removed and n_spans."""
+    text, in which a character that a removed span cuts in two goes as a whole), n_removed, n_spans and n_repeated (bytes removed or
+    in shorter repeated strings that were met on the way)."""
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(text_col).isNull().alias("missing"), data.alias("data"), _rid(F.col(id_col), data).alias("rid"))
     spans = repeated_spans(rows.select("rid", "data"), length, **limits)
-    joined = rows.join(spans, "rid", "left").select("row", "missing", F.octet_length("data").cast("long").alias("n_bytes"), "data", "spans")
+    joined = rows.join(spans, "rid", "left").select("row", "missing", F.octet_length("data").cast("long").alias("n_bytes"), "data", "spans", "also")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(lambda batches: _remove(batches, as_text), f"row {kind}, missing boolean, n_bytes long, kept {'string' if as_text else 'binary'}, n_removed long, n_spans long")
-
-
-def covered(spans: pa.Array) -> pa.Array:
-    """How many bytes lists of flat start, end pairs cover."""
-    out = []
-    for flat in spans.to_pylist():
-        at, n = 0, 0
-        for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)) if flat else ():
-            n += max(0, b - max(a, at))
-            at = max(at, b)
-        out.append(n)
-    return pa.array(out, pa.int64())
+    return joined.mapInArrow(lambda batches: _remove(batches, as_text), f"row {kind}, missing boolean, n_bytes long, kept {'string' if as_text else 'binary'}, n_removed long, n_spans long, n_repeated long")
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest columns; also n_short, how many of the remaining bytes lie in strings of PASSAGE bytes that occur again
-    among all remaining bytes, and n_repeated, n_removed and n_short together."""
+    """The digest columns; also n_repeated, the bytes that were removed or lie in strings of PASSAGE bytes that the expansion
+    met elsewhere too."""
     kept = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    kept = materialise(kept.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept", F.sha2("kept", 256).alias("kept_sha256")))
-    rid = _rid(F.col("doc_id"), F.col("kept")).alias("rid")
-    short = repeated_spans(kept.select(rid, F.col("kept").alias("data")), PASSAGE)
-    out = kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", rid).join(short, "rid", "left")
-    n_short = F.arrow_udf(covered, "long")("spans")
-    return out.withColumn("n_short", n_short).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_short", (F.col("n_removed") + F.col("n_short")).alias("n_repeated"))
+    return kept.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 QUERIES = {"op4_suffixes": op4_suffixes}

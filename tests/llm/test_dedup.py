@@ -129,12 +129,41 @@ def test_interval_expansion_on_random_texts():
             assert [bool(x) for x in repeated[b : b + len(s) + 1]] == [counts[s[k : k + length]] > 1 if k + length <= len(s) else False for k in range(len(s) + 1)]
 
 
+def test_a_crowded_anchor_takes_bounded_memory():
+    """Kinds that share one line, as many as an anchor has in a bundle: in bytes that its bound lets in, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np, pyarrow as pa, pyarrow.compute
+from loomsieve.llm import suffixes
+rng = np.random.default_rng(1)
+size = 735
+count = suffixes.CROWD_BYTES // size
+line = rng.integers(97, 123, 80).astype(np.uint8).tobytes()
+pieces = [rng.integers(97, 123, 327).astype(np.uint8).tobytes() + line + rng.integers(97, 123, 328).astype(np.uint8).tobytes() for _ in range(count)]
+pieces[7] = pieces[8][:500] + pieces[7][500:]
+kind = [('anchor', pa.int64()), ('content', pa.int64()), ('check', pa.int64()), ('weight', pa.int64()), ('parts', pa.int32()), ('alone', pa.bool_()), ('off', pa.int32()), ('size', pa.int32())]
+members = [[dict(anchor=1, content=i, check=i, weight=1, parts=4, alone=False, off=0, size=size)] for i in range(count)]
+table = pa.table({'rid': pa.array([str(i).encode() for i in range(count)], pa.binary()), 'start': pa.array([0] * count, pa.int32()), 'members': pa.array(members, pa.list_(pa.struct(kind))), 'bytes': pa.array(pieces, pa.binary())})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = suffixes._expand_bundle(400)(table)
+windows = pa.compute.sum(pa.compute.list_value_length(out.column('loose'))).as_py()
+assert windows == count * (size - 399) - 101, windows
+assert out.column('spans').to_pylist()[7] == out.column('spans').to_pylist()[8] == [0, 500]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=200)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert int(out.stdout.split()[-1]) < 600
+
+
 def test_all_repeats_come_out_of_the_expansion(docs, monkeypatch):
     def finds_nothing(length):
         def run(table):
             found = [m for own in table.column("members").to_pylist() for m in own]
             n = len(found)
-            return pa.table({**{k: pa.array([m[k] for m in found], pa.int64()) for k in suffixes.KIND}, "spans": pa.array([[]] * n, pa.list_(pa.int32())), "whole": pa.array([False] * n), "loose": pa.nulls(n, pa.list_(pa.struct([("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32())])))})
+            return pa.table({**{k: pa.array([m[k] for m in found], pa.int64()) for k in suffixes.KIND}, **{k: pa.array([[]] * n, pa.list_(pa.int32())) for k in ("spans", "also")}, "whole": pa.array([False] * n), "loose": pa.nulls(n, pa.list_(pa.struct([("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32())])))})
 
         return run
 
