@@ -5,8 +5,8 @@ every node receives its neighbours, both ways, with their vectors; all pairs amo
 lists of both. Pairs at the threshold are kept: the best ones in the lists, and per piece one for each node that lists
 would push out, so that dense groups stay connected. Where a list is saturated (all its entries reach the threshold) it
 is enlarged to the node's whole component, which is compared block by block and only counted, not listed. A sample of
-nodes, drawn until it holds enough links, is compared with all vectors; while its recall is too low, more cells and
-rounds follow, and a search that never reaches it is an error.
+nodes, drawn until it holds enough links or has its bounded size, is compared with all vectors, so its cost is in proportion
+to the table; while its recall is too low, more cells and rounds follow, and a search that never reaches it is an error.
 
 Defined results: null vectors, zero vectors and those with null or non-finite components link with nothing; vectors of
 different lengths aren't compared; rows with equal vectors link with each other; an empty table gives an empty table;
@@ -27,9 +27,9 @@ from loomsieve.llm.common import Once, Scratch, components, documents, materiali
 THRESHOLD, LIST, TABLES, CELL, ROUNDS = 0.9, 16, 6, 48, 2
 #: Entries that a comparison offers to each of its nodes; vectors in a piece of a cell, and in a block.
 OFFER, PIECE, BLOCK = 6, 128, 1024
-#: Nodes of the audit's first draw (chosen by hash), the most of a later one, the links that it holds at least (unless
-#: all nodes are drawn), the recall it asks for, and how often cells and rounds are added before the search fails.
-AUDIT, DRAW, AUDITED, RECALL, ATTEMPTS = 512, 8192, 400, 0.98, 64
+#: Nodes of the audit's first draw (chosen by hash), the most of all draws together, the links that it holds at least if so
+#: many nodes have them, the recall it asks for, and how often cells and rounds are added before the search fails.
+AUDIT, DRAWN, AUDITED, RECALL, ATTEMPTS = 512, 8192, 400, 0.98, 64
 #: Sums in single precision may be off by this; what could reach the threshold is decided in double precision.
 SLACK = 1e-5
 
@@ -156,18 +156,20 @@ def _exact(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 def _audit(scratch: Scratch, nodes: DataFrame, count: int, pairs: DataFrame, dense: DataFrame, threshold: float) -> float:
     """Share of the links of sampled nodes that are found; links within a component that is compared in full don't count.
 
-    Nodes are drawn in the order of a hash until they have AUDITED links, or all nodes are drawn.
+    Nodes are drawn in the order of a hash until they have AUDITED links, or DRAWN nodes are drawn. Where so many have none,
+    links are rare and none that the sample has is lost; the log says how many it had.
     """
     placed = nodes.select("node", "raw", F.xxhash64("node", F.lit(5)).alias("o")).join(dense.select("node", "root"), "node", "left")
     placed = scratch(placed)
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().withColumn("hit", F.lit(1))
     found, links, drawn, last, most = 0, 0, 0, None, AUDIT
-    while drawn < count and links < AUDITED:
+    while drawn < min(count, DRAWN) and links < AUDITED:
         rest = placed if last is None else placed.filter((F.col("o") > last[0]) | ((F.col("o") == last[0]) & (F.col("node") > last[1])))
-        sample = rest.orderBy("o", "node").limit(most).collect()  # DRAW vectors at most
+        sample = rest.orderBy("o", "node").limit(min(most, DRAWN - drawn)).collect()  # DRAWN vectors at most, all together
         true = _links_of(nodes.sparkSession, sample, placed, threshold)
         more = true.join(both, ["a", "b"], "left").agg(F.count("hit"), F.count("*")).first()
-        found, links, drawn, last, most = found + more[0], links + more[1], drawn + len(sample), (sample[-1]["o"], sample[-1]["node"]), min(2 * most, DRAW)
+        found, links, drawn, last, most = found + more[0], links + more[1], drawn + len(sample), (sample[-1]["o"], sample[-1]["node"]), 2 * most
+    logging.getLogger(__name__).info("%d of %d links found, of %d nodes that were drawn", found, links, drawn)
     return found / links if links else 1.0
 
 
