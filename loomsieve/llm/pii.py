@@ -4,12 +4,14 @@ Nodes are the tokens that hold a digit or an at sign; every other token can only
 constant and it need not be a node. Neighbouring nodes share a transition potential. Repeated tokens of a document, and
 similar ones (half of a long number, or an address's local part), share skip potentials however distant they are, with the
 occurrence before and with the first, so evidence passes in two steps; loopy belief propagation runs until a document's
-messages settle. A token that the field is sure about and no base match touches is an added span.
+messages settle. Tokens that the field is sure about and no base match touches are added spans, neighbours of one kind as one.
+The field reads every text that holds such a token, with a base match or without.
 
 The base matches are certain, so the field is fitted on what they leave out: training texts get spoiled repeats of their
 own matches (a local number, a mistyped or regrouped card, a cut address), labelled as the match is, and spoiled matches
 of other texts, which repeat nothing and are labelled as none. So it learns that such a token is personal data where the
-document says so elsewhere, and not by its looks.
+document says so elsewhere, and not by its looks. They also get whole phone numbers and cards with another number behind
+them, which the greedy patterns read as one that is too long and drop; those are labelled as what they are.
 
 Defined results: null and empty texts have no spans; equal texts get equal spans; offsets are code points, ends are
 exclusive; an empty table gives an empty table; without training texts only base matches are found. Results are column
@@ -90,6 +92,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], _RANK[s[0]]))
 
 
+def overlong(text: str) -> list[tuple[str, int, int]]:
+    """What the phone and card patterns read as one number of too many digits: what it holds isn't known."""
+    found = [("card", m.start(), m.end()) for m in _CARD.finditer(text) if sum("0" <= c <= "9" for c in m[0]) > 19]
+    found += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if sum("0" <= c <= "9" for c in m[0]) > 15] if "+" in text else []
+    return sorted(found, key=lambda s: s[1])
+
+
 # --- the graph of a text ---------------------------------------------------------------------------------------
 
 
@@ -159,13 +168,11 @@ def graph(text: str, at: list[tuple[int, int]], spans: list[tuple[str, int, int]
             keys += _keys(text[spans[k][1] : spans[k][2]])
             k += 1
         # The occurrence before and the first: a third of a text may share one key, and still has two edges a token.
-        linked: set[int] = set()
+        done: set[int] = {i, i - 1} if near else {i}
         for kind in ("same", "similar"):
-            for key in keys:
-                if key[0] == kind:
-                    linked |= {j for j in (last.get(key), first.get(key)) if j is not None and j not in (i, i - 1 if near else i)}
-            done = {j for name in ("same", "similar") for j, x in edges[name][-8:] if x == i}
+            linked = {j for key in keys if key[0] == kind for j in (last.get(key), first.get(key)) if j is not None}
             edges[kind] += [(j, i) for j in sorted(linked - done)]
+            done |= linked
         for key in keys:
             first.setdefault(key, i)
             last[key] = i
@@ -240,27 +247,39 @@ def _other(match: str, rng: np.random.Generator) -> str:
     return "".join(str(rng.integers(10)) if c in "0123456789" else chr(97 + rng.integers(26)) if c.isalpha() else c for c in match)
 
 
+def swallowed(kind: str, match: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """A phone number or card with a number behind it, so that the pattern reads both as one; and (start, end, label) of the
+    tokens, but for an address behind a phone number, which has its own pattern."""
+    address = kind == "phone" and rng.integers(2)
+    behind = ".".join(str(rng.integers(1, 256)) for _ in range(4)) if address else str(rng.integers(10 ** int(rng.integers(5, 10))) + 10**5)
+    made = f"{match} {behind}"
+    own = [(s, e, 1 + _RANK[kind] if e <= len(match) else 0) for s, e in tokens(made)]
+    return made, own[:-1] if address else own
+
+
 def spoil(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text with spoiled repeats of its own matches and of made-up ones put between its words: (text, (start, end,
-    label) of each, label 0 for made-up ones)."""
+    """The text with spoiled repeats of its own matches, of made-up ones, and swallowed ones put between its words: (text,
+    (start, end, label) of each of their tokens, label 0 for made-up ones)."""
     known = base_spans(text)
     if not known:
         return text, []
-    extra = []
+    extra: list[tuple[str, list[tuple[int, int, int]]]] = []
     for kind, s, e in known[:: max(1, len(known) // 8)]:
-        if rng.integers(2):
-            extra.append((spoiled(kind, text[s:e], rng), 1 + _RANK[kind]))
-        if rng.integers(2):
-            extra.append((spoiled(kind, _other(text[s:e], rng), rng), 0))
+        for token, label in ((text[s:e], 1 + _RANK[kind]), (_other(text[s:e], rng), 0)):
+            if rng.integers(2):
+                made = spoiled(kind, token, rng)
+                extra.append((made, [(0, len(made), label)]))
+        if kind in ("phone", "card") and rng.integers(2):
+            extra.append(swallowed(kind, text[s:e], rng))
     gaps = [m.start() for m in _SPACE.finditer(text) if not any(s < m.start() < e for _, s, e in known)] or [len(text)]
     places = sorted((gaps[int(rng.integers(len(gaps)))], i) for i in range(len(extra)))
     out, marks, at, size = [], [], 0, 0
     for place, i in places:
-        token, label = extra[i]
-        out += [text[at:place], " and " + token + " and"]
+        made, own = extra[i]
+        out += [text[at:place], " and " + made + " and"]
         size += place - at + 5
-        marks.append((size, size + len(token), label))
-        size += len(token) + 4
+        marks += [(size + s, size + e, label) for s, e, label in own]
+        size += len(made) + 4
         at = place
     return "".join([*out, text[at:]]), marks
 
@@ -274,7 +293,7 @@ def fit(texts: list[str]) -> dict:
     """Pseudo-likelihood: each node given the labels of its neighbours, by AdaGrad; each text as it is and spoiled."""
     k = len(KINDS) + 1
     model = {"unary": np.zeros((ROWS, k)), **{name: np.zeros((k, k)) for name in EDGES}}
-    features, truth = [], []
+    features, truth, counts = [], [], []
     found: dict[str, list[tuple[int, int]]] = {name: [] for name in EDGES}
     rng = np.random.default_rng(11)
     for text in texts:
@@ -282,7 +301,11 @@ def fit(texts: list[str]) -> dict:
             at, spans = tokens(some), base_spans(some)
             f, edges = graph(some, at, spans)
             n = len(truth)
-            truth += _truth(at, spans, marks)
+            own = _truth(at, spans, marks)
+            marked = {(s, e) for s, e, _ in marks}
+            # Tokens of numbers that are too long teach nothing, but for those that were put there.
+            counts += [float(label > 0 or span in marked or not far) for span, label, far in zip(at, own, _overlaps(at, overlong(some)), strict=True)]
+            truth += own
             features += f
             for name in EDGES:
                 found[name] += [(a + n, b + n) for a, b in edges[name]]
@@ -290,7 +313,7 @@ def fit(texts: list[str]) -> dict:
         return model
     rows, y = np.array(features), np.array(truth)
     links = {name: np.array(e, dtype=np.int64).reshape(-1, 2) for name, e in found.items()}
-    want = np.eye(k)[y]
+    want, share = np.eye(k)[y], (np.array(counts) / len(y))[:, None]
     square = {name: np.full_like(v, 1e-6) for name, v in model.items()}
     for _ in range(EPOCHS):
         score = model["unary"][rows].sum(1)
@@ -298,7 +321,7 @@ def fit(texts: list[str]) -> dict:
             np.add.at(score, e[:, 1], model[name][y[e[:, 0]]])
             np.add.at(score, e[:, 0], model[name].T[y[e[:, 1]]])
         p = np.exp(score - score.max(1, keepdims=True))
-        miss = (p / p.sum(1, keepdims=True) - want) / len(y)
+        miss = (p / p.sum(1, keepdims=True) - want) * share
         pulls = np.repeat(miss, rows.shape[1], axis=0)
         grads = {"unary": np.stack([np.bincount(rows.ravel(), weights=pulls[:, j], minlength=ROWS) for j in range(k)], axis=1)}
         for name, e in links.items():
@@ -314,11 +337,10 @@ def fit(texts: list[str]) -> dict:
 
 
 def added_spans(model: dict, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
-    """Tokens that the field is sure to be personal data and no base match touches."""
+    """Tokens that the field is sure to be personal data and no base match touches; neighbours of one kind are one span."""
     where, features, edges, kinds, taken, text_of = [], [], [], [], [], []
     for k, text in enumerate(texts):
-        # Without a base match nothing is observed, and looks alone make no token personal data.
-        at = tokens(text) if bases[k] else []
+        at = tokens(text)
         if at:
             f, links = graph(text, at, bases[k])
             n = len(features)
@@ -339,12 +361,18 @@ def added_spans(model: dict, texts: list[str], bases: list[list[tuple[str, int,
     best = belief.argmax(1)
     sure = (belief.max(1) >= SURE) & (best > 0) & (seen == 0)
     for k, n, at in where:
-        for i in np.flatnonzero(sure[n : n + len(at)]):
-            s, e = at[i]
-            token = texts[k][s:e]
+        text, runs = texts[k], []
+        for i in np.flatnonzero(sure[n : n + len(at)]).tolist():
+            kind, (s, e) = KINDS[best[n + i] - 1], at[i]
+            if runs and runs[-1][0] == kind and kind in ("phone", "card") and runs[-1][3] == i - 1 and not text[runs[-1][2] : s].strip(" "):
+                runs[-1][2:] = [e, i]
+            else:
+                runs.append([kind, s, e, i])
+        for kind, s, e, _ in runs:
+            token = text[s:e]
             s, e = s + len(token) - len(token.lstrip("([{<\"',;:")), e - len(token) + len(token.rstrip(")]}>\"',;:.!?"))
             if s < e:
-                out[k].append((KINDS[best[n + i] - 1], s, e))
+                out[k].append((kind, s, e))
     return out
 
 
