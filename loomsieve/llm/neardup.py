@@ -5,7 +5,8 @@ documents. A sample of improved consistent weighted sampling agrees between two
 weighted Jaccard similarity. Bands of samples give candidates, whose similarity is computed from the weights.
 
 Document frequencies: documents are dealt to bounded batches; a batch sends each of its shingle hashes once, with a count
-and packed by hash range; a range answers every batch with the shingles that occur in two documents or more. A document
+and packed by hash range; a range answers every batch with the shingles that occur in two documents or more. A packet holds
+a shingle at least, so there are never more of them than shingles, as in a plain aggregate, however many ranges there are. A document
 whose shared shingles weigh less than the threshold's part of it can't have a partner, which is exact, and goes no further.
 
 Candidates of a band meet one member of their group, not each other: in every other band the most central one (whose
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from loomsieve.llm.common import SPACE_BYTE, Scratch, blocks, components, documents, joined, materialise, mix, partitions, release, spans_of, text_key, trim, word_hashes, worker_serves
 
 SHINGLE_WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
-#: UTF-8 bytes of a batch's texts and of a hash range's share, about.
-BATCH_BYTES = 6 << 20
+#: UTF-8 bytes of a batch's texts, about, and of the texts whose shingles a hash range holds.
+BATCH_BYTES, RANGE_BYTES = 6 << 20, 12 << 20
 
 #: Documents of a block that ask, and that are asked.
 ASKING, ASKED = 128, 512
@@ -346,12 +347,12 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     total, volume = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    batches = max(partitions(spark), -(-volume // BATCH_BYTES))
+    batches, ranges = (max(partitions(spark), -(-volume // size)) for size in (BATCH_BYTES, RANGE_BYTES))
     rows = docs.select(text_key(text).alias("key"), text.alias("text"), F.pmod(F.xxhash64(text, F.col(id_col)), F.lit(batches)).alias("batch"))
     rows = rows.repartition(max(partitions(spark), 1), "batch")  # once: the answers meet the batches where they are
-    sent = rows.mapInArrow(_send(batches), "batch long, span long, low binary, high binary, n binary")
+    sent = rows.mapInArrow(_send(ranges), "batch long, span long, low binary, high binary, n binary")
     answers = sent.groupBy("span").applyInArrow(_answer, "batch long, codes binary, df binary")
-    signed = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_sign(batches, total, threshold), "key binary, bands array<long>, total double, codes binary, counts binary, idfs binary, centre double")
+    signed = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_sign(ranges, total, threshold), "key binary, bands array<long>, total double, codes binary, counts binary, idfs binary, centre double")
     scratch = Scratch()
     signed = scratch(signed)
     del rows, sent, answers  # else their shuffle files stay
