@@ -11,7 +11,8 @@ The base matches are certain, so the field is fitted on what they leave out: tra
 own matches (a local number, a mistyped or regrouped card, a cut address), labelled as the match is, and spoiled matches
 of other texts, which repeat nothing and are labelled as none. So it learns that such a token is personal data where the
 document says so elsewhere, and not by its looks. They also get whole phone numbers and cards with another number behind
-them, which the greedy patterns read as one that is too long and drop; those are labelled as what they are.
+them, which the greedy patterns read as one that is too long and drop; those are labelled as what they are. Secrets have no base
+pattern: long words that training texts assign to a name as token or password are labelled so, and their repeats elsewhere.
 
 Defined results: null and empty texts have no spans; equal texts get equal spans; offsets are code points, ends are
 exclusive; an empty table gives an empty table; without training texts only base matches are found. Results are column
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from loomsieve.llm.common import Once, bounded_sample, documents
 
+#: Kinds that have base patterns, and those that the field tells apart.
 KINDS = ("email", "ip", "card", "phone")
-_RANK = {k: i for i, k in enumerate(KINDS)}
+LABELS = (*KINDS, "secret")
+_RANK = {k: i for i, k in enumerate(LABELS)}
 #: Hashed feature rows; most texts the field is fitted on; a token is added from this posterior on.
 ROWS, MAX_TEXTS, SURE = 1 << 13, 3000, 0.9
 EPOCHS, RATE, DAMPING = 300, 0.5, 0.3
@@ -51,6 +54,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ENTITY = re.compile("[0-9@]")
+#: What a training text says is a secret: a long word that is assigned to a name of one.
+_SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\s{0,8}[=:]\s{0,8}["']?([A-Za-z0-9+/_-]{16,})""")
+_LONG_WORD = re.compile("[A-Za-z0-9+/_-]{16,}")
+_NO_WORD = re.compile(r"[^\w=:]+")
 _SPACE = re.compile(r"\s")
 _DIGIT = re.compile("[0-9]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -92,6 +99,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], _RANK[s[0]]))
 
 
+def secret_spans(text: str) -> list[tuple[str, int, int]]:
+    """Long words with a digit that are assigned to a name of a secret: what the field learns secrets from."""
+    return [("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(text) if _DIGIT.search(m[1])]
+
+
 def overlong(text: str) -> list[tuple[str, int, int]]:
     """What the phone and card patterns read as one number of too many digits: what it holds isn't known."""
     found = [("card", m.start(), m.end()) for m in _CARD.finditer(text) if sum("0" <= c <= "9" for c in m[0]) > 19]
@@ -140,6 +152,12 @@ def _keys(token: str) -> list[tuple[str, str, str]]:
     return keys
 
 
+def _words_before(text: str, at: int, count: int = 2, reach: int = 40) -> list[str]:
+    """The last words before a place, the nearest first; empty ones where there are fewer."""
+    words = _NO_WORD.sub(" ", text[max(0, at - reach) : at].lower()).split()[-count:][::-1]
+    return words + [""] * (count - len(words))
+
+
 def graph(text: str, at: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> tuple[list[list[int]], dict[str, list[tuple[int, int]]]]:
     """Feature rows of each node, and the edges of each potential. ``spans`` are the base matches, sorted: the first token
     of one also has the whole match's links."""
@@ -160,6 +178,7 @@ def graph(text: str, at: list[tuple[int, int]], spans: list[tuple[str, int, int]
             _row("counts", token.count("@"), min(token.count("."), 4), min(token.count("-"), 4)), _row("all", digits == core),
             _row("check", 12 <= digits <= 19 and luhn("".join(_DIGIT.findall(token)))),
             _row("before", shapes[i - 1] if near else ""), _row("after", shapes[i + 1] if after else ""),
+            *(_row("word", n, w) for n, w in enumerate(_words_before(text, s))), _row("long", min(core // 8, 8), digits == core), _row("assigned", bool(_SECRET.search(token))),
         ])
         if near:
             edges["chain"].append((i - 1, i))
@@ -260,8 +279,8 @@ def swallowed(kind: str, match: str, rng: np.random.Generator) -> tuple[str, lis
 def spoil(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
     """The text with spoiled repeats of its own matches, of made-up ones, and swallowed ones put between its words: (text,
     (start, end, label) of each of their tokens, label 0 for made-up ones)."""
-    known = base_spans(text)
-    if not known:
+    known, secrets = base_spans(text), secret_spans(text)
+    if not known and not secrets:
         return text, []
     extra: list[tuple[str, list[tuple[int, int, int]]]] = []
     for kind, s, e in known[:: max(1, len(known) // 8)]:
@@ -271,6 +290,10 @@ def spoil(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int
                 extra.append((made, [(0, len(made), label)]))
         if kind in ("phone", "card") and rng.integers(2):
             extra.append(swallowed(kind, text[s:e], rng))
+    for _, s, e in secrets[:8]:
+        for made, label in ((text[s:e], 1 + _RANK["secret"]), ("".join(rng.choice(list("0123456789abcdef"), e - s)), 0)):
+            if rng.integers(2):
+                extra.append((made, [(0, len(made), label)]))
     gaps = [m.start() for m in _SPACE.finditer(text) if not any(s < m.start() < e for _, s, e in known)] or [len(text)]
     places = sorted((gaps[int(rng.integers(len(gaps)))], i) for i in range(len(extra)))
     out, marks, at, size = [], [], 0, 0
@@ -284,14 +307,14 @@ def spoil(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int
     return "".join([*out, text[at:]]), marks
 
 
-def _truth(at: list[tuple[int, int]], spans: list[tuple[str, int, int]], marks: list[tuple[int, int, int]]) -> list[int]:
+def _truth(at: list[tuple[int, int]], spans: list[tuple[str, int, int]], secrets: list[tuple[str, int, int]], marks: list[tuple[int, int, int]]) -> list[int]:
     wanted = {(s, e): label for s, e, label in marks}
-    return [wanted.get(span, label) for span, label in zip(at, _overlaps(at, spans), strict=True)]
+    return [wanted.get(span, label or other) for span, label, other in zip(at, _overlaps(at, spans), _overlaps(at, secrets), strict=True)]
 
 
 def fit(texts: list[str]) -> dict:
     """Pseudo-likelihood: each node given the labels of its neighbours, by AdaGrad; each text as it is and spoiled."""
-    k = len(KINDS) + 1
+    k = len(LABELS) + 1
     model = {"unary": np.zeros((ROWS, k)), **{name: np.zeros((k, k)) for name in EDGES}}
     features, truth, counts = [], [], []
     found: dict[str, list[tuple[int, int]]] = {name: [] for name in EDGES}
@@ -301,7 +324,7 @@ def fit(texts: list[str]) -> dict:
             at, spans = tokens(some), base_spans(some)
             f, edges = graph(some, at, spans)
             n = len(truth)
-            own = _truth(at, spans, marks)
+            own = _truth(at, spans, secret_spans(some), marks)
             marked = {(s, e) for s, e, _ in marks}
             # Tokens of numbers that are too long teach nothing, but for those that were put there.
             counts += [float(label > 0 or span in marked or not far) for span, label, far in zip(at, own, _overlaps(at, overlong(some)), strict=True)]
@@ -363,7 +386,10 @@ def added_spans(model: dict, texts: list[str], bases: list[list[tuple[str, int,
     for k, n, at in where:
         text, runs = texts[k], []
         for i in np.flatnonzero(sure[n : n + len(at)]).tolist():
-            kind, (s, e) = KINDS[best[n + i] - 1], at[i]
+            kind, (s, e) = LABELS[best[n + i] - 1], at[i]
+            if kind == "secret":  # without its name and what else stands in the token
+                m = _SECRET.search(text, s, e)
+                s, e = m.span(1) if m else m.span() if (m := _LONG_WORD.search(text, s, e)) else (s, e)
             if runs and runs[-1][0] == kind and kind in ("phone", "card") and runs[-1][3] == i - 1 and not text[runs[-1][2] : s].strip(" "):
                 runs[-1][2:] = [e, i]
             else:
