@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from loomsieve.functions import text
 from loomsieve.operators import link, replay, route
 from loomsieve.sources import bibtex, documents, files
-from loomsieve.streaming import events
+from loomsieve.streaming import events, jobs
 from loomsieve.tables import scratch, table
 
 RECORD = "key string, title string, year int"
@@ -102,6 +102,25 @@ def bibtex_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bibtex.read(spark, path).select("entry_type", "key", F.col("fields")["year"].alias("year"))
 
 
+def bibtex_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries written by the data source's own writer, in several tasks, replaced once, and read again."""
+    path = scratch(spark)
+    bibtex.register(spark)
+    s = table(spark, sf_dir, "supplier").select(F.lit("article").alias("entry_type"), F.concat(F.lit("k"), F.col("s_suppkey").cast("string")).alias("key"), F.create_map(F.lit("title"), F.concat(F.lit("On "), "s_name"), F.lit("publisher"), F.col("s_nationkey").cast("string"), F.lit("note"), F.when(F.col("s_suppkey") % 2 == 0, " ").otherwise("n")).alias("fields"))
+    s.filter("key = 'k1'").write.format("bibtex").mode("append").save(path)
+    s.repartition(3).write.format("bibtex").mode("overwrite").save(path)
+    out = spark.read.format("bibtex").load(path)
+    return out.select("entry_type", "key", F.col("fields")["title"].alias("title"), F.col("fields")["organization"].alias("organization"), F.col("fields")["note"].alias("note"))
+
+
+def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as the polls of a job that has ten days."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "view", " In_Progress").when(F.col("event_type") == "click", "validating").when(F.col("event_type") == "signup", "finalizing").when(F.col("event_id") % 3 == 0, "completed").when(F.col("event_id") % 3 == 1, "cancelling").otherwise("cancelled")
+    out = jobs.outcomes(e.select(F.col("user_id").alias("job"), "ts", status.alias("status")), "240 hours")
+    return out.withColumn("ended_at", F.col("ended_at").cast("timestamp_ntz"))
+
+
 def cached_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookups by DOI, each asked once however many rows have it, with answers kept in a table."""
     path = scratch(spark)
@@ -171,8 +190,9 @@ def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.matrix(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", ["operational", "faithful"], 3)
 
 
-QUERIES = {f.__name__: f for f in (binary_listing, markdown_report, bulk_substitution, validator_hook, run_matrix, json_lines_round_trip, json_lines_lenient, numbered_lines, json_documents, folders_as_papers, csv_report_round_trip, key_list_scan, policy_documents, bibtex_files, cached_lookups, versioned_upserts, text_quality)}
+QUERIES = {f.__name__: f for f in (binary_listing, markdown_report, bulk_substitution, validator_hook, run_matrix, json_lines_round_trip, json_lines_lenient, numbered_lines, json_documents, folders_as_papers, csv_report_round_trip, key_list_scan, policy_documents, bibtex_files, bibtex_sink, job_outcomes, cached_lookups, versioned_upserts, text_quality)}
 
+_LEGAL = "(" + " or ".join(f"(f.status = '{a}' and c.s in ({', '.join(repr(x) for x in b)}))" for a, b in jobs.NEXT.items() if a) + ")"
 _REC = """select s_suppkey::varchar as key, s_name || ' "q" ä, ' as title, case when s_suppkey % 3 > 0 then (2000 + s_suppkey % 20)::int end as year from supplier"""
 ORACLE = {
     "binary_listing": "select n_nationkey, 6::bigint as length from nation where n_nationkey % 3 <> 0",
@@ -190,6 +210,15 @@ select n_nationkey, '| ' || n_nationkey || ' | ' || n_name || '\\|x | ' || coale
     "key_list_scan": "select o_orderstatus, count(*) as n from orders where o_custkey in (select c_custkey % 400 from customer where c_custkey % 7 > 1) group by 1",
     "policy_documents": """select n_nationkey::varchar as paper_id, n_nationkey % 2 = 0 as enabled, case when n_nationkey % 3 > 0 then make_date(2000 + n_nationkey, 2, 1) end as first_day, date '2023-02-01' as last_day, true as end_inclusive, 'UTC' as timezone from nation""",
     "bibtex_files": "select 'article' as entry_type, 'k' || s_suppkey as key, (1990 + s_suppkey % 30)::varchar as year from supplier",
+    "bibtex_sink": "select 'article' as entry_type, 'k' || s_suppkey as key, 'On ' || s_name as title, s_nationkey::varchar as organization, case when s_suppkey % 2 = 1 then 'n' end as note from supplier",
+    "job_outcomes": f"""with recursive p as (select user_id::varchar as job, ts, case event_type when 'view' then 'in_progress' when 'click' then 'validating' when 'signup' then 'finalizing' else (case event_id % 3 when 0 then 'completed' when 1 then 'cancelling' else 'cancelled' end) end as s,
+ min(ts) over (partition by user_id) + interval 240 hour as dl from events where user_id is not null), c as (select *, row_number() over (partition by job order by ts, s) as rn from p where ts <= dl),
+f as (select job, dl, rn, s as status, ts as moment, 0 as bad from c where rn = 1 union all
+ select f.job, f.dl, c.rn, case when {_LEGAL} then c.s else f.status end, case when {_LEGAL} then c.ts else f.moment end, f.bad + (case when c.s = f.status or {_LEGAL} then 0 else 1 end)
+ from f join c on c.job = f.job and c.rn = f.rn + 1 where f.status not in ('completed', 'failed', 'expired', 'cancelled')),
+l as (select *, row_number() over (partition by job order by rn desc) as last from f)
+select job, case when status in ('completed', 'failed', 'expired', 'cancelled') then status else 'expired' end as status, case when status in ('completed', 'failed', 'expired', 'cancelled') then moment else dl end as ended_at, rn::int as n_polls, bad::int as n_illegal
+ from l where last = 1 and (status in ('completed', 'failed', 'expired', 'cancelled') or dl < (select max(ts) from events))""",
     "cached_lookups": """with l as (select '10.1/' || (l_suppkey % 40) as doi from lineitem) select case when length(doi) % 2 = 0 then 'answer ' || doi else '-' end as found, case when length(doi) % 2 = 0 then 'memo' else 'none' end as found_source, count(*) as n from l group by 1, 2""",
     "versioned_upserts": "select o_custkey, max(o_orderkey) as o_orderkey, arg_max(o_orderstatus, o_orderkey) as o_orderstatus from orders group by 1",
     "text_quality": """with t as (select p_partkey, p_name, p_size % 5 as k, p_partkey % 2 = 0 as odd from part)

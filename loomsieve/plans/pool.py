@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsieve.functions import alignment, records
-from loomsieve.operators import candidates, incremental
+from loomsieve.operators import candidates, incremental, layout
 from loomsieve.tables import table
 
 
@@ -224,6 +224,27 @@ def request_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.spaced(e, "event_type", "event_id", {"view": 1.0, "click": 0.5, "signup": 3.0})
 
 
+def layout_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of pages by the sizes of their lines, which are made from the pages' markup."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(F.regexp_replace("html", "<[^>]+>", "\n"), "\n")).alias("line", "text"))
+    n = F.length("text")
+    half = (n / 2).cast("int")
+    parts = F.array(
+        F.struct(F.lit(1).alias("span"), F.substring(F.col("text"), F.lit(1), half).alias("text"), (8 + n % 5).cast("double").alias("size")),
+        F.struct(F.lit(2).alias("span"), F.substring(F.col("text"), half + 1, n).alias("text"), (8 + (n + 2) % 7).cast("double").alias("size")))
+    spans = p.select("page_id", F.lit(1).alias("page"), "line", (F.col("line") * 10.0).alias("y"), F.inline(parts))
+    return layout.titles(spans, "page_id")
+
+
+def front_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts on front pages that are made from the pages' texts, with and without a heading and an end."""
+    k, t = F.col("page_id"), F.regexp_replace("html", "<[^>]+>", " ")
+    first = F.concat(F.lit("Front "), k.cast("string"), F.when(k % 4 == 0, " no heading ").otherwise("\n ABSTRACT - :\n"), F.substring(t, 1, 400))
+    pages = F.array(first, F.when(k % 3 != 0, F.concat(F.lit("more\n"), F.when(k % 2 == 0, "  1. Introduction\n").otherwise("Key words\n"), F.substring(t, 401, 2500))), F.concat(F.lit("\nIndex Terms: a"), F.substring(t, 1, 50)), F.lit("\nmethods"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(pages).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    return layout.abstracts(rows, "page_id").select("page_id", "abstract", F.length("front").alias("n_front"))
+
+
 INTERVALS = {"view": 900.0, "click": 1500.5, "signup": 300.0}
 
 
@@ -235,7 +256,7 @@ def request_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "event_type", (F.unix_micros("start_at") - F.unix_micros("ts")).alias("wait_us"))
 
 
-QUERIES = {f.__name__: f for f in (page_title_verdicts, entry_titles, request_schedule, request_starts, record_matches, alias_override, doi_attempts, candidate_verification, verification_rules, record_identifiers, source_cascade, first_accepted_try, pool_fan_out, routing_flags, pool_log_summary, pool_failure_reasons, metadata_alignment, alignment_pass_rates, metadata_containment, export_alignment)}
+QUERIES = {f.__name__: f for f in (page_title_verdicts, entry_titles, layout_titles, front_abstracts, request_schedule, request_starts, record_matches, alias_override, doi_attempts, candidate_verification, verification_rules, record_identifiers, source_cascade, first_accepted_try, pool_fan_out, routing_flags, pool_log_summary, pool_failure_reasons, metadata_alignment, alignment_pass_rates, metadata_containment, export_alignment)}
 
 _POOL = """pool as (select p_partkey as k, p_name as norm, string_split(p_name, ' ') as words, 1990 + p_size % 30 as y, p_brand as brand,
  case when p_partkey % 3 = 0 then '10.1000/p' || p_partkey end as doi, case when p_partkey % 3 = 1 then '1906.' || lpad((p_partkey % 100000)::varchar, 5, '0') end as arxiv,
@@ -258,6 +279,16 @@ select p_partkey, case when c = 4 then 'mismatch' when a and c > 1 then 'uncerta
     "entry_titles": """select s_suppkey, case when s_suppkey % 3 = 0 then 'Query' when s_suppkey % 2 = 0 then s_name else '' end as title,
  concat_ws(',', case when s_suppkey % 2 = 0 then 'journal' end, case when s_suppkey % 3 = 0 then 'note' end, case when s_suppkey % 4 = 0 then 'howpublished' end, case when s_suppkey % 5 = 0 then 'url' end, case when s_suppkey % 6 = 0 then 'doi' end) as strings from supplier""",
     "request_schedule": """select event_id, event_type, ((row_number() over (partition by event_type order by event_id) - 1) * case event_type when 'view' then 1.0 when 'click' then 0.5 when 'signup' then 3.0 else 0.0 end)::double as start_at from events""",
+    "layout_titles": """with l as (select page_id, unnest(string_split(regexp_replace(html, '<[^>]+>', chr(10), 'g'), chr(10))) as x, generate_subscripts(string_split(regexp_replace(html, '<[^>]+>', chr(10), 'g'), chr(10)), 1) as i from pages),
+t as (select page_id, i, regexp_replace(x, '^\\s+|\\s+$', '', 'g') as t, greatest(8 + length(x) % 5, 8 + (length(x) + 2) % 7) as sz from l),
+r as (select *, lower(regexp_replace(t, '\\s+', ' ', 'g')) in ('abstract', 'keywords', 'index terms') as h from t where length(t) >= 8)
+select page_id, coalesce(arg_max(t, (sz, -i)) filter (not h), arg_min(t, i)) as title from r group by 1""",
+    "front_abstracts": """with p as (select page_id as k, regexp_replace(html, '<[^>]+>', ' ', 'g') as t from pages),
+f as (select k, regexp_replace(concat_ws(chr(10), 'Front ' || k || (case when k % 4 = 0 then ' no heading ' else chr(10) || ' ABSTRACT - :' || chr(10) end) || substr(t, 1, 400), coalesce(case when k % 3 <> 0 then 'more' || chr(10) || (case when k % 2 = 0 then '  1. Introduction' || chr(10) else 'Key words' || chr(10) end) || substr(t, 401, 2500) end, ''),
+ chr(10) || 'Index Terms: a' || substr(t, 1, 50)), '^\\s+|\\s+$', '', 'g') as f from p),
+a as (select k, f, case when k % 4 > 0 then regexp_replace(regexp_extract(f, '(?is)\\babstract\\b[\\s:.\\-]*(.*)$', 1), '^\\s+|\\s+$', '', 'g') end as a from f),
+c as (select *, string_split_regex(a, '(?im)^\\s*(?:keywords?|index terms?|1\\.?\\s+introduction|i\\.?\\s+introduction|introduction|background|materials?\\s+and\\s+methods?|methods)\\b') as s from a)
+select k as page_id, regexp_replace(case when a is null then substr(f, 1, 2200) when len(s) > 1 then s[1] else substr(a, 1, 3000) end, '^\\s+|\\s+$', '', 'g') as abstract, length(f)::int as n_front from c""",
     "request_starts": """with k as (select event_id, event_type, epoch_us(ts) as t, row_number() over (partition by event_type order by ts, event_id) as k, case event_type when 'view' then 900000000 when 'click' then 1500500000 when 'signup' then 300000000 else 0 end as d from events)
 select event_id, event_type, case when d > 0 then max(t - k * d) over (partition by event_type order by k) + k * d - t else 0 end as wait_us from k""",
     "record_matches": """with i as (select p_partkey as k, 'r' || p_partkey as key, 'doi' as kind, '10.1000/p' || p_partkey as value from part where p_partkey % 2 = 0 union all select p_partkey, 'r' || p_partkey, 'doi', '10.1000/p' || p_partkey from part where p_partkey % 4 = 0
