@@ -210,4 +210,21 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(materialise(word_counts(docs, spoiled=SPOILED)))
 
 
+#: The same in SQL: CRC-32 by its table, near words by the words and gaps that a left-out character leaves.
+_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+pairs AS (SELECT id, w, count(*) AS k, hex(encode(id || ':' || w)) AS x FROM runs WHERE length(w) >= 5 GROUP BY id, w),
+hashed AS (SELECT w, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: 16 * strpos('123456789ABCDEF', substr(x, 2 * i + 1, 1)) + strpos('123456789ABCDEF', substr(x, 2 * i + 2, 1)))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h FROM pairs, crc),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, k FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cuts AS (SELECT word, n, p, substr(word, 1, p - 1) AS a, substr(word, p + 1) AS b FROM words, range(1, length(word) + 1) r(p)),
+near AS (SELECT x.word, y.word AS other, y.n FROM cuts x JOIN cuts y ON x.p = y.p AND x.a = y.a AND x.b = y.b AND length(x.word) = length(y.word) AND x.word <> y.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.a || c.b UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.a || c.b),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+forms AS (SELECT w.word, CASE WHEN other_n >= 2 * n THEN other END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+ways AS (SELECT word, word AS root FROM forms UNION ALL SELECT ways.word, f.form FROM ways JOIN forms f ON f.word = ways.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN (SELECT ways.word, ways.root FROM ways JOIN forms e ON e.word = ways.root WHERE e.form IS NULL) r ON r.word = f.word
+"""
+
 QUERIES = {"op11_variants": op11_variants}
+ORACLE = {"op11_variants": _SQL}
