@@ -248,7 +248,8 @@ def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
 
 def labelled(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> list[tuple[str, int, str | None]]:
     """The bounded sample that the classifier learns from: (text, label, language) of rows outside the held-out fold. An id
-    that is labelled both ways counts as toxic."""
+    that is labelled both ways counts as toxic. Ids are drawn before they meet texts, so that texts aren't shuffled; labels
+    without a document take their share of the draw."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, max_toxic), (0, max_clean))]

@@ -3,7 +3,8 @@
 An archive begins with a skippable frame that holds the dictionary, built from records of that archive; every record after
 it is a frame of its own, so that one can be read without the others. Records with equal payloads are written once, as a
 response; the others revisit it by record id and carry no payload. Tasks write archives of bounded size side by side, each
-under a name that its partition gives, through a temporary name: a task that is run again replaces its own files.
+under a name that its partition gives, through a temporary name and in a fixed order: a task that is run again, or twice at a
+time, replaces its files by the same ones.
 
 Reading takes whole archives as Spark's binary files, finds each frame's end while it decompresses it, checks every digest
 and gives the records with their places; revisits are joined with what they refer to.
@@ -105,14 +106,18 @@ def _filesystem(path: str):
 
 
 def _put(folder: str, name: str, data: list[bytes]) -> None:
-    """A whole file or none: written beside its place and then renamed."""
+    """A whole file or none: written beside its place and then renamed. Another attempt at a task has written the same bytes."""
     files, at = _filesystem(folder)
     files.create_dir(at, recursive=True)
     beside = f"{at}/.{name}.{uuid.uuid4().hex}"
     with files.open_output_stream(beside) as out:
         for part in data:
             out.write(part)
-    files.move(beside, f"{at}/{name}")
+    try:
+        files.move(beside, f"{at}/{name}")
+    except OSError:  # where a rename doesn't replace a file
+        files.delete_file(f"{at}/{name}")
+        files.move(beside, f"{at}/{name}")
 
 
 class _Archive:
@@ -171,7 +176,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     volume = rows.agg(F.coalesce(F.sum(F.col("size") + 512), F.lit(0))).first()[0]
     revisits = (F.col("size") >= min_bytes) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     named = rows.join(firsts, "payload", "left").select("page_id", "url", F.col("body"), F.when(revisits, F.col("last")).alias("first_id"))
-    dealt = named.repartition(max(1, -(-volume // archive_bytes)), F.xxhash64("page_id", "url"))
+    # Sorted, so that every attempt at a task writes the same bytes and names the same places.
+    dealt = named.repartition(max(1, -(-volume // archive_bytes)), F.xxhash64("page_id", "url")).sortWithinPartitions("page_id", "url", F.xxhash64("body"))
     written = materialise(dealt.mapInArrow(_write(folder, prefix, date, archive_bytes), "archive string, at long, length long, page_id long, record_id string"))
     scratch.drop()
     return written
