@@ -10,6 +10,10 @@ at least that many bytes; where their weights add up to two or more, the string
 kinds of very many bytes, are dealt to several bundles, and what those leave unmatched is compared by window hash across bundles, so no group has
 to fit one task and no match is lost.
 
+Shorter strings (of ``PASSAGE`` bytes) are found beside the long ones by the same transform: they have anchors too, each
+anchor of a long string is one of theirs, and the segment of a long string holds that of the short ones. So each anchor has
+one segment, the wider, with the range in which short strings start; the expansion passes their length on its way.
+
 Defined results: null texts count as empty; texts shorter than the length lose nothing; repeated rows count as copies of
 each other; an empty table gives an empty table; other columns stay as they are, whatever their names. Long texts are
 cut into overlapping blocks for the anchors, which changes nothing.
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from loomsieve.llm.common import WORKER_CACHES, Scratch, documents, materialise, mix, trim, worker_serves
 
 LENGTH = 400
-#: Bytes of shorter repeated strings that are counted where the same expansion meets them: a passage of some fifty words.
+#: Bytes of shorter repeated strings, which are counted and not removed: a passage of some fifty words.
 PASSAGE = 200
 #: Bytes of the strings whose hashes pick the anchors.
 GRAM = 64
@@ -66,9 +70,20 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments_of(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """Segments of byte strings of at least ``length`` bytes each: owner, anchor hash, identity (content, check), start, end in the owner."""
-    gram = min(GRAM, length)
+#: A segment's shape in one number: where its short strings start, and how many short and long ones it has.
+_FIELD = 21
+
+
+def _shape(shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low = (1 << _FIELD) - 1
+    return shape >> (2 * _FIELD), (shape >> _FIELD) & low, shape & low
+
+
+def segments_of(parts: list[bytes], length: int, short: int = 0, most: int = BLOCK) -> dict[str, np.ndarray]:
+    """Segments of byte strings: owner, anchor hash, identity (content, check), start, end in the owner, shape. Only strings
+    that start in the owner's first ``most`` bytes count. With ``short``, strings of so many bytes count too."""
+    short = short or length
+    gram = min(GRAM, short)
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -78,25 +93,59 @@ def segments_of(parts: list[bytes], length: int) -> dict[str, np.ndarray]:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     hashes = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     keys = (hashes & ~np.uint64(0xFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
-    least = (_sliding_min(keys, length - gram + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
-    counts = sizes - length + 1
-    owner = np.repeat(np.arange(len(parts)), counts)
-    starts = np.arange(counts.sum()) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
-    at = least[starts]
-    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))
-    last = np.concatenate([first[1:], [len(at)]]) - 1
-    s, e, own = starts[first], starts[last] + length, owner[first]
+
+    def runs(width: int, least: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Strings of ``width`` bytes that share an anchor: owner, anchor, where the first and the last of them start."""
+        counts = np.clip(sizes - width + 1, 0, most)
+        if not counts.any():
+            return (np.zeros(0, np.int64),) * 4
+        opens = np.empty(len(least), bool)
+        opens[0] = True
+        np.not_equal(least[1:], least[:-1], out=opens[1:])
+        opens[begins[begins < len(least)]] = True
+        first = np.flatnonzero(opens)
+        owner = np.searchsorted(begins, first, side="right") - 1
+        ends = (begins + counts)[owner]
+        last = np.minimum(np.append(first[1:], len(least)), ends) - 1
+        inside = first < ends
+        return owner[inside], (least[first[inside]] & np.uint64(0xFFFFFF)).astype(np.int64), first[inside], last[inside]
+
+    window = short - gram + 1
+    least = _sliding_min(keys, window)
+    own, at, s, last = runs(short, least)
+    e, long = last + short, last - s + 1
+    shape = (long << _FIELD) | long
+    if short < length:
+        rest = length - short  # a long string's window is made of short ones'
+        wide = least[:-rest].copy()
+        for shift in (*range(window, rest, window), rest):
+            np.minimum(wide, least[shift : shift + len(wide)], out=wide)
+        own_long, at_long, s_long, last_long = runs(length, wide)
+        both = np.union1d(at, at_long)  # at a block's end, an anchor's short strings may all start in the next one
+        i, j = np.searchsorted(both, at), np.searchsorted(both, at_long)
+        first, some = np.zeros((2, len(both)), np.int64)
+        first[i], some[i] = s, long
+        first[j[~np.isin(j, i)]] = s_long[~np.isin(j, i)]
+        values = [(own, own_long), (s, s_long), (e, last_long + length), (0, last_long - s_long + 1)]
+        own, s, e, long = np.zeros((4, len(both)), np.int64)
+        for out, (narrow, wide) in zip((own, s, e, long), values):
+            out[i] = narrow
+            out[j] = wide
+        at, shape = both, ((first - s) << (2 * _FIELD)) | (some << _FIELD) | long
     view = memoryview(data)
     digests = b"".join([xxhash.xxh3_128_digest(view[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)])
     content = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
-    return {"owner": own, "anchor": hashes[at[first]].view(np.int64), "content": content[:, 0], "check": content[:, 1], "start": s - begins[own], "end": e - begins[own]}
+    # A block's end can cut equal bytes into different ranges.
+    check = content[:, 1] ^ mix(shape.view(np.uint64)).view(np.int64)
+    return {"owner": own, "anchor": hashes[at].view(np.int64), "content": content[:, 0], "check": check, "start": s - begins[own], "end": e - begins[own], "shape": shape}
 
 
-def _find_segments(length: int):
-    schema = pa.schema([("rid", pa.binary()), ("anchor", pa.int64()), ("content", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("spans", pa.list_(pa.int32()))])
+def _find_segments(length: int, short: int = 0):
+    least = short or length
+    schema = pa.schema([("rid", pa.binary()), ("anchor", pa.int64()), ("content", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("shape", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
     def emit(rids: list[bytes], shifts: list[int], parts: list[bytes]) -> pa.RecordBatch:
-        found = segments_of(parts, length)
+        found = segments_of(parts, length, short, BLOCK)
         order = np.lexsort((found["start"], found["check"], found["content"], found["anchor"], found["owner"]))
         f = {k: v[order] for k, v in found.items()}
         start, end = f["start"] + np.array(shifts)[f["owner"]], f["end"] + np.array(shifts)[f["owner"]]
@@ -115,7 +164,7 @@ def _find_segments(length: int):
         own = f["owner"][groups]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([rids[i] for i in own.tolist()], pa.binary()), *(pa.array(f[k][groups]) for k in KIND), pa.array(counts), pa.array(start[groups].astype(np.int32)), pa.array((end - start)[groups].astype(np.int32)), lists,
+                pa.array(rids, pa.binary()).take(pa.array(own)), *(pa.array(f[k][groups]) for k in KIND), pa.array(counts), pa.array(start[groups].astype(np.int32)), pa.array((end - start)[groups].astype(np.int32)), pa.array(f["shape"][groups]), lists,
             ],
             schema=schema,
         )
@@ -125,7 +174,7 @@ def _find_segments(length: int):
         for batch in batches:
             rids, shifts, parts, size = [], [], [], 0
             for rid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for at in range(0, len(data) - length + 1, BLOCK):
+                for at in range(0, len(data) - least + 1, BLOCK):
                     part = data[at : at + BLOCK + length - 1]
                     if size and size + len(part) > BLOCK:
                         yield emit(rids, shifts, parts)
@@ -228,7 +277,7 @@ def shared_rows(transform: np.ndarray, stops: int, length: int, also: int = 0) -
             symbol = transform[at]
             # Interval, symbol and row in one number: sorted values are the intervals that each symbol leads to.
             key = (np.repeat(np.arange(len(l), dtype=np.int64) * 257, s) + symbol << 32) + at
-            key = np.sort(key[symbol != 0], kind="stable")
+            key = np.sort(key[symbol != 0])
             if len(key):
                 of, at = key >> 32, key & low
                 edge = np.flatnonzero(of[1:] != of[:-1])
@@ -247,8 +296,8 @@ def repeated_starts(segments: list[bytes], weights: list[list[tuple[int, int, in
     often as its weight says."""
     flat = np.array([(k, *r) for k, own in enumerate(weights) for r in own], dtype=np.int64).reshape(-1, 4)
     begins = _begins(segments)
-    repeated, head, _ = _repeated(segments, begins[flat[:, 0]] + flat[:, 1], np.maximum(flat[:, 2] - flat[:, 1], 0), flat[:, 3], length)
-    return repeated, head, begins
+    found = _repeated(segments, [(begins[flat[:, 0]] + flat[:, 1], np.maximum(flat[:, 2] - flat[:, 1], 0))], flat[:, 3], [length])
+    return *found[0], begins
 
 
 def _begins(segments: list[bytes]) -> np.ndarray:
@@ -256,28 +305,30 @@ def _begins(segments: list[bytes]) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def _repeated(segments: list[bytes], starts: np.ndarray, n: np.ndarray, weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As above, with the ranges as numbers: where each starts over all segments, how many positions it has, its weight; last,
-    which positions start a string of PASSAGE bytes that another position starts too."""
+def _repeated(segments: list[bytes], ranges: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, lengths: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As above, for strings of each of one or two lengths, the longer first: with its ranges as numbers (where each starts
+    over all segments, how many positions it has), and their weights."""
     data = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8)
     symbols = data.astype(np.uint16) + np.uint16(1)
     symbols[np.append(_begins(segments)[1:], len(data)) - 1] = 0
-    order = sorted_suffixes(symbols, length)
-    shared, passage = shared_rows(symbols[order - 1], len(segments), length, PASSAGE)
-    # How often a suffix's string occurs; one too short for a string is no occurrence of any.
-    counts = np.zeros(len(symbols), dtype=np.int64)
-    counts[_ranges(starts, n)] = np.repeat(weight, n)
-    counts, out = counts[order], []
-    for same in (shared, passage):
+    order = sorted_suffixes(symbols, lengths[0])
+    out = []
+    for same, (starts, n) in zip(shared_rows(symbols[order - 1], len(segments), *lengths), ranges):
+        # How often a suffix's string occurs; one that starts outside the ranges is no occurrence of any.
+        counts = np.zeros(len(symbols), dtype=np.int64)
+        counts[_ranges(starts, n)] = np.repeat(weight, n)
+        counts = counts[order]
+        # The first of a kind is one that counts, so that its range holds it.
         heads = np.flatnonzero(~same)
         several = np.add.reduceat(counts, heads) > 1
-        repeated = np.zeros(len(symbols), bool)
-        repeated[order] = np.repeat(several, np.diff(heads, append=len(symbols)))
-        out.append(repeated)
-        if same is shared:
-            head = np.zeros(len(symbols), bool)
-            head[order[heads[several]]] = True
-    return out[0], head, out[1]
+        repeated, head = np.zeros(len(symbols), bool), np.zeros(len(symbols), bool)
+        flags = np.repeat(several, np.diff(heads, append=len(symbols)))
+        repeated[order] = flags
+        counted = np.flatnonzero(flags & (counts > 0))
+        kind = np.cumsum(~same, dtype=np.int32)[counted]
+        head[order[counted[np.diff(kind, prepend=0) > 0]]] = True
+        out.append((repeated, head))
+    return out
 
 
 def _run_lists(flags: np.ndarray, owner: np.ndarray, at: np.ndarray, starts: np.ndarray, length: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -294,60 +345,84 @@ def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _expand_bundle(length: int):
+def _expand_bundle(length: int, short: int = 0):
+    fields = (*KIND, "weight", "parts", "off", "size", *(["shape"] if short else []))
+
     def run(table: pa.Table) -> pa.Table:
         worker_serves("suffixes")
-        # The same row may come from repeated rows; its bytes are the same.
-        places = zip(table.column("rid").to_pylist(), table.column("start").to_pylist(), strict=True)
+        # The same row may come from repeated rows; its bytes are the same. Segments of several anchors may start at one place.
+        lists = table.column("members").combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        anchors = lists.flatten().field("anchor").to_numpy(zero_copy_only=False)
+        anchors = anchors[np.cumsum(sizes := lists.value_lengths().to_numpy(zero_copy_only=False)) - sizes].tolist()
+        places = zip(table.column("rid").to_pylist(), table.column("start").to_pylist(), anchors, strict=True)
         rows = pa.array(list({place: k for k, place in enumerate(places)}.values()), pa.int64())
         pieces = table.column("bytes").take(rows).to_pylist()
-        lists = table.column("members").take(rows).combine_chunks()
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        lists = lists.take(rows)
         members = lists.flatten()
-        named = {k: members.field(k).to_numpy(zero_copy_only=False) for k in (*KIND, "weight", "parts", "off", "size")}
+        named = {k: members.field(k).to_numpy(zero_copy_only=False) for k in fields}
         piece = np.repeat(np.arange(len(pieces)), lists.value_lengths().to_numpy(zero_copy_only=False))
         starts, n = _begins(pieces)[piece] + named["off"], named["size"].astype(np.int64) - length + 1
-        repeated, head, passage = _repeated(pieces, starts, n, named["weight"], length)
-        # The members' positions one after another; a run of repeated ones ends with its member.
-        at, owner = _ranges(starts, n), np.repeat(np.arange(len(n)), n)
-        flags, more = repeated[at], passage[at]
-        spans, a, b, of = _run_lists(flags, owner, at, starts, length)
-        also, *_ = _run_lists(more & ~flags, owner, at, starts, min(PASSAGE, length))
-        whole = np.zeros(len(n), bool)
-        whole[of[(a == 0) & (b == named["size"][of])]] = True
-        # Of crowded kinds one of each string, and all that found no partner here, for the comparison across bundles.
-        loose = (named["parts"] > 1)[owner] & (~flags | head[at])
-        out = {k: pa.array(named[k], pa.int64()) for k in KIND} | {"spans": spans, "also": also, "whole": pa.array(whole), "loose": _loose_windows(pieces, at[loose], owner[loose], starts, len(n), length)}
-        del repeated, head, passage, at, owner, flags, more, pieces
+        lengths, ranges = [length], [(starts, n)]
+        if short:
+            skip, some, n = _shape(named["shape"])
+            lengths, ranges = [length, short], [(starts, n), (starts + skip, some)]
+        found = _repeated(pieces, ranges, named["weight"], lengths)
+        spans, loose, whole = [], [], np.zeros(len(n), bool)
+        for k, ((repeated, head), (begin, count)) in enumerate(zip(found, ranges)):
+            # The members' positions one after another; a run of repeated ones ends with its member.
+            at, owner = _ranges(begin, count), np.repeat(np.arange(len(n)), count)
+            flags = repeated[at]
+            # Of crowded kinds one of each string, and all that found no partner here, for the comparison across bundles.
+            sent = (named["parts"] > 1)[owner] & (~flags | head[at])
+            loose.append((at[sent], owner[sent], lengths[k]))
+            if k:  # where a long string of the same segment starts, the short one lies in it
+                flags &= (n[owner] == 0) | ~found[0][0][at]
+            pairs, a, b, of = _run_lists(flags, owner, at, starts, lengths[k])
+            # A segment that has long strings is whole by them only.
+            whole[of[(a == 0) & (b == named["size"][of]) & ((n[of] > 0) == (k == 0))]] = True
+            spans.append(pairs)
+        also = spans[1] if len(spans) > 1 else pa.ListArray.from_arrays(pa.array(np.zeros(len(n) + 1, np.int32)), pa.array([], pa.int32()))
+        del found, repeated, head, at, owner, flags, sent
+        out = {k: pa.array(named[k], pa.int64()) for k in KIND} | {"spans": spans[0], "also": also, "whole": pa.array(whole), "loose": _loose_windows(pieces, loose, starts, len(n))}
+        del loose, pieces
         trim()
         return pa.table(out)
 
     return run
 
 
-def _loose_windows(pieces: list[bytes], at: np.ndarray, owner: np.ndarray, starts: np.ndarray, members: int, length: int) -> pa.Array:
-    """Two hashes of the strings that start at ``at`` (over all pieces), and where in their member; a list for each member."""
-    hashes = np.zeros((2, len(at)), dtype=np.uint64)
-    if len(at):
-        begins = _begins(pieces)
-        first = np.searchsorted(at, begins)
-        for k, piece in enumerate(pieces):
-            own = slice(first[k], first[k + 1] if k + 1 < len(pieces) else len(at))
-            if own.start < own.stop:
-                where = at[own] - begins[k]
-                up, down = _powers(len(piece) + 1)
-                values = np.frombuffer(piece, dtype=np.uint8).astype(np.uint64)
-                for j, scramble in enumerate((values + np.uint64(1), mix(values + np.uint64(77)))):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scramble * up[: len(piece)])])
-                    hashes[j, own] = mix((sums[where + length] - sums[where]) * down[where])
-    windows = pa.StructArray.from_arrays([pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), pa.array((at - starts[owner]).astype(np.int32))], ["h", "g", "at"])
+def _loose_windows(pieces: list[bytes], loose: list[tuple[np.ndarray, np.ndarray, int]], starts: np.ndarray, members: int) -> pa.Array:
+    """Two hashes of the strings that start at the places given (over all pieces, with their members, for each length), and
+    where in their member; a list for each member. Places of strings of the second length are stored as their complement."""
+    begins, parts = _begins(pieces), []
+    for kind, (at, owner, length) in enumerate(loose):
+        hashes = np.zeros((2, len(at)), dtype=np.uint64)
+        if len(at):
+            first = np.searchsorted(at, begins)
+            for k, piece in enumerate(pieces):
+                own = slice(first[k], first[k + 1] if k + 1 < len(pieces) else len(at))
+                if own.start < own.stop:
+                    where = at[own] - begins[k]
+                    up, down = _powers(len(piece) + 1)
+                    values = np.frombuffer(piece, dtype=np.uint8).astype(np.uint64)
+                    for j, scramble in enumerate((values + np.uint64(1), mix(values + np.uint64(77)))):
+                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scramble * up[: len(piece)])])
+                        hashes[j, own] = mix((sums[where + length] - sums[where]) * down[where] + np.uint64(kind))
+        place = (at - starts[owner]).astype(np.int32)
+        parts.append((hashes, ~place if kind else place, owner))
+    hashes, place, owner = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3)) if len(parts) > 1 else parts[0]
+    if len(parts) > 1:
+        order = np.argsort(owner, kind="stable")
+        hashes, place, owner = hashes[:, order], place[order], owner[order]
+    windows = pa.StructArray.from_arrays([pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), pa.array(place)], ["h", "g", "at"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(members + 1)).astype(np.int32)), windows)
 
 
 # --- the operator ----------------------------------------------------------------------------------------------
 
 
-MEMBERS = f"array<struct<{', '.join(f'{k}:long' for k in KIND)}, weight:long, parts:int, alone:boolean, off:int, size:int>>"
+MEMBERS = f"array<struct<{', '.join(f'{k}:long' for k in KIND)}, weight:long, parts:int, alone:boolean, off:int, size:int, shape:long>>"
 
 
 def _cut_segments(limit: int):
@@ -363,13 +438,13 @@ def _cut_segments(limit: int):
                     if not (runs and w["alone"] and runs[-1][2][-1]["alone"] and w["first"] < runs[-1][1] < runs[-1][0] + limit):
                         runs.append([w["first"], 0, []])
                     runs[-1][1] = max(runs[-1][1], w["first"] + w["size"])
-                    runs[-1][2].append({k: w[k] for k in (*KIND, "weight", "parts", "alone", "size")} | {"off": w["first"] - runs[-1][0]})
+                    runs[-1][2].append({k: w[k] for k in (*KIND, "weight", "parts", "alone", "size", "shape")} | {"off": w["first"] - runs[-1][0]})
                 for start, end, own in runs:
                     rids.append(rid)
                     starts.append(start)
                     pieces.append(data[start:end])
                     members.append(own)
-            kind = pa.list_(pa.struct([*((k, pa.int64()) for k in (*KIND, "weight")), ("parts", pa.int32()), ("alone", pa.bool_()), ("off", pa.int32()), ("size", pa.int32())]))
+            kind = pa.list_(pa.struct([*((k, pa.int64()) for k in (*KIND, "weight")), ("parts", pa.int32()), ("alone", pa.bool_()), ("off", pa.int32()), ("size", pa.int32()), ("shape", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.binary()), pa.array(starts, pa.int32()), pa.array(members, kind), pa.array(pieces, pa.binary())], ["rid", "start", "members", "bytes"])
 
     return run
@@ -381,27 +456,28 @@ def _absolute(first, spans):
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, bundle: int = BUNDLE, crowd_bytes: int = CROWD_BYTES) -> DataFrame:
     """From (rid, data) rows, binary both: (rid, spans, also), flat start, end pairs both: of bytes to remove, and of strings of
-    PASSAGE bytes that the same expansion found elsewhere too. Those are the ones whose ``length`` bytes share an anchor, so
-    they tell of shorter passages without a pass of their own, and of most, not all.
+    PASSAGE bytes (where ``length`` is more) that start elsewhere too and don't begin a longer one to remove.
 
     The result is written; what it took is deleted.
     """
+    short = PASSAGE if PASSAGE < length else 0
+    levels = (length, short) if short else (length,)
     kind, scratch = ", ".join(f"{k} long" for k in KIND), Scratch()
-    found = scratch(rows.filter(F.octet_length("data") >= length).select("rid", "data").mapInArrow(
-        _find_segments(length), f"rid binary, {kind}, n long, first int, size int, spans array<int>"))
+    found = scratch(rows.filter(F.octet_length("data") >= min(levels)).select("rid", "data").mapInArrow(
+        _find_segments(*levels), f"rid binary, {kind}, n long, first int, size int, shape long, spans array<int>"))
     # Aggregates are written before they are joined: a join of two exchanges can be split where an anchor is hot.
     anchors = scratch(found.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor"))
     # Few anchors of many stay, so they are hashed and the wide rows needn't be sorted.
     again = scratch(found.join(anchors.hint("shuffle_hash"), "anchor"))
     scratch.drop(found)
-    kinds = scratch(again.groupBy(*KIND).agg(F.sum("n").alias("weight"), F.min(F.struct("rid", "first", "size")).alias("one")))
+    kinds = scratch(again.groupBy(*KIND).agg(F.sum("n").alias("weight"), F.min(F.struct("rid", "first", "size", "shape")).alias("one")))
     several = scratch(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("one.size").alias("bytes")))
     parts = F.when((F.col("kinds") > crowd) | ((F.col("kinds") > 1) & (F.col("bytes") > crowd_bytes)), F.ceil(F.greatest(F.col("kinds") / crowd, F.col("bytes") / crowd_bytes))).otherwise(1).cast("int")
     wanted = scratch(kinds.join(several, "anchor").select(*KIND, "one.*", "weight", "kinds", parts.alias("parts")))
     alone = F.col("kinds") == 1
     volume, most = wanted.agg(F.coalesce(F.sum(F.when(alone, F.col("size") / 2).otherwise(F.col("size"))).cast("long"), F.lit(0)), F.coalesce(F.max("parts"), F.lit(1))).first()
     bundles = max(1, -(-volume // bundle))
-    item = F.struct(*KIND, "weight", "parts", alone.alias("alone"), "first", "size")
+    item = F.struct(*KIND, "weight", "parts", alone.alias("alone"), "first", "size", "shape")
     lists = wanted.groupBy("rid").agg(F.collect_list(item).alias("wanted"))
     pieces = rows.join(lists, "rid").select("rid", "data", "wanted").mapInArrow(_cut_segments(bundle // 4), f"rid binary, start int, members {MEMBERS}, bytes binary")
     m = F.col("members")[0]
@@ -409,18 +485,21 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, bu
     place = F.when(m["alone"], F.xxhash64("rid", "start")).otherwise(F.xxhash64(m["anchor"], salt))
     pieces = pieces.withColumn("bundle", F.pmod(place, F.lit(bundles)))
     loose = "array<struct<h:long,g:long,at:int>>"
-    expanded = scratch(pieces.groupBy("bundle").applyInArrow(_expand_bundle(length), f"{kind}, spans array<int>, also array<int>, whole boolean, loose {loose}"))
+    expanded = scratch(pieces.groupBy("bundle").applyInArrow(_expand_bundle(*levels), f"{kind}, spans array<int>, also array<int>, whole boolean, loose {loose}"))
     partial = expanded.select(*KIND, "spans", "also", "whole")
     if most > 1:
         windows = expanded.filter(F.size("loose") > 0).select(*KIND, F.explode("loose").alias("w")).select(*KIND, "w.*")
         twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
-        hits = windows.join(twice, ["h", "g"]).select(*KIND, F.array(F.col("at"), F.col("at") + length).alias("spans"), F.array().cast("array<int>").alias("also"), F.lit(False).alias("whole"))
+        at, none = F.col("at"), F.array().cast("array<int>")
+        spans, also = F.when(at >= 0, F.array(at, at + length)), F.when(at < 0, F.array(F.bitwise_not(at), F.bitwise_not(at) + short))
+        hits = windows.join(twice, ["h", "g"]).select(*KIND, F.coalesce(spans, none).alias("spans"), F.coalesce(also, none).alias("also"), F.lit(False).alias("whole"))
         # A kind that repeats inside one bundle sent one window only; its others are already in ``spans``.
         partial = partial.unionByName(hits)
     partial = partial.filter((F.size("spans") > 0) | (F.size("also") > 0))
     # A segment that the expansion found repeated from end to end goes wherever it lies; of others there is one only.
     own = F.coalesce("spans", F.array(F.col("first"), F.col("first") + F.col("size")))
-    whole = again.join(scratch(partial.filter("whole").select(*KIND)).hint("shuffle_hash"), [*KIND]).select("rid", own.alias("spans"), F.array().cast("array<int>").alias("also"))
+    long, none = F.col("shape") % (1 << _FIELD) > 0, F.array().cast("array<int>")
+    whole = again.join(scratch(partial.filter("whole").select(*KIND)).hint("shuffle_hash"), [*KIND]).select("rid", F.when(long, own).otherwise(none).alias("spans"), F.when(long, none).otherwise(own).alias("also"))
     some = kinds.filter("weight = 1").select(*KIND, "one").join(partial.filter("not whole"), [*KIND]).select(
         F.col("one.rid").alias("rid"), *(_absolute(F.col("one.first"), F.col(c)).alias(c) for c in ("spans", "also")))
     out = materialise(whole.unionByName(some).groupBy("rid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "also"))))
@@ -470,7 +549,7 @@ def _rid(doc_id: Column, data: Column) -> Column:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, **limits) -> DataFrame:
     """All columns of ``docs`` but the text in a struct ``row``, with missing (the text was null), n_bytes, ``kept`` (remaining bytes; with ``as_text`` their
     text, in which a character that a removed span cuts in two goes as a whole), n_removed, n_spans and n_repeated (bytes removed or
-    in shorter repeated strings that were met on the way)."""
+    in repeated strings of PASSAGE bytes)."""
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(text_col).isNull().alias("missing"), data.alias("data"), _rid(F.col(id_col), data).alias("rid"))
     spans = repeated_spans(rows.select("rid", "data"), length, **limits)
@@ -480,8 +559,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest columns; also n_repeated, the bytes that were removed or lie in strings of PASSAGE bytes that the expansion
-    met elsewhere too."""
+    """The digest columns; also n_repeated, the bytes that a string of PASSAGE bytes covers which starts anywhere else too
+    (removed bytes among them)."""
     kept = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 

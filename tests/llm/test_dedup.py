@@ -115,6 +115,34 @@ def test_repeats_against_counting_all_windows(docs, corpus, length, limits):
     assert suffixes.remove_repeats(docs.limit(0), length).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"crowd": 1, "bundle": 4000}])
+def test_shorter_passages_are_all_counted(spark, docs, corpus, limits):
+    """n_repeated covers every string of 200 bytes that starts anywhere else, also where no 400 bytes around it repeat."""
+    rng = np.random.default_rng(4)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passages = [letters(n) for n in (199, 200, 201, 230, 260, 300, 336, 380, 399, 400, 450) * 4]
+    # Between texts, twice in one text, as a whole text, and at both ends.
+    texts = [letters(int(rng.integers(500))) + p + letters(int(rng.integers(500))) for p in passages for _ in range(2)]
+    texts += [p + letters(50) + p for p in passages[:11]] + [letters(210)] * 3 + [letters(220), "é" * 130, None, ""]
+    rows = [(1000 + k, t) for k, t in enumerate(texts)] + [(i, t) for i, t, _, _ in corpus]
+    encoded = [(t or "").encode() for _, t in rows]
+    want = Counter((i, long[1], short[1]) for (i, _), long, short in zip(rows, removed(encoded, 400), removed(encoded, 200)))
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 400, **limits).collect()
+    assert Counter((r["row"]["doc_id"], r["n_removed"], r["n_repeated"]) for r in got) == want
+
+
+def test_shorter_passages_over_blocks(monkeypatch, spark):
+    monkeypatch.setattr(suffixes, "BLOCK", 1000)
+    rng = np.random.default_rng(6)
+    a = bytes(rng.integers(97, 123, 9000).astype(np.uint8)).decode()
+    # The last text's end behind its first block is too short for a long string.
+    texts = [a[:5000], "x" * 7 + a[700:1000] + "y" + a[1900:2110] + "z" + a[2800:3300] + a[6000:6900], a[5600:8000], a[8000:] + a[900:1250]]
+    encoded = [t.encode() for t in texts]
+    want = {k: (long[1], short[1]) for k, (long, short) in enumerate(zip(removed(encoded, 400), removed(encoded, 200)))}
+    got = suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 400).collect()
+    assert {r["row"]["doc_id"]: (r["n_removed"], r["n_repeated"]) for r in got} == want
+
+
 def test_interval_expansion_on_random_texts():
     rng = np.random.default_rng(1)
     for _ in range(60):
