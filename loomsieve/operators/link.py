@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,62 +81,104 @@ def best_jaccard(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return out.select(F.col("l_id").alias(left_id), F.when(gate, F.col("m.r_id")).alias(right_id), F.col("m.similarity").alias("similarity"), F.col("m.same").alias("same_title"))
 
 
-#: Thresholds of the rounds in which best matches of any similarity are looked for; the last finds whatever shares a word.
-FALLING = (0.5, 0.2, 0.08, 0.03, 0.0)
+#: Words of the right titles in a block, about; counters that a task holds at a time.
+BLOCK_WORDS, COUNTERS = 1 << 20, 1 << 21
 
 
-def best_jaccard_of_all(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, short: int = 7, falling: tuple[float, ...] = FALLING) -> DataFrame:
+def best_jaccard_of_all(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, least: float = 0.9, short: int = 7, block_words: int = BLOCK_WORDS) -> DataFrame:
     """As ``best_jaccard``, for every left row: a best similarity under ``least`` is returned too, with a null partner,
     and 0 where no word is shared.
 
-    Rounds of falling thresholds: sets of n and m words that are similar by s share at least o = s (n + m) / (1 + s) words, so
-    among their words in order of rarity they share one of the first n - o + 1 and of the first m - o + 1. Left titles are
-    laid out by the power of two below their n, so that a long text asks each right title for its few rarest words only.
-    Whatever is found at the threshold or above holds the best, and those titles leave; the others go on to the next one.
-    Pairs that share nothing but frequent words are met by titles only that have no better match.
+    Texts are mostly best at a similarity that a few frequent words make, so no threshold leaves out many of the pairs, and
+    pairs aren't made as rows. Distinct right titles are dealt to blocks of ``block_words`` words, left rows to parts; a part
+    reads a block's lists (which titles hold a word) and then, as a stream, its own rows, for each of which it counts the words
+    that all titles of the block share with it. A left row's words are shuffled once for each block, a block once for each part.
     """
     spark = left.sparkSession
-
-    def written(df: DataFrame) -> DataFrame:
-        path = scratch(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     own = lambda df, i, p: df.select(F.col(i).alias(f"{p}_id"), text.normalized_title(F.col(title)).alias(f"{p}_title"))
-    a, b = own(left, left_id, "l"), own(right, right_id, "r")
-    titles = {"l": a.select("l_title").distinct(), "r": b.groupBy("r_title").agg(F.min("r_id").alias("r_id"))}
-    titles = {p: df.withColumn("words", text.tokens(F.col(f"{p}_title"))).filter(F.size("words") > 0) for p, df in titles.items()}
-    each = {p: df.select("*", F.explode("words").alias("w")).drop("words") for p, df in titles.items()}
-    # Words by how many pairs they would form; those of one side only form none and stand first.
-    held = each["l"].groupBy("w").agg(F.count("*").alias("x")).join(each["r"].groupBy("w").agg(F.count("*").alias("y")), "w", "full_outer").select("w", (F.coalesce("x", F.lit(0)) * F.coalesce("y", F.lit(0))).alias("held"))
-    sides = {}
-    for p, df in each.items():
-        keys = [c for c in df.columns if c != "w"]
-        lists = df.join(held, "w").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "w"))), lambda s: s["w"]).alias("words"))
-        sides[p] = written(lists.withColumn("n", F.size("words")).withColumn("size", F.floor(F.log2(F.col("n") + 1e-9)).cast("int")))
-    rest, found = sides["l"], None
-    sizes = [r[0] for r in rest.select("size").distinct().collect()]  # some thirty at most
-    for s in falling:
-        o = F.greatest(F.ceil(s * F.col("n") - 1e-9), F.lit(1)).cast("int")
-        asked = rest.select("l_title", "size", F.explode(F.slice("words", F.lit(1), F.col("n") - o + 1)).alias("w"))
-        shares = F.greatest(F.ceil(s * (F.pow(F.lit(2.0), F.col("size")) + F.col("n")) / (1 + s) - 1e-9), F.lit(1)).cast("int")
-        offered = sides["r"].select("r_title", "n", "words", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("size")).withColumn("o", shares).filter("o <= n")
-        offered = offered.select("r_title", "size", F.explode(F.slice("words", F.lit(1), F.col("n") - F.col("o") + 1)).alias("w"))
-        met = asked.join(offered, ["size", "w"]).select("l_title", "r_title").distinct()
-        side = lambda p, *more: sides[p].select(f"{p}_title", F.col("words").alias(f"{p}_words"), *more)
-        pairs = met.join(side("l"), "l_title").join(side("r", "r_id"), "r_title").select("l_title", "r_id", text.jaccard(F.col("l_words"), F.col("r_words")).alias("similarity"))
-        best = pairs.groupBy("l_title").agg(F.max_by(F.struct("r_id", "similarity"), F.struct("similarity", (-F.col("r_id")).alias("o"))).alias("m")).select("l_title", "m.*")
-        done = written(best.filter(F.col("similarity") >= s))
-        found = done if found is None else found.unionByName(done)
-        rest = written(rest.join(done.select("l_title"), "l_title", "left_anti"))
-        if rest.isEmpty():
-            break
-    equal = sides["r"].select(F.col("r_title").alias("l_title"), F.col("r_id").alias("equal_id"))
-    counts = sides["l"].select("l_title", F.col("n").alias("l_n"))
-    out = a.join(counts, "l_title", "left").join(found, "l_title", "left").join(equal, "l_title", "left")
+    words = lambda p: F.array_distinct(F.array_remove(F.split(f"{p}_title", " "), "")).alias("words")
+    path = scratch(spark)
+    own(right, right_id, "r").groupBy("r_title").agg(F.min("r_id").alias("r_id")).filter("r_title <> ''").select("r_title", "r_id", words("r")).write.parquet(path)
+    titles = spark.read.parquet(path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-(titles.agg(F.sum(F.size("words"))).first()[0] or 0) // block_words))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda df, i: F.lit(None).cast(df.schema[i].dataType)
+
+    equal = titles.select("r_title", "r_id")
+    asking = own(left, left_id, "l").join(equal, F.col("l_title") == F.col("r_title"), "left").select(F.monotonically_increasing_id().alias("row"), "l_id", "r_id", words("l"))
+    asking = asking.select(F.pmod("row", F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"), F.lit(True).alias("asks"), "row", "l_id", "r_id", "words")
+    lists = titles.select(every(parts).alias("part"), F.pmod(F.xxhash64("r_title"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("row"), none(left, left_id).alias("l_id"), "r_id", "words")
+    met = lists.unionByName(asking).repartitionById(parts, "part").sortWithinPartitions("block", "asks").drop("part")
+    kinds = [df.schema[i].dataType.simpleString() for df, i in ((left, left_id), (right, right_id))]
+    found = met.mapInArrow(_best_sets, f"row long, l_id {kinds[0]}, equal_id {kinds[1]}, n int, r_id {kinds[1]}, similarity double")
+    best = found.groupBy("row", "l_id", "equal_id", "n").agg(F.max_by(F.struct("r_id", "similarity"), F.struct("similarity", (-F.col("r_id")).alias("o"))).alias("m"))
     same = F.col("equal_id").isNotNull()
-    partner = F.when(same, F.col("equal_id")).when((F.col("l_n") >= short) & (F.col("similarity") >= least), F.col("r_id"))
-    return out.select(F.col("l_id").alias(left_id), partner.alias(right_id), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), same.alias("same_title"))
+    partner = F.when(same, F.col("equal_id")).when((F.col("n") >= short) & (F.col("m.similarity") >= least), F.col("m.r_id"))
+    return best.select(F.col("l_id").alias(left_id), partner.alias(right_id), F.col("m.similarity").alias("similarity"), same.alias("same_title"))
+
+
+class _Lists:
+    """The titles of a block, in the order of their ids, and which of them hold each word."""
+
+    def __init__(self, ids: pa.Array, words: pa.Array):
+        order = pc.sort_indices(ids)
+        self.ids = ids.take(order)
+        place = np.empty(len(ids), dtype=np.int64)
+        place[order.to_numpy()] = np.arange(len(ids))
+        lengths = pc.list_value_length(words).to_numpy()
+        self.sizes = lengths[order.to_numpy()].astype(np.int64)
+        coded = pc.list_flatten(words).dictionary_encode()
+        self.words, codes = coded.dictionary, coded.indices.to_numpy()
+        self.titles = np.repeat(place, lengths)[np.argsort(codes, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.words)))])
+
+    def best(self, words: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Of each set of words: its size, the id of the most similar title (of equal ones the first) and the similarity."""
+        lengths = pc.list_value_length(words).to_numpy()
+        places, similarity = np.zeros(len(words), dtype=np.int64), np.zeros(len(words))
+        codes = pc.index_in(pc.list_flatten(words), value_set=self.words)
+        owners = np.repeat(np.arange(len(words)), lengths)[codes.is_valid().to_numpy(zero_copy_only=False)]
+        codes = codes.drop_null().to_numpy()
+        starts, counts = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
+        # Rows are taken together as long as their counters, and what they add to these, are few.
+        n = len(self.ids)
+        cost = np.cumsum(np.bincount(owners, weights=counts, minlength=len(words)) + n)
+        low = 0
+        while low < len(words) and n:
+            high = max(low + 1, int(np.searchsorted(cost, (cost[low - 1] if low else 0) + COUNTERS, side="right")))
+            a, b = np.searchsorted(owners, [low, high])
+            each = counts[a:b]
+            at = np.repeat(starts[a:b] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            shared = np.bincount(np.repeat((owners[a:b] - low) * n, each) + self.titles[at], minlength=(high - low) * n).reshape(-1, n)
+            alike = shared / (lengths[low:high, None] + self.sizes[None, :] - shared)
+            places[low:high] = alike.argmax(1)
+            similarity[low:high] = alike[np.arange(high - low), places[low:high]]
+            low = high
+        return pa.array(lengths.astype(np.int32)), self.ids.take(pa.array(places, mask=similarity == 0)), pa.array(similarity)
+
+
+def _best_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part, block by block: first the titles that are offered, then the rows that ask."""
+    block, offered, lists = None, [], None
+    for batch in batches:
+        state = batch.column("block").to_numpy() * 2 + batch.column("asks").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(state)) + 1).tolist(), len(state)]
+        for begin, end in zip(cuts, cuts[1:]):
+            if begin == end:
+                continue
+            rows = batch.slice(begin, end - begin)
+            if state[begin] // 2 != block:
+                block, offered, lists = state[begin] // 2, [], None
+            if not state[begin] % 2:
+                offered.append(rows.select(["r_id", "words"]))
+                continue
+            if lists is None:
+                table = pa.Table.from_batches(offered, rows.select(["r_id", "words"]).schema).combine_chunks()
+                lists, offered = _Lists(*(pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in table.columns)), []
+            for k in range(0, rows.num_rows, 1024):
+                own = rows.slice(k, 1024)
+                yield pa.RecordBatch.from_arrays([own.column("row"), own.column("l_id"), own.column("r_id"), *lists.best(own.column("words"))], ["row", "l_id", "equal_id", "n", "r_id", "similarity"])
 
 
 def waterfall(df: DataFrame, sources: list[tuple[str, Column]], out: str) -> DataFrame:
